@@ -6,8 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.llm.decontaminate import contamination
 from tidewell.llm.exact import exact_groups
 from tidewell.llm.packing import pack_documents
+from tidewell.llm.sentences import MIN_SENTENCES, MIN_WORDS, without_repeats
 from tidewell.llm.sharding import shard_ids
 from tidewell.llm.tokens import token_counts
 from tidewell.session import table
@@ -16,6 +18,16 @@ TOKENIZER = "byte_bpe_50k.json"
 CONTEXT_TOKENS = 2048
 COUNT_LIMIT = 1024
 SHARD_BYTES = 16 << 20
+WINDOW = 10
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), WINDOW)
+
+
+def op2_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_sentences", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,9 +48,42 @@ def op7_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).select(columns)
 
 
-QUERIES = {f.__name__: f for f in (op3_pack, op4_token_counts, op6_shards, op7_exact)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_sentences, op3_pack, op4_token_counts, op6_shards, op7_exact)}
+
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 SQL = {
+    "op1_decontaminate": f"""
+WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS.format("text")} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, k, w[p:p + k - 1] AS win
+       FROM (SELECT item_id, w, least(len(w), {WINDOW}) AS k FROM i WHERE len(w) > 0) x, unnest(range(1, len(w) - k + 2)) t(p)),
+ks AS (SELECT DISTINCT k FROM iw),
+dw AS (SELECT doc_id, k, p, w[p:p + k - 1] AS win FROM d, ks, unnest(range(1, len(w) - k + 2)) t(p)),
+m AS (SELECT dw.doc_id, dw.p, dw.k, iw.item_id FROM dw JOIN iw USING (k, win)),
+h AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM m, unnest(range(p, p + k)) t(x) GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM m) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op2_sentences": rf"""
+WITH p AS (SELECT doc_id, piece, k, {_WORDS.format("piece")} AS w
+           FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?\n]*[.!?\n]+|[^.!?\n]+')) AS piece,
+                 generate_subscripts(regexp_extract_all(text, '[^.!?\n]*[.!?\n]+|[^.!?\n]+'), 1) AS k FROM documents)),
+s AS (SELECT doc_id, k, w, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i,
+      sum(len(w)) OVER (PARTITION BY doc_id ORDER BY k) AS c FROM p WHERE len(w) > 0),
+e AS (SELECT a.doc_id, a.i AS first, min(b.i) AS last FROM s a JOIN s b
+      ON a.doc_id = b.doc_id AND b.i >= a.i + {MIN_SENTENCES - 1} AND b.c - a.c + len(a.w) >= {MIN_WORDS} GROUP BY 1, 2),
+r AS (SELECT e.doc_id, e.first, e.last, string_agg(array_to_string(s.w, ' '), ' ' ORDER BY s.i) AS run
+      FROM e JOIN s ON s.doc_id = e.doc_id AND s.i BETWEEN e.first AND e.last GROUP BY 1, 2, 3),
+g AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, first) AS nth FROM r),
+x AS (SELECT DISTINCT s.doc_id, s.k FROM g JOIN s ON s.doc_id = g.doc_id AND s.i BETWEEN g.first AND g.last WHERE nth > 1),
+y AS (SELECT p.doc_id, count(*) FILTER (len(w) > 0) AS n_sentences, count(x.k) AS n_removed,
+      coalesce(string_agg(piece, '' ORDER BY p.k) FILTER (x.k IS NULL), '') AS kept
+      FROM p LEFT JOIN x ON x.doc_id = p.doc_id AND x.k = p.k GROUP BY 1)
+SELECT doc_id, coalesce(n_sentences, 0)::BIGINT AS n_sentences, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN y USING (doc_id)""",
     "op6_shards": f"""
 WITH r AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes,
            ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
