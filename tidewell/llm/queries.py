@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.decontaminate import contamination
 from tidewell.llm.exact import exact_groups
+from tidewell.llm.near import near_groups
 from tidewell.llm.packing import pack_documents
 from tidewell.llm.sentences import MIN_SENTENCES, MIN_WORDS, without_repeats
 from tidewell.llm.sharding import shard_ids
 from tidewell.llm.tokens import token_counts
+from tidewell.llm.toxicity import held_out, model_of, scored
 from tidewell.session import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -19,6 +21,7 @@ CONTEXT_TOKENS = 2048
 COUNT_LIMIT = 1024
 SHARD_BYTES = 16 << 20
 WINDOW = 10
+TOXIC_SCORE = 0.3
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +42,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > COUNT_LIMIT)
 
 
+def op5_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_ids(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
@@ -48,7 +55,14 @@ def op7_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).select(columns)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_sentences, op3_pack, op4_token_counts, op6_shards, op7_exact)}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents").select("doc_id", "text"), held_out(F.col("doc_id"), 4, 2)
+    model = model_of(docs, table(spark, sf_dir, "labels").filter(~out))
+    found = scored(docs, model).select("doc_id", out.alias("held_out"), F.col("_toxicity").alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= TOXIC_SCORE).cast("int"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_sentences, op3_pack, op4_token_counts, op5_near, op6_shards, op7_exact, op8_toxicity)}
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -84,6 +98,15 @@ y AS (SELECT p.doc_id, count(*) FILTER (len(w) > 0) AS n_sentences, count(x.k) A
       FROM p LEFT JOIN x ON x.doc_id = p.doc_id AND x.k = p.k GROUP BY 1)
 SELECT doc_id, coalesce(n_sentences, 0)::BIGINT AS n_sentences, coalesce(n_removed, 0)::BIGINT AS n_removed,
        sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN y USING (doc_id)""",
+    "op5_near": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, w[p:p + least(len(w), 4) - 1] AS sh FROM d, unnest(range(1, greatest(len(w) - 3, 1) + 1)) t(p) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS id, doc_id AS root FROM d UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(root) AS component_id, d.doc_id = min(root) AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.id = d.doc_id GROUP BY d.doc_id, n.n""",
     "op6_shards": f"""
 WITH r AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes,
            ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),

@@ -31,8 +31,10 @@ class _Texts:
         low = lowered(data)
         starts, ends, word_at = word_spans(IS_WORD[low], offsets)
         ending = _ENDS[data]
-        cuts = np.flatnonzero(ending & ~np.append(ending[1:], False)) + 1
-        self.edges = np.unique(np.concatenate([cuts, offsets]))
+        is_edge = np.zeros(len(data) + 1, bool)
+        is_edge[1:] = ending & ~np.append(ending[1:], False)[: len(data)]
+        is_edge[offsets] = True
+        self.edges = np.flatnonzero(is_edge)
         word_edges = np.searchsorted(starts, self.edges)
         has_words = np.diff(word_edges) > 0
         self.sentence = np.flatnonzero(has_words)  # the piece of each sentence
