@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.decontaminate import contamination
 from tidewell.llm.exact import exact_groups
+from tidewell.llm.lm import lm_scores
 from tidewell.llm.near import near_groups
 from tidewell.llm.packing import pack_documents
 from tidewell.llm.sentences import MIN_SENTENCES, MIN_WORDS, without_repeats
@@ -62,7 +63,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("predicted", (F.col("score") >= TOXIC_SCORE).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_sentences, op3_pack, op4_token_counts, op5_near, op6_shards, op7_exact, op8_toxicity)}
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents").select("doc_id", "text"), held_out(F.col("doc_id"), 5, 1)
+    return lm_scores(docs, ~out).withColumn("held_out", out)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_sentences, op3_pack, op4_token_counts, op5_near, op6_shards, op7_exact, op8_toxicity, op9_lm)}
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
