@@ -1,13 +1,55 @@
-"""The corpus pipeline: each stage reads what the one before it kept."""
+"""The corpus pipeline: each stage works on all rows that the one before it kept.
+
+A stage is (name, function of spark, docs and sf_dir). All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewell.llm.decontaminate import decontaminated
+from tidewell.llm.exact import without_copies
+from tidewell.llm.near import without_near_copies
+from tidewell.llm.packing import pack_documents
+from tidewell.llm.toxicity import without_toxic
 from tidewell.session import table, written
 
-STAGES = []
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that the classifier rejects."""
+    return without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of those with the same normalised text."""
+    return without_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a similarity of 0.8 or more on five-word shingles."""
+    return without_near_copies(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the spans of ten or more words of a test item, and without documents that are mostly such spans."""
+    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences of 2048 tokens."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 2048)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_benchmark),
+    ("packing", pack),
+]
+
+#: The toxicity stage has no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

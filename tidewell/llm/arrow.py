@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 SLICE_BYTES = 8 << 20
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Each batch cut by bytes: the rows, the UTF-8 bytes of their texts one after the other, and len(rows) + 1 offsets. Null is empty."""
     for batch in batches:
         if not batch.num_rows:
@@ -22,7 +22,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iter
         data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.zeros(0, np.uint8)
         at = 0
         while at < len(texts):
-            to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_BYTES, "right")) - 1)
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at), data[ends[at] : ends[to]], ends[at : to + 1] - ends[at]
             at = to
 
@@ -93,3 +93,26 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         out[at:to] = mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
         at = to
     return out
+
+
+def zipped(values: np.ndarray) -> bytes:
+    raw = np.ascontiguousarray(values).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def unzipped(data: bytes, kind: type) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    return np.frombuffer(pa.Codec("zstd").decompress(data[8:], n, asbytes=True), kind)
+
+
+def ids_stream(rows: pa.RecordBatch) -> bytes:
+    """The column doc_id as an Arrow stream, whatever its type."""
+    sink = pa.BufferOutputStream()
+    part = rows.select(["doc_id"])
+    with pa.ipc.new_stream(sink, part.schema) as out:
+        out.write_batch(part)
+    return sink.getvalue().to_pybytes()
+
+
+def ids_of(stream: bytes, kind: pa.DataType) -> pa.Array:
+    return pa.ipc.open_stream(stream).read_all().column("doc_id").combine_chunks().cast(kind)

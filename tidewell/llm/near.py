@@ -151,10 +151,13 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     A text's set is its distinct runs of ``size`` lower-cased words, or all its words if they are fewer; texts without
     words, null ones too, are linked with nothing. Texts are linked when 100 * intersection >= percent * union;
     component_id is the smallest doc_id reachable, kept marks the row that has it. Rows that repeat a doc_id and text
-    are one class and share its mark; different texts under one doc_id are linked by it. doc_id must not be null.
+    are one class and share its mark; different texts under one doc_id are linked by it. A row without a doc_id
+    is linked with nothing and kept, with a null component_id.
     """
-    rows = docs.select("doc_id", "text")
-    every = written(profiles(rows, size), "profiles")
+    every = written(profiles(docs.select("doc_id", "text"), size), "profiles")
+    rows = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
+    nameless = every.filter("doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    every = every.filter("doc_id IS NOT NULL")
     classes = every.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"))
     classes = written(classes, "classes")
     # A class is sketched alike in all its rows; the row with its id stands for it.
@@ -195,10 +198,10 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     some = F.col("n_shingles") > 0
     out = every.select("doc_id", "n_shingles", F.when(some, F.col("k1")).alias("k1"), F.when(some, F.col("k2")).alias("k2")).join(named, ["k1", "k2"], "left")
     component = F.coalesce("label", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept")).unionByName(nameless)
 
 
 def without_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each group, all its columns as they are."""
     kept = near_groups(docs, size, percent).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")

@@ -34,14 +34,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, separator:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = np.array([separator], np.uint32)
-        for rows, places, pieces in encoded_slices(batches, tokenizer_path):
-            if places and isinstance(places[0], tuple):
-                texts = [np.concatenate([gathered(*p) for p in places])]
-            else:
-                every = np.concatenate(places) if places else np.zeros(0, np.int64)
-                ids, lengths = gathered(pieces.start[every], pieces.length[every], pieces.ids), pieces.length[every]
-                ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum([len(p) for p in places])]).astype(np.int64)]
-                texts = [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        for rows, parts, at in encoded_slices(batches, tokenizer_path):
+            ids = np.concatenate([gathered(starts, counts, of) for of, starts, counts in parts])
+            ends = np.append(0, np.cumsum(np.concatenate([counts for _, _, counts in parts])))[at]
+            texts = [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
             out: list[tuple[int, int, int, int, int]] = []
             for row, ids in enumerate(texts):
                 ids = np.concatenate([ids, last])

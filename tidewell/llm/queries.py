@@ -11,6 +11,7 @@ from tidewell.llm.exact import exact_groups
 from tidewell.llm.lm import lm_scores
 from tidewell.llm.near import near_groups
 from tidewell.llm.packing import pack_documents
+from tidewell.llm.repeats import LENGTH, without_repeated_bytes
 from tidewell.llm.sentences import MIN_SENTENCES, MIN_WORDS, without_repeats
 from tidewell.llm.sharding import shard_ids
 from tidewell.llm.tokens import token_counts
@@ -68,7 +69,11 @@ def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(docs, ~out).withColumn("held_out", out)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_sentences, op3_pack, op4_token_counts, op5_near, op6_shards, op7_exact, op8_toxicity, op9_lm)}
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeated_bytes(table(spark, sf_dir, "documents")).drop("kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_sentences, op3_pack, op4_token_counts, op5_near, op6_shards, op7_exact, op8_toxicity, op9_lm, op10_repeats)}
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -130,4 +135,17 @@ WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS points,
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
        doc_id = first_value(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
 FROM n WINDOW w AS (PARTITION BY norm ORDER BY points DESC, doc_id)""",
+    "op10_repeats": f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, p, md5(substr(x, 2 * p + 1, {2 * LENGTH})) AS m FROM d, unnest(range(0, length(x) // 2 - {LENGTH - 1})) t(p)),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY m) AS c FROM w) WHERE c > 1),
+g AS (SELECT doc_id, p, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + {LENGTH} THEN 1 ELSE 0 END AS new FROM r),
+s AS (SELECT doc_id, min(p) AS a, max(p) + {LENGTH} AS b
+      FROM (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM g) GROUP BY doc_id, k),
+k AS (SELECT s.*, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+t AS (SELECT k.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last,
+      string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM k JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)""",
 }

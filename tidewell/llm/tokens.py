@@ -2,7 +2,7 @@
 
 A text is cut at safe boundaries, before a single space between two visible characters, where the
 tokenizer's own pattern always begins a new piece. What lies between two cuts is encoded once for
-each distinct string and kept for later batches of the same worker.
+each distinct string of a batch; batches are balanced by bytes.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.arrow import SLICE_BYTES, text_slices
+from tidewell.llm.arrow import text_slices
 
-#: Distinct strings that a worker keeps; beyond, it starts anew.
-CACHE_STRINGS = 500_000
+#: Bytes of texts whose strings are told apart at once.
+BATCH_BYTES = 32 << 20
 #: Bytes of distinct strings that are encoded as one text.
 JOINED_BYTES = 1 << 15
 
@@ -30,18 +30,14 @@ def safe_cuts(data: np.ndarray) -> np.ndarray:
     """
     if len(data) < 3:
         return np.zeros(0, np.int64)
-    visible = np.zeros(256, bool)
-    visible[0x21:0x7F] = True
-    begins = visible.copy()
-    begins[0xC3] = True
     spaces = np.flatnonzero(data[1:-1] == 32) + 1
     before, earlier = data[spaces - 1], data[np.maximum(spaces - 2, 0)]
-    ok = (visible[before] | ((before >= 0x80) & (earlier == 0xC3) & (spaces > 1))) & begins[data[spaces + 1]]
+    ok = (_VISIBLE[before] | ((before >= 0x80) & (earlier == 0xC3) & (spaces > 1))) & _BEGINS[data[spaces + 1]]
     return spaces[ok]
 
 
 class Pieces:
-    """Ids of the strings between cuts; ``encode`` gives for each of them its place in ``start`` and ``length``."""
+    """The tokenizer, and how to encode many strings between cuts at once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,67 +50,68 @@ class Pieces:
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.width[i] = len(token)
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.ids, self.n_ids = np.zeros(1 << 20, np.uint32), 0
-        self.start, self.length = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
-
-    def _add(self, string: bytes, ids: np.ndarray) -> None:
-        k = len(self.at)
-        while self.n_ids + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        if k == len(self.start):
-            self.start, self.length = np.concatenate([self.start, self.start]), np.concatenate([self.length, self.length])
-        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
-        self.start[k], self.length[k] = self.n_ids, len(ids)
-        self.n_ids += len(ids)
-        self.at[string] = k
-
-    def _encoded(self, texts: list[bytes]) -> list[np.ndarray]:
+
+    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)
         return [np.array(e.ids, np.uint32) for e in found]
 
-    def _learn(self, strings: list[bytes]) -> None:
-        """Strings that begin with a cut are joined, encoded together and told apart by the widths of their tokens."""
-        joined: list[list[bytes]] = [[]]
-        alone, size = [], 0
-        for s in strings:
-            if s[:1] == b" " and len(s) > 1 and 0x20 < s[1] < 0x7F and 0x20 < s[-1] < 0x7F and len(s) < JOINED_BYTES:
-                joined[-1].append(s)
-                size += len(s)
-                if size > JOINED_BYTES:
-                    joined.append([])
-                    size = 0
-            else:
-                alone.append(s)
-        joined = [g for g in joined if g]
-        for group, ids in zip(joined, self._encoded([b"".join(g) for g in joined]), strict=True):
-            ends, cum = np.cumsum([len(s) for s in group]), np.cumsum(self.width[ids])
-            to = np.searchsorted(cum, ends) + 1
-            if cum[-1] != ends[-1] or not np.array_equal(cum[to - 1], ends):
-                alone += group
-                continue
-            for s, a, b in zip(group, np.concatenate([[0], to[:-1]]), to, strict=True):
-                self._add(s, ids[a:b])
-        for k in range(0, len(alone), 10_000):
-            part = alone[k : k + 10_000]
-            for s, ids in zip(part, self._encoded(part), strict=True):
-                self._add(s, ids)
-
-    def encode(self, data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-        """cuts: the edges of all strings, 0 and len(data) among them."""
-        if len(self.at) > CACHE_STRINGS:
-            self.clear()
-        edges = pa.py_buffer(np.ascontiguousarray(cuts, dtype=np.int64))
-        strings = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, edges, pa.py_buffer(np.ascontiguousarray(data))])
-        coded = strings.dictionary_encode()
-        distinct = coded.dictionary.to_numpy(zero_copy_only=False)
-        if new := [s for s in distinct if s not in self.at]:
-            self._learn(new)
-        places = np.fromiter((self.at[s] for s in distinct), np.int64, len(distinct))
-        return places[coded.indices.to_numpy()]
+    def distinct_ids(self, strings: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all strings, and where each one's begin and how many they are.
+
+        Strings that begin and end at a cut are encoded joined, and told apart by the widths of their tokens.
+        """
+        edges, data = edges_and_data(strings)
+        lengths = np.diff(edges)
+        ids, starts, counts = [], np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+        n_ids = 0
+        joinable = lengths > 1
+        at = edges[:-1][joinable]
+        last = edges[1:][joinable] - 1
+        joinable[joinable] = (data[at] == 32) & _BEGINS[data[at + 1]] & (_VISIBLE[data[last]] | ((data[last] >= 0x80) & (data[last - 1] == 0xC3)))
+        rest = np.flatnonzero(~joinable)
+        if joinable.any():
+            which = np.flatnonzero(joinable)
+            joined_edges, joined = edges_and_data(strings.take(pa.array(which)))
+            groups = np.searchsorted(joined_edges, np.arange(0, joined_edges[-1] + JOINED_BYTES, JOINED_BYTES))
+            groups = np.unique(np.append(np.minimum(groups, len(which)), len(which)))
+            texts = [joined[joined_edges[a] : joined_edges[b]].tobytes() for a, b in zip(groups[:-1], groups[1:], strict=True)]
+            found = np.concatenate(self.ids(texts))
+            cum = np.cumsum(self.width[found])
+            to = np.searchsorted(cum, joined_edges[1:]) + 1
+            if cum[-1] == joined_edges[-1] and np.array_equal(cum[to - 1], joined_edges[1:]):
+                starts[which], counts[which] = np.append(0, to[:-1]), np.diff(to, prepend=0)
+                ids.append(found)
+                n_ids = len(found)
+            else:  # tokens whose widths don't add up to the bytes
+                rest = np.arange(len(lengths))
+        for k in range(0, len(rest), 10_000):
+            which = rest[k : k + 10_000]
+            found = self.ids([data[edges[i] : edges[i + 1]].tobytes() for i in which])
+            counts[which] = [len(x) for x in found]
+            starts[which] = n_ids + np.cumsum(counts[which]) - counts[which]
+            n_ids += int(counts[which].sum())
+            ids += found
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), starts, counts
+
+    def encode(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and start and number of those of each string; cuts: the edges of all strings, 0 and len(data) among them."""
+        buffers = [None, pa.py_buffer(np.ascontiguousarray(cuts, dtype=np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, buffers).dictionary_encode()
+        ids, starts, counts = self.distinct_ids(coded.dictionary)
+        which = coded.indices.to_numpy()
+        return ids, starts[which], counts[which]
+
+
+_VISIBLE = np.zeros(256, bool)
+_VISIBLE[0x21:0x7F] = True
+_BEGINS = _VISIBLE.copy()
+_BEGINS[0xC3] = True
+
+
+def edges_and_data(strings: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    edges = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    data = np.frombuffer(strings.buffers()[2], np.uint8) if strings.buffers()[2] else np.zeros(0, np.uint8)
+    return edges - edges[0], data[edges[0] :]
 
 
 _KEPT: dict[str, Pieces] = {}
@@ -126,23 +123,31 @@ def pieces_of(path: str) -> Pieces:
     return _KEPT[path]
 
 
-def encoded_slices(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], Pieces]]:
-    """Rows, and for each text the places of its pieces. Long texts are encoded in parts that end at safe cuts."""
+#: For each text of a slice, or once for a long text's each part: ids, starts and counts of its strings.
+Encoded = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def encoded_slices(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, list[Encoded], np.ndarray]]:
+    """Rows, their encoded parts, and for a slice of one part the edges of texts in its strings.
+
+    Long texts, alone in their slice, are encoded in parts that end at safe cuts.
+    """
     pieces = pieces_of(path)
-    for rows, data, offsets in text_slices(batches):
-        edges = np.unique(np.concatenate([safe_cuts(data), offsets]))
-        if len(data) <= 2 * SLICE_BYTES:
-            places = pieces.encode(data, edges) if len(data) else np.zeros(0, np.int64)
-            at = np.searchsorted(edges, offsets)
-            yield rows, [places[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], pieces
-        else:  # one long text; each part fits the cache's round
-            part, at = [], 0
-            while at < len(edges) - 1:
-                to = max(at + 1, int(np.searchsorted(edges, edges[at] + SLICE_BYTES, "right")) - 1)
-                places = pieces.encode(data[edges[at] : edges[to]], edges[at : to + 1] - edges[at])
-                part.append((pieces.start[places], pieces.length[places], pieces.ids))
-                at = to
-            yield rows, part, pieces
+    for rows, data, offsets in text_slices(batches, limit=BATCH_BYTES):
+        is_edge = np.zeros(len(data) + 1, bool)
+        is_edge[safe_cuts(data)] = True
+        is_edge[offsets] = True
+        edges = np.flatnonzero(is_edge)
+        if len(data) <= BATCH_BYTES:
+            part = pieces.encode(data, edges) if len(data) else (np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            yield rows, [part], np.searchsorted(edges, offsets)
+            continue
+        parts, at = [], 0
+        while at < len(edges) - 1:
+            to = max(at + 1, int(np.searchsorted(edges, edges[at] + BATCH_BYTES, "right")) - 1)
+            parts.append(pieces.encode(data[edges[at] : edges[to]], edges[at : to + 1] - edges[at]))
+            at = to
+        yield rows, parts, np.array([0, len(edges) - 1])
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -153,11 +158,11 @@ def token_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, places, pieces in encoded_slices(batches, tokenizer_path):
-            if places and isinstance(places[0], tuple):
-                n = np.array([sum(int(p[1].sum()) for p in places)], np.int64)
+        for rows, parts, at in encoded_slices(batches, tokenizer_path):
+            if len(parts) > 1:
+                n = np.array([sum(int(counts.sum()) for _, _, counts in parts)], np.int64)
             else:
-                n = np.array([int(pieces.length[p].sum()) for p in places], np.int64)
+                n = np.diff(np.append(0, np.cumsum(parts[0][2]))[at])
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("n_bytes"), pa.array(n)], ["doc_id", "n_bytes", "n_tokens"])
 
     text = F.coalesce(F.col("text"), F.lit(""))

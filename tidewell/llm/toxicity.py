@@ -185,4 +185,11 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
 
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % parts == part
+    """Whether a row is held out by crc32 of its doc_id as text; rows without one are not."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, score: float = 0.3) -> DataFrame:
+    """``docs`` without the rows that score ``score`` or more; learned from ``labels`` but for those of every fourth doc_id by hash."""
+    model = model_of(docs, labels.filter(~held_out(F.col("doc_id"), 4, 2)))
+    return scored(docs, model).filter(F.col("_toxicity") < score).drop("_toxicity")
