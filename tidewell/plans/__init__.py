@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: Modules whose queries are registered.
-MODULES = ("flows",)
+MODULES = ("flows", "scalars")
 
 
 def collected() -> tuple[dict, dict]:
