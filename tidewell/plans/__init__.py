@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: Modules whose queries are registered.
-MODULES = ("flows", "scalars")
+MODULES = ("flows", "scalars", "lookups")
 
 
 def collected() -> tuple[dict, dict]:
