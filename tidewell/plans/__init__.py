@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: Modules whose queries are registered.
-MODULES = ("flows", "scalars", "lookups")
+MODULES = ("flows", "scalars", "lookups", "series", "metrics")
 
 
 def collected() -> tuple[dict, dict]:
