@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: Modules whose queries are registered.
-MODULES = ("flows", "scalars", "lookups", "series", "metrics", "occupancy")
+MODULES = ("flows", "scalars", "lookups", "series", "metrics", "occupancy", "ledger")
 
 
 def collected() -> tuple[dict, dict]:
