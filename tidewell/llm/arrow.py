@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +12,15 @@ import pyarrow.compute as pc
 
 #: Bytes of text that a task works on at once; longer texts are worked on alone.
 SLICE_BYTES = 8 << 20
+#: Bytes that are hashed at once, for which an array of powers is kept.
+HASH_BYTES = 1 << 20
+
+
+def released() -> None:
+    """Gives freed memory back to the machine: workers live on between tasks, and an executor has several."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -25,6 +36,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at), data[ends[at] : ends[to]], ends[at : to + 1] - ends[at]
             at = to
+            released()
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -71,7 +83,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, SLICE_BYTES + 1)
+        size = max(n, HASH_BYTES + 1)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
             row = np.full(size, base, np.uint64)
             row[0] = 1
@@ -84,7 +96,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + SLICE_BYTES, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + HASH_BYTES, "right")))
         low, part = starts[at], data[starts[at] : ends[to - 1]]
         up, down = _powers(len(part) + 1)
         sums = np.zeros(len(part) + 1, np.uint64)
