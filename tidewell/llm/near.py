@@ -4,10 +4,10 @@ In each round of a sketch every shingle is thrown into one bin with a random val
 least; from round T on, round T + i throws every shingle into bin i, so after 2 T rounds each of the T
 coordinates is filled whatever the size of the set. Bands of coordinates give the keys under which texts meet.
 
-Texts with the same set are one class. In the bucket of a key every class meets the one with the smallest id, then, where
-that leaves several components, the next smallest outside, and at last all classes of different
-components that have not met: so a bucket of near copies costs a pair for each member, and no link is lost.
-Every pair is confirmed on the full sets of both texts.
+Texts with the same set are one class. In the bucket of a key every class meets the one with the smallest id, so a bucket
+costs a pair for each member. Classes that met, linked or not, are a group; where a group has several components left, those
+outside the largest are compared in blocks with all of the group, so that no link between components is lost.
+Every link is confirmed on the full sets of both texts.
 """
 
 from __future__ import annotations
@@ -20,15 +20,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.arrow import lowered, mixed, span_hashes, text_slices, word_spans
+from tidewell.llm.arrow import lowered, mixed, released, span_hashes, text_slices, word_spans
 from tidewell.llm.graph import components
+from tidewell.llm.packing import gathered
 from tidewell.session import written
 
 #: A pair of similarity 0.8 meets under no key with probability (1 - 0.8 ** ROWS) ** BANDS, below 1e-6.
 BANDS, ROWS = 80, 8
 COORDINATES = BANDS * ROWS
-#: Rounds in which a bucket's classes meet one of them.
-HUB_ROUNDS = 2
+#: Classes of a group that are compared at once: some outside its largest component with some of all.
+BLOCK, CHUNK = 400, 1500
 
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -145,6 +146,68 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return rows.mapInArrow(compare, f"a {kind}, b {kind}, linked boolean")
 
 
+def links_left(groups: DataFrame, labels: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, b: links that join components (``labels``) within a group of classes that met (``groups``), but for redundant ones.
+
+    A group's classes outside its largest component are its query set: they are compared, in blocks, with all classes of
+    the group, in chunks. No pair is a row; a task returns a link only where it joins what it has not yet joined.
+    """
+    of = groups.withColumnRenamed("label", "group").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    sizes = of.groupBy("group", "label").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    main = main.filter("most < all")
+    parts = lambda n, of: F.ceil(n / of).cast("int")
+    main = main.select("group", "main", parts(F.col("all") - F.col("most"), BLOCK).alias("blocks"), parts(F.col("all"), CHUNK).alias("chunks"))
+    mixed = of.join(main, "group").join(texts.withColumnRenamed("doc_id", "id"), "id")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = mixed.filter("label <> main").select("group", own("blocks").alias("block"), every("chunks").alias("chunk"), "id", "label", "text")
+    asking = asking.select(*[F.col(c).alias(f"q_{c}") for c in asking.columns])
+    asked = mixed.select("group", every("blocks").alias("block"), own("chunks").alias("chunk"), "id", "label", "text")
+    kind, id_type = groups.schema["id"].dataType.simpleString(), groups.limit(0).toArrow().schema.field("id").type
+
+    def compare(block: pa.Table, chunk: pa.Table) -> pa.Table:
+        mine, at = _sets_of(block, size, "q_text")
+        n = np.diff(at)
+        owner = np.repeat(np.arange(len(n)), n)
+        order = np.argsort(mine, kind="stable")
+        mine, owner = mine[order], owner[order]
+        block_ids, block_labels = (block.column(c).to_pylist() for c in ("q_id", "q_label"))
+        root: dict[object, object] = {}
+
+        def find(x):
+            while root.get(x, x) != x:
+                root[x] = x = root.get(root[x], root[x])
+            return x
+
+        found = []
+        values, ends = _sets_of(chunk, size)
+        for k, (i, label) in enumerate(zip(*(chunk.column(c).to_pylist() for c in ("id", "label")), strict=True)):
+            own_values = values[ends[k] : ends[k + 1]]
+            low, high = np.searchsorted(mine, own_values), np.searchsorted(mine, own_values, "right")
+            shared = np.bincount(owner[gathered(low, high - low, np.arange(len(mine)))], minlength=len(n))
+            for j in np.flatnonzero((shared > 0) & (100 * shared >= percent * (n + len(own_values) - shared))):
+                a, b = find(label), find(block_labels[j])
+                if a != b:
+                    root[a] = b
+                    found.append((i, block_ids[j]))
+        released()
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, id_type), "b": pa.array(b, id_type)})
+
+    keys = ("group", "block", "chunk")
+    return asking.groupBy(*[f"q_{k}" for k in keys]).cogroup(asked.groupBy(*keys)).applyInArrow(compare, f"a {kind}, b {kind}")
+
+
+def _sets_of(rows: pa.Table, size: int, column: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    values, ends = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for _, data, offsets in text_slices(iter(rows.combine_chunks().to_batches()), column):
+        v, at = shingle_sets(data, offsets, size)
+        values.append(v)
+        ends.append(at[1:] + ends[-1][-1])
+    return np.concatenate(values), np.concatenate(ends)
+
+
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
@@ -166,34 +229,14 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     first = keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
     members = written(keyed.join(first.select("key", "hub"), "key"), "members")
 
-    near = lambda a, b: (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
-    met = members.filter((F.col("id") != F.col("hub.id")) & near(F.col("n"), F.col("hub.n")))
-    met = written(met.select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct(), "pairs")
+    met = members.filter(F.col("id") != F.col("hub.id")).select(F.col("id").alias("a"), F.col("hub.id").alias("b"), "n", F.col("hub.n").alias("m")).distinct()
+    met = written(met, "pairs")
     ids = members.select(F.col("id").alias("doc_id")).distinct()
     texts = written(rows.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    judged = written(confirmed(met, texts, size, percent), "judged")
-
-    for step in range(HUB_ROUNDS):
-        labels = components(judged.filter("linked"))
-        of = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        open_keys = of.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-        # What can still be linked: classes of other components than the bucket's hub.
-        hubs = labels.withColumnsRenamed({"id": "_id", "label": "main"})
-        of = of.join(open_keys, "key").join(hubs, F.col("hub.id") == F.col("_id"), "left").withColumn("main", F.coalesce("main", F.col("hub.id")))
-        outside = of.filter("label <> main")
-        if step < HUB_ROUNDS - 1:
-            next_hub = outside.groupBy("key").agg(F.min(F.struct("id", "n", "label")).alias("next"))
-        else:
-            next_hub = outside.select("key", F.struct("id", "n", "label").alias("next"))
-        pairs = of.join(next_hub, "key").filter((F.col("label") != F.col("next.label")) & near(F.col("n"), F.col("next.n")))
-        pairs = pairs.select(F.greatest("id", "next.id").alias("a"), F.least("id", "next.id").alias("b")).distinct()
-        pairs = written(pairs.join(judged, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            if step == HUB_ROUNDS - 1:
-                break
-            continue
-        judged = written(judged.unionByName(confirmed(pairs, texts, size, percent)), "judged")
-    labels = components(judged.filter("linked"))
+    could = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    links = written(confirmed(met.filter(could), texts, size, percent).filter("linked").select("a", "b"), "links")
+    links = links.unionByName(written(links_left(components(met.select("a", "b")), components(links), texts, size, percent), "links"))
+    labels = components(links)
     named = classes.join(labels, "id", "left").select("k1", "k2", F.coalesce("label", "id").alias("label"))
     some = F.col("n_shingles") > 0
     out = every.select("doc_id", "n_shingles", F.when(some, F.col("k1")).alias("k1"), F.when(some, F.col("k2")).alias("k2")).join(named, ["k1", "k2"], "left")
