@@ -15,22 +15,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.arrow import lowered, mixed, span_hashes, span_values, text_slices, word_spans
+from tidewell.llm.arrow import lowered, mixed, released, span_hashes, span_values, text_slices, word_spans
 from tidewell.llm.decontaminate import IS_WORD
 from tidewell.llm.packing import gathered
 from tidewell.llm.tokens import edges_and_data
 
 #: The sample: so many rows of each label at most, the first by hash of doc_id, and no text above so many bytes.
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_TEXT_BYTES = 3000, 6000, 1 << 18
+TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_TEXT_BYTES = 2000, 4000, 1 << 17
 BUCKETS, DIMENSIONS = 1 << 18, 12
 #: Words of a window; lengths of n-grams.
 WINDOW, GRAMS = 4, (3, 4, 5)
 EPOCHS, BATCH, RATE = 8, 256, 0.3
+WORDS_AT_ONCE = 50_000
 
 
 def subwords(words: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
     """Edges of each word's buckets, and the buckets: n-grams of ``<word>`` and the word."""
+    parts = [_subwords(words.slice(k, WORDS_AT_ONCE)) for k in range(0, len(words), WORDS_AT_ONCE)]
+    counts = np.concatenate([np.zeros(0, np.int64), *(c for c, _ in parts)])
+    return np.append(0, np.cumsum(counts)).astype(np.int64), np.concatenate([np.zeros(0, np.int32), *(b for _, b in parts)])
+
+
+def _subwords(words: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
     edges, data = edges_and_data(words)
+    data = data[: edges[-1]]
     n = len(words)
     padded = np.zeros(len(data) + 2 * n, np.uint8)
     heads = edges[:-1] + 2 * np.arange(n)
@@ -52,7 +60,7 @@ def subwords(words: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
         buckets.append(mixed(h[same] * np.uint64(8) + np.uint64(k)))
     owner, bucket = np.concatenate(owners), (np.concatenate(buckets) >> np.uint64(40)).astype(np.int32) % BUCKETS
     order = np.argsort(owner, kind="stable")
-    return np.append(0, np.cumsum(np.bincount(owner, minlength=n))).astype(np.int64), bucket[order]
+    return np.bincount(owner, minlength=n), bucket[order]
 
 
 class Windows:
@@ -164,8 +172,18 @@ def model_of(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     parts = [marked.filter(f"toxic {sign} 0").orderBy(*order).limit(n) for sign, n in (("<>", TRAIN_TOXIC), ("=", TRAIN_CLEAN))]
     sample = F.broadcast(parts[0].unionByName(parts[1]).withColumnsRenamed({"doc_id": "_id", "toxic": "_toxic"}))  # a bounded number of rows
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= TRAIN_TEXT_BYTES)
-    rows = texts.join(sample, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_toxic").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return train(rows.column("text").to_pylist(), rows.column("_toxic").to_pylist())
+    rows = texts.join(sample, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_toxic")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        weights, bias = train([t for _, t, _ in rows], [y for _, _, y in rows])
+        released()
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], ["weights", "bias"])
+
+    fitted = rows.repartition(1).mapInArrow(fit, "weights binary, bias double").collect()  # one row: the sample is bounded
+    if not fitted:
+        return train([], [])
+    return np.frombuffer(fitted[0]["weights"], np.float32), fitted[0]["bias"]
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
