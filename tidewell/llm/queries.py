@@ -137,7 +137,8 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM n WINDOW w AS (PARTITION BY norm ORDER BY points DESC, doc_id)""",
     "op10_repeats": f"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-w AS (SELECT doc_id, p, md5(substr(x, 2 * p + 1, {2 * LENGTH})) AS m FROM d, unnest(range(0, length(x) // 2 - {LENGTH - 1})) t(p)),
+w AS (SELECT doc_id, unnest(range(0, length(x) // 2 - {LENGTH - 1})) AS p,
+      unnest([md5_number(substr(x, 2 * i + 1, {2 * LENGTH})) FOR i IN range(0, length(x) // 2 - {LENGTH - 1})]) AS m FROM d),
 r AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY m) AS c FROM w) WHERE c > 1),
 g AS (SELECT doc_id, p, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + {LENGTH} THEN 1 ELSE 0 END AS new FROM r),
 s AS (SELECT doc_id, min(p) AS a, max(p) + {LENGTH} AS b

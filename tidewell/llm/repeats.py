@@ -19,12 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.arrow import ids_of, ids_stream, mixed, span_hashes, text_slices, unzipped, zipped
-from tidewell.llm.packing import gathered
+from tidewell.llm.arrow import ids_of, ids_stream, mixed, released, span_hashes, text_slices, unzipped, zipped
 from tidewell.llm.tokens import edges_and_data
 from tidewell.session import written
 
@@ -32,7 +32,7 @@ from tidewell.session import written
 LENGTH, ANCHOR = 200, 40
 OFFSETS = LENGTH - ANCHOR + 1
 #: Bytes of texts in a block; positions that are looked at together.
-BLOCK_BYTES, CHUNK = 16 << 20, 1 << 21
+BLOCK_BYTES, CHUNK = 8 << 20, 1 << 20
 #: Anchors, and entries, that a range's task holds.
 RANGE_ANCHORS, RANGE_ENTRIES = 4_000_000, 60_000
 
@@ -116,17 +116,12 @@ class _Shard:
         """
         which = np.flatnonzero(repeated[self.kind])
         low, high = self.at[which] - self.last[which], self.at[which] - self.first[which]
-        size = self.last[which] + LENGTH - self.first[which]
-        edges = np.append(0, np.cumsum(size + 10))
-        out = np.empty(edges[-1], np.uint8)
-        head = edges[:-1, None] + np.arange(10)
-        out[head[:, :8]] = self.hashes[which].astype(">u8").view(np.uint8).reshape(-1, 8)
-        out[head[:, 8]], out[head[:, 9]] = low, high
-        body = np.ones(len(out), bool)
-        body[head.reshape(-1)] = False
-        out[body] = gathered(self.first[which], size, self.data)
-        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(which), [None, pa.py_buffer(edges), pa.py_buffer(out)]).dictionary_encode()
-        order = np.asarray(pa.compute.sort_indices(coded.dictionary)).astype(np.int64)
+        raw, hashes = self.data.tobytes(), self.hashes[which].astype(">u8").tobytes()
+        spans = zip(low.tolist(), high.tolist(), self.first[which].tolist(), (self.last[which] + LENGTH).tolist(), strict=True)
+        every = [hashes[8 * k : 8 * k + 8] + bytes((i, j)) + raw[a:b] for k, (i, j, a, b) in enumerate(spans)]
+        coded = pa.array(every, pa.large_binary()).dictionary_encode()
+        del every
+        order = np.asarray(pc.sort_indices(coded.dictionary)).astype(np.int64)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         of = rank[coded.indices.to_numpy()] if len(which) else np.zeros(0, np.int64)
@@ -155,6 +150,7 @@ def repeated_anchors(blocks: DataFrame, ranges: int) -> DataFrame:
                 for part, (a, b) in enumerate(_split(shard.distinct, ranges)):
                     values = [pa.array([row["block"]]), pa.array([part]), pa.array([zipped(shard.distinct[a:b])], pa.binary()), pa.array([zipped(shard.several[a:b])], pa.binary())]
                     yield pa.RecordBatch.from_arrays(values, ["block", "part", "hashes", "several"])
+                released()
 
     def answer(asked: pa.Table) -> pa.Table:
         hashes = [unzipped(x, np.uint64) for x in asked.column("hashes").to_pylist()]
@@ -191,6 +187,7 @@ def shard_entries(blocks: DataFrame, replies: DataFrame, ranges: int) -> DataFra
             _, values, _, counts = shard.entries(repeated)
             edges, data = edges_and_data(values)
             hashes = _hashes(edges, data)
+            released()
             for part, (a, b) in enumerate(_split(hashes, ranges)):
                 if a < b:
                     out.append((row["block"], part, zipped(edges[a : b + 1] - edges[a]), zipped(data[edges[a] : edges[b]]), zipped(counts[a:b])))
@@ -286,6 +283,7 @@ def merged_intervals(entries: DataFrame) -> DataFrame:
         every = np.append(np.concatenate([e[:-1] + s for e, s in zip(edges, sizes[:-1], strict=True)]), sizes[-1])
         found = repeated_windows(every, np.concatenate([unzipped(r["entries"], np.uint8) for r in rows]), np.concatenate([unzipped(r["counts"], np.int64) for r in rows]))
         bits = np.packbits(found, axis=1)
+        released()
         replies = [zipped(bits[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
         return pa.table([pa.array([r["block"] for r in rows]), pa.array([1] * len(rows), pa.int32()), pa.array([r["part"] for r in rows]), pa.array(replies, pa.binary())], names=_names(_REPLY))
 
@@ -317,9 +315,9 @@ def without_repeated_bytes(docs: DataFrame) -> DataFrame:
             bits = [unzipped(x, np.uint8).reshape(-1, -(-OFFSETS // 8)) for x in _bits(answers, 1)]
             found = np.unpackbits(np.concatenate(bits), axis=1, count=OFFSETS) if bits else np.zeros((0, OFFSETS), np.uint8)
             change = np.zeros(len(shard.data) + 1, np.int32)
-            for k in range(0, len(which), 50_000):
-                place, offset = np.nonzero(found[of[k : k + 50_000]])
-                start = shard.at[which[k : k + 50_000]][place] - offset
+            for k in range(0, len(which), 10_000):
+                place, offset = np.nonzero(found[of[k : k + 10_000]])
+                start = shard.at[which[k : k + 10_000]][place] - offset
                 change[start] += 1
                 change[start + LENGTH] -= 1
             gone = np.cumsum(change[:-1]) > 0
@@ -329,6 +327,7 @@ def without_repeated_bytes(docs: DataFrame) -> DataFrame:
             heads[begins] = gone[begins]
             spans = np.append(0, np.cumsum(heads))[shard.offsets]
             kept = shard.data[~gone].tobytes()
+            released()
             at = shard.offsets - a
             texts = [kept[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
             columns = [ids_of(row["ids"], id_type), *(pa.array(np.diff(x)) for x in (shard.offsets, a, spans))]
