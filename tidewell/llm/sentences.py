@@ -44,7 +44,8 @@ class _Texts:
 
     def keys(self) -> np.ndarray:
         """A key of each text by its words."""
-        h = np.concatenate([[0], np.cumsum(mixed(self.hashes + np.arange(len(self.hashes), dtype=np.uint64) - np.repeat(self.word_at[:-1], np.diff(self.word_at)).astype(np.uint64)))]).astype(np.uint64)
+        place = np.arange(len(self.hashes)) - np.repeat(self.word_at[:-1], np.diff(self.word_at))
+        h = np.append(np.uint64(0), np.cumsum(mixed(self.hashes + place.astype(np.uint64)), dtype=np.uint64))
         return (h[self.word_at[1:]] - h[self.word_at[:-1]]).view(np.int64)
 
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tidewell.llm.arrow import text_slices
 
 #: Bytes of texts whose strings are told apart at once.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 16 << 20
 #: Bytes of distinct strings that are encoded as one text.
 JOINED_BYTES = 1 << 15
 
