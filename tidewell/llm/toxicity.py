@@ -24,8 +24,13 @@ from tidewell.llm.tokens import edges_and_data
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_TEXT_BYTES = 2000, 4000, 1 << 17
 BUCKETS, DIMENSIONS = 1 << 18, 12
 #: Words of a window; lengths of n-grams.
-WINDOW, GRAMS = 4, (3, 4, 5)
-EPOCHS, BATCH, RATE = 8, 256, 0.3
+WINDOW, GRAMS = 2, (3, 4, 5)
+#: Passes over the sample at least, and steps at least: a small sample is passed over more often.
+EPOCHS, STEPS, BATCH, RATE = 8, 600, 256, 0.3
+#: One row of so many of the sample is not trained on: on those the logits are calibrated.
+CALIBRATED_ON = 5
+#: The share of a bag's buckets that a step leaves out, so that no word leans on a few of its n-grams.
+LEFT_OUT = 0.5
 WORDS_AT_ONCE = 50_000
 
 
@@ -106,21 +111,56 @@ class Windows:
 
 
 def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights of buckets and a bias: the difference of the two logits, which is linear in the buckets of a window."""
+    """Weights of buckets and a bias: the difference of the two logits, which is linear in the buckets of a window.
+
+    Both are scaled and shifted so that of texts not trained on the worst window's logit gives the label's probability.
+    """
     y = np.array(labels, bool)
     if not y.any() or y.all():  # nothing to tell apart: the share of toxic rows
         share = (y.sum() + 1) / (len(y) + 20)
         return np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share)))
+    within = np.empty(len(y), np.int64)  # place of a row among those of its label
+    for label in (True, False):
+        within[y == label] = np.arange((y == label).sum())
+    apart = within % CALIBRATED_ON == CALIBRATED_ON - 1
+    if not (apart & y).any() or not (apart & ~y).any():
+        return _fitted(_windows(texts), y, seed)
+    weights, bias = _fitted(_windows([t for t, out in zip(texts, apart, strict=True) if not out]), y[~apart], seed)
+    held = _windows([t for t, out in zip(texts, apart, strict=True) if out])
+    scale, shift = _calibrated(held.best(held.logits(weights), 0.0) + bias, y[apart])
+    return (scale * weights).astype(np.float32), float(scale * bias + shift)
+
+
+def _calibrated(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Scale and shift by logistic regression, towards labels that stop short of 0 and 1 by what a row more would change."""
+    spread = max(float(logits.std()), 1e-6)
+    x = np.stack([logits / spread, np.ones(len(y))], 1)
+    goal = np.where(y, (y.sum() + 1) / (y.sum() + 2), 1 / ((~y).sum() + 2))
+    beta = np.zeros(2)
+    loss = lambda b: np.logaddexp(0, x @ b).sum() - goal @ (x @ b)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-(x @ beta)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (goal - p))
+        while np.abs(step).max() > 1e-9 and loss(beta + step) > loss(beta):
+            step /= 2
+        beta += step
+    return (float(beta[0] / spread), float(beta[1])) if beta[0] > 0 else (1.0, 0.0)
+
+
+def _windows(texts: list[str]) -> Windows:
     raw = [t.encode() for t in texts]
-    offsets = np.append(0, np.cumsum([len(r) for r in raw])).astype(np.int64)
-    windows = Windows(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    return Windows(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw])).astype(np.int64))
+
+
+def _fitted(windows: Windows, y: np.ndarray, seed: int) -> tuple[np.ndarray, float]:
     rng = np.random.default_rng(seed)
     some = np.flatnonzero(np.diff(windows.text_at) > 0)
     weights = _first_guess(windows, y)
     vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
     softmax, bias = rng.normal(0, 0.1, (DIMENSIONS, 2)).astype(np.float32), np.zeros(2, np.float32)
     grown = [np.full(BUCKETS, 1e-6, np.float32), np.full(softmax.shape, 1e-6, np.float32), np.full(2, 1e-6, np.float32)]
-    for epoch in range(EPOCHS):
+    per_epoch = -(-(len(some) + int((~y[some]).sum())) // BATCH)
+    for _ in range(max(EPOCHS, -(-STEPS // max(1, per_epoch)))):
         logits = windows.logits(weights)
         top = np.array([windows.text_at[t] + np.argmax(logits[windows.text_at[t] : windows.text_at[t + 1]]) for t in some])
         clean = some[~y[some]]
@@ -129,7 +169,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarra
         order = rng.permutation(len(chosen))
         for k in range(0, len(order), BATCH):
             part = order[k : k + BATCH]
-            buckets, at = windows.bags(chosen[part])
+            buckets, at = _thinned(*windows.bags(chosen[part]), rng)
             size = np.diff(np.append(at, len(buckets))).astype(np.float32)[:, None]
             mean = np.add.reduceat(vectors[buckets], at) / size
             z = mean @ softmax + bias
@@ -149,6 +189,13 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarra
     return weights.astype(np.float32), float(bias[1] - bias[0])
 
 
+def _thinned(buckets: np.ndarray, at: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Bags without a random share of their buckets; one that would be empty keeps its first."""
+    keep = rng.random(len(buckets)) >= LEFT_OUT
+    keep[at[~np.logical_or.reduceat(keep, at)]] = True
+    return buckets[keep], np.append(0, np.cumsum(keep))[at]
+
+
 def _first_guess(windows: Windows, y: np.ndarray) -> np.ndarray:
     """Log odds of each bucket over the texts, by which the first windows to learn from are chosen."""
     text = np.repeat(np.arange(len(y)), np.diff(windows.text_at))
