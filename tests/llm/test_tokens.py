@@ -23,7 +23,7 @@ def ids(text):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("ab 's.\n\t1é日🙂 　ÿ×") + ["<|endoftext|>", "  ", " don't", "'ll"]), max_size=60))
+@given(st.lists(st.sampled_from([*"ab 's.\n\t1é日🙂 　ÿ×", "<|endoftext|>", "  ", " don't", "'ll"]), max_size=60).map("".join))
 def test_cuts_are_safe(text):
     data = np.frombuffer(text.encode(), np.uint8)
     edges = np.unique(np.concatenate([[0], safe_cuts(data), [len(data)]])).astype(np.int64)
