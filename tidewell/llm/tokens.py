@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from tidewell.llm.arrow import text_slices
 
 #: Bytes of texts whose strings are told apart at once.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 #: Bytes of distinct strings that are encoded as one text.
 JOINED_BYTES = 1 << 15
+#: Texts that are encoded together; what the library returns is many times their size.
+TEXTS_AT_ONCE = 32
 
 
 def safe_cuts(data: np.ndarray) -> np.ndarray:
@@ -52,8 +54,11 @@ class Pieces:
             self.width[i] = len(token)
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, np.uint32) for e in found]
+        out: list[np.ndarray] = []
+        for k in range(0, len(texts), TEXTS_AT_ONCE):
+            found = self.tokenizer.encode_batch_fast([t.decode("utf-8") for t in texts[k : k + TEXTS_AT_ONCE]], add_special_tokens=False)
+            out += [np.array(e.ids, np.uint32) for e in found]
+        return out
 
     def distinct_ids(self, strings: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all strings, and where each one's begin and how many they are.
