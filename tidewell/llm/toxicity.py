@@ -32,6 +32,8 @@ CALIBRATED_ON = 5
 #: The share of a bag's buckets that a step leaves out, so that no word leans on a few of its n-grams.
 LEFT_OUT = 0.5
 WORDS_AT_ONCE = 50_000
+#: Bytes of the sample's texts that are cut into words at once, and texts whose words are counted at once.
+PART_BYTES, TEXTS_AT_ONCE = 2 << 20, 500
 
 
 def subwords(words: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,12 +73,13 @@ def _subwords(words: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
 class Windows:
     """Words of a slice of texts, coded, and the windows they make."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, split: bool = True):
         low = lowered(data)
         starts, ends, word_at = word_spans(IS_WORD[low], offsets)
         coded = span_values(low, starts, ends).dictionary_encode()
         self.words, self.code = coded.dictionary, coded.indices.to_numpy()
-        self.edges, self.buckets = subwords(self.words)
+        if split:
+            self.edges, self.buckets = subwords(self.words)
         n_words = np.diff(word_at)
         n_windows = -(-n_words // WINDOW)
         self.text_at = np.append(0, np.cumsum(n_windows))  # edges of texts, in windows
@@ -85,6 +88,25 @@ class Windows:
         self.last = np.append(self.first[1:], len(self.code))
         np.minimum(self.last, np.repeat(word_at[1:], n_windows), out=self.last)
 
+    @classmethod
+    def of(cls, texts: list[str]) -> Windows:
+        """Of texts of any number, cut in parts."""
+        ends = np.cumsum([len(t) for t in texts]) // PART_BYTES
+        edges = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]
+        parts = []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            raw = [t.encode() for t in texts[a:b]]
+            parts.append(cls(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw])).astype(np.int64), split=False))
+        coded = pa.chunked_array([p.words for p in parts]).combine_chunks().dictionary_encode()
+        place = np.split(coded.indices.to_numpy(), np.cumsum([len(p.words) for p in parts])[:-1])
+        n_words, n_windows = (np.append(0, np.cumsum([len(x) for x in xs])) for xs in ([p.code for p in parts], [p.first for p in parts]))
+        out = cls.__new__(cls)
+        out.words, out.code = coded.dictionary, np.concatenate([at[p.code] for at, p in zip(place, parts, strict=True)])
+        out.edges, out.buckets = subwords(out.words)
+        out.text_at = np.concatenate([[0], *(p.text_at[1:] + n for p, n in zip(parts, n_windows, strict=False))])
+        out.first, out.last = (np.concatenate([getattr(p, side) + n for p, n in zip(parts, n_words, strict=False)]) for side in ("first", "last"))
+        return out
+
     def logits(self, weights: np.ndarray) -> np.ndarray:
         """The mean of ``weights`` over the buckets of each window."""
         if not len(self.first):
@@ -124,9 +146,9 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarra
         within[y == label] = np.arange((y == label).sum())
     apart = within % CALIBRATED_ON == CALIBRATED_ON - 1
     if not (apart & y).any() or not (apart & ~y).any():
-        return _fitted(_windows(texts), y, seed)
-    weights, bias = _fitted(_windows([t for t, out in zip(texts, apart, strict=True) if not out]), y[~apart], seed)
-    held = _windows([t for t, out in zip(texts, apart, strict=True) if out])
+        return _fitted(Windows.of(texts), y, seed)
+    weights, bias = _fitted(Windows.of([t for t, out in zip(texts, apart, strict=True) if not out]), y[~apart], seed)
+    held = Windows.of([t for t, out in zip(texts, apart, strict=True) if out])
     scale, shift = _calibrated(held.best(held.logits(weights), 0.0) + bias, y[apart])
     return (scale * weights).astype(np.float32), float(scale * bias + shift)
 
@@ -147,11 +169,6 @@ def _calibrated(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (float(beta[0] / spread), float(beta[1])) if beta[0] > 0 else (1.0, 0.0)
 
 
-def _windows(texts: list[str]) -> Windows:
-    raw = [t.encode() for t in texts]
-    return Windows(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw])).astype(np.int64))
-
-
 def _fitted(windows: Windows, y: np.ndarray, seed: int) -> tuple[np.ndarray, float]:
     rng = np.random.default_rng(seed)
     some = np.flatnonzero(np.diff(windows.text_at) > 0)
@@ -198,16 +215,16 @@ def _thinned(buckets: np.ndarray, at: np.ndarray, rng: np.random.Generator) -> t
 
 def _first_guess(windows: Windows, y: np.ndarray) -> np.ndarray:
     """Log odds of each bucket over the texts, by which the first windows to learn from are chosen."""
-    text = np.repeat(np.arange(len(y)), np.diff(windows.text_at))
-    of_word = np.repeat(text, windows.last - windows.first)
-    pairs = np.sort(of_word.astype(np.int64) * len(windows.words) + windows.code)
-    pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])]
+    by_word = np.zeros((2, len(windows.words)), np.int64)
+    word_at = np.append(windows.first, len(windows.code))[windows.text_at]
+    for k in range(0, len(y), TEXTS_AT_ONCE):
+        edges = word_at[k : k + TEXTS_AT_ONCE + 1]
+        of = np.repeat(np.arange(k, k + len(edges) - 1), np.diff(edges))
+        pairs = np.unique(of * len(windows.words) + windows.code[edges[0] : edges[-1]])
+        for label in (0, 1):
+            by_word[label] += np.bincount(pairs[y[pairs // len(windows.words)] == label] % len(windows.words), minlength=len(windows.words))
     owner = np.repeat(np.arange(len(windows.words)), np.diff(windows.edges))
-    seen = []
-    for label in (True, False):
-        rows = pairs[y[pairs // len(windows.words)] == label] % len(windows.words)
-        by_word = np.bincount(rows, minlength=len(windows.words))
-        seen.append(np.bincount(windows.buckets, by_word[owner], BUCKETS) / max(1, (y == label).sum()))
+    seen = [np.bincount(windows.buckets, by_word[label][owner], BUCKETS) / max(1, (y == label).sum()) for label in (1, 0)]
     least = 2 / len(y)
     return np.log((seen[0] + least) / (seen[1] + least))
 
