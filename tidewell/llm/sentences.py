@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.arrow import lowered, mixed, span_hashes, text_slices, word_spans
 from tidewell.llm.decontaminate import IS_WORD
+from tidewell.session import written
 
 #: A span has at least so many sentences and so many words.
 MIN_SENTENCES, MIN_WORDS = 2, 20
@@ -87,6 +88,7 @@ def repeated_sentences(docs: DataFrame) -> DataFrame:
     runs = sentence_runs(docs)
     place = F.struct("doc_id", "text_key", "first")
     firsts = runs.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    firsts = written(firsts, "first-runs")  # both sides of the join are then dealt for it alone, and Spark splits a hot run's rows
     later = runs.join(firsts, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("place")))
     return later.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
