@@ -126,6 +126,26 @@ def test_sentences(odd, odd_rows, nothing):
     assert any(r["n_removed"] for r in got) and without_repeats(nothing).count() == 0
 
 
+def test_every_run_reaches_the_end_of_a_passage(spark, odd, odd_rows):
+    """All runs, of any number of sentences, by brute force: what an earlier one equals is gone."""
+    say = lambda name, *sizes: " ".join(" ".join(f"{name}{i}w{j}" for j in range(n)) + "." for i, n in enumerate(sizes))
+    passage = say("s", 12, 9, 7)
+    rows = [(k, f"{say(f'a{k}', 15, 15)} {passage} {say(f'b{k}', 15, 15)}") for k in range(3)] + [(k, f"{say(f'c{k}', 15, 15)} {passage}") for k in (3, 4)]
+    got = {r["doc_id"]: (r["n_sentences"], r["n_removed"]) for r in without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), every_run=True).collect()}
+    assert got == {0: (7, 0), 1: (7, 3), 2: (7, 3), 3: (5, 3), 4: (5, 3)}
+    docs = {d: [w for p in re.findall(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+", t or "") if (w := tuple(re.findall(rb"[0-9a-z\x80-\xff]+", p.encode().translate(LOW))))] for d, t in odd_rows if d != 507}
+    seen, gone = set(), defaultdict(set)
+    for d in sorted(docs):
+        for i in range(len(docs[d])):
+            for j in range(i + MIN_SENTENCES, len(docs[d]) + 1):
+                if sum(map(len, docs[d][i:j])) >= MIN_WORDS:
+                    run = tuple(docs[d][i:j])
+                    gone[d].update(range(i, j) if run in seen else ())
+                    seen.add(run)
+    got = {r["doc_id"]: r["n_removed"] for r in without_repeats(odd.filter("doc_id <> 507"), every_run=True).collect()}
+    assert got == {d: len(gone[d]) for d in docs}
+
+
 def test_repeated_bytes(odd, odd_rows, nothing):
     texts = [(d, (t or "").encode()) for d, t in odd_rows]
     count = Counter(t[i : i + LENGTH] for _, t in texts for i in range(len(t) - LENGTH + 1))

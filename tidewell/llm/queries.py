@@ -35,6 +35,11 @@ def op2_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_sentences", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_every_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = without_repeats(table(spark, sf_dir, "documents"), every_run=True)
+    return found.select("doc_id", "n_sentences", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), CONTEXT_TOKENS)
 
@@ -73,7 +78,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeated_bytes(table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_sentences, op3_pack, op4_token_counts, op5_near, op6_shards, op7_exact, op8_toxicity, op9_lm, op10_repeats)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_sentences, op2_every_run, op3_pack, op4_token_counts, op5_near, op6_shards, op7_exact, op8_toxicity, op9_lm, op10_repeats)}
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -104,6 +109,25 @@ r AS (SELECT e.doc_id, e.first, e.last, string_agg(array_to_string(s.w, ' '), '
       FROM e JOIN s ON s.doc_id = e.doc_id AND s.i BETWEEN e.first AND e.last GROUP BY 1, 2, 3),
 g AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, first) AS nth FROM r),
 x AS (SELECT DISTINCT s.doc_id, s.k FROM g JOIN s ON s.doc_id = g.doc_id AND s.i BETWEEN g.first AND g.last WHERE nth > 1),
+y AS (SELECT p.doc_id, count(*) FILTER (len(w) > 0) AS n_sentences, count(x.k) AS n_removed,
+      coalesce(string_agg(piece, '' ORDER BY p.k) FILTER (x.k IS NULL), '') AS kept
+      FROM p LEFT JOIN x ON x.doc_id = p.doc_id AND x.k = p.k GROUP BY 1)
+SELECT doc_id, coalesce(n_sentences, 0)::BIGINT AS n_sentences, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN y USING (doc_id)""",
+    "op2_every_run": rf"""
+WITH p AS (SELECT doc_id, piece, k, {_WORDS.format("piece")} AS w
+           FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?\n]*[.!?\n]+|[^.!?\n]+')) AS piece,
+                 generate_subscripts(regexp_extract_all(text, '[^.!?\n]*[.!?\n]+|[^.!?\n]+'), 1) AS k FROM documents)),
+s AS (SELECT doc_id, k, w, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i,
+      sum(len(w)) OVER (PARTITION BY doc_id ORDER BY k) AS c FROM p WHERE len(w) > 0),
+e AS (SELECT a.doc_id, a.i AS first, min(b.i) AS last FROM s a JOIN s b
+      ON a.doc_id = b.doc_id AND b.i >= a.i + {MIN_SENTENCES - 1} AND b.c - a.c + len(a.w) >= {MIN_WORDS} GROUP BY 1, 2
+      UNION SELECT b.doc_id, max(a.i), b.i FROM s a JOIN s b
+      ON a.doc_id = b.doc_id AND b.i >= a.i + {MIN_SENTENCES - 1} AND b.c - a.c + len(a.w) >= {MIN_WORDS} GROUP BY 1, 3),
+r AS (SELECT e.doc_id, e.first, e.last, string_agg(array_to_string(s.w, ' '), ' ' ORDER BY s.i) AS run
+      FROM e JOIN s ON s.doc_id = e.doc_id AND s.i BETWEEN e.first AND e.last GROUP BY 1, 2, 3),
+g AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, first) AS nth FROM r),
+x AS (SELECT DISTINCT s.doc_id, s.k FROM g JOIN s ON s.doc_id = g.doc_id AND s.i BETWEEN g.first AND g.last WHERE nth > 1),
 y AS (SELECT p.doc_id, count(*) FILTER (len(w) > 0) AS n_sentences, count(x.k) AS n_removed,
       coalesce(string_agg(piece, '' ORDER BY p.k) FILTER (x.k IS NULL), '') AS kept
       FROM p LEFT JOIN x ON x.doc_id = p.doc_id AND x.k = p.k GROUP BY 1)

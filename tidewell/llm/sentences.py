@@ -3,6 +3,9 @@
 A text is cut behind every run of ``. ! ?`` and line feeds; a piece with a word is a sentence. From each
 sentence on, the shortest run of several sentences with enough words is hashed. Of all runs with one hash,
 in the order of doc_id and place, the first stays; sentences that any other one covers are removed.
+
+With ``every_run`` the shortest run that ends at each sentence is hashed too. A passage of enough sentences and words that
+repeats then goes as a whole: a sentence too near its end for a run from it on lies in the shortest run to the passage's end.
 """
 
 from __future__ import annotations
@@ -49,14 +52,22 @@ class _Texts:
         h = np.append(np.uint64(0), np.cumsum(mixed(self.hashes + place.astype(np.uint64)), dtype=np.uint64))
         return (h[self.word_at[1:]] - h[self.word_at[:-1]]).view(np.int64)
 
-    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """First and last sentence of every run, and two 64-bit hashes of its words."""
+    def runs(self, every_run: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First and last sentence of every run, once each, and two 64-bit hashes of its words."""
         n = len(self.sentence)
         text_end = np.repeat(self.sentence_at[1:], np.diff(self.sentence_at))
         enough = np.searchsorted(self.first_word, self.first_word[:-1] + MIN_WORDS)
         last = np.maximum(enough - 1, np.arange(n) + MIN_SENTENCES - 1)
         ok = last < text_end
         first, last = np.flatnonzero(ok), last[ok]
+        if every_run:
+            to_end = np.searchsorted(self.first_word[:-1], self.first_word[1:] - MIN_WORDS, "right") - 1
+            to_end = np.minimum(to_end, np.arange(n) - MIN_SENTENCES + 1)
+            other = to_end >= np.repeat(self.sentence_at[:-1], np.diff(self.sentence_at))
+            from_start = np.full(n, -1)
+            from_start[first] = last
+            other[other] = from_start[to_end[other]] != np.flatnonzero(other)
+            first, last = np.append(first, to_end[other]), np.append(last, np.flatnonzero(other))
         a, b = self.first_word[first], self.first_word[last + 1]
         out = []
         for base, salt in ((0xD6E8FEB86659FD93, 1), (0xA0761D6478BD642F, 2)):
@@ -66,13 +77,13 @@ class _Texts:
         return first, last, out[0], out[1]
 
 
-def sentence_runs(docs: DataFrame) -> DataFrame:
+def sentence_runs(docs: DataFrame, every_run: bool = False) -> DataFrame:
     """doc_id, text_key, first, last, h1, h2: every run of every text, sentences counted from 0."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_slices(batches):
             texts = _Texts(data, offsets)
-            first, last, h1, h2 = texts.runs()
+            first, last, h1, h2 = texts.runs(every_run)
             row = np.searchsorted(texts.sentence_at, first, "right") - 1
             at = texts.sentence_at[row]
             ids = rows.column("doc_id").take(pa.array(row))
@@ -83,9 +94,9 @@ def sentence_runs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, text_key long, first int, last int, h1 long, h2 long")
 
 
-def repeated_sentences(docs: DataFrame) -> DataFrame:
+def repeated_sentences(docs: DataFrame, every_run: bool = False) -> DataFrame:
     """doc_id, text_key and the sentences [first, last] of every run that an earlier run equals; a row for each text."""
-    runs = sentence_runs(docs)
+    runs = sentence_runs(docs, every_run)
     place = F.struct("doc_id", "text_key", "first")
     firsts = runs.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("n")).filter("n > 1").drop("n")
     firsts = written(firsts, "first-runs")  # both sides of the join are then dealt for it alone, and Spark splits a hot run's rows
@@ -93,8 +104,8 @@ def repeated_sentences(docs: DataFrame) -> DataFrame:
     return later.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with n_sentences, n_removed and kept_text.
+def without_repeats(docs: DataFrame, every_run: bool = False) -> DataFrame:
+    """``docs`` with n_sentences, n_removed and kept_text; ``every_run``: also by the shortest runs that end at each sentence.
 
     Null texts are empty and keep an empty text. Rows that repeat a doc_id and text are one document:
     their runs are the same runs. A text without a run of several sentences keeps all of them. Pieces without a
@@ -128,7 +139,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    spans = repeated_sentences(rows).withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+    spans = repeated_sentences(rows, every_run).withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
     rows = rows.mapInArrow(keyed, f"doc_id {kind}, text string, text_key long")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
     joined = rows.join(spans, same, "left").select("doc_id", "text", "spans")
