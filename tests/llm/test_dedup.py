@@ -1,10 +1,15 @@
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.llm.conftest import prose
+from tidewell.llm import repeats
+from tidewell.llm.arrow import unzipped
 from tidewell.llm.exact import directory, exact_groups, without_copies
 from tidewell.llm.near import near_groups, without_near_copies
 from tidewell.llm.repeats import LENGTH, without_repeated_bytes
@@ -161,3 +166,23 @@ def test_repeated_bytes(odd, odd_rows, nothing):
     got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in without_repeated_bytes(odd).collect())
     assert got == want
     assert without_repeated_bytes(nothing).count() == 0
+
+
+def test_hot_anchors(spark, odd, odd_rows, nothing, monkeypatch):
+    """A line of many documents, each time in other surroundings: its anchors' entries don't meet in one group, and the bytes are the same."""
+    monkeypatch.setattr(repeats, "HOT", 20)
+    rng = random.Random(3)
+    line = prose(rng, 40)[:150]
+    rows = [(k, f"{prose(rng, 40)}{line}{prose(rng, 40)}") for k in range(60)]
+    rows += [(100 + k, f"{t[80:]} {t[:80]}") for k, (_, t) in enumerate(rows[:5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    blocks = repeats.text_blocks(docs).localCheckpoint()
+    first = repeats.repeated_anchors(blocks, 2).localCheckpoint()
+    groups = Counter()
+    for r in repeats.shard_entries(blocks, first, 2).collect():
+        groups.update(repeats._hashes(unzipped(r["edges"], np.int64), unzipped(r["entries"], np.uint8)).tolist())
+    assert max(groups.values(), default=0) <= 20 and first.agg(F.sum("n_hot")).first()[0] >= 40
+    test_repeated_bytes(docs, rows, nothing)
+    monkeypatch.setattr(repeats, "HOT", 1)
+    monkeypatch.setattr(repeats, "RANGE_WINDOWS", 50_000)
+    test_repeated_bytes(odd, odd_rows, nothing)

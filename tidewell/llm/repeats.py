@@ -10,6 +10,10 @@ interval, each round splits the open intervals by the next symbol of eight bytes
 neighbours part gives their common prefix. The same is done with what precedes. A window reaches o bytes before its anchor and
 200 - o behind: it is repeated when another entry shares both its interval of common prefix 200 - o and
 its interval of common suffix o.
+
+All entries of an anchor meet in one task. A hot anchor, of which there are more than HOT, has no entries: its windows are
+hashed one by one (128 bits) and counted by ranges of those hashes, so that different surroundings part, and
+of equal windows a block sends one.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.arrow import ids_of, ids_stream, mixed, released, span_hashes, text_slices, unzipped, zipped
+from tidewell.llm.packing import gathered
 from tidewell.llm.tokens import edges_and_data
 from tidewell.session import written
 
@@ -35,6 +40,8 @@ OFFSETS = LENGTH - ANCHOR + 1
 BLOCK_BYTES, CHUNK = 8 << 20, 1 << 20
 #: Anchors, and entries, that a range's task holds.
 RANGE_ANCHORS, RANGE_ENTRIES = 4_000_000, 60_000
+#: An anchor in more places than this is hot; window hashes that a range's task holds.
+HOT, RANGE_WINDOWS = 4000, 2_000_000
 
 _BLOCK = "block long, n_anchors long, ids binary, text binary, offsets binary, anchors binary, firsts binary, lasts binary"
 
@@ -107,7 +114,25 @@ class _Shard:
         self.distinct = self.hashes[order][head]
         self.kind = np.empty(len(order), np.int64)
         self.kind[order] = np.cumsum(head) - 1
-        self.several = np.bincount(self.kind, minlength=len(self.distinct)) > 1
+        self.counts = np.bincount(self.kind, minlength=len(self.distinct))
+
+    def windows(self, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the anchors whose kind is hot: the windows' starts, the distinct windows' two hashes in order, each start's window, and which have several."""
+        which = np.flatnonzero(hot[self.kind])
+        at = gathered(self.first[which], self.last[which] - self.first[which] + 1, np.arange(len(self.data)))
+        h = np.empty((len(at), 2), np.uint64)
+        salted = mixed(np.arange(256, dtype=np.uint64) + np.uint64(0xA0761D6478BD642F))
+        for k in range(0, len(at), CHUNK):
+            part = at[k : k + CHUNK]
+            h[k : k + CHUNK, 0] = span_hashes(self.data, part, part + LENGTH)
+            h[k : k + CHUNK, 1] = _window_hashes(self.data, part, salted)
+        order = np.lexsort((h[:, 1], h[:, 0]))
+        h = h[order]
+        head = np.append(True, (h[1:] != h[:-1]).any(1))[: len(order)]
+        of = np.empty(len(order), np.int64)
+        of[order] = np.cumsum(head) - 1
+        distinct = h[head]
+        return at, distinct, of, np.bincount(of, minlength=len(distinct)) > 1
 
     def entries(self, repeated: np.ndarray) -> tuple[np.ndarray, pa.LargeBinaryArray, np.ndarray, np.ndarray]:
         """Of the anchors whose kind is repeated: their places, the distinct entries in order of hash, each place's entry, and how many have it.
@@ -128,6 +153,22 @@ class _Shard:
         return which, coded.dictionary.take(pa.array(order)), of, np.bincount(of, minlength=len(order))
 
 
+def _window_hashes(data: np.ndarray, starts: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Second hashes of data[start:start + LENGTH], starts in order: another base, and a value of its own for each byte."""
+    out = np.empty(len(starts), np.uint64)
+    base = 0xD6E8FEB86659FD93
+    up, down = (np.cumprod(np.append(np.uint64(1), np.full(CHUNK + LENGTH, x, np.uint64)), dtype=np.uint64) for x in (base, pow(base, -1, 2**64)))
+    k = 0
+    while k < len(starts):
+        to = int(np.searchsorted(starts, starts[k] + CHUNK, "right"))
+        part = values[data[starts[k] : starts[to - 1] + LENGTH]]
+        sums = np.append(np.uint64(0), np.cumsum(part * up[: len(part)], dtype=np.uint64))
+        a = starts[k:to] - starts[k]
+        out[k:to] = mixed((sums[a + LENGTH] - sums[a]) * down[a])
+        k = to
+    return out
+
+
 def _edges(ranges: int) -> np.ndarray:
     return np.array([(k << 64) // ranges for k in range(ranges)], np.uint64)
 
@@ -137,37 +178,78 @@ def _split(hashes: np.ndarray, ranges: int) -> list[tuple[int, int]]:
     return list(zip(at[:-1], at[1:], strict=True))
 
 
-_REPLY = "block long, kind int, part long, reply binary"
+#: kind 0: states of anchors; 1: bits of entries; 2: of windows of hot anchors. n_hot: places of hot anchors.
+_REPLY = "block long, kind int, part long, reply binary, n_hot long"
+#: States of an anchor.
+_REPEATED, _HOT = 1, 2
 
 
 def repeated_anchors(blocks: DataFrame, ranges: int) -> DataFrame:
-    """For each block and range of hashes, which of the block's distinct anchors occur twice in all blocks."""
+    """For each block and range of hashes, which of the block's distinct anchors occur twice in all blocks, and which are hot."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 shard = _Shard(row)
                 for part, (a, b) in enumerate(_split(shard.distinct, ranges)):
-                    values = [pa.array([row["block"]]), pa.array([part]), pa.array([zipped(shard.distinct[a:b])], pa.binary()), pa.array([zipped(shard.several[a:b])], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(values, ["block", "part", "hashes", "several"])
+                    values = [pa.array([row["block"]]), pa.array([part]), pa.array([zipped(shard.distinct[a:b])], pa.binary()), pa.array([zipped(shard.counts[a:b])], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(values, ["block", "part", "hashes", "counts"])
                 released()
 
     def answer(asked: pa.Table) -> pa.Table:
         hashes = [unzipped(x, np.uint64) for x in asked.column("hashes").to_pylist()]
-        several = np.concatenate([unzipped(x, bool) for x in asked.column("several").to_pylist()])
+        counts = np.concatenate([unzipped(x, np.int64) for x in asked.column("counts").to_pylist()])
         ends = np.cumsum([0, *map(len, hashes)])
         every = np.concatenate(hashes)
         order = np.argsort(every, kind="stable")
-        same = every[order][1:] == every[order][:-1]
-        twice = several.copy()
+        head = np.append(True, every[order][1:] != every[order][:-1])[: len(order)]
+        state = np.zeros(len(every), np.uint8)
+        if len(every):
+            totals = np.add.reduceat(counts[order], np.flatnonzero(head))
+            state[order] = ((totals > 1).astype(np.uint8) + (totals > HOT))[np.cumsum(head) - 1]
+        spans = list(zip(ends[:-1], ends[1:], strict=True))
+        n_hot = [int(counts[a:b][state[a:b] == _HOT].sum()) for a, b in spans]
+        return _replies(asked.column("block"), 0, asked.column("part"), [zipped(state[a:b]) for a, b in spans], n_hot)
+
+    asked = blocks.select("block", "text", "offsets", "anchors", "firsts", "lasts").mapInArrow(ask, "block long, part long, hashes binary, counts binary")
+    return asked.groupBy("part").applyInArrow(answer, _REPLY)
+
+
+def _replies(blocks, kind: int, parts, replies: list[bytes], n_hot: list[int] | None = None) -> pa.Table:
+    n = len(replies)
+    return pa.table([blocks, pa.array([kind] * n, pa.int32()), parts, pa.array(replies, pa.binary()), pa.array(n_hot or [0] * n, pa.int64())], names=_names(_REPLY))
+
+
+def _states(answers: pa.Table) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint8), *(unzipped(x, np.uint8) for x in _bits(answers, 0))])
+
+
+def repeated_hot_windows(blocks: DataFrame, replies: DataFrame, ranges: int) -> DataFrame:
+    """For each block and range of hashes, which of the distinct windows of its hot anchors occur twice in all blocks."""
+    schema = "block long, part long, hashes binary, several binary"
+
+    def ask(block: pa.Table, answers: pa.Table) -> pa.Table:
+        out = []
+        for row in block.to_pylist():
+            _, distinct, _, several = _Shard(row).windows(_states(answers) == _HOT)
+            released()
+            out += [(row["block"], part, zipped(distinct[a:b]), zipped(several[a:b])) for part, (a, b) in enumerate(_split(distinct[:, 0], ranges)) if a < b]
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        return pa.table([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int64(), pa.binary(), pa.binary()], strict=True)], names=_names(schema))
+
+    def answer(asked: pa.Table) -> pa.Table:
+        hashes = [unzipped(x, np.uint64).reshape(-1, 2) for x in asked.column("hashes").to_pylist()]
+        twice = np.concatenate([unzipped(x, bool) for x in asked.column("several").to_pylist()])
+        ends = np.cumsum([0, *map(len, hashes)])
+        every = np.concatenate(hashes)
+        order = np.lexsort((every[:, 1], every[:, 0]))
+        same = (every[order[1:]] == every[order[:-1]]).all(1)
         twice[order[1:][same]] = twice[order[:-1][same]] = True
-        # A kind that one block has several times is several for all others too, but they then meet it anyway.
-        replies = [zipped(twice[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        n = len(replies)
-        return pa.table([asked.column("block"), pa.array([0] * n, pa.int32()), asked.column("part"), pa.array(replies, pa.binary())], names=_names(_REPLY))
+        released()
+        return _replies(asked.column("block"), 2, asked.column("part"), [zipped(twice[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)])
 
-    asked = blocks.select("block", "text", "offsets", "anchors", "firsts", "lasts").mapInArrow(ask, "block long, part long, hashes binary, several binary")
-    return asked.groupBy("part").applyInArrow(answer, _REPLY)
+    left = blocks.select("block", "text", "offsets", "anchors", "firsts", "lasts").groupBy("block")
+    return left.cogroup(replies.filter("kind = 0").groupBy("block")).applyInArrow(ask, schema).groupBy("part").applyInArrow(answer, _REPLY)
 
 
 def _bits(replies: pa.Table, kind: int) -> list[bytes]:
@@ -183,8 +265,7 @@ def shard_entries(blocks: DataFrame, replies: DataFrame, ranges: int) -> DataFra
         out = []
         for row in block.to_pylist():
             shard = _Shard(row)
-            repeated = np.concatenate([np.zeros(0, bool), *(unzipped(x, bool) for x in _bits(answers, 0))])
-            _, values, _, counts = shard.entries(repeated)
+            _, values, _, counts = shard.entries(_states(answers) == _REPEATED)
             edges, data = edges_and_data(values)
             hashes = _hashes(edges, data)
             released()
@@ -285,7 +366,7 @@ def merged_intervals(entries: DataFrame) -> DataFrame:
         bits = np.packbits(found, axis=1)
         released()
         replies = [zipped(bits[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        return pa.table([pa.array([r["block"] for r in rows]), pa.array([1] * len(rows), pa.int32()), pa.array([r["part"] for r in rows]), pa.array(replies, pa.binary())], names=_names(_REPLY))
+        return _replies(pa.array([r["block"] for r in rows]), 1, pa.array([r["part"] for r in rows]), replies)
 
     return entries.groupBy("part").applyInArrow(merge, _REPLY)
 
@@ -300,8 +381,12 @@ def without_repeated_bytes(docs: DataFrame) -> DataFrame:
     blocks = written(text_blocks(docs), "repeat-blocks")
     total = blocks.agg(F.sum("n_anchors")).first()[0] or 0
     first = written(repeated_anchors(blocks, max(1, -(-total // RANGE_ANCHORS))), "repeat-anchors")
+    n_hot = first.agg(F.sum("n_hot")).first()[0] or 0
     entries = written(shard_entries(blocks, first, max(1, -(-total // (4 * RANGE_ENTRIES)))), "repeat-entries")
     replies = first.unionByName(written(merged_intervals(entries), "repeat-intervals"))
+    if n_hot:
+        ranges = -(-n_hot * OFFSETS // RANGE_WINDOWS)
+        replies = replies.unionByName(written(repeated_hot_windows(blocks, first, ranges), "repeat-windows"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     id_type = docs.select("doc_id").limit(0).toArrow().schema.field(0).type
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -310,8 +395,8 @@ def without_repeated_bytes(docs: DataFrame) -> DataFrame:
         tables = []
         for row in block.to_pylist():
             shard = _Shard(row)
-            repeated = np.concatenate([np.zeros(0, bool), *(unzipped(x, bool) for x in _bits(answers, 0))])
-            which, _, of, _ = shard.entries(repeated)
+            states = _states(answers)
+            which, _, of, _ = shard.entries(states == _REPEATED)
             bits = [unzipped(x, np.uint8).reshape(-1, -(-OFFSETS // 8)) for x in _bits(answers, 1)]
             found = np.unpackbits(np.concatenate(bits), axis=1, count=OFFSETS) if bits else np.zeros((0, OFFSETS), np.uint8)
             change = np.zeros(len(shard.data) + 1, np.int32)
@@ -320,6 +405,11 @@ def without_repeated_bytes(docs: DataFrame) -> DataFrame:
                 start = shard.at[which[k : k + 10_000]][place] - offset
                 change[start] += 1
                 change[start + LENGTH] -= 1
+            if (states == _HOT).any():
+                start, _, of, _ = shard.windows(states == _HOT)
+                start = start[np.concatenate([unzipped(x, bool) for x in _bits(answers, 2)])[of]]
+                change[start] += 1
+                change[start + LENGTH] -= 1
             gone = np.cumsum(change[:-1]) > 0
             a = np.append(0, np.cumsum(gone))[shard.offsets]
             heads = gone & ~np.append(False, gone[:-1])
