@@ -114,3 +114,17 @@ def test_unseen_misspellings():
     w = Windows(np.frombuffer(b"".join(raw), np.uint8), np.array([0, len(raw[0]), len(raw[0]) + len(raw[1])]))
     bad, good = w.best(w.logits(weights), 0.0) + bias
     assert bad > 0 > good
+
+
+def test_every_pair_of_words_is_a_window():
+    """A word put in front of a text takes no pair from it."""
+    from tidewell.llm.toxicity import BUCKETS, Windows
+
+    texts = [b"", b"one", b"a long bad word here", b"so a long bad word here", b"bad word"]
+    w = Windows(np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts])))
+    words = [w.words[int(c)].as_py() for c in w.code]
+    found = [[b" ".join(words[a:b]) for a, b in zip(w.first[i:j], w.last[i:j], strict=True)] for i, j in zip(w.text_at[:-1], w.text_at[1:], strict=True)]
+    pairs = [b"a long", b"long bad", b"bad word", b"word here"]
+    assert found == [[], [b"one"], pairs, [b"so a", *pairs], [b"bad word"]]
+    z = w.logits(np.random.default_rng(1).normal(size=BUCKETS).astype(np.float32))
+    assert z[1:5].tolist() == z[6:10].tolist() and z[3] == z[10]

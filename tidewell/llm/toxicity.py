@@ -1,7 +1,7 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax.
 
 Words are known by their byte n-grams and as wholes, hashed to buckets, so that an unseen misspelling shares
-most of its vectors with the word it bends. A bag is a window of a few words; a text scores as its worst window, so
+most of its vectors with the word it bends. A bag is a window of a few words, one from each word on; a text scores as its worst window, so
 a long text hides nothing. Embeddings and softmax are trained jointly in numpy on a bounded sample of labelled
 rows; of a text the window that scores highest so far is learned from, and a random one of a clean text.
 """
@@ -81,12 +81,11 @@ class Windows:
         if split:
             self.edges, self.buckets = subwords(self.words)
         n_words = np.diff(word_at)
-        n_windows = -(-n_words // WINDOW)
+        n_windows = np.where(n_words > 0, np.maximum(n_words - WINDOW + 1, 1), 0)
         self.text_at = np.append(0, np.cumsum(n_windows))  # edges of texts, in windows
         within = np.arange(self.text_at[-1]) - np.repeat(self.text_at[:-1], n_windows)
-        self.first = np.repeat(word_at[:-1], n_windows) + within * WINDOW  # first word of each window
-        self.last = np.append(self.first[1:], len(self.code))
-        np.minimum(self.last, np.repeat(word_at[1:], n_windows), out=self.last)
+        self.first = np.repeat(word_at[:-1], n_windows) + within  # first word of each window
+        self.last = np.minimum(self.first + WINDOW, np.repeat(word_at[1:], n_windows))
 
     @classmethod
     def of(cls, texts: list[str]) -> Windows:
@@ -113,7 +112,13 @@ class Windows:
             return np.zeros(0)
         counts = np.diff(self.edges)
         sums = np.add.reduceat(weights[self.buckets], self.edges[:-1])
-        return np.add.reduceat(sums[self.code], self.first) / np.add.reduceat(counts[self.code], self.first)
+        total, size = sums[self.code[self.first]], counts[self.code[self.first]]
+        for k in range(1, WINDOW):
+            has = np.flatnonzero(self.first + k < self.last)
+            word = self.code[self.first[has] + k]
+            total[has] += sums[word]
+            size[has] += counts[word]
+        return total / size
 
     def best(self, logits: np.ndarray, empty: float) -> np.ndarray:
         """The highest logit of each text, ``empty`` where it has no words."""
