@@ -13,7 +13,9 @@ from tidewell.llm.arrow import unzipped
 from tidewell.llm.exact import directory, exact_groups, without_copies
 from tidewell.llm.near import near_groups, without_near_copies
 from tidewell.llm.repeats import LENGTH, without_repeated_bytes
-from tidewell.llm.sentences import MIN_SENTENCES, MIN_WORDS, without_repeats
+from tidewell.llm.queries import MIN_WORDS
+from tidewell.llm.sentences import MIN_SENTENCES, without_repeats
+from tidewell.session import written
 
 LOW = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -99,27 +101,31 @@ def test_near_group_with_many_components(spark):
     assert {r["component_id"] for r in got.collect()} == {0}
 
 
-def test_sentences(odd, odd_rows, nothing):
-    word = re.compile(rb"[0-9a-z\x80-\xff]+")
-    docs = {}
-    for d, t in odd_rows:
-        pieces = re.findall(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+", t or "")
-        docs[d] = [(p, word.findall(p.encode().translate(LOW))) for p in pieces]
-    runs = defaultdict(list)
+def sentences_of(text):
+    """Pieces, each with its words."""
+    return [(p, tuple(re.findall(rb"[0-9a-z\x80-\xff]+", p.encode().translate(LOW)))) for p in re.findall(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+", text or "")]
+
+
+def removed_by_every_run(docs, min_words=0):
+    """Sentences that a repeated run of any length covers, by document."""
+    seen, gone = set(), defaultdict(set)
     for d in sorted(docs):
         s = [w for _, w in docs[d] if w]
         for i in range(len(s)):
-            j = i + MIN_SENTENCES
-            while j <= len(s) and sum(map(len, s[i:j])) < MIN_WORDS:
-                j += 1
-            if j <= len(s):
-                runs[tuple(w for x in s[i:j] for w in x)].append((d, i, j))
-    gone = defaultdict(set)
-    for places in runs.values():
-        for d, i, j in sorted(places)[1:]:
-            gone[d].update(range(i, j))
-    got = without_repeats(odd).collect()
-    assert len(got) == len(odd_rows)
+            for j in range(i + MIN_SENTENCES, len(s) + 1):
+                if sum(map(len, s[i:j])) >= min_words:
+                    run = tuple(s[i:j])
+                    gone[d].update(range(i, j) if run in seen else ())
+                    seen.add(run)
+    return gone
+
+
+def test_sentences(odd, odd_rows, nothing):
+    """Runs of every length by brute force."""
+    docs = {d: sentences_of(t) for d, t in odd_rows if d != 507}
+    gone = removed_by_every_run(docs)
+    got = without_repeats(odd.filter("doc_id <> 507")).collect()
+    assert len(got) == len(odd_rows) - 1
     for r in got:
         k, kept, n = -1, "", 0
         for p, w in docs[r["doc_id"]]:
@@ -131,23 +137,24 @@ def test_sentences(odd, odd_rows, nothing):
     assert any(r["n_removed"] for r in got) and without_repeats(nothing).count() == 0
 
 
+def test_short_runs_and_rows_without_id(spark):
+    """Eleven words in two sentences are enough; a row without a doc_id comes first."""
+    same = "One two three four five. Six seven eight nine ten eleven."
+    rows = [(1, f"{same} Alpha beta."), (2, f"{same} Gamma delta."), (None, f"Epsilon. {same}"), (3, "One two. Three four five six seven. Eight.")]
+    got = {r["doc_id"]: r["n_removed"] for r in without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {None: 0, 1: 2, 2: 2, 3: 0}
+
+
 def test_every_run_reaches_the_end_of_a_passage(spark, odd, odd_rows):
     """All runs, of any number of sentences, by brute force: what an earlier one equals is gone."""
     say = lambda name, *sizes: " ".join(" ".join(f"{name}{i}w{j}" for j in range(n)) + "." for i, n in enumerate(sizes))
     passage = say("s", 12, 9, 7)
     rows = [(k, f"{say(f'a{k}', 15, 15)} {passage} {say(f'b{k}', 15, 15)}") for k in range(3)] + [(k, f"{say(f'c{k}', 15, 15)} {passage}") for k in (3, 4)]
-    got = {r["doc_id"]: (r["n_sentences"], r["n_removed"]) for r in without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), every_run=True).collect()}
+    got = {r["doc_id"]: (r["n_sentences"], r["n_removed"]) for r in without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), MIN_WORDS).collect()}
     assert got == {0: (7, 0), 1: (7, 3), 2: (7, 3), 3: (5, 3), 4: (5, 3)}
-    docs = {d: [w for p in re.findall(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+", t or "") if (w := tuple(re.findall(rb"[0-9a-z\x80-\xff]+", p.encode().translate(LOW))))] for d, t in odd_rows if d != 507}
-    seen, gone = set(), defaultdict(set)
-    for d in sorted(docs):
-        for i in range(len(docs[d])):
-            for j in range(i + MIN_SENTENCES, len(docs[d]) + 1):
-                if sum(map(len, docs[d][i:j])) >= MIN_WORDS:
-                    run = tuple(docs[d][i:j])
-                    gone[d].update(range(i, j) if run in seen else ())
-                    seen.add(run)
-    got = {r["doc_id"]: r["n_removed"] for r in without_repeats(odd.filter("doc_id <> 507"), every_run=True).collect()}
+    docs = {d: sentences_of(t) for d, t in odd_rows if d != 507}
+    gone = removed_by_every_run(docs, MIN_WORDS)
+    got = {r["doc_id"]: r["n_removed"] for r in without_repeats(odd.filter("doc_id <> 507"), MIN_WORDS).collect()}
     assert got == {d: len(gone[d]) for d in docs}
 
 
@@ -176,8 +183,8 @@ def test_hot_anchors(spark, odd, odd_rows, nothing, monkeypatch):
     rows = [(k, f"{prose(rng, 40)}{line}{prose(rng, 40)}") for k in range(60)]
     rows += [(100 + k, f"{t[80:]} {t[:80]}") for k, (_, t) in enumerate(rows[:5])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    blocks = repeats.text_blocks(docs).localCheckpoint()
-    first = repeats.repeated_anchors(blocks, 2).localCheckpoint()
+    blocks = written(repeats.text_blocks(docs), "blocks")
+    first = written(repeats.repeated_anchors(blocks, 2), "anchors")
     groups = Counter()
     for r in repeats.shard_entries(blocks, first, 2).collect():
         groups.update(repeats._hashes(unzipped(r["edges"], np.int64), unzipped(r["entries"], np.uint8)).tolist())

@@ -68,10 +68,6 @@ def span_values(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.La
     return every.take(pa.array(np.arange(0, 2 * len(starts), 2)))
 
 
-_BASE = 0x9E3779B97F4A7C15
-_POWERS: dict[str, np.ndarray] = {}
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, so that every bit of the result depends on every bit of ``h``."""
     h = h ^ (h >> np.uint64(33))
@@ -81,32 +77,61 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, HASH_BYTES + 1)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
-            row = np.full(size, base, np.uint64)
-            row[0] = 1
-            _POWERS[name] = np.cumprod(row)
-    return _POWERS["up"], _POWERS["down"]
+#: Hashes are polynomials modulo this prime, at two bases each. Modulo a power of two, texts are easily made that all bases take for one.
+_PRIME = np.uint64(2**31 - 1)
+_BASES = ((1_103_515_245, 742_938_285), (950_706_376, 1_226_874_159))
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    row = _POWERS.get(base, np.ones(1, np.uint64))
+    while len(row) < n:
+        row = np.concatenate([row, row * np.uint64(pow(base, len(row), int(_PRIME))) % _PRIME])
+    _POWERS[base] = row
+    return row
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    return (x & _PRIME) + (x >> np.uint64(31))
+
+
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hashes of the runs values[start:end], from prefix sums. ``values``: whole numbers below 2**31; ``salt``: one of two independent hashes."""
+    n, found = len(values), []
+    for base in _BASES[salt]:
+        sums = np.zeros(n + 1, np.uint64)
+        terms = values.astype(np.uint64) * _powers(base, n)[:n]
+        np.cumsum(terms if values.dtype == np.uint16 and n <= HASH_BYTES else _folded(terms), out=sums[1:])
+        back = _powers(pow(base, -1, int(_PRIME)), n + 1)
+        found.append(_folded(_folded(sums[ends] - sums[starts])) * back[starts] % _PRIME)
+    return mixed((found[0] << np.uint64(32) | found[1]) ^ mixed((ends - starts).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end], spans in order, from prefix sums of a polynomial. Long data are summed in parts."""
+    """64-bit hashes of data[start:end], spans in order. Long data are summed in parts."""
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
         to = max(at + 1, int(np.searchsorted(ends, starts[at] + HASH_BYTES, "right")))
         low, part = starts[at], data[starts[at] : ends[to - 1]]
-        up, down = _powers(len(part) + 1)
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
-        a, b = starts[at:to] - low, ends[at:to] - low
-        out[at:to] = mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+        out[at:to] = run_hashes(part.astype(np.uint16) + np.uint16(1), starts[at:to] - low, ends[at:to] - low)
         at = to
     return out
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with more underscores in front if ``columns`` has it, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def quoted(name: str) -> str:
+    """A column's name as SQL and schema strings take it, whatever it contains."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def zipped(values: np.ndarray) -> bytes:
     raw = np.ascontiguousarray(values).tobytes()
     return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)

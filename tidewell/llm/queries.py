@@ -12,7 +12,7 @@ from tidewell.llm.lm import lm_scores
 from tidewell.llm.near import near_groups
 from tidewell.llm.packing import pack_documents
 from tidewell.llm.repeats import LENGTH, without_repeated_bytes
-from tidewell.llm.sentences import MIN_SENTENCES, MIN_WORDS, without_repeats
+from tidewell.llm.sentences import MIN_SENTENCES, without_repeats
 from tidewell.llm.sharding import shard_ids
 from tidewell.llm.tokens import token_counts
 from tidewell.llm.toxicity import held_out, model_of, scored
@@ -23,6 +23,8 @@ CONTEXT_TOKENS = 2048
 COUNT_LIMIT = 1024
 SHARD_BYTES = 16 << 20
 WINDOW = 10
+#: Words of a run in op2_every_run.
+MIN_WORDS = 20
 TOXIC_SCORE = 0.3
 
 
@@ -36,7 +38,7 @@ def op2_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_every_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = without_repeats(table(spark, sf_dir, "documents"), every_run=True)
+    found = without_repeats(table(spark, sf_dir, "documents"), MIN_WORDS)
     return found.select("doc_id", "n_sentences", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
@@ -103,10 +105,9 @@ WITH p AS (SELECT doc_id, piece, k, {_WORDS.format("piece")} AS w
                  generate_subscripts(regexp_extract_all(text, '[^.!?\n]*[.!?\n]+|[^.!?\n]+'), 1) AS k FROM documents)),
 s AS (SELECT doc_id, k, w, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i,
       sum(len(w)) OVER (PARTITION BY doc_id ORDER BY k) AS c FROM p WHERE len(w) > 0),
-e AS (SELECT a.doc_id, a.i AS first, min(b.i) AS last FROM s a JOIN s b
-      ON a.doc_id = b.doc_id AND b.i >= a.i + {MIN_SENTENCES - 1} AND b.c - a.c + len(a.w) >= {MIN_WORDS} GROUP BY 1, 2),
-r AS (SELECT e.doc_id, e.first, e.last, string_agg(array_to_string(s.w, ' '), ' ' ORDER BY s.i) AS run
-      FROM e JOIN s ON s.doc_id = e.doc_id AND s.i BETWEEN e.first AND e.last GROUP BY 1, 2, 3),
+r AS (SELECT doc_id, first, first + {MIN_SENTENCES - 1} AS last, run FROM
+      (SELECT doc_id, i AS first, string_agg(array_to_string(w, ' '), '|') OVER v AS run, count(*) OVER v AS n FROM s
+       WINDOW v AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {MIN_SENTENCES - 1} FOLLOWING)) WHERE n = {MIN_SENTENCES}),
 g AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, first) AS nth FROM r),
 x AS (SELECT DISTINCT s.doc_id, s.k FROM g JOIN s ON s.doc_id = g.doc_id AND s.i BETWEEN g.first AND g.last WHERE nth > 1),
 y AS (SELECT p.doc_id, count(*) FILTER (len(w) > 0) AS n_sentences, count(x.k) AS n_removed,

@@ -1,11 +1,14 @@
 """Substring dedup over sliding sentence spans.
 
-A text is cut behind every run of ``. ! ?`` and line feeds; a piece with a word is a sentence. From each
-sentence on, the shortest run of several sentences with enough words is hashed. Of all runs with one hash,
-in the order of doc_id and place, the first stays; sentences that any other one covers are removed.
+A text is cut behind every run of ``. ! ?`` and line feeds; a piece with a word is a sentence. Every run of several
+consecutive sentences is hashed. Of all runs with one hash, in the order of doc_id and place, the first stays; sentences
+that any other one covers are removed.
 
-With ``every_run`` the shortest run that ends at each sentence is hashed too. A passage of enough sentences and words that
-repeats then goes as a whole: a sentence too near its end for a run from it on lies in the shortest run to the passage's end.
+Runs of MIN_SENTENCES stand for all longer ones: a run of more that repeats is made of such runs, which repeat with it and cover the same
+sentences. So each sentence costs one hash, however long the repeated passage is.
+
+With ``min_words`` a run also needs so many words. Then the shortest such runs from each sentence on and to each sentence
+are hashed, and runs are equal when their words are, wherever these are cut into sentences.
 """
 
 from __future__ import annotations
@@ -17,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.arrow import lowered, mixed, span_hashes, text_slices, word_spans
+from tidewell.llm.arrow import lowered, mixed, run_hashes, span_hashes, text_slices, word_spans
 from tidewell.llm.decontaminate import IS_WORD
 from tidewell.session import written
 
-#: A span has at least so many sentences and so many words.
-MIN_SENTENCES, MIN_WORDS = 2, 20
+#: A run has at least so many sentences.
+MIN_SENTENCES = 2
 
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?\n"]] = True
@@ -52,16 +55,21 @@ class _Texts:
         h = np.append(np.uint64(0), np.cumsum(mixed(self.hashes + place.astype(np.uint64)), dtype=np.uint64))
         return (h[self.word_at[1:]] - h[self.word_at[:-1]]).view(np.int64)
 
-    def runs(self, every_run: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def runs(self, min_words: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """First and last sentence of every run, once each, and two 64-bit hashes of its words."""
-        n = len(self.sentence)
+        n, words = len(self.sentence), self.hashes
         text_end = np.repeat(self.sentence_at[1:], np.diff(self.sentence_at))
-        enough = np.searchsorted(self.first_word, self.first_word[:-1] + MIN_WORDS)
-        last = np.maximum(enough - 1, np.arange(n) + MIN_SENTENCES - 1)
-        ok = last < text_end
-        first, last = np.flatnonzero(ok), last[ok]
-        if every_run:
-            to_end = np.searchsorted(self.first_word[:-1], self.first_word[1:] - MIN_WORDS, "right") - 1
+        if not min_words:
+            first = np.flatnonzero(np.arange(n) + MIN_SENTENCES <= text_end)
+            last = first + MIN_SENTENCES - 1
+            words = words.copy()
+            words[self.first_word[1:] - 1] ^= np.uint64(0x5851F42D4C957F2D)  # a sentence's last word: cuts count
+        else:
+            enough = np.searchsorted(self.first_word, self.first_word[:-1] + min_words)
+            last = np.maximum(enough - 1, np.arange(n) + MIN_SENTENCES - 1)
+            ok = last < text_end
+            first, last = np.flatnonzero(ok), last[ok]
+            to_end = np.searchsorted(self.first_word[:-1], self.first_word[1:] - min_words, "right") - 1
             to_end = np.minimum(to_end, np.arange(n) - MIN_SENTENCES + 1)
             other = to_end >= np.repeat(self.sentence_at[:-1], np.diff(self.sentence_at))
             from_start = np.full(n, -1)
@@ -69,21 +77,18 @@ class _Texts:
             other[other] = from_start[to_end[other]] != np.flatnonzero(other)
             first, last = np.append(first, to_end[other]), np.append(last, np.flatnonzero(other))
         a, b = self.first_word[first], self.first_word[last + 1]
-        out = []
-        for base, salt in ((0xD6E8FEB86659FD93, 1), (0xA0761D6478BD642F, 2)):
-            up, down = (np.cumprod(np.append(np.uint64(1), np.full(len(self.hashes), x, np.uint64)), dtype=np.uint64) for x in (base, pow(base, -1, 2**64)))
-            sums = np.append(np.uint64(0), np.cumsum(mixed(self.hashes + np.uint64(salt)) * up[: len(self.hashes)], dtype=np.uint64))
-            out.append(mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)).view(np.int64))
-        return first, last, out[0], out[1]
+        bits = mixed(words)
+        low, high = bits & np.uint64(2**31 - 1), bits >> np.uint64(33)
+        return first, last, run_hashes(low, a, b, 0).view(np.int64), run_hashes(high, a, b, 1).view(np.int64)
 
 
-def sentence_runs(docs: DataFrame, every_run: bool = False) -> DataFrame:
+def sentence_runs(docs: DataFrame, min_words: int = 0) -> DataFrame:
     """doc_id, text_key, first, last, h1, h2: every run of every text, sentences counted from 0."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_slices(batches):
             texts = _Texts(data, offsets)
-            first, last, h1, h2 = texts.runs(every_run)
+            first, last, h1, h2 = texts.runs(min_words)
             row = np.searchsorted(texts.sentence_at, first, "right") - 1
             at = texts.sentence_at[row]
             ids = rows.column("doc_id").take(pa.array(row))
@@ -94,9 +99,9 @@ def sentence_runs(docs: DataFrame, every_run: bool = False) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, text_key long, first int, last int, h1 long, h2 long")
 
 
-def repeated_sentences(docs: DataFrame, every_run: bool = False) -> DataFrame:
+def repeated_sentences(docs: DataFrame, min_words: int = 0) -> DataFrame:
     """doc_id, text_key and the sentences [first, last] of every run that an earlier run equals; a row for each text."""
-    runs = sentence_runs(docs, every_run)
+    runs = sentence_runs(docs, min_words)
     place = F.struct("doc_id", "text_key", "first")
     firsts = runs.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("n")).filter("n > 1").drop("n")
     firsts = written(firsts, "first-runs")  # both sides of the join are then dealt for it alone, and Spark splits a hot run's rows
@@ -104,12 +109,12 @@ def repeated_sentences(docs: DataFrame, every_run: bool = False) -> DataFrame:
     return later.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 
-def without_repeats(docs: DataFrame, every_run: bool = False) -> DataFrame:
-    """``docs`` with n_sentences, n_removed and kept_text; ``every_run``: also by the shortest runs that end at each sentence.
+def without_repeats(docs: DataFrame, min_words: int = 0) -> DataFrame:
+    """``docs`` with n_sentences, n_removed and kept_text, judged by runs of MIN_SENTENCES, or by runs of ``min_words`` words.
 
     Null texts are empty and keep an empty text. Rows that repeat a doc_id and text are one document:
-    their runs are the same runs. A text without a run of several sentences keeps all of them. Pieces without a
-    word stay. Other columns, of whatever name, are left out.
+    their runs are the same runs. Of rows without a doc_id those come first. A text without a run of several sentences keeps all of
+    them, however long it is. Pieces without a word stay. An empty table gives an empty one. Other columns, of whatever name, are left out.
     """
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +144,7 @@ def without_repeats(docs: DataFrame, every_run: bool = False) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    spans = repeated_sentences(rows, every_run).withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+    spans = repeated_sentences(rows, min_words).withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
     rows = rows.mapInArrow(keyed, f"doc_id {kind}, text string, text_key long")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
     joined = rows.join(spans, same, "left").select("doc_id", "text", "spans")
