@@ -101,6 +101,34 @@ def test_near_group_with_many_components(spark):
     assert {r["component_id"] for r in got.collect()} == {0}
 
 
+def test_near_texts_under_one_id(spark):
+    """Different texts under one doc_id are linked by it, so what is near either of them is one group."""
+    a, b = ([f"{c}{i}" for i in range(60)] for c in "ab")
+    near = lambda words: " ".join([*words[:-1], "zz"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (2, near(a)), (3, near(b)), (4, "other words than those"), (4, None), (4, ""), (6, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in near_groups(docs, 4).collect())
+    assert got == [(2, 2), (3, 2), (4, 4), (4, 4), (4, 4), (5, 2), (5, 2), (6, 6)]
+    out = without_near_copies(docs.unionByName(docs), 4).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in out) == [(2, near(a)), (4, ""), (4, "other words than those"), (6, "alone")]
+
+
+def test_near_template_pages(spark):
+    """Pages of which four fifths are alike, short of the bound: no pair of them is compared; two that are near enough are found."""
+    from tidewell.llm import near
+
+    pages = {k: " ".join([*(f"t{i}" for i in range(78)), *(f"p{k}.{i}" for i in range(22))]) for k in range(300)}
+    pages[400] = pages[299] + " end"
+    docs = spark.createDataFrame(list(pages.items()), "doc_id long, text string")
+    every = written(near.profiles(docs, 4), "profiles")
+    ids = every.select(F.col("set").alias("id"))
+    texts = every.select("doc_id", "set").join(docs, "doc_id").select("set", "text")
+    least = ids.agg(F.min("id")).first()[0]
+    groups = ids.withColumn("label", F.struct(F.lit(least["k1"]).alias("k1"), F.lit(least["k2"]).alias("k2")))
+    left = near.pairs_left(groups, groups.limit(0), texts, 4, 80)
+    assert left.count() == 1 and near.confirmed(left, texts, 4, 80).count() == 1
+
+
 def sentences_of(text):
     """Pieces, each with its words."""
     return [(p, tuple(re.findall(rb"[0-9a-z\x80-\xff]+", p.encode().translate(LOW)))) for p in re.findall(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+", text or "")]

@@ -4,9 +4,11 @@ In each round of a sketch every shingle is thrown into one bin with a random val
 least; from round T on, round T + i throws every shingle into bin i, so after 2 T rounds each of the T
 coordinates is filled whatever the size of the set. Bands of coordinates give the keys under which texts meet.
 
-Texts with the same set are one class. In the bucket of a key every class meets the one with the smallest id, so a bucket
-costs a pair for each member. Classes that met, linked or not, are a group; where a group has several components left, those
-outside the largest are compared in blocks with all of the group, so that no link between components is lost.
+Texts with the same set are one class. In the bucket of a key every class meets the least one, so a bucket
+costs a pair for each member. Classes that met, linked or not, are a group; a group of which several components are left may
+hide links between two that only met a third. Classes outside its largest component look for those links among all of the
+group by rare shingles: two sets that are similar enough share one of the rarest shingles of either, as many as the
+smallest overlap leaves over. Common shingles are last in that order, so what a whole group has in common makes no pairs.
 Every link is confirmed on the full sets of both texts.
 """
 
@@ -17,19 +19,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.arrow import lowered, mixed, released, span_hashes, text_slices, word_spans
+from tidewell.llm.arrow import free_name, lowered, mixed, quoted, span_hashes, text_slices, word_spans
 from tidewell.llm.graph import components
-from tidewell.llm.packing import gathered
 from tidewell.session import written
 
 #: A pair of similarity 0.8 meets under no key with probability (1 - 0.8 ** ROWS) ** BANDS, below 1e-6.
 BANDS, ROWS = 80, 8
 COORDINATES = BANDS * ROWS
-#: Classes of a group that are compared at once: some outside its largest component with some of all.
-BLOCK, CHUNK = 400, 1500
 
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -99,7 +98,7 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, k1, k2 (which name the set) and keys (null for an empty set) of every row."""
+    """doc_id, text_hash, n_shingles, set (two hashes that name the set) and keys (null for an empty set) of every row."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_slices(batches):
@@ -111,17 +110,18 @@ def profiles(docs: DataFrame, size: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(keys))
             some = pa.array(n > 0)
             lists = pc.if_else(some, lists, pa.scalar(None, lists.type))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n), *map(pa.array, names), lists], ["doc_id", "n_shingles", "k1", "k2", "keys"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_hash"), pa.array(n), *map(pa.array, names), lists], ["doc_id", "text_hash", "n_shingles", "k1", "k2", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(sketch, f"doc_id {kind}, n_shingles long, k1 long, k2 long, keys array<long>")
+    found = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(sketch, f"doc_id {kind}, text_hash long, n_shingles long, k1 long, k2 long, keys array<long>")
+    return found.select("doc_id", "text_hash", "n_shingles", F.struct("k1", "k2").alias("set"), "keys")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """a, b, linked for ``pairs``: whether 100 * intersection >= percent * union of the full sets."""
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    rows = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
+    """The ``pairs`` a, b of sets of which 100 * intersection >= percent * union. texts: set and text of each."""
+    one, two = (texts.select(F.col("set").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    rows = pairs.select("a", "b").join(one, "a").join(two, "b")
+    rows = rows.select("a.k1", "a.k2", F.col("b.k1").alias("l1"), F.col("b.k2").alias("l2"), "text_a", "text_b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub: tuple[object, np.ndarray] = (None, np.zeros(0, np.uint64))
@@ -129,7 +129,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
             for rows, data, offsets in text_slices(iter([batch]), "text_a"):
                 values, at = shingle_sets(data, offsets, size)
                 linked = []
-                for k, b in enumerate(rows.column("b").to_pylist()):  # hubs come in order
+                for k, b in enumerate(zip(*(rows.column(c).to_pylist() for c in ("l1", "l2")), strict=True)):  # hubs come in order
                     if hub[0] != b:
                         raw = (rows.column("text_b")[k].as_py() or "").encode()
                         hub = b, shingle_sets(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), size)[0]
@@ -140,72 +140,43 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
                         place = np.minimum(np.searchsorted(hub[1], mine), len(hub[1]) - 1)
                         shared = int((hub[1][place] == mine).sum())
                     linked.append(shared > 0 and 100 * shared >= percent * (len(mine) + len(hub[1]) - shared))
-                yield pa.RecordBatch.from_arrays([rows.column("a"), rows.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+                yield rows.select(["k1", "k2", "l1", "l2"]).filter(pa.array(linked, pa.bool_()))
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    return rows.mapInArrow(compare, f"a {kind}, b {kind}, linked boolean")
+    found = rows.mapInArrow(compare, "k1 long, k2 long, l1 long, l2 long")
+    return found.select(F.struct("k1", "k2").alias("a"), F.struct(F.col("l1").alias("k1"), F.col("l2").alias("k2")).alias("b"))
 
 
-def links_left(groups: DataFrame, labels: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """a, b: links that join components (``labels``) within a group of classes that met (``groups``), but for redundant ones.
+def pairs_left(groups: DataFrame, labels: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, b: pairs of one group of classes that met (``groups``) and of different components (``labels``) that may be similar.
 
-    A group's classes outside its largest component are its query set: they are compared, in blocks, with all classes of
-    the group, in chunks. No pair is a row; a task returns a link only where it joins what it has not yet joined.
+    a is outside its group's largest component. No pair that is similar enough is left out: with n shingles, n - ceil(percent * n / 100) + 1
+    of them, the rarest in the group first, hold one of every such pair's shingles; and of the first that two sets share, what
+    follows in both bounds how many they share.
     """
     of = groups.withColumnRenamed("label", "group").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     sizes = of.groupBy("group", "label").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
-    main = main.filter("most < all")
-    parts = lambda n, of: F.ceil(n / of).cast("int")
-    main = main.select("group", "main", parts(F.col("all") - F.col("most"), BLOCK).alias("blocks"), parts(F.col("all"), CHUNK).alias("chunks"))
-    mixed = of.join(main, "group").join(texts.withColumnRenamed("doc_id", "id"), "id")
-    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asking = mixed.filter("label <> main").select("group", own("blocks").alias("block"), every("chunks").alias("chunk"), "id", "label", "text")
-    asking = asking.select(*[F.col(c).alias(f"q_{c}") for c in asking.columns])
-    asked = mixed.select("group", every("blocks").alias("block"), own("chunks").alias("chunk"), "id", "label", "text")
-    kind, id_type = groups.schema["id"].dataType.simpleString(), groups.limit(0).toArrow().schema.field("id").type
-
-    def compare(block: pa.Table, chunk: pa.Table) -> pa.Table:
-        mine, at = _sets_of(block, size, "q_text")
-        n = np.diff(at)
-        owner = np.repeat(np.arange(len(n)), n)
-        order = np.argsort(mine, kind="stable")
-        mine, owner = mine[order], owner[order]
-        block_ids, block_labels = (block.column(c).to_pylist() for c in ("q_id", "q_label"))
-        root: dict[object, object] = {}
-
-        def find(x):
-            while root.get(x, x) != x:
-                root[x] = x = root.get(root[x], root[x])
-            return x
-
-        found = []
-        values, ends = _sets_of(chunk, size)
-        for k, (i, label) in enumerate(zip(*(chunk.column(c).to_pylist() for c in ("id", "label")), strict=True)):
-            own_values = values[ends[k] : ends[k + 1]]
-            low, high = np.searchsorted(mine, own_values), np.searchsorted(mine, own_values, "right")
-            shared = np.bincount(owner[gathered(low, high - low, np.arange(len(mine)))], minlength=len(n))
-            for j in np.flatnonzero((shared > 0) & (100 * shared >= percent * (n + len(own_values) - shared))):
-                a, b = find(label), find(block_labels[j])
-                if a != b:
-                    root[a] = b
-                    found.append((i, block_ids[j]))
-        released()
-        a, b = zip(*found, strict=True) if found else ((), ())
-        return pa.table({"a": pa.array(a, id_type), "b": pa.array(b, id_type)})
-
-    keys = ("group", "block", "chunk")
-    return asking.groupBy(*[f"q_{k}" for k in keys]).cogroup(asked.groupBy(*keys)).applyInArrow(compare, f"a {kind}, b {kind}")
-
-
-def _sets_of(rows: pa.Table, size: int, column: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    values, ends = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
-    for _, data, offsets in text_slices(iter(rows.combine_chunks().to_batches()), column):
-        v, at = shingle_sets(data, offsets, size)
-        values.append(v)
-        ends.append(at[1:] + ends[-1][-1])
-    return np.concatenate(values), np.concatenate(ends)
+    main = sizes.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1").drop("labels")
+    of = written(of.join(main, "group").select("id", "group", "label", (F.col("label") != F.col("main")).alias("asks")), "groups-left")
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in text_slices(batches):
+            values, at = shingle_sets(data, offsets, size)
+            ids = rows.select(["k1", "k2"]).take(pa.array(np.repeat(np.arange(len(at) - 1), np.diff(at))))
+            yield pa.RecordBatch.from_arrays([*ids.columns, pa.array(np.repeat(np.diff(at), np.diff(at))), pa.array(values.view(np.int64))], ["k1", "k2", "n", "shingle"])
+
+    own = texts.join(of.select(F.col("id").alias("set")), "set").select("set.k1", "set.k2", "text")
+    every = own.mapInArrow(shingles, "k1 long, k2 long, n long, shingle long").select(F.struct("k1", "k2").alias("id"), "n", "shingle")
+    every = written(every.join(of, "id"), "shingles-left")
+    common = every.groupBy("group", "shingle").agg(F.count("*").alias("often")).filter("often > 1")
+    # Shingles of one set alone come first in its order and make no pair: they are counted, not ranked.
+    shared = every.join(common, ["group", "shingle"])
+    at = F.row_number().over(Window.partitionBy("id").orderBy("often", "shingle")) + F.col("n") - F.count("*").over(Window.partitionBy("id"))
+    ranked = shared.withColumn("at", at).filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    ranked = written(ranked.select("group", "shingle", "id", "label", "n", "at", "asks"), "rare-shingles")
+    asking, asked = ranked.filter("asks"), ranked.select("group", "shingle", *[F.col(c).alias(f"{c}_b") for c in ("id", "label", "n", "at", "asks")])
+    may = (F.col("label") != F.col("label_b")) & (~F.col("asks_b") | (F.col("id") < F.col("id_b")))
+    may &= (F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b")) + 1) * (100 + percent) >= (F.col("n") + F.col("n_b")) * percent
+    return asking.join(asked, ["group", "shingle"]).filter(may).select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -215,36 +186,53 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     words, null ones too, are linked with nothing. Texts are linked when 100 * intersection >= percent * union;
     component_id is the smallest doc_id reachable, kept marks the row that has it. Rows that repeat a doc_id and text
     are one class and share its mark; different texts under one doc_id are linked by it. A row without a doc_id
-    is linked with nothing and kept, with a null component_id.
+    is linked with nothing and kept, with a null component_id. An empty table gives an empty one; other columns are left out.
     """
-    every = written(profiles(docs.select("doc_id", "text"), size), "profiles")
-    rows = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
+    every = written(profiles(docs, size), "profiles")
     nameless = every.filter("doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     every = every.filter("doc_id IS NOT NULL")
-    classes = every.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"))
-    classes = written(classes, "classes")
-    # A class is sketched alike in all its rows; the row with its id stands for it.
-    keyed = every.filter("n_shingles > 0").join(classes, ["k1", "k2"]).filter("doc_id = id").dropDuplicates(["k1", "k2"])
-    keyed = keyed.select("id", "n", F.explode("keys").alias("key"))
-    first = keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
-    members = written(keyed.join(first.select("key", "hub"), "key"), "members")
+    some = every.filter("n_shingles > 0")
+    classes = written(some.groupBy("set").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("n_shingles").alias("n")), "classes")
+    # A class is sketched alike in all its rows; its first row stands for it.
+    keyed = some.join(classes, "set").filter(F.struct("doc_id", "text_hash") == F.col("first")).dropDuplicates(["set"])
+    keyed = keyed.select(F.col("set").alias("id"), "n", F.explode("keys").alias("key"))
+    hubs = keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
+    members = written(keyed.join(hubs.select("key", "hub"), "key"), "members")
 
     met = members.filter(F.col("id") != F.col("hub.id")).select(F.col("id").alias("a"), F.col("hub.id").alias("b"), "n", F.col("hub.n").alias("m")).distinct()
     met = written(met, "pairs")
-    ids = members.select(F.col("id").alias("doc_id")).distinct()
-    texts = written(rows.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    ids = members.select(F.col("id").alias("set")).distinct().join(classes, "set").select("set", "first.*")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").join(ids, ["doc_id", "text_hash"])
+    texts = written(texts.dropDuplicates(["set"]).select("set", "text"), "texts")
     could = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    links = written(confirmed(met.filter(could), texts, size, percent).filter("linked").select("a", "b"), "links")
-    links = links.unionByName(written(links_left(components(met.select("a", "b")), components(links), texts, size, percent), "links"))
-    labels = components(links)
-    named = classes.join(labels, "id", "left").select("k1", "k2", F.coalesce("label", "id").alias("label"))
-    some = F.col("n_shingles") > 0
-    out = every.select("doc_id", "n_shingles", F.when(some, F.col("k1")).alias("k1"), F.when(some, F.col("k2")).alias("k2")).join(named, ["k1", "k2"], "left")
-    component = F.coalesce("label", "doc_id")
+    # Texts under one doc_id are linked, whatever they are.
+    several = some.groupBy("doc_id").agg(F.min("set").alias("b"), F.max("set").alias("other")).filter("b <> other").drop("other")
+    named = some.join(several, "doc_id").select(F.col("set").alias("a"), "b").filter("a <> b")
+    links = written(confirmed(met.filter(could), texts, size, percent).unionByName(named), "links")
+    left = pairs_left(components(met.select("a", "b")), components(links), texts, size, percent)
+    labels = components(links.unionByName(written(confirmed(left, texts, size, percent), "links")))
+    label = F.coalesce("label", "set")
+    placed = classes.join(labels.withColumnRenamed("id", "set"), "set", "left").select("set", "least", label.alias("label"))
+    ends = placed.groupBy("label").agg(F.min("least").alias("component_id"))
+    placed = written(placed.join(ends, "label").select("set", "component_id"), "placed")
+    out = every.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set")).alias("set")).join(placed, "set", "left")
+    component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept")).unionByName(nameless)
 
 
 def without_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each group, all its columns as they are."""
-    kept = near_groups(docs, size, percent).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """``docs`` with one row of each group, all its columns as they are; rows without a doc_id stay.
+
+    Of rows that repeat the doc_id that stays, the one with the least text stays. Null and empty texts stay; an empty table gives an empty one.
+    """
+    kept = near_groups(docs, size, percent).filter("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("rows"))
+    kept = written(kept, "near-kept")
+    same = docs["doc_id"].eqNullSafe(kept["_id"])
+    if kept.filter("rows > 1 AND _id IS NOT NULL").isEmpty():
+        return docs.join(kept, same, "left_semi")
+    once = docs.join(kept.filter("rows = 1 OR _id IS NULL"), same, "left_semi")
+    nth = free_name(docs.columns, "_nth")
+    linked = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    order = Window.partitionBy("doc_id", linked).orderBy("text", *[F.xxhash64(F.col(quoted(c)).cast("string")) for c in docs.columns])
+    first = docs.join(kept.filter("rows > 1 AND _id IS NOT NULL"), same, "left_semi").withColumn(nth, F.row_number().over(order))
+    return once.unionByName(first.filter(F.col(quoted(nth)) == 1).drop(F.col(quoted(nth))))
