@@ -25,7 +25,11 @@ def test_exact(odd, odd_rows, nothing):
     groups = defaultdict(list)
     for d, t in odd_rows:
         groups[norm(t)].append((-len(t or ""), d))
-    got = exact_groups(odd, bucket_entries=5).collect()
+    got = exact_groups(odd, bucket_hashes=5).collect()
+    buckets = defaultdict(set)
+    for r in got:
+        buckets[r["bucket"], r["depth"]].add(r["text_sha256"])
+    assert len(buckets) > 5 and max(map(len, buckets.values())) <= 5
     assert len(got) == len(odd_rows)
     texts = defaultdict(set)
     for d, t in odd_rows:
@@ -41,9 +45,23 @@ def test_exact_null_id_and_directory(spark):
     rows = spark.createDataFrame([(None, "a b"), (None, "ab"), (3, "c")], "doc_id long, text string")
     got = exact_groups(rows).collect()
     assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["kept"]) for r in got) == [("3", "3", 1, True), ("None", "None", 2, True), ("None", "None", 2, True)]
-    entries = spark.range(1000).select(F.xxhash64("id").alias("hash"))
-    depths = [r["depth"] for r in directory(entries, 50).collect()]
-    assert 4 <= min(depths) and max(depths) <= 8
+    hashes = spark.range(1000).select(F.xxhash64("id").alias("hash"))
+    slots, bits = directory(hashes, 50)
+    depths = [r["depth"] for r in slots.collect()]
+    assert 4 <= min(depths) and max(depths) <= bits <= 8
+    deep = spark.range(40).select(F.col("id").alias("hash")).unionByName(spark.createDataFrame([(-1,), (-(2**62),)], "hash long"))
+    assert directory(deep, 4)[1] == 62  # hashes that differ in their last bits only: the directory doubles as often as it takes
+
+
+def test_without_copies_leaves_one_row_of_each_text(spark):
+    rows = [(1, "x y", "a"), (1, "x y", "a"), (1, "xy", "b"), (2, "x  y", "c"), (2, "x  y", "d"), (None, "n", "e"), (None, "n", "e"), (3, None, "f"), (3, "", "g")]
+    names = ["doc_id", "text", "a`b.c", "_sha", "_keep_id", "_nth"]
+    docs = spark.createDataFrame([(d, t, o, o, o, o) for d, t, o in rows], "doc_id long, text string, " + ", ".join(f"`{n.replace('`', '``')}` string" for n in names[2:]))
+    out = without_copies(docs)
+    assert out.columns == names
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect()) == [(0, "n"), (2, "x  y"), (3, "")]
+    near = without_near_copies(docs)
+    assert near.columns == names and near.count() == 4
 
 
 def test_without_copies_keeps_columns(odd):

@@ -56,7 +56,20 @@ def test_decontaminated(spark):
     out = {r["doc_id"]: r for r in decontaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
     assert set(out) == {1, 2, 4} and out[1]["n_chars"] == 10
     assert "w3" not in out[2]["text"] and out[2]["text"].endswith("! end") and out[2]["n_chars"] == len(out[2]["text"])
-    assert cut("a b c d", [(0, 1), (2, 4)]) == "  b  "
+    assert cut("a b c d", [(0, 1), (2, 4)]) == " \ufffc  b  \ufffc "
+
+
+def test_decontaminated_makes_no_window_at_seams(spark):
+    """Half a window, a whole one, and the other half: what is left of the text has no window."""
+    item, other = ([f"{c}{i}" for i in range(10)] for c in "vw")
+    rest = [f"r{i}" for i in range(30)]
+    rows = [(1, " ".join([*item[:5], *other, *item[5:], *rest]), 1, "x", "y"), (2, None, 2, None, None), (2, None, 2, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _tw_spans int, `a``b` string, _TW_items string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(other))], "item_id long, text string")
+    out = decontaminated(docs, bench)
+    assert out.columns == docs.columns and sorted(r["_tw_spans"] for r in out.collect()) == [1, 2, 2]
+    assert contamination(out, bench).filter("contaminated").isEmpty() and "v0" in out.filter("doc_id = 1").first()["text"]
+    assert decontaminated(docs.limit(0), bench).count() == 0 and decontaminated(docs, bench.limit(0)).count() == 3
 
 
 def test_language_model(odd, odd_rows, nothing):

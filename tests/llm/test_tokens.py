@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tidewell.llm import tokens
-from tidewell.llm.packing import pack_documents, packing_plan
+from tidewell.llm.packing import pack_documents, packed, packing_plan
 from tidewell.llm.sharding import shard_ids, write_shards
 from tidewell.llm.tokens import Pieces, safe_cuts, token_counts
 
@@ -109,3 +109,18 @@ def test_shards(odd, odd_rows, nothing, tmp_path):
     assert shard_ids(nothing, 3000).count() == 0
     write_shards(odd.select("doc_id", "text"), 3000, str(tmp_path / "s"))
     assert odd.sparkSession.read.parquet(str(tmp_path / "s")).count() == len(odd_rows)
+
+
+def test_shards_of_rows_without_id_and_with_clashing_columns(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "abc", "s", "i"), (1, "defg", "s", "i"), (None, None, "s", "i")], "doc_id long, text string, shard string, _of_id string")
+    ids = write_shards(docs, 5, str(tmp_path / "s"))
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert ids.count() == back.count() == 3 and {r["_shard"] for r in back.collect()} == {"s"}
+    assert back.filter("doc_id IS NULL").select("shard").distinct().count() == 1
+
+
+def test_packed_keeps_columns_of_any_name(spark):
+    pieces = spark.createDataFrame([(k, 0, 5, "a", "b") for k in range(7)], "doc_id long, piece int, length long, _rank string, `x``y` string")
+    out = packed(pieces, 10)
+    assert out.columns == [*pieces.columns, "sequence_id", "offset"] and {(r["_rank"], r["x`y"]) for r in out.collect()} == {("a", "b")}
+    assert out.select("sequence_id").distinct().count() == 4

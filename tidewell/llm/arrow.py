@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Bytes of text that a task works on at once; longer texts are worked on alone.
 SLICE_BYTES = 8 << 20
@@ -127,6 +128,11 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
+def plain_names(docs: DataFrame, but: tuple[str, ...] = ("doc_id", "text")) -> list[str]:
+    """A name for each column by its place, as Arrow functions don't take all names; those of ``but`` stay."""
+    return [c if c in but else f"_c{k}" for k, c in enumerate(docs.columns)]
+
+
 def quoted(name: str) -> str:
     """A column's name as SQL and schema strings take it, whatever it contains."""
     return "`" + name.replace("`", "``") + "`"

@@ -13,15 +13,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.arrow import lowered, mixed, span_hashes, text_slices, word_spans
+from tidewell.llm.arrow import free_name, lowered, mixed, plain_names, quoted, span_hashes, text_slices, word_spans
 from tidewell.session import written
 
 #: Text of items that one automaton holds; more items take more automata, and a pass over the documents for each.
 ROUND_BYTES = 1 << 20
 
+#: What takes the place of a span: a word of a character that texts don't have (U+FFFC, the object replacement character).
+SEAM = " \ufffc ".encode()
+
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 IS_WORD = np.zeros(256, bool)
 IS_WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -150,6 +153,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+#: The columns that a pass adds, with their types.
 _FOUND = {"_tw_words": "long", "_tw_spans": "array<struct<a:long,b:long>>", "_tw_items": "array<string>"}
 
 
@@ -182,12 +186,12 @@ def _pass(docs: DataFrame, automaton: Automaton) -> DataFrame:
                 [*columns, *_FOUND],
             )
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.mapInArrow(stream, ", ".join([schema, *(f"{k} {v}" for k, v in _FOUND.items())]))
+    schema = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in columns]
+    return docs.mapInArrow(stream, ", ".join([*schema, *(f"{k} {v}" for k, v in _FOUND.items())]))
 
 
-def matched(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """``docs`` with the number of words, the merged spans of hit words and the items of which a window occurs.
+def matched(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> tuple[DataFrame, list[str]]:
+    """``docs`` with the number of words, the merged spans of hit words and the items of which a window occurs, and the names of these columns.
 
     A window is ``window`` words of an item in a row, or a shorter item as a whole. Null and empty texts have no
     words and no hits; null, empty and repeated items are fine. Repeated rows are judged alike.
@@ -196,26 +200,33 @@ def matched(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFram
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rounds = max(1, math.ceil(size / ROUND_BYTES))
-    found = docs
+    found, names = docs.toDF(*plain_names(docs)), [free_name(docs.columns, n) for n in _FOUND]
     for k in range(rounds):
         part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == k).collect()
         automaton = Automaton(sorted({(r["item_id"] or "", tuple(words_of(r["text"]))) for r in part}), window)
         found = _pass(found, automaton)
         if k + 1 < rounds:
             found = written(found, "decontaminate")
-    return found
+    return found.toDF(*docs.columns, *names), names
+
+
+def _n_hit(spans: str) -> Column:
+    return F.aggregate(F.col(quoted(spans)), F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row; see ``matched``."""
-    found = matched(docs.select("doc_id", "text"), benchmark, window)
-    hit = F.aggregate("_tw_spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row; see ``matched``.
+
+    Texts of any length are streamed word by word. An empty table gives an empty one, an empty benchmark hits nothing. Other columns are left out.
+    """
+    found, (words, spans, items) = matched(docs.select("doc_id", "text"), benchmark, window)
+    hit = _n_hit(spans)
     return found.select(
         "doc_id",
-        F.col("_tw_words").alias("n_words"),
+        F.col(words).alias("n_words"),
         hit.alias("n_hit"),
-        F.size("_tw_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_tw_items", ","), 256).alias("items_sha256"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
         (hit > 0).alias("contaminated"),
     )
 
@@ -223,22 +234,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5) -> DataFrame:
     """``docs`` without the hit spans of their texts, and without documents of whose words more than ``max_coverage`` are hit.
 
-    Rows without a hit stay as they are. An n_chars column follows the text. What stood on both sides of a span is joined by a space.
+    Rows without a hit, null and empty texts among them, stay as they are; repeated rows are treated alike. An n_chars column follows the text.
+    In place of a span stands SEAM, a word of a character that texts don't have, so that what stood on both sides makes no new window.
+    An empty table gives an empty one; columns of any name are kept.
     """
-    found = matched(docs, benchmark, window)
-    hit = F.aggregate("_tw_spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
-    found = found.filter(hit <= max_coverage * F.col("_tw_words"))
+    found, names = matched(docs, benchmark, window)
+    spans = F.col(quoted(names[1]))
+    found = found.filter(_n_hit(names[1]) <= max_coverage * F.col(quoted(names[0])))
 
     @F.pandas_udf("string")
     def without(texts, spans):
         return texts.combine(spans, lambda t, s: t if t is None or not len(s) else cut(t, [(x["a"], x["b"]) for x in s]))
 
-    dirty = F.size("_tw_spans") > 0
-    out = found.withColumn("text", F.when(dirty, without(F.when(dirty, F.col("text")), F.when(dirty, F.col("_tw_spans")))).otherwise(F.col("text")))
+    dirty = F.size(spans) > 0
+    out = found.withColumn("text", F.when(dirty, without(F.when(dirty, F.col("text")), F.when(dirty, spans))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(dirty, F.length("text")).otherwise(F.col("n_chars")).cast(kind))
-    return out.select(docs.columns)
+    return out.select([F.col(quoted(c)) for c in docs.columns])
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -248,4 +261,4 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     for a, b in spans:
         parts.append(raw[at : words[a][0]])
         at = words[b - 1][1]
-    return b" ".join([*parts, raw[at:]]).decode()
+    return SEAM.join([*parts, raw[at:]]).decode()

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.llm.arrow import plain_names
 from tidewell.llm.tokens import encoded_slices
 from tidewell.session import written
 
@@ -131,11 +132,13 @@ def packing_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
 
 
 def packed(pieces: DataFrame, capacity: int) -> DataFrame:
-    """``pieces`` with sequence_id and offset. Pieces of any length up to ``capacity``; no column of the input is lost.
+    """``pieces`` with sequence_id and offset. Pieces of any length up to ``capacity``; no column of the input is lost, whatever its name.
 
     An empty table gives an empty one. Pieces that are alike in all columns take places of their own.
     """
-    columns, n = pieces.columns, pieces.count()
+    names, n = pieces.columns, pieces.count()
+    columns = plain_names(pieces, ("doc_id", "piece", "length"))
+    pieces = pieces.toDF(*columns)
     parts = max(RANK_PARTS, n // 1_000_000)
     keyed = pieces.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int"))
     counts = keyed.groupBy("length", "_part").agg(F.count("*").alias("_n"))
@@ -157,8 +160,8 @@ def packed(pieces: DataFrame, capacity: int) -> DataFrame:
             rows = rows.select(columns)
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(sequence), pa.array(offset)], [*columns, "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.mapInArrow(placed, f"{schema}, sequence_id long, offset long")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
+    return ranked.mapInArrow(placed, f"{schema}, sequence_id long, offset long").toDF(*names, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048) -> DataFrame:

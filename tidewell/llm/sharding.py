@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.arrow import free_name
 from tidewell.session import written
 
 #: Bits of the hash that a round looks at, and all bits there are.
@@ -59,7 +60,15 @@ def shard_ids(docs: DataFrame, limit_bytes: int) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, limit_bytes: int, path: str) -> DataFrame:
-    """Writes ``docs`` under ``path``, a folder for each shard, and returns doc_id and shard."""
+    """Writes every row of ``docs`` under ``path``, a folder for each shard, and returns doc_id and shard.
+
+    Rows with one doc_id, or none, are in one shard. A column of ``docs`` named like the folders' ``shard`` is kept as ``_shard``.
+    """
     ids = shard_ids(docs, limit_bytes).select("doc_id", "shard")
-    docs.join(ids.distinct(), "doc_id").repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
+    shard = free_name(docs.columns, "_of_shard")
+    placed = ids.distinct().select(F.col("doc_id").alias(free_name(docs.columns, "_of_id")), F.col("shard").alias(shard))
+    rows = docs.join(placed, docs["doc_id"].eqNullSafe(placed[placed.columns[0]])).drop(placed.columns[0])
+    for name in [c for c in docs.columns if c.lower() == "shard"]:
+        rows = rows.withColumnRenamed(name, free_name(rows.columns, "_shard"))
+    rows.withColumnRenamed(shard, "shard").repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
     return ids
