@@ -230,12 +230,30 @@ def test_hot_anchors(spark, odd, odd_rows, nothing, monkeypatch):
     rows += [(100 + k, f"{t[80:]} {t[:80]}") for k, (_, t) in enumerate(rows[:5])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     blocks = written(repeats.text_blocks(docs), "blocks")
-    first = written(repeats.repeated_anchors(blocks, 2), "anchors")
+    first, n_hot = repeats.repeated_anchors(blocks)
     groups = Counter()
     for r in repeats.shard_entries(blocks, first, 2).collect():
-        groups.update(repeats._hashes(unzipped(r["edges"], np.int64), unzipped(r["entries"], np.uint8)).tolist())
-    assert max(groups.values(), default=0) <= 20 and first.agg(F.sum("n_hot")).first()[0] >= 40
+        groups.update(repeats._hashes(unzipped(r["entries"], np.uint8).reshape(-1, repeats.ENTRY)).tolist())
+    assert max(groups.values(), default=0) <= 20 and n_hot >= 40
     test_repeated_bytes(docs, rows, nothing)
     monkeypatch.setattr(repeats, "HOT", 1)
     monkeypatch.setattr(repeats, "RANGE_WINDOWS", 50_000)
     test_repeated_bytes(odd, odd_rows, nothing)
+
+
+def test_interleave_of_sorted_shards():
+    """Merged by runs alone, the shards' orders give the order of all, and common prefixes to the byte."""
+    rng = np.random.default_rng(4)
+    rows = rng.choice([0, 1, 97], (400, 24), p=[0.1, 0.1, 0.8]).astype(np.uint8)
+    rows[200:260] = rows[:60]
+    rows[:, :8] = rng.integers(0, 3, 400)[:, None]
+    cuts = [0, 0, 130, 131, 400]
+    shards = [sorted(map(bytes, rows[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    flat = [x for shard in shards for x in shard]
+    words = np.frombuffer(b"".join(flat), ">u8").reshape(-1, 3).T.astype(np.uint64)
+    order, common = repeats.interleaved(words, np.array(cuts))
+    merged = [flat[k] for k in order]
+    assert merged == sorted(flat) and sorted(order.tolist()) == list(range(400))
+    for a, b, n in zip(merged[:-1], merged[1:], common[1:].tolist(), strict=True):
+        alike = next((k for k in range(24) if a[k] != b[k]), 24)
+        assert n == (alike - 8 if a[:8] == b[:8] else -1)

@@ -1,18 +1,19 @@
-"""Removal of byte strings that occur twice, by merging the sparse suffix orders of shards.
+"""Removal of byte strings that occur twice, by merging the sparse transforms of shards.
 
 Every 200-byte window has one anchor: of its 40-byte strings the one with the least hash, the leftmost of equals. Equal
 windows have equal anchors at equal places, so windows are compared among those of one anchor. A shard
-(a block of texts) keeps, for each anchor that is not the only one of its kind, the order's entry: what follows the anchor
-and what precedes it, the column of a Burrows-Wheeler transform taken at anchors alone.
+(a block of texts) keeps an entry for each anchor that is not the only one of its kind, in two orders of its own: by what follows the
+anchor, its sparse suffix order, and by what precedes it, the order of the column that a Burrows-Wheeler transform has there.
 
-A range's task merges the entries of all shards by iterative interleave refinement: entries that are equal so far form an
-interval, each round splits the open intervals by the next symbol of eight bytes, and intervals of one entry are closed. Where
-neighbours part gives their common prefix. The same is done with what precedes. A window reaches o bytes before its anchor and
+A range's task merges the shards' orders by iterative interleave refinement, without sorting suffixes again. A shard's entries that are
+equal so far are a run of its order. The interleave of runs begins with a run for each shard; each round reads eight bytes more, cuts runs
+where those change, and puts the runs of one interval in their order, a shard's before the next one's; an interval of one entry
+is closed. Where neighbours part gives their common prefix. A window reaches o bytes before its anchor and
 200 - o behind: it is repeated when another entry shares both its interval of common prefix 200 - o and
 its interval of common suffix o.
 
-All entries of an anchor meet in one task. A hot anchor, of which there are more than HOT, has no entries: its windows are
-hashed one by one (128 bits) and counted by ranges of those hashes, so that different surroundings part, and
+Anchors are counted by an aggregate of rows, and all entries of an anchor meet in one task. A hot anchor, of which there are more than HOT, has
+no entries: its windows are hashed one by one (128 bits) and counted by ranges of those hashes, so that different surroundings part, and
 of equal windows a block sends one.
 """
 
@@ -23,23 +24,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.arrow import ids_of, ids_stream, mixed, released, span_hashes, text_slices, unzipped, zipped
 from tidewell.llm.packing import gathered
-from tidewell.llm.tokens import edges_and_data
 from tidewell.session import written
 
 #: Bytes of a repeated string, of an anchor, and offsets at which an anchor can lie in a window.
 LENGTH, ANCHOR = 200, 40
 OFFSETS = LENGTH - ANCHOR + 1
+#: Bytes of an entry.
+ENTRY = 8 + LENGTH + OFFSETS - 1 + 2
 #: Bytes of texts in a block; positions that are looked at together.
-BLOCK_BYTES, CHUNK = 8 << 20, 1 << 20
-#: Anchors, and entries, that a range's task holds.
-RANGE_ANCHORS, RANGE_ENTRIES = 4_000_000, 60_000
+BLOCK_BYTES, CHUNK = 4 << 20, 1 << 20
+#: Entries that a range's task holds.
+RANGE_ENTRIES = 60_000
 #: An anchor in more places than this is hot; window hashes that a range's task holds.
 HOT, RANGE_WINDOWS = 4000, 2_000_000
 
@@ -134,23 +135,30 @@ class _Shard:
         distinct = h[head]
         return at, distinct, of, np.bincount(of, minlength=len(distinct)) > 1
 
-    def entries(self, repeated: np.ndarray) -> tuple[np.ndarray, pa.LargeBinaryArray, np.ndarray, np.ndarray]:
-        """Of the anchors whose kind is repeated: their places, the distinct entries in order of hash, each place's entry, and how many have it.
+    def entries(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the anchors whose kind is repeated: their places, the distinct entries in order, each place's entry, and how many have it.
 
-        An entry is: hash (8 bytes, big-endian), least and most offset, the bytes from the first window's start to the last one's end.
+        An entry is a row of bytes: the anchor's hash, what follows up to the last window's end, what precedes down to the first one's
+        start, backwards, both with zeros behind, and the least and most offset of an anchor in its windows.
         """
         which = np.flatnonzero(repeated[self.kind])
-        low, high = self.at[which] - self.last[which], self.at[which] - self.first[which]
-        raw, hashes = self.data.tobytes(), self.hashes[which].astype(">u8").tobytes()
-        spans = zip(low.tolist(), high.tolist(), self.first[which].tolist(), (self.last[which] + LENGTH).tolist(), strict=True)
-        every = [hashes[8 * k : 8 * k + 8] + bytes((i, j)) + raw[a:b] for k, (i, j, a, b) in enumerate(spans)]
-        coded = pa.array(every, pa.large_binary()).dictionary_encode()
-        del every
-        order = np.asarray(pc.sort_indices(coded.dictionary)).astype(np.int64)
+        every = np.zeros((len(which), ENTRY), np.uint8)
+        for k in range(0, len(which), 20_000):
+            part, at = every[k : k + 20_000], self.at[which[k : k + 20_000]]
+            low, high = at - self.last[which[k : k + 20_000]], at - self.first[which[k : k + 20_000]]
+            part[:, :8] = self.hashes[which[k : k + 20_000]].astype(">u8").view(np.uint8).reshape(-1, 8)
+            for place, step, size, reach in ((8, 1, LENGTH, LENGTH - low), (8 + LENGTH, -1, OFFSETS - 1, high)):
+                ahead = np.arange(size)
+                bytes_at = np.clip((at if step > 0 else at - 1)[:, None] + step * ahead, 0, len(self.data) - 1)
+                part[:, place : place + size] = np.where(ahead < reach[:, None], self.data[bytes_at], 0)
+            part[:, -2], part[:, -1] = low, high
+        coded = pa.FixedSizeBinaryArray.from_buffers(pa.binary(ENTRY), len(which), [None, pa.py_buffer(every)]).dictionary_encode()
+        distinct = np.frombuffer(coded.dictionary.buffers()[1], np.uint8)[: len(coded.dictionary) * ENTRY].reshape(-1, ENTRY)
+        order = np.argsort(np.ascontiguousarray(distinct).view(f"S{ENTRY}").reshape(-1), kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         of = rank[coded.indices.to_numpy()] if len(which) else np.zeros(0, np.int64)
-        return which, coded.dictionary.take(pa.array(order)), of, np.bincount(of, minlength=len(order))
+        return which, distinct[order], of, np.bincount(of, minlength=len(order))
 
 
 def _window_hashes(data: np.ndarray, starts: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -178,50 +186,44 @@ def _split(hashes: np.ndarray, ranges: int) -> list[tuple[int, int]]:
     return list(zip(at[:-1], at[1:], strict=True))
 
 
-#: kind 0: states of anchors; 1: bits of entries; 2: of windows of hot anchors. n_hot: places of hot anchors.
-_REPLY = "block long, kind int, part long, reply binary, n_hot long"
-#: States of an anchor.
-_REPEATED, _HOT = 1, 2
+#: kind 0 and 1: a block's repeated anchors and its hot ones; 2: bits of entries; 3: of windows of hot anchors.
+_REPLY = "block long, kind int, part long, reply binary"
+_REPEATED, _HOT, _ENTRIES, _WINDOWS = range(4)
 
 
-def repeated_anchors(blocks: DataFrame, ranges: int) -> DataFrame:
-    """For each block and range of hashes, which of the block's distinct anchors occur twice in all blocks, and which are hot."""
+def repeated_anchors(blocks: DataFrame) -> tuple[DataFrame, int]:
+    """For each block the hashes of those of its anchors that occur twice in all blocks, and of those that are hot; and how many places hot ones have."""
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 shard = _Shard(row)
-                for part, (a, b) in enumerate(_split(shard.distinct, ranges)):
-                    values = [pa.array([row["block"]]), pa.array([part]), pa.array([zipped(shard.distinct[a:b])], pa.binary()), pa.array([zipped(shard.counts[a:b])], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(values, ["block", "part", "hashes", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(shard.distinct), row["block"])), pa.array(shard.distinct.view(np.int64)), pa.array(shard.counts)], ["block", "hash", "n"])
                 released()
 
-    def answer(asked: pa.Table) -> pa.Table:
-        hashes = [unzipped(x, np.uint64) for x in asked.column("hashes").to_pylist()]
-        counts = np.concatenate([unzipped(x, np.int64) for x in asked.column("counts").to_pylist()])
-        ends = np.cumsum([0, *map(len, hashes)])
-        every = np.concatenate(hashes)
-        order = np.argsort(every, kind="stable")
-        head = np.append(True, every[order][1:] != every[order][:-1])[: len(order)]
-        state = np.zeros(len(every), np.uint8)
-        if len(every):
-            totals = np.add.reduceat(counts[order], np.flatnonzero(head))
-            state[order] = ((totals > 1).astype(np.uint8) + (totals > HOT))[np.cumsum(head) - 1]
-        spans = list(zip(ends[:-1], ends[1:], strict=True))
-        n_hot = [int(counts[a:b][state[a:b] == _HOT].sum()) for a, b in spans]
-        return _replies(asked.column("block"), 0, asked.column("part"), [zipped(state[a:b]) for a, b in spans], n_hot)
+    def packed(rows: pa.Table) -> pa.Table:
+        hashes, hot = np.sort(rows.column("hash").to_numpy().view(np.uint64)), rows.column("hot")[0].as_py()
+        return _replies(rows.column("block")[:1], _HOT if hot else _REPEATED, pa.array([0]), [zipped(hashes)])
 
-    asked = blocks.select("block", "text", "offsets", "anchors", "firsts", "lasts").mapInArrow(ask, "block long, part long, hashes binary, counts binary")
-    return asked.groupBy("part").applyInArrow(answer, _REPLY)
+    listed = written(blocks.select("block", "text", "offsets", "anchors", "firsts", "lasts").mapInArrow(listing, "block long, hash long, n long"), "repeat-listed")
+    totals = written(listed.groupBy("hash").agg(F.sum("n").alias("total")).filter("total > 1"), "repeat-totals")
+    found = listed.join(totals, "hash").select("block", "hash", (F.col("total") > HOT).alias("hot"))
+    n_hot = totals.filter(F.col("total") > HOT).agg(F.sum("total")).first()[0] or 0
+    return found.groupBy("block", "hot").applyInArrow(packed, _REPLY), n_hot
 
 
-def _replies(blocks, kind: int, parts, replies: list[bytes], n_hot: list[int] | None = None) -> pa.Table:
+def _replies(blocks, kind: int, parts, replies: list[bytes]) -> pa.Table:
     n = len(replies)
-    return pa.table([blocks, pa.array([kind] * n, pa.int32()), parts, pa.array(replies, pa.binary()), pa.array(n_hot or [0] * n, pa.int64())], names=_names(_REPLY))
+    return pa.table([blocks, pa.array([kind] * n, pa.int32()), parts, pa.array(replies, pa.binary())], names=_names(_REPLY))
 
 
-def _states(answers: pa.Table) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.uint8), *(unzipped(x, np.uint8) for x in _bits(answers, 0))])
+def _states(answers: pa.Table, shard: _Shard) -> np.ndarray:
+    """_REPEATED, _HOT or -1 for each of the shard's distinct anchors."""
+    states = np.full(len(shard.distinct), -1)
+    for kind in (_REPEATED, _HOT):
+        for reply in _bits(answers, kind):
+            states[np.searchsorted(shard.distinct, unzipped(reply, np.uint64))] = kind
+    return states
 
 
 def repeated_hot_windows(blocks: DataFrame, replies: DataFrame, ranges: int) -> DataFrame:
@@ -231,7 +233,8 @@ def repeated_hot_windows(blocks: DataFrame, replies: DataFrame, ranges: int) ->
     def ask(block: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
         for row in block.to_pylist():
-            _, distinct, _, several = _Shard(row).windows(_states(answers) == _HOT)
+            shard = _Shard(row)
+            _, distinct, _, several = shard.windows(_states(answers, shard) == _HOT)
             released()
             out += [(row["block"], part, zipped(distinct[a:b]), zipped(several[a:b])) for part, (a, b) in enumerate(_split(distinct[:, 0], ranges)) if a < b]
         columns = list(zip(*out, strict=True)) or [()] * 4
@@ -246,10 +249,10 @@ def repeated_hot_windows(blocks: DataFrame, replies: DataFrame, ranges: int) ->
         same = (every[order[1:]] == every[order[:-1]]).all(1)
         twice[order[1:][same]] = twice[order[:-1][same]] = True
         released()
-        return _replies(asked.column("block"), 2, asked.column("part"), [zipped(twice[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)])
+        return _replies(asked.column("block"), _WINDOWS, asked.column("part"), [zipped(twice[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)])
 
     left = blocks.select("block", "text", "offsets", "anchors", "firsts", "lasts").groupBy("block")
-    return left.cogroup(replies.filter("kind = 0").groupBy("block")).applyInArrow(ask, schema).groupBy("part").applyInArrow(answer, _REPLY)
+    return left.cogroup(replies.groupBy("block")).applyInArrow(ask, schema).groupBy("part").applyInArrow(answer, _REPLY)
 
 
 def _bits(replies: pa.Table, kind: int) -> list[bytes]:
@@ -258,20 +261,21 @@ def _bits(replies: pa.Table, kind: int) -> list[bytes]:
 
 
 def shard_entries(blocks: DataFrame, replies: DataFrame, ranges: int) -> DataFrame:
-    """Each block's distinct entries by ranges of hashes, in order, with their numbers."""
-    schema = "block long, part long, edges binary, entries binary, counts binary"
+    """Each block's distinct entries by ranges of hashes, in order of what follows, with their numbers and their order by what precedes."""
+    schema = "block long, part long, entries binary, counts binary, backward binary"
 
     def entries(block: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
         for row in block.to_pylist():
             shard = _Shard(row)
-            _, values, _, counts = shard.entries(_states(answers) == _REPEATED)
-            edges, data = edges_and_data(values)
-            hashes = _hashes(edges, data)
+            _, values, _, counts = shard.entries(_states(answers, shard) == _REPEATED)
             released()
-            for part, (a, b) in enumerate(_split(hashes, ranges)):
+            for part, (a, b) in enumerate(_split(_hashes(values), ranges)):
                 if a < b:
-                    out.append((row["block"], part, zipped(edges[a : b + 1] - edges[a]), zipped(data[edges[a] : edges[b]]), zipped(counts[a:b])))
+                    own = values[a:b]
+                    column = np.concatenate([own[:, :8], own[:, 8 + LENGTH : -2]], 1)
+                    backward = np.argsort(column.view(f"S{column.shape[1]}").reshape(-1), kind="stable")
+                    out.append((row["block"], part, zipped(own), zipped(counts[a:b]), zipped(backward)))
         columns = list(zip(*out, strict=True)) or [()] * 5
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=_names(schema))
@@ -280,62 +284,73 @@ def shard_entries(blocks: DataFrame, replies: DataFrame, ranges: int) -> DataFra
     return left.cogroup(replies.groupBy("block")).applyInArrow(entries, schema)
 
 
-def _hashes(edges: np.ndarray, data: np.ndarray) -> np.ndarray:
-    if len(edges) < 2:
-        return np.zeros(0, np.uint64)
-    return data[edges[:-1, None] + np.arange(8)].copy().view(">u8").reshape(-1).astype(np.uint64)
+def _hashes(entries: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(entries[:, :8]).view(">u8").reshape(-1).astype(np.uint64)
+
+
+def _symbols(entries: np.ndarray, first: int, size: int) -> np.ndarray:
+    """The hash and ``size`` bytes from ``first`` on, as words of eight bytes, a row for each."""
+    out = np.zeros((len(entries), 8 + -(-size // 8) * 8), np.uint8)
+    out[:, :8], out[:, 8 : 8 + size] = entries[:, :8], entries[:, first : first + size]
+    return out.view(">u8").T.astype(np.uint64)
 
 
-def refined(group: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The merged order of entries, and what each has in common with the one before, in bytes; -1 where the group changes.
+def interleaved(symbols: np.ndarray, shards: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The merged order of entries, and what each has in common with the one before, in bytes; -1 where the hash changes.
 
-    symbols: a row of big-endian 8-byte words for each entry. Intervals of equal entries are refined word by word.
+    symbols: rows of words, of all shards' entries one shard after the other, each shard's in its own order of those words, the hash first.
+    shards: where each shard's begin, and their end. Only runs of a shard's order are moved, never entries of one against each other.
     """
-    n = len(group)
-    order = np.argsort(group, kind="stable")
-    common = np.full(n, 8 * symbols.shape[1], np.int64)
-    start = np.append(True, group[order][1:] != group[order][:-1])[:n]
-    common[start] = -1
-    for j in range(symbols.shape[1]):
-        alone = start & np.append(start[1:], True)[:n]
-        open_at = np.flatnonzero(~alone)
-        if not len(open_at):
+    n = len(symbols[0])
+    common = np.full(n, 8 * (len(symbols) - 1), np.int64)
+    first, size = shards[:-1][np.diff(shards) > 0], np.diff(shards)[np.diff(shards) > 0]  # the runs, in the order of the interleave
+    new = np.zeros(len(first), bool)  # whether an interval begins with a run
+    new[:1] = True
+    common[:1] = -1
+    for j, words in enumerate(symbols):
+        held = np.add.reduceat(size, np.flatnonzero(new)) if len(new) else np.zeros(0, np.int64)
+        is_open = np.repeat(held > 1, np.diff(np.append(np.flatnonzero(new), len(new))))
+        if not is_open.any():
             break
-        interval = np.cumsum(start)[open_at]
-        word = symbols[order[open_at], j]
-        by = np.lexsort((word, interval))
-        order[open_at], word = order[open_at][by], word[by]
-        parts = np.append(False, (word[1:] != word[:-1]) & (interval[1:] == interval[:-1]))
-        where = np.flatnonzero(parts)
-        differ = word[where] ^ word[where - 1]
-        same = np.zeros(len(where), np.int64)
-        for bits in (32, 16, 8):  # equal leading bytes
-            high = differ >> np.uint64(64 - bits) == 0
-            same += np.where(high, bits // 8, 0)
-            differ = np.where(high, differ << np.uint64(bits), differ)
-        common[open_at[where]] = 8 * j + same
-        start[open_at[where]] = True
-    return order, common
-
-
-def repeated_windows(edges: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        a, length = first[is_open], size[is_open]
+        at = gathered(a, length, np.arange(n))
+        head = np.zeros(len(at), bool)
+        head[np.cumsum(length) - length] = True
+        word = words[at]
+        head[1:] |= word[1:] != word[:-1]
+        cut = np.flatnonzero(head)
+        interval = np.repeat(np.cumsum(new)[is_open], length)[cut]
+        order = np.lexsort((word[cut], interval))  # runs alone; a stable order keeps shards in theirs
+        part_first, part_size, part_word, part_interval = at[cut][order], np.diff(np.append(cut, len(at)))[order], word[cut][order], interval[order]
+        begins = np.append(True, part_interval[1:] != part_interval[:-1])
+        parts = np.append(False, part_word[1:] != part_word[:-1]) & ~begins
+        # Runs of open intervals take their places in the interleave again.
+        owner = np.cumsum(new)
+        every = np.concatenate([owner[~is_open], part_interval])
+        place = np.argsort(every, kind="stable")
+        first, size = (np.concatenate(x)[place] for x in ((first[~is_open], part_first), (size[~is_open], part_size)))
+        split = np.concatenate([np.zeros((~is_open).sum(), bool), parts])[place]
+        owner = every[place]
+        new = np.append(True, owner[1:] != owner[:-1]) | split
+        begin = (np.cumsum(size) - size)[split]
+        common[begin] = -1 if j == 0 else 8 * (j - 1)
+        if j:
+            differ = (part_word[np.flatnonzero(parts)] ^ part_word[np.flatnonzero(parts) - 1])
+            for bits in (32, 16, 8):  # equal leading bytes
+                high = differ >> np.uint64(64 - bits) == 0
+                common[begin] += np.where(high, bits // 8, 0)
+                differ = np.where(high, differ << np.uint64(bits), differ)
+    return gathered(first, size, np.arange(n)), common
+
+
+def repeated_windows(entries: np.ndarray, counts: np.ndarray, backward: np.ndarray, shards: np.ndarray) -> np.ndarray:
     """For each entry and offset 0 to 160 whether the entry's window there occurs in another entry, or the entry twice."""
-    n = len(edges) - 1
-    group = _hashes(edges, data)
-    low, high = data[edges[:-1] + 8].astype(np.int64), data[edges[:-1] + 9].astype(np.int64)
-    body = edges[:-1] + 10
-    after, before = np.zeros((n, LENGTH), np.uint8), np.zeros((n, OFFSETS + 7), np.uint8)
-    for k in range(LENGTH):
-        has = k < LENGTH - low
-        after[has, k] = data[body[has] + high[has] + k]
-    for k in range(OFFSETS - 1):
-        has = k < high
-        before[has, k] = data[body[has] + high[has] - 1 - k]
+    n = len(entries)
+    low, high = entries[:, -2].astype(np.int64), entries[:, -1].astype(np.int64)
+    sides = [interleaved(_symbols(entries, 8, LENGTH), shards)]
+    order, common = interleaved(_symbols(entries[backward], 8 + LENGTH, OFFSETS - 1), shards)
+    sides.append((backward[order], common))
     out = np.zeros((n, OFFSETS), bool)
-    sides = []
-    for side in (after, before[:, : OFFSETS + 7 - (OFFSETS + 7) % 8]):
-        order, common = refined(group, np.ascontiguousarray(side).view(">u8").astype(np.uint64))
-        sides.append((order, common))
     ids = [np.empty(n, np.int64) for _ in range(2)]
     for o in range(OFFSETS):
         for k, depth in ((0, LENGTH - o), (1, o)):
@@ -358,15 +373,14 @@ def merged_intervals(entries: DataFrame) -> DataFrame:
 
     def merge(shards: pa.Table) -> pa.Table:
         rows = sorted(shards.to_pylist(), key=lambda r: r["block"])
-        edges = [unzipped(r["edges"], np.int64) for r in rows]
-        sizes = np.cumsum([0, *(e[-1] for e in edges)])
-        ends = np.cumsum([0, *(len(e) - 1 for e in edges)])
-        every = np.append(np.concatenate([e[:-1] + s for e, s in zip(edges, sizes[:-1], strict=True)]), sizes[-1])
-        found = repeated_windows(every, np.concatenate([unzipped(r["entries"], np.uint8) for r in rows]), np.concatenate([unzipped(r["counts"], np.int64) for r in rows]))
+        own = [unzipped(r["entries"], np.uint8).reshape(-1, ENTRY) for r in rows]
+        ends = np.cumsum([0, *map(len, own)])
+        backward = np.concatenate([unzipped(r["backward"], np.int64) + a for r, a in zip(rows, ends[:-1], strict=True)])
+        found = repeated_windows(np.concatenate(own), np.concatenate([unzipped(r["counts"], np.int64) for r in rows]), backward, ends)
         bits = np.packbits(found, axis=1)
         released()
         replies = [zipped(bits[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        return _replies(pa.array([r["block"] for r in rows]), 1, pa.array([r["part"] for r in rows]), replies)
+        return _replies(pa.array([r["block"] for r in rows]), _ENTRIES, pa.array([r["part"] for r in rows]), replies)
 
     return entries.groupBy("part").applyInArrow(merge, _REPLY)
 
@@ -376,12 +390,13 @@ def without_repeated_bytes(docs: DataFrame) -> DataFrame:
 
     A byte goes when a 200-byte string of its text that covers it also starts anywhere else, in the same text or another; all
     are judged on the input. Texts below 200 bytes, null and empty ones stay. Rows that repeat a text lose all of it if it
-    has 200 bytes. ``kept`` can end within a character: it is binary. Other columns are left out.
+    has 200 bytes. An empty table gives an empty one; a text longer than a block is a block alone. ``kept`` can end within a character:
+    it is binary. Other columns are left out.
     """
     blocks = written(text_blocks(docs), "repeat-blocks")
     total = blocks.agg(F.sum("n_anchors")).first()[0] or 0
-    first = written(repeated_anchors(blocks, max(1, -(-total // RANGE_ANCHORS))), "repeat-anchors")
-    n_hot = first.agg(F.sum("n_hot")).first()[0] or 0
+    first, n_hot = repeated_anchors(blocks)
+    first = written(first, "repeat-anchors")
     entries = written(shard_entries(blocks, first, max(1, -(-total // (4 * RANGE_ENTRIES)))), "repeat-entries")
     replies = first.unionByName(written(merged_intervals(entries), "repeat-intervals"))
     if n_hot:
@@ -395,9 +410,9 @@ def without_repeated_bytes(docs: DataFrame) -> DataFrame:
         tables = []
         for row in block.to_pylist():
             shard = _Shard(row)
-            states = _states(answers)
+            states = _states(answers, shard)
             which, _, of, _ = shard.entries(states == _REPEATED)
-            bits = [unzipped(x, np.uint8).reshape(-1, -(-OFFSETS // 8)) for x in _bits(answers, 1)]
+            bits = [unzipped(x, np.uint8).reshape(-1, -(-OFFSETS // 8)) for x in _bits(answers, _ENTRIES)]
             found = np.unpackbits(np.concatenate(bits), axis=1, count=OFFSETS) if bits else np.zeros((0, OFFSETS), np.uint8)
             change = np.zeros(len(shard.data) + 1, np.int32)
             for k in range(0, len(which), 10_000):
@@ -407,7 +422,7 @@ def without_repeated_bytes(docs: DataFrame) -> DataFrame:
                 change[start + LENGTH] -= 1
             if (states == _HOT).any():
                 start, _, of, _ = shard.windows(states == _HOT)
-                start = start[np.concatenate([unzipped(x, bool) for x in _bits(answers, 2)])[of]]
+                start = start[np.concatenate([unzipped(x, bool) for x in _bits(answers, _WINDOWS)])[of]]
                 change[start] += 1
                 change[start + LENGTH] -= 1
             gone = np.cumsum(change[:-1]) > 0
