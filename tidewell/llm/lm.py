@@ -1,13 +1,16 @@
 """Language-model scores: exact unigram counts, and a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | before) = P(class | before) * P(word | class). A word's class is a hash of its last two bytes. The first
-factor is a softmax over classes, whose logits are sums of weights of hashed features: the word before, the
-classes of the two words before, and the classes of the second and third before (a skip). The second factor is the
-softmax of a feature for each word, which training solves by its count. Unknown words share one place in each class.
-
-Texts are kept as coded blocks: distinct words, as 64-bit hashes, and codes of all tokens. Each block asks for its words'
-counts by ranges of hashes; a range's task sums what all blocks have and answers each of them. Gradient
-updates are made by tasks on their blocks, in rounds; between rounds a feature's moves are averaged over the tasks that saw it.
+P(word | before) = P(class | before) * P(word | class, before). A word's class is a hash of its last two bytes. The first
+factor is a softmax over classes, the second one over the words of the class: each of its SLOTS - 1 most frequent words and one place for all
+others. Logits begin as logs of counts; on them come weights of hashed features, learned by gradient: for the class the
+word before, the classes of the two words before, and those of the second and third before (a skip); for the word
+in its class the word before and, as a skip, the second before. Words that share a place share it by their counts, unknown
+ones as one.
+
+Texts are kept as coded blocks: distinct words, as 64-bit hashes, and codes of all tokens. Words are counted by an aggregate over rows
+(hash, count), and counts go back by a join to the blocks that share the word; what one block alone has it
+counts itself. Gradient updates are made by tasks on their blocks, in rounds; between rounds a feature's moves are
+averaged over the tasks that saw it. The number of features grows with the tokens learned from, up to MAX_BITS.
 """
 
 from __future__ import annotations
@@ -21,24 +24,27 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.arrow import ids_of, ids_stream, lowered, released, span_hashes, text_slices, unzipped, word_spans, zipped
+from tidewell.llm.arrow import ids_of, ids_stream, lowered, mixed, released, span_hashes, text_slices, unzipped, word_spans, zipped
 from tidewell.session import written
 
-#: Classes (a power of two: the low bits of a word's hash name it), buckets of each template, and templates.
-CLASSES, BUCKETS, TEMPLATES = 32, 4096, 3
-#: Rounds of updates, each on its share of the blocks; tokens of a batch; step size.
-ROUNDS, BATCH, RATE = 2, 1 << 14, 0.2
-#: Distinct words of blocks that a range's task holds.
-RANGE_WORDS = 1_500_000
-#: Rows of weights that travel together, and parts in which they are summed before the last sum.
-PACKET, SUM_PARTS = 256, 64
+#: Classes (a power of two: the low bits of a word's hash name it), places in a class, and features of either softmax.
+CLASSES, SLOTS, TEMPLATES = 32, 64, (3, 2)
+#: Buckets of a feature: two to the power of half the bits of the number of tokens learned from and one, within these bounds. The
+#: upper one keeps the weights, which are broadcast, below 180 MB.
+MIN_BITS, MAX_BITS = 12, 17
+#: Rounds of updates, each on its share of the blocks; tokens of a batch; step size, and past gradients that a feature begins with.
+ROUNDS, BATCH, RATE, PRIOR = 2, 1 << 14, 0.2, 0.25
+#: Bytes of texts in a block; rows of weights that travel together, and parts in which they are summed before the last sum.
+BLOCK_BYTES, PACKET, SUM_PARTS = 4 << 20, 256, 64
+#: Blocks from which a task learns before its moves are averaged with those of others.
+TASK_BLOCKS = 8
 
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 #: The token that ends every text, in class 0; no word has its hash but by chance.
 END = np.uint64(0xE2D0_0000_0000_0000)
 
-_BLOCK = "block long, n_words long, rows binary, train binary, ends binary, codes binary, hashes binary, counts binary"
+_BLOCK = "block long, n_train long, rows binary, train binary, ends binary, codes binary, hashes binary, counts binary"
 
 
 def word_ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,18 +62,22 @@ def word_ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, edges
 
 
+def classes_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(CLASSES - 1)).astype(np.int64)
+
+
 def coded_blocks(docs: DataFrame, train: Column) -> DataFrame:
     """Blocks of rows with their distinct words in order of hash, how often each is in rows to learn from, and all codes."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = (TaskContext.get().partitionId() + 1) << 32
-        for k, (rows, data, offsets) in enumerate(text_slices(batches)):
+        for k, (rows, data, offsets) in enumerate(text_slices(batches, limit=BLOCK_BYTES)):
             tokens, ends = word_ids(data, offsets)
             learn = rows.column("train").to_numpy(zero_copy_only=False).astype(bool)
             hashes, codes = np.unique(tokens, return_inverse=True)
             counts = np.bincount(codes[np.repeat(learn, np.diff(ends))], minlength=len(hashes))
             binary = [ids_stream(rows), *map(zipped, (learn, ends, codes.astype(np.int32), hashes, counts.astype(np.int64)))]
-            yield pa.RecordBatch.from_arrays([pa.array([first + k]), pa.array([len(hashes)]), *(pa.array([b], pa.binary()) for b in binary)], _names(_BLOCK))
+            yield pa.RecordBatch.from_arrays([pa.array([first + k]), pa.array([int(counts.sum())]), *(pa.array([b], pa.binary()) for b in binary)], _names(_BLOCK))
 
     return docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train")).mapInArrow(code, _BLOCK)
 
@@ -76,183 +86,207 @@ def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
-def global_counts(blocks: DataFrame, ranges: int) -> DataFrame:
-    """block, part, counts: the counts over all blocks of a block's words whose hashes are in a range, in order.
-
-    A row of block -1 for each range has the tokens and the distinct words of each class.
-    """
+def word_counts(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """hash, total, blocks of every distinct word; and block, hash, total of the words that several blocks have."""
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                hashes, counts = unzipped(row["hashes"], np.uint64), unzipped(row["counts"], np.int64)
-                at = np.searchsorted(hashes, _range_edges(ranges))
-                at = np.append(at, len(hashes))
-                parts = [(zipped(hashes[a:b]), zipped(counts[a:b])) for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["block"]] * ranges), pa.array(np.arange(ranges)), *(pa.array(c, pa.binary()) for c in zip(*parts, strict=True))],
-                    ["block", "part", "hashes", "counts"],
-                )
-
-    def answer(asked: pa.Table) -> pa.Table:
-        hashes = [unzipped(x, np.uint64) for x in asked.column("hashes").to_pylist()]
-        counts = [unzipped(x, np.int64) for x in asked.column("counts").to_pylist()]
-        distinct, at = np.unique(np.concatenate(hashes), return_inverse=True)
-        total = np.bincount(at, np.concatenate(counts).astype(np.float64), len(distinct)).astype(np.int64)
-        ends = np.cumsum([0, *map(len, hashes)])
-        replies = [zipped(total[at[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        known, kind = total > 0, (distinct & np.uint64(CLASSES - 1)).astype(np.int64)
-        stats = np.concatenate([np.bincount(kind, total, CLASSES), np.bincount(kind[known], minlength=CLASSES)]).astype(np.int64)
-        part = asked.column("part")[0].as_py()
-        released()
-        blocks = [*asked.column("block").to_pylist(), -1]
-        return pa.table({"block": pa.array(blocks, pa.int64()), "part": pa.array([part] * len(blocks), pa.int64()), "counts": pa.array([*replies, zipped(stats)], pa.binary())})
-
-    asked = blocks.select("block", "hashes", "counts").mapInArrow(ask, "block long, part long, hashes binary, counts binary")
-    return asked.groupBy("part").applyInArrow(answer, "block long, part long, counts binary")
-
-
-def _range_edges(ranges: int) -> np.ndarray:
-    return np.array([(k << 64) // ranges for k in range(ranges)], np.uint64)
-
-
-def features(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A bucket of each template for every token; what would stand before the text is bucket or class 0."""
-    n = len(hashes)
-    place = np.arange(n) - np.repeat(ends[:-1], np.diff(ends))
-    classes = (hashes & np.uint64(CLASSES - 1)).astype(np.int64) + 1
-    before = [np.zeros(n, np.int64) for _ in range(3)]
-    for k in (1, 2, 3):
-        before[k - 1][k:] = np.where(place[k:] >= k, classes[:-k], 0)
-    out = np.zeros((TEMPLATES, n), np.int64)
-    out[0, 1:] = np.where(place[1:] > 0, (hashes[:-1] >> np.uint64(40)).astype(np.int64) % (BUCKETS - 1) + 1, 0)
-    out[1] = (before[0] * (CLASSES + 1) + before[1]) * 0x9E3779B1 % 0xFFFFFFFB % BUCKETS
-    out[2] = (before[1] * (CLASSES + 1) + before[2] + 7) * 0x85EBCA6B % 0xFFFFFFFB % BUCKETS
-    return out
+                hashes = unzipped(row["hashes"], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), row["block"])), pa.array(hashes), pa.array(unzipped(row["counts"], np.int64))], ["block", "hash", "n"])
+
+    listed = blocks.select("block", "hashes", "counts").mapInArrow(listing, "block long, hash long, n long")
+    totals = written(listed.groupBy("hash").agg(F.sum("n").alias("total"), F.count("*").alias("blocks")), "lm-totals")
+    return totals, listed.select("block", "hash").join(totals.filter("blocks > 1"), "hash").select("block", "hash", "total")
 
 
 class Model:
-    """Weights of all buckets and a bias, of each class."""
-
-    def __init__(self) -> None:
-        self.weights = np.zeros((TEMPLATES * BUCKETS + 1, CLASSES), np.float32)
-
-    def logits(self, of: np.ndarray) -> np.ndarray:
-        z = self.weights[-1] + self.weights[of[0]]
-        for j in range(1, TEMPLATES):
-            z += self.weights[j * BUCKETS + of[j]]
-        z -= z.max(1, keepdims=True)
-        return z
-
-    def log10(self, of: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        out = np.empty(len(classes))
-        for k in range(0, len(classes), BATCH):
-            z, c = self.logits(of[:, k : k + BATCH]), classes[k : k + BATCH]
-            out[k : k + BATCH] = (z[np.arange(len(c)), c] - np.log(np.exp(z).sum(1))) / math.log(10)
+    """Weights of both softmaxes, a row for each bucket of each feature and below them the biases, and what the counts give."""
+
+    def __init__(self, totals: np.ndarray, distinct: np.ndarray, frequent: list[tuple[int, int]], size: int = SLOTS):
+        """totals, distinct: tokens and words of each class; frequent: (hash, count) of the most frequent words, in that order."""
+        self.size, self.n, self.v = size, int(totals.sum()), int(distinct.sum())
+        bits = min(MAX_BITS, max(MIN_BITS, self.n.bit_length() // 2 + 1))
+        self.buckets = 1 << bits
+        used, slots = np.zeros(CLASSES, np.int64), np.zeros((CLASSES, size))
+        own: list[tuple[int, int]] = []
+        for word, count in frequent:
+            kind = word % CLASSES
+            if used[kind] < size - 1:
+                own.append((word, int(used[kind])))
+                slots[kind, used[kind]] = count
+                used[kind] += 1
+        own.sort()
+        self.own, self.place = np.array([w for w, _ in own], np.uint64), np.array([k for _, k in own], np.int64)
+        self.rest, self.rest_words = totals - slots.sum(1), distinct - used
+        slots[:, -1] = self.rest + 0.5 * (self.rest_words + 1)
+        self.weights = [np.zeros((t * self.buckets + rows, width), np.float32) for t, rows, width in zip(TEMPLATES, (1, CLASSES), (CLASSES, size), strict=True)]
+        self.weights[0][-1] = np.log(totals + 0.5)
+        with np.errstate(divide="ignore"):
+            self.weights[1][-CLASSES:] = np.maximum(np.log(slots), -60)  # places without a word
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each word in its class."""
+        out = np.full(len(hashes), self.size - 1)
+        if len(self.own):
+            at = np.minimum(np.searchsorted(self.own, hashes), len(self.own) - 1)
+            out = np.where(self.own[at] == hashes, self.place[at], out)
+        return out
+
+    def rows(self, hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of both weights for every token, biases last; what would stand before the text is word and class 0."""
+        n, b = len(hashes), self.buckets
+        place = np.arange(n) - np.repeat(ends[:-1], np.diff(ends))
+        words, classes = (np.zeros((3, n), np.uint64) for _ in range(2))
+        for k in (1, 2, 3):
+            words[k - 1, k:] = np.where(place[k:] >= k, hashes[:-k], np.uint64(0))
+            classes[k - 1, k:] = np.where(place[k:] >= k, (hashes[:-k] & np.uint64(CLASSES - 1)) + np.uint64(1), np.uint64(0))
+        kind = hashes & np.uint64(CLASSES - 1)
+        many, mask = np.uint64(CLASSES + 1), np.uint64(b - 1)
+        bucket = lambda x, salt: (mixed(x + np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64)) & mask).astype(np.int64)
+        first = np.stack([bucket(words[0], 1), b + bucket(classes[0] * many + classes[1], 2), 2 * b + bucket(classes[1] * many + classes[2], 3), np.full(n, 3 * b)])
+        second = np.stack([bucket(mixed(words[0]) + kind, 4), b + bucket(mixed(words[1]) + kind, 5), 2 * b + kind.astype(np.int64)])
+        return first, second
+
+    def log10(self, rows: tuple[np.ndarray, np.ndarray], targets: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Of every token the log10 probability of its class and of its place there."""
+        out = np.zeros(len(targets[0]))
+        for weights, of, target in zip(self.weights, rows, targets, strict=True):
+            for k in range(0, len(out), BATCH):
+                z, t = _logits(weights, of[:, k : k + BATCH]), target[k : k + BATCH]
+                out[k : k + BATCH] += (z[np.arange(len(t)), t] - np.log(np.exp(z).sum(1))) / math.log(10)
         return out
 
-    def learn(self, of: np.ndarray, classes: np.ndarray, past: np.ndarray) -> None:
-        """Gradient steps of a size that falls with the past gradients of each row."""
-        for k in range(0, len(classes), BATCH):
-            part, c = of[:, k : k + BATCH], classes[k : k + BATCH]
-            p = self.logits(part)
-            np.exp(p, out=p)
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(c)), c] -= 1
-            self.weights[-1] -= RATE * p.mean(0)
-            for j in range(TEMPLATES):
-                order = np.argsort(part[j].astype(np.int16), kind="stable")
-                row = part[j][order]
-                at = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-                gradient, row = np.add.reduceat(p[order], at), row[at] + j * BUCKETS
-                past[row] += (gradient * gradient).mean(1)
-                self.weights[row] -= RATE * gradient / np.sqrt(past[row])[:, None]
+    def shares(self, hashes: np.ndarray, counts: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """log10 of a word's share of its place: all of it, or by counts among the words that have none of their own."""
+        kind = classes_of(hashes)
+        return np.where(places < self.size - 1, 0.0, np.log10((counts + 0.5) / (self.rest + 0.5 * (self.rest_words + 1))[kind]))
+
+
+def _logits(weights: np.ndarray, of: np.ndarray) -> np.ndarray:
+    z = weights[of[0]]
+    for row in of[1:]:
+        z += weights[row]
+    z -= z.max(1, keepdims=True)
+    return z
+
+
+def learn(weights: np.ndarray, past: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
+    """Gradient steps of a size that falls with the past gradients of each row; biases, the last of ``rows``, stay as they are."""
+    for k in range(0, len(target), BATCH):
+        part, t = rows[:, k : k + BATCH], target[k : k + BATCH]
+        p = _logits(weights, part)
+        np.exp(p, out=p)
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(len(t)), t] -= 1
+        for row in part[:-1]:
+            low = row.min()
+            order = np.argsort((row - low).astype(np.uint16 if row.max() - low < 1 << 16 else np.uint32), kind="stable")
+            row = row[order]
+            at = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            gradient, row = np.add.reduceat(p[order], at), row[at]
+            past[row] += (gradient * gradient).mean(1)
+            weights[row] -= RATE * gradient / np.sqrt(past[row])[:, None]
 
 
 def _learned(blocks: DataFrame, model: Model) -> DataFrame:
-    held = blocks.sparkSession.sparkContext.broadcast(model.weights)
-    schema = "packet int, salt int, seen binary, moved binary"
+    """Sums of the moves of all tasks by packets of rows, and how many tasks moved a row."""
+    held = blocks.sparkSession.sparkContext.broadcast(model)
+    schema = "softmax int, packet int, salt int, seen binary, moved binary"
 
     def update(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        local, n = Model(), 0
-        local.weights = held.value.copy()
-        past = np.full(len(local.weights), 1e-2, np.float32)
+        model, tokens = held.value, 0
+        weights = [w.copy() for w in model.weights]
+        past = [np.full(len(w), PRIOR, np.float32) for w in weights]
         for batch in batches:
             for row in batch.to_pylist():
-                ends, learn = unzipped(row["ends"], np.int64), unzipped(row["train"], bool)
+                ends, train = unzipped(row["ends"], np.int64), unzipped(row["train"], bool)
                 hashes = unzipped(row["hashes"], np.uint64)[unzipped(row["codes"], np.int32)]
-                keep = np.repeat(learn, np.diff(ends))
-                of = features(hashes, ends)[:, keep]
-                local.learn(of, (hashes[keep] & np.uint64(CLASSES - 1)).astype(np.int64), past)
-                n += int(keep.sum())
+                keep = np.repeat(train, np.diff(ends))
+                own = hashes[keep]
+                for w, p, rows, target in zip(weights, past, model.rows(hashes, ends), (classes_of(own), model.places(own)), strict=True):
+                    learn(w, p, rows[:, keep], target)
+                tokens += len(own)
                 released()
-        if n:
-            moved, seen = local.weights - held.value, past > 1e-2
-            seen[-1] = True
-            packets = range(0, len(moved), PACKET)
-            columns = [pa.array([k // PACKET for k in packets], pa.int32()), pa.array([TaskContext.get().partitionId() % SUM_PARTS] * len(packets), pa.int32())]
-            columns += [pa.array([zipped(x[k : k + PACKET]) for k in packets], pa.binary()) for x in (seen.astype(np.int32), moved)]
+        salt = TaskContext.get().partitionId() % SUM_PARTS
+        for k in range(2 if tokens else 0):
+            moved, seen = weights[k] - model.weights[k], past[k] > PRIOR
+            packets = [j for j in range(0, len(moved), PACKET) if seen[j : j + PACKET].any()]
+            columns = [pa.array([x] * len(packets), pa.int32()) for x in (k, salt)]
+            columns = [columns[0], pa.array([j // PACKET for j in packets], pa.int32()), columns[1]]
+            columns += [pa.array([zipped(x[j : j + PACKET]) for j in packets], pa.binary()) for x in (seen.astype(np.int32), moved.astype(np.float16))]
             yield pa.RecordBatch.from_arrays(columns, _names(schema))
 
-    def added(parts: pa.Table) -> pa.Table:
-        seen = sum(unzipped(x, np.int32) for x in parts.column("seen").to_pylist())
-        moved = sum(unzipped(x, np.float32) for x in parts.column("moved").to_pylist())
-        first = [parts.column(c)[:1] for c in ("packet", "salt")]
-        return pa.table([*first, pa.array([zipped(seen)], pa.binary()), pa.array([zipped(moved)], pa.binary())], names=_names(schema))
-
-    moves = blocks.select("train", "ends", "codes", "hashes").mapInArrow(update, schema)
-    return moves.groupBy("packet", "salt").applyInArrow(added, schema).groupBy("packet").applyInArrow(added, schema)
+    def added(kind: type):
+        def add(parts: pa.Table) -> pa.Table:
+            seen = sum(unzipped(x, np.int32) for x in parts.column("seen").to_pylist())
+            moved = sum(unzipped(x, kind).astype(np.float32) for x in parts.column("moved").to_pylist())
+            first = [parts.column(c)[:1] for c in ("softmax", "packet", "salt")]
+            return pa.table([*first, pa.array([zipped(seen)], pa.binary()), pa.array([zipped(moved)], pa.binary())], names=_names(schema))
 
+        return add
 
-def trained(blocks: DataFrame) -> Model:
-    """A model that has learned once from every row to learn from; its size is fixed."""
-    model = Model()
+    moves = blocks.select("train", "ends", "codes", "hashes").mapInArrow(update, schema)
+    keys = ["softmax", "packet"]
+    return moves.groupBy(*keys, "salt").applyInArrow(added(np.float16), schema).groupBy(*keys).applyInArrow(added(np.float32), schema)
+
+
+def trained(blocks: DataFrame, totals: DataFrame, size: int = SLOTS) -> Model:
+    """A model that has learned once from every row to learn from."""
+    known = F.count(F.when(F.col("total") > 0, 1))
+    by_class = totals.groupBy(F.col("hash").bitwiseAND(CLASSES - 1).alias("class")).agg(F.sum("total").alias("total"), known.alias("distinct"))
+    sums = np.zeros((2, CLASSES), np.int64)
+    for row in by_class.collect():  # a row for each class
+        sums[:, row["class"]] = row["total"], row["distinct"]
+    # A class's frequent words are among so many of all, or have to do with fewer places.
+    frequent = totals.filter("total > 0").orderBy(F.desc("total"), "hash").limit(4 * CLASSES * size).collect()
+    model = Model(*sums, [(r["hash"] % 2**64, r["total"]) for r in frequent], size)
+    tasks = max(1, blocks.count() // (ROUNDS * TASK_BLOCKS))
     for k in range(ROUNDS):
-        part = blocks.filter(F.pmod(F.xxhash64("block"), F.lit(ROUNDS)) == k)
-        for row in _learned(part, model).collect():  # the weights: a fixed number of packets
-            seen, moved = unzipped(row["seen"], np.int32), unzipped(row["moved"], np.float32).reshape(-1, CLASSES)
-            model.weights[row["packet"] * PACKET :][: len(moved)] += moved / np.maximum(seen, 1)[:, None]
+        part = blocks.filter(F.pmod(F.xxhash64("block"), F.lit(ROUNDS)) == k).coalesce(tasks)
+        for row in _learned(part, model).collect():  # the weights: a bounded number of packets
+            weights = model.weights[row["softmax"]]
+            seen, moved = unzipped(row["seen"], np.int32), unzipped(row["moved"], np.float32).reshape(-1, weights.shape[1])
+            weights[row["packet"] * PACKET :][: len(moved)] += moved / np.maximum(seen, 1)[:, None]
     return model
 
 
-def lm_scores(docs: DataFrame, train: Column) -> DataFrame:
+def lm_scores(docs: DataFrame, train: Column, size: int = SLOTS) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row, learned from the rows where ``train`` holds.
 
     A null text is empty: its one token is the end. Without a row to learn from, all words are unknown. Repeated
-    rows are scored alike and count each. base_score is the unigram's, score the model's log10 probability of the text.
+    rows are scored alike and count each; an empty table gives an empty one; a text longer than a block is a block alone. Other columns
+    are left out. base_score is the unigram's, score the model's log10 probability of the text.
     """
     blocks = written(coded_blocks(docs, train), "lm-blocks")
-    ranges = max(1, -(-(blocks.agg(F.sum("n_words")).first()[0] or 0) // RANGE_WORDS))
-    counts = written(global_counts(blocks, ranges), "lm-counts")
-    totals = np.zeros(2 * CLASSES, np.int64)
-    for row in counts.filter("block = -1").toLocalIterator():  # one short row a range
-        totals += unzipped(row["counts"], np.int64)
-    in_class, words_in_class = totals[:CLASSES], totals[CLASSES:]
-    n, v = int(in_class.sum()), int(words_in_class.sum())
-    held = docs.sparkSession.sparkContext.broadcast(trained(blocks))
+    totals, replies = word_counts(blocks)
+    return scores(docs, blocks, replies, trained(blocks, totals, size))
+
+
+def scores(docs: DataFrame, blocks: DataFrame, replies: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``lm_scores`` by a model that has been trained. ``docs`` gives the type of doc_id."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
     id_type = docs.select("doc_id").limit(0).toArrow().schema.field(0).type
     schema = f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def score(block: pa.Table, replies: pa.Table) -> pa.Table:
-        out = []
-        replies = replies.sort_by("part")
+        out, model = [], held.value
         for row in block.to_pylist():
-            count = np.concatenate([unzipped(x, np.int64) for x in replies.column("counts").to_pylist()])
             codes, ends = unzipped(row["codes"], np.int32), unzipped(row["ends"], np.int64)
-            hashes = unzipped(row["hashes"], np.uint64)
-            kinds = (hashes & np.uint64(CLASSES - 1)).astype(np.int64)
-            base = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
-            within = np.log10((count + 0.5) / (in_class[kinds] + 0.5 * (words_in_class[kinds] + 1)))
-            full = held.value.log10(features(hashes[codes], ends), kinds[codes]) + within[codes]
+            hashes, count = unzipped(row["hashes"], np.uint64), unzipped(row["counts"], np.int64).copy()
+            count[np.searchsorted(hashes, replies.column("hash").to_numpy().view(np.uint64))] = replies.column("total").to_numpy()
+            places = model.places(hashes)
+            base = np.log10((count + 0.5) / (model.n + 0.5 * (model.v + 1)))
+            full = model.log10(model.rows(hashes[codes], ends), (classes_of(hashes)[codes], places[codes])) + model.shares(hashes, count, places)[codes]
             sums = [np.add.reduceat(x, ends[:-1]) for x in ((count > 0)[codes].astype(np.int64), base[codes], full)]
             ids = ids_of(row["rows"], id_type)
             lengths = np.diff(ends)
             released()
-            out.append(pa.table([ids, pa.array(lengths), pa.array(sums[0]), pa.array(np.full(len(lengths), n)), pa.array(sums[1]), pa.array(sums[2])], names=_names(schema)))
+            out.append(pa.table([ids, pa.array(lengths), pa.array(sums[0]), pa.array(np.full(len(lengths), model.n)), pa.array(sums[1]), pa.array(sums[2])], names=_names(schema)))
         if not out:
             return pa.schema([("doc_id", id_type), *((c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")), ("base_score", pa.float64()), ("score", pa.float64())]).empty_table()
         return pa.concat_tables(out)
 
-    asked = blocks.select("block", "rows", "ends", "codes", "hashes").groupBy("block")
-    return asked.cogroup(counts.filter("block >= 0").groupBy("block")).applyInArrow(score, schema)
+    asked = blocks.select("block", "rows", "ends", "codes", "hashes", "counts").groupBy("block")
+    return asked.cogroup(replies.groupBy("block")).applyInArrow(score, schema)
