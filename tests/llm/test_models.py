@@ -148,15 +148,35 @@ def test_toxicity_on_held_out_texts(spark):
 
 def test_toxicity_edge_cases(spark, odd, odd_rows, nothing):
     labels = spark.createDataFrame([(i, 1 if i % 2 else 0) for i in range(20)] + [(None, 1), (3, None), (99999, 1)], "doc_id long, toxic int")
-    got = scored(odd, model_of(odd, labels)).collect()
-    assert len(got) == len(odd_rows) and all(0 <= r["_toxicity"] <= 1 for r in got)
-    assert len({r["_toxicity"] for r in got if r["doc_id"] in (500, 501, 502)}) == 1
-    assert scored(nothing, model_of(odd, labels)).count() == 0
-    weights, bias = model_of(odd, labels.limit(0))
-    assert not weights.any() and bias < 0
+    odd = odd.withColumns({"_toxicity": F.lit("clash"), "a`b.c": F.lit("clash")})
+    found, name = scored(odd, model_of(odd, labels))
+    got = found.collect()
+    assert found.columns == [*odd.columns, name] and {r["_toxicity"] for r in got} == {"clash"}
+    assert len(got) == len(odd_rows) and all(0 <= r[name] <= 1 for r in got)
+    assert len({r[name] for r in got if r["doc_id"] in (500, 501, 502)}) == 1
+    assert all(len({r[name] for r in got if r["doc_id"] in (i, 100 + i)}) == 1 for i in range(6))
+    assert scored(nothing, model_of(odd, labels))[0].count() == 0
+    empty = model_of(odd, labels.limit(0))
+    assert not empty.weights.any() and empty.shares[-1] < 0
     assert without_toxic(odd, labels.limit(0)).columns == odd.columns
 
 
+def test_parts_of_long_texts_are_learned_from(spark, monkeypatch):
+    """A labelled text above the bound is in the sample by some of its parts."""
+    from tidewell.llm import toxicity
+
+    monkeypatch.setattr(toxicity, "PART_CHARS", 40)
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(60 if k % 2 else 3)), k % 3 == 0) for k in range(12)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(y)) for k, _, y in rows], "doc_id long, toxic int")
+    frames = []
+    monkeypatch.setattr(type(docs), "repartition", lambda df, n: frames.append(df) or df.coalesce(n))
+    model_of(docs, labels)
+    seen = {r["doc_id"]: r["text"] for r in frames[0].collect()}
+    assert set(seen) == set(range(12)) and all(seen[k] == t if k % 2 == 0 else len(seen[k]) == 81 for k, t, _ in rows)
+    assert all(part in rows[1][1] for part in (seen[1][:40], seen[1][41:]))
+
+
 def test_unseen_misspellings():
     from tidewell.llm.toxicity import Windows, train
 
@@ -165,13 +185,23 @@ def test_unseen_misspellings():
     texts = [clean() for _ in range(300)]
     labels = [int(i % 4 == 0) for i in range(300)]
     texts = [t + f" {['wretched', 'wretchedly'][i % 8 == 0]} " + clean() if y else t for i, (t, y) in enumerate(zip(texts, labels, strict=True))]
-    weights, bias = train(texts, labels)
-    raw = [s.encode() for s in (clean() + " wretchd " + clean(), clean())]
-    w = Windows(np.frombuffer(b"".join(raw), np.uint8), np.array([0, len(raw[0]), len(raw[0]) + len(raw[1])]))
-    bad, good = w.best(w.logits(weights), 0.0) + bias
+    model = train(texts, labels)
+    raw = [s.encode() for s in (clean() + " wretchd " + clean(), clean() + clean())]
+    bad, good = model.logits(Windows(np.frombuffer(b"".join(raw), np.uint8), np.array([0, len(raw[0]), len(raw[0]) + len(raw[1])])))
     assert bad > 0 > good
 
 
+def test_whole_bag_is_the_mean_over_all_words():
+    from tidewell.llm.toxicity import BUCKETS, Windows
+
+    texts = [b"", b"one two three two", b"...", b"two"]
+    w = Windows(np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts])))
+    weights = np.random.default_rng(1).normal(size=BUCKETS).astype(np.float32)
+    of = {w.words[k].as_py(): weights[w.buckets[w.edges[k] : w.edges[k + 1]]] for k in range(len(w.words))}
+    want = [0, np.concatenate([of[x] for x in texts[1].split()]).mean(), 0, of[b"two"].mean()]
+    assert np.allclose(w.whole(weights), want, atol=1e-6)
+
+
 def test_every_pair_of_words_is_a_window():
     """A word put in front of a text takes no pair from it."""
     from tidewell.llm.toxicity import BUCKETS, Windows

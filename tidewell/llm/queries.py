@@ -67,7 +67,8 @@ def op7_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = table(spark, sf_dir, "documents").select("doc_id", "text"), held_out(F.col("doc_id"), 4, 2)
     model = model_of(docs, table(spark, sf_dir, "labels").filter(~out))
-    found = scored(docs, model).select("doc_id", out.alias("held_out"), F.col("_toxicity").alias("score"))
+    found, name = scored(docs, model)
+    found = found.select("doc_id", out.alias("held_out"), F.col(name).alias("score"))
     return found.withColumn("predicted", (F.col("score") >= TOXIC_SCORE).cast("int"))
 
 

@@ -1,9 +1,10 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax.
 
 Words are known by their byte n-grams and as wholes, hashed to buckets, so that an unseen misspelling shares
-most of its vectors with the word it bends. A bag is a window of a few words, one from each word on; a text scores as its worst window, so
-a long text hides nothing. Embeddings and softmax are trained jointly in numpy on a bounded sample of labelled
-rows; of a text the window that scores highest so far is learned from, and a random one of a clean text.
+most of its vectors with the word it bends. Bags are a window of a few words, one from each word on, and the whole text. Embeddings and
+softmax are trained jointly in numpy on a bounded sample of labelled rows; of a text the window that scores highest so far is learned
+from, and a random one of a clean text. A text's score comes from its worst window, so that a long text hides nothing, from its whole
+bag, and from how many windows it has, as the worst of many is worse by chance; the share of each is fitted on rows kept apart.
 """
 
 from __future__ import annotations
@@ -15,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.arrow import lowered, mixed, released, span_hashes, span_values, text_slices, word_spans
+from tidewell.llm.arrow import free_name, lowered, mixed, plain_names, released, span_hashes, span_values, text_slices, word_spans
 from tidewell.llm.decontaminate import IS_WORD
 from tidewell.llm.packing import gathered
 from tidewell.llm.tokens import edges_and_data
 
-#: The sample: so many rows of each label at most, the first by hash of doc_id, and no text above so many bytes.
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_TEXT_BYTES = 2000, 4000, 1 << 17
+#: The sample: so many rows of each label at most, the first by hash of doc_id.
+TRAIN_TOXIC, TRAIN_CLEAN = 3000, 6000
+#: Of a longer text so many parts of so many characters are in the sample, the first by hash of doc_id and place.
+TEXT_PARTS, PART_CHARS = 2, 1 << 16
 BUCKETS, DIMENSIONS = 1 << 18, 12
 #: Words of a window; lengths of n-grams.
 WINDOW, GRAMS = 2, (3, 4, 5)
@@ -29,8 +32,8 @@ WINDOW, GRAMS = 2, (3, 4, 5)
 EPOCHS, STEPS, BATCH, RATE = 8, 600, 256, 0.3
 #: One row of so many of the sample is not trained on: on those the logits are calibrated.
 CALIBRATED_ON = 5
-#: The share of a bag's buckets that a step leaves out, so that no word leans on a few of its n-grams.
-LEFT_OUT = 0.5
+#: What holds the shares of the whole bag and of the number of windows near 0.
+RIDGE = 1.0
 WORDS_AT_ONCE = 50_000
 #: Bytes of the sample's texts that are cut into words at once, and texts whose words are counted at once.
 PART_BYTES, TEXTS_AT_ONCE = 2 << 20, 500
@@ -120,6 +123,16 @@ class Windows:
             size[has] += counts[word]
         return total / size
 
+    def whole(self, weights: np.ndarray) -> np.ndarray:
+        """The mean of ``weights`` over the buckets of each text, 0 where it has no words."""
+        edges = np.append(self.first, len(self.code))[self.text_at]
+        out, some = np.zeros(len(edges) - 1), np.diff(edges) > 0
+        if some.any():
+            counts = np.diff(self.edges)
+            sums = np.add.reduceat(weights[self.buckets], self.edges[:-1])
+            out[some] = np.add.reduceat(sums[self.code].astype(np.float64), edges[:-1][some]) / np.add.reduceat(counts[self.code], edges[:-1][some])
+        return out
+
     def best(self, logits: np.ndarray, empty: float) -> np.ndarray:
         """The highest logit of each text, ``empty`` where it has no words."""
         out = np.full(len(self.text_at) - 1, empty)
@@ -137,41 +150,55 @@ class Windows:
         return gathered(self.edges[words], sizes, self.buckets), ends[np.cumsum(per) - per]
 
 
-def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights of buckets and a bias: the difference of the two logits, which is linear in the buckets of a window.
+class Model:
+    """Weights of buckets, and what a text's worst window, whole bag and number of windows, and a constant, add to its logit."""
 
-    Both are scaled and shifted so that of texts not trained on the worst window's logit gives the label's probability.
-    """
+    def __init__(self, weights: np.ndarray, shares: np.ndarray, longest: float = np.inf):
+        self.weights, self.shares, self.longest = weights, shares, longest
+
+    def measures(self, windows: Windows) -> np.ndarray:
+        """A row for each text; without words all but the constant are 0. More windows than any text had that was fitted on count as that many."""
+        size = np.minimum(np.log1p(np.diff(windows.text_at)), self.longest)
+        return np.stack([windows.best(windows.logits(self.weights), 0.0), windows.whole(self.weights), size, np.ones(len(size))], 1)
+
+    def logits(self, windows: Windows) -> np.ndarray:
+        return self.measures(windows) @ self.shares
+
+
+def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
+    """Weights of buckets are the difference of the softmax's two logits, which is linear in the buckets of a bag."""
     y = np.array(labels, bool)
     if not y.any() or y.all():  # nothing to tell apart: the share of toxic rows
         share = (y.sum() + 1) / (len(y) + 20)
-        return np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share)))
+        return Model(np.zeros(BUCKETS, np.float32), np.array([0, 0, 0, np.log(share / (1 - share))]))
     within = np.empty(len(y), np.int64)  # place of a row among those of its label
     for label in (True, False):
         within[y == label] = np.arange((y == label).sum())
     apart = within % CALIBRATED_ON == CALIBRATED_ON - 1
     if not (apart & y).any() or not (apart & ~y).any():
-        return _fitted(Windows.of(texts), y, seed)
+        weights, bias = _fitted(Windows.of(texts), y, seed)
+        return Model(weights, np.array([1, 0, 0, bias]))
     weights, bias = _fitted(Windows.of([t for t, out in zip(texts, apart, strict=True) if not out]), y[~apart], seed)
-    held = Windows.of([t for t, out in zip(texts, apart, strict=True) if out])
-    scale, shift = _calibrated(held.best(held.logits(weights), 0.0) + bias, y[apart])
-    return (scale * weights).astype(np.float32), float(scale * bias + shift)
+    model = Model(weights, np.array([1, 0, 0, bias]))
+    measures = model.measures(Windows.of([t for t, out in zip(texts, apart, strict=True) if out]))
+    return Model(weights, _calibrated(measures, y[apart], model.shares), float(measures[:, 2].max()))
 
 
-def _calibrated(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Scale and shift by logistic regression, towards labels that stop short of 0 and 1 by what a row more would change."""
-    spread = max(float(logits.std()), 1e-6)
-    x = np.stack([logits / spread, np.ones(len(y))], 1)
+def _calibrated(measures: np.ndarray, y: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
+    """Shares by logistic regression, towards labels that stop short of 0 and 1 by what a row more would change."""
+    spread = np.append(np.maximum(measures[:, :-1].std(0), 1e-6), 1)
+    x = measures / spread
     goal = np.where(y, (y.sum() + 1) / (y.sum() + 2), 1 / ((~y).sum() + 2))
-    beta = np.zeros(2)
-    loss = lambda b: np.logaddexp(0, x @ b).sum() - goal @ (x @ b)
+    ridge = RIDGE * np.diag([0, 1, 1, 0])
+    beta = np.zeros(x.shape[1])
+    loss = lambda b: np.logaddexp(0, x @ b).sum() - goal @ (x @ b) + b @ ridge @ b / 2
     for _ in range(50):
         p = 1 / (1 + np.exp(-(x @ beta)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (goal - p))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge + 1e-6 * np.eye(len(beta)), x.T @ (goal - p) - ridge @ beta)
         while np.abs(step).max() > 1e-9 and loss(beta + step) > loss(beta):
             step /= 2
         beta += step
-    return (float(beta[0] / spread), float(beta[1])) if beta[0] > 0 else (1.0, 0.0)
+    return beta / spread if beta[0] > 0 else otherwise
 
 
 def _fitted(windows: Windows, y: np.ndarray, seed: int) -> tuple[np.ndarray, float]:
@@ -191,7 +218,7 @@ def _fitted(windows: Windows, y: np.ndarray, seed: int) -> tuple[np.ndarray, flo
         order = rng.permutation(len(chosen))
         for k in range(0, len(order), BATCH):
             part = order[k : k + BATCH]
-            buckets, at = _thinned(*windows.bags(chosen[part]), rng)
+            buckets, at = windows.bags(chosen[part])
             size = np.diff(np.append(at, len(buckets))).astype(np.float32)[:, None]
             mean = np.add.reduceat(vectors[buckets], at) / size
             z = mean @ softmax + bias
@@ -211,13 +238,6 @@ def _fitted(windows: Windows, y: np.ndarray, seed: int) -> tuple[np.ndarray, flo
     return weights.astype(np.float32), float(bias[1] - bias[0])
 
 
-def _thinned(buckets: np.ndarray, at: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Bags without a random share of their buckets; one that would be empty keeps its first."""
-    keep = rng.random(len(buckets)) >= LEFT_OUT
-    keep[at[~np.logical_or.reduceat(keep, at)]] = True
-    return buckets[keep], np.append(0, np.cumsum(keep))[at]
-
-
 def _first_guess(windows: Windows, y: np.ndarray) -> np.ndarray:
     """Log odds of each bucket over the texts, by which the first windows to learn from are chosen."""
     by_word = np.zeros((2, len(windows.words)), np.int64)
@@ -234,41 +254,50 @@ def _first_guess(windows: Windows, y: np.ndarray) -> np.ndarray:
     return np.log((seen[0] + least) / (seen[1] + least))
 
 
-def model_of(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
-    """Trained on ``labels`` (doc_id, toxic); rows with a null in either and labels without a text are left out."""
+def model_of(docs: DataFrame, labels: DataFrame) -> Model:
+    """Trained on ``labels`` (doc_id, toxic); rows with a null in either and labels without a text are left out.
+
+    Of labels that differ for one doc_id the toxic one counts; rows that repeat a doc_id are learned from each. Null texts are empty.
+    """
     marked = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     parts = [marked.filter(f"toxic {sign} 0").orderBy(*order).limit(n) for sign, n in (("<>", TRAIN_TOXIC), ("=", TRAIN_CLEAN))]
     sample = F.broadcast(parts[0].unionByName(parts[1]).withColumnsRenamed({"doc_id": "_id", "toxic": "_toxic"}))  # a bounded number of rows
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= TRAIN_TEXT_BYTES)
-    rows = texts.join(sample, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_toxic")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(sample, F.col("doc_id") == F.col("_id"))
+    places = F.sequence(F.lit(0), F.ceil(F.length("text") / PART_CHARS).cast("int") - 1)
+    chosen = F.slice(F.array_sort(F.transform(places, lambda k: F.struct(F.xxhash64("doc_id", k), k.alias("k")))), 1, TEXT_PARTS)
+    cut = F.array_join(F.transform(F.array_sort(chosen["k"]), lambda k: F.substring("text", k * PART_CHARS + 1, F.lit(PART_CHARS))), " ")
+    rows = rows.select("doc_id", F.when(F.length("text") <= TEXT_PARTS * PART_CHARS, F.col("text")).otherwise(cut).alias("text"), "_toxic")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        weights, bias = train([t for _, t, _ in rows], [y for _, _, y in rows])
+        model = train([t for _, t, _ in rows], [y for _, _, y in rows])
         released()
-        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], ["weights", "bias"])
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (model.weights, model.shares)] + [pa.array([model.longest])], ["weights", "shares", "longest"])
 
-    fitted = rows.repartition(1).mapInArrow(fit, "weights binary, bias double").collect()  # one row: the sample is bounded
+    fitted = rows.repartition(1).mapInArrow(fit, "weights binary, shares binary, longest double").collect()  # one row: the sample is bounded
     if not fitted:
         return train([], [])
-    return np.frombuffer(fitted[0]["weights"], np.float32), fitted[0]["bias"]
+    return Model(np.frombuffer(fitted[0]["weights"], np.float32), np.frombuffer(fitted[0]["shares"]), fitted[0]["longest"])
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """``docs`` with a column ``_toxicity``, 0 to 1; null and empty texts score as a window without a sign of either label."""
+def scored(docs: DataFrame, model: Model) -> tuple[DataFrame, str]:
+    """``docs`` with a column of scores, 0 to 1, and its name, ``_toxicity`` if that is free.
+
+    Null and empty texts score as texts without a sign of either label; repeated rows and equal texts score alike, whatever their length or the
+    rows around them. An empty table gives an empty one; columns of any name are kept.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    columns = docs.columns
+    columns, name = plain_names(docs), free_name(docs.columns, "_toxicity")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = held.value
         for rows, data, offsets in text_slices(batches):
-            windows = Windows(data, offsets)
-            z = windows.best(windows.logits(weights), 0.0) + bias
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(1 / (1 + np.exp(-z)))], [*columns, "_toxicity"])
+            z = held.value.logits(Windows(data, offsets))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(1 / (1 + np.exp(-z)))], [*columns, "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(score, f"{schema}, _toxicity double")
+    plain = docs.toDF(*columns)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
+    return plain.mapInArrow(score, f"{schema}, score double").toDF(*docs.columns, name), name
 
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
@@ -277,6 +306,9 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, score: float = 0.3) -> DataFrame:
-    """``docs`` without the rows that score ``score`` or more; learned from ``labels`` but for those of every fourth doc_id by hash."""
-    model = model_of(docs, labels.filter(~held_out(F.col("doc_id"), 4, 2)))
-    return scored(docs, model).filter(F.col("_toxicity") < score).drop("_toxicity")
+    """``docs`` without the rows that score ``score`` or more; learned from ``labels`` but for those of every fourth doc_id by hash.
+
+    Rows that repeat a text stay or go together; a score of ``score`` itself goes. Without labels all rows score alike. See ``scored``.
+    """
+    found, name = scored(docs, model_of(docs, labels.filter(~held_out(F.col("doc_id"), 4, 2))))
+    return found.filter(F.col(name) < score).drop(name)
