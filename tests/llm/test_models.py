@@ -96,8 +96,8 @@ def test_language_model_scores_by_brute_force(spark, odd, odd_rows):
 
     train = ~held_out(F.col("doc_id"), 5, 1)
     blocks = lm.coded_blocks(odd, train)
-    totals, replies = lm.word_counts(blocks)
-    model = lm.trained(blocks, totals, 8)
+    found = lm.word_counts(blocks, 1000)
+    model = lm.trained(blocks, found, 8)
     assert any(w[:-32].any() for w in model.weights)
     out = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
     texts = {d: (t or "").encode() for d, t in odd_rows}
@@ -123,7 +123,7 @@ def test_language_model_scores_by_brute_force(spark, odd, odd_rows):
             share = math.log((counts[w] + 0.5) / (sum(counts[x] for x in rest) + 0.5 * (len(rest) + 1)))
         return (logsoftmax(first, kind) + logsoftmax(second, own.index(w) if w in own else 7) + share) / math.log(10)
 
-    got = {r["doc_id"]: r["score"] for r in lm.scores(odd, blocks, replies, model).collect()}
+    got = {r["doc_id"]: r["score"] for r in lm.scores(odd, blocks, found, model).collect()}
     for d in (0, 3, 303, 400, 500, 503, 510):
         want = sum(log10(ids[d][:k], w) for k, w in enumerate(ids[d]))
         assert abs(want - got[d]) < 2e-4 * abs(want) + 1e-4
@@ -131,6 +131,18 @@ def test_language_model_scores_by_brute_force(spark, odd, odd_rows):
     assert abs(sum(10 ** log10(ids[3][:5], w) for w in every) - 1) < 1e-4
 
 
+def test_language_model_counts_over_blocks_and_groups(spark, odd, odd_rows, nothing, monkeypatch):
+    """Many blocks, groups and ranges give the same counts; the long text is a block of its own."""
+    from tidewell.llm import lm
+
+    real = lm.text_slices
+    monkeypatch.setattr(lm, "RANGE_WORDS", 700)
+    monkeypatch.setattr(lm, "text_slices", lambda batches, limit: real(batches, limit=2000))
+    groups = lm.coded_blocks(odd, F.lit(True)).groupBy("group").count().collect()
+    assert len(groups) > 3 and max(r["count"] for r in groups) == lm.GROUP_BLOCKS
+    test_language_model(odd, odd_rows, nothing)
+
+
 def test_language_model_beats_unigrams_on_held_out_texts(spark):
     out = QUERIES["op9_lm"](spark, SF).filter("held_out").agg(F.sum("n_tokens").alias("n"), F.sum("base_score").alias("base"), F.sum("score").alias("score")).first()
     assert out["score"] > out["base"] + 0.1 * out["n"]

@@ -7,10 +7,11 @@ word before, the classes of the two words before, and those of the second and th
 in its class the word before and, as a skip, the second before. Words that share a place share it by their counts, unknown
 ones as one.
 
-Texts are kept as coded blocks: distinct words, as 64-bit hashes, and codes of all tokens. Words are counted by an aggregate over rows
-(hash, count), and counts go back by a join to the blocks that share the word; what one block alone has it
-counts itself. Gradient updates are made by tasks on their blocks, in rounds; between rounds a feature's moves are
-averaged over the tasks that saw it. The number of features grows with the tokens learned from, up to MAX_BITS.
+Texts are kept as coded blocks: distinct words, as 64-bit hashes, and codes of all tokens. The words of a few blocks are combined, and each
+such group sends them to the tasks of their ranges of hashes; a range's task sums what all groups have and answers each of them. So
+a common word is a message for each group, and a group sends only to ranges in which it has words. Gradient updates are made by tasks
+on their blocks, in rounds; between rounds a feature's moves are averaged over the tasks that saw it. The number of features grows
+with the tokens learned from, up to MAX_BITS.
 """
 
 from __future__ import annotations
@@ -36,15 +37,17 @@ MIN_BITS, MAX_BITS = 12, 17
 ROUNDS, BATCH, RATE, PRIOR = 2, 1 << 14, 0.2, 0.25
 #: Bytes of texts in a block; rows of weights that travel together, and parts in which they are summed before the last sum.
 BLOCK_BYTES, PACKET, SUM_PARTS = 4 << 20, 256, 64
-#: Blocks from which a task learns before its moves are averaged with those of others.
-TASK_BLOCKS = 8
+#: Blocks from which a task learns before its moves are averaged with those of others; blocks that ask for counts together.
+TASK_BLOCKS, GROUP_BLOCKS = 8, 4
+#: Words of groups that a range's task holds.
+RANGE_WORDS = 1_500_000
 
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 #: The token that ends every text, in class 0; no word has its hash but by chance.
 END = np.uint64(0xE2D0_0000_0000_0000)
 
-_BLOCK = "block long, n_train long, rows binary, train binary, ends binary, codes binary, hashes binary, counts binary"
+_BLOCK = "block long, group long, rows binary, train binary, ends binary, codes binary, hashes binary, n_words long, words binary, counts binary"
 
 
 def word_ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,37 +70,79 @@ def classes_of(hashes: np.ndarray) -> np.ndarray:
 
 
 def coded_blocks(docs: DataFrame, train: Column) -> DataFrame:
-    """Blocks of rows with their distinct words in order of hash, how often each is in rows to learn from, and all codes."""
+    """Blocks of rows with their distinct words in order of hash and all codes; the last one of a group has the words of all and how often each is in rows to learn from."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = (TaskContext.get().partitionId() + 1) << 32
-        for k, (rows, data, offsets) in enumerate(text_slices(batches, limit=BLOCK_BYTES)):
+        first, k = (TaskContext.get().partitionId() + 1) << 32, 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        last: tuple | None = None
+
+        def row(block: tuple, words: bool) -> pa.RecordBatch:
+            every, counts = _summed(held) if words else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            numbers = [pa.array([block[0]]), pa.array([first + block[0] % (1 << 32) // GROUP_BLOCKS])]
+            binary = [pa.array([b], pa.binary()) for b in (*block[1:], zipped(every), zipped(counts))]
+            return pa.RecordBatch.from_arrays([*numbers, *binary[:-2], pa.array([len(every)]), *binary[-2:]], _names(_BLOCK))
+
+        for rows, data, offsets in text_slices(batches, limit=BLOCK_BYTES):
+            if last:
+                yield row(last, k % GROUP_BLOCKS == 0)
+            if k % GROUP_BLOCKS == 0:
+                held.clear()
             tokens, ends = word_ids(data, offsets)
             learn = rows.column("train").to_numpy(zero_copy_only=False).astype(bool)
             hashes, codes = np.unique(tokens, return_inverse=True)
-            counts = np.bincount(codes[np.repeat(learn, np.diff(ends))], minlength=len(hashes))
-            binary = [ids_stream(rows), *map(zipped, (learn, ends, codes.astype(np.int32), hashes, counts.astype(np.int64)))]
-            yield pa.RecordBatch.from_arrays([pa.array([first + k]), pa.array([int(counts.sum())]), *(pa.array([b], pa.binary()) for b in binary)], _names(_BLOCK))
+            held.append((hashes, np.bincount(codes[np.repeat(learn, np.diff(ends))], minlength=len(hashes))))
+            last = (first + k, ids_stream(rows), *map(zipped, (learn, ends, codes.astype(np.int32), hashes)))
+            k += 1
+        if last:
+            yield row(last, True)
 
     return docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train")).mapInArrow(code, _BLOCK)
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of all parts in order, and the sums of their counts."""
+    distinct, at = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
+    return distinct, np.bincount(at, np.concatenate([c for _, c in parts]), len(distinct)).astype(np.int64)
+
+
 def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
-def word_counts(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """hash, total, blocks of every distinct word; and block, hash, total of the words that several blocks have."""
+def word_counts(blocks: DataFrame, top: int) -> DataFrame:
+    """group, part, counts: the counts over all rows to learn from of a group's words in a range of hashes, in order.
 
-    def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A row of group -1 for each range has the tokens and the distinct words of each class, and in ``top`` the hashes and
+    counts of the range's most frequent words.
+    """
+    ranges = max(1, -(-(blocks.agg(F.sum("n_words")).first()[0] or 0) // RANGE_WORDS))
+    schema = "group long, part long, counts binary, top binary"
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                hashes = unzipped(row["hashes"], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), row["block"])), pa.array(hashes), pa.array(unzipped(row["counts"], np.int64))], ["block", "hash", "n"])
-
-    listed = blocks.select("block", "hashes", "counts").mapInArrow(listing, "block long, hash long, n long")
-    totals = written(listed.groupBy("hash").agg(F.sum("n").alias("total"), F.count("*").alias("blocks")), "lm-totals")
-    return totals, listed.select("block", "hash").join(totals.filter("blocks > 1"), "hash").select("block", "hash", "total")
+                words, counts = unzipped(row["words"], np.uint64), unzipped(row["counts"], np.int64)
+                at = [*np.searchsorted(words, np.array([(k << 64) // ranges for k in range(ranges)], np.uint64)).tolist(), len(words)]
+                parts = [(k, zipped(words[a:b]), zipped(counts[a:b])) for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if a < b]
+                columns = [pa.array(c, t) for c, t in zip(zip(*parts, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([row["group"]] * len(parts)), *columns], ["group", "part", "words", "counts"])
+
+    def answer(asked: pa.Table) -> pa.Table:
+        parts = [(unzipped(w, np.uint64), unzipped(c, np.int64)) for w, c in zip(*(asked.column(c).to_pylist() for c in ("words", "counts")), strict=True)]
+        distinct, total = _summed(parts)
+        replies = [zipped(total[np.searchsorted(distinct, w)]) for w, _ in parts]
+        kind = classes_of(distinct)
+        stats = np.stack([np.bincount(kind, total, CLASSES), np.bincount(kind[total > 0], minlength=CLASSES)]).astype(np.int64)
+        best = np.argsort(-total, kind="stable")[:top]
+        frequent = np.stack([distinct[best].view(np.int64), total[best]])
+        part, n = asked.column("part")[0].as_py(), len(parts)
+        released()
+        columns = [pa.array([*asked.column("group").to_pylist(), -1], pa.int64()), pa.array([part] * (n + 1), pa.int64())]
+        return pa.table([*columns, pa.array([*replies, zipped(stats)], pa.binary()), pa.array([None] * n + [zipped(frequent)], pa.binary())], names=_names(schema))
+
+    asked = blocks.filter("n_words > 0").select("group", "words", "counts").mapInArrow(ask, "group long, part long, words binary, counts binary")
+    return asked.groupBy("part").applyInArrow(answer, schema)
 
 
 class Model:
@@ -231,15 +276,26 @@ def _learned(blocks: DataFrame, model: Model) -> DataFrame:
     return moves.groupBy(*keys, "salt").applyInArrow(added(np.float16), schema).groupBy(*keys).applyInArrow(added(np.float32), schema)
 
 
-def trained(blocks: DataFrame, totals: DataFrame, size: int = SLOTS) -> Model:
+def trained(blocks: DataFrame, counts: DataFrame, size: int = SLOTS) -> Model:
     """A model that has learned once from every row to learn from."""
-    known = F.count(F.when(F.col("total") > 0, 1))
-    by_class = totals.groupBy(F.col("hash").bitwiseAND(CLASSES - 1).alias("class")).agg(F.sum("total").alias("total"), known.alias("distinct"))
+
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for stats in batch.column(0).to_pylist():
+                totals, distinct = unzipped(stats, np.int64).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(totals), pa.array(distinct)], ["class", "total", "distinct"])
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for best in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([*map(pa.array, unzipped(best, np.int64).reshape(2, -1))], ["hash", "total"])
+
+    of_ranges = counts.filter("group = -1")
     sums = np.zeros((2, CLASSES), np.int64)
-    for row in by_class.collect():  # a row for each class
-        sums[:, row["class"]] = row["total"], row["distinct"]
+    for row in of_ranges.select("counts").mapInArrow(classes, "class long, total long, distinct long").groupBy("class").sum("total", "distinct").collect():  # a row for each class
+        sums[:, row["class"]] = row["sum(total)"], row["sum(distinct)"]
     # A class's frequent words are among so many of all, or have to do with fewer places.
-    frequent = totals.filter("total > 0").orderBy(F.desc("total"), "hash").limit(4 * CLASSES * size).collect()
+    frequent = of_ranges.select("top").mapInArrow(words, "hash long, total long").filter("total > 0").orderBy(F.desc("total"), "hash").limit(4 * CLASSES * size).collect()
     model = Model(*sums, [(r["hash"] % 2**64, r["total"]) for r in frequent], size)
     tasks = max(1, blocks.count() // (ROUNDS * TASK_BLOCKS))
     for k in range(ROUNDS):
@@ -259,28 +315,30 @@ def lm_scores(docs: DataFrame, train: Column, size: int = SLOTS) -> DataFrame:
     are left out. base_score is the unigram's, score the model's log10 probability of the text.
     """
     blocks = written(coded_blocks(docs, train), "lm-blocks")
-    totals, replies = word_counts(blocks)
-    return scores(docs, blocks, replies, trained(blocks, totals, size))
+    counts = written(word_counts(blocks, 4 * CLASSES * size), "lm-counts")
+    return scores(docs, blocks, counts, trained(blocks, counts, size))
 
 
-def scores(docs: DataFrame, blocks: DataFrame, replies: DataFrame, model: Model) -> DataFrame:
+def scores(docs: DataFrame, blocks: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     """The rows of ``lm_scores`` by a model that has been trained. ``docs`` gives the type of doc_id."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
     id_type = docs.select("doc_id").limit(0).toArrow().schema.field(0).type
     schema = f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
-    def score(block: pa.Table, replies: pa.Table) -> pa.Table:
+    def score(group: pa.Table, replies: pa.Table) -> pa.Table:
         out, model = [], held.value
-        for row in block.to_pylist():
-            codes, ends = unzipped(row["codes"], np.int32), unzipped(row["ends"], np.int64)
-            hashes, count = unzipped(row["hashes"], np.uint64), unzipped(row["counts"], np.int64).copy()
-            count[np.searchsorted(hashes, replies.column("hash").to_numpy().view(np.uint64))] = replies.column("total").to_numpy()
+        group = group.sort_by("block")
+        words = [unzipped(x, np.uint64) for x in group.column("words").to_pylist()][-1:]
+        total = np.concatenate([unzipped(x, np.int64) for x in replies.sort_by("part").column("counts").to_pylist()])
+        for rows, ends, codes, hashes in zip(*(group.column(c) for c in ("rows", "ends", "codes", "hashes")), strict=True):
+            codes, ends, hashes = unzipped(codes.as_py(), np.int32), unzipped(ends.as_py(), np.int64), unzipped(hashes.as_py(), np.uint64)
+            count = total[np.searchsorted(words[0], hashes)]
             places = model.places(hashes)
             base = np.log10((count + 0.5) / (model.n + 0.5 * (model.v + 1)))
             full = model.log10(model.rows(hashes[codes], ends), (classes_of(hashes)[codes], places[codes])) + model.shares(hashes, count, places)[codes]
             sums = [np.add.reduceat(x, ends[:-1]) for x in ((count > 0)[codes].astype(np.int64), base[codes], full)]
-            ids = ids_of(row["rows"], id_type)
+            ids = ids_of(rows.as_py(), id_type)
             lengths = np.diff(ends)
             released()
             out.append(pa.table([ids, pa.array(lengths), pa.array(sums[0]), pa.array(np.full(len(lengths), model.n)), pa.array(sums[1]), pa.array(sums[2])], names=_names(schema)))
@@ -288,5 +346,5 @@ def scores(docs: DataFrame, blocks: DataFrame, replies: DataFrame, model: Model)
             return pa.schema([("doc_id", id_type), *((c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")), ("base_score", pa.float64()), ("score", pa.float64())]).empty_table()
         return pa.concat_tables(out)
 
-    asked = blocks.select("block", "rows", "ends", "codes", "hashes", "counts").groupBy("block")
-    return asked.cogroup(replies.groupBy("block")).applyInArrow(score, schema)
+    asked = blocks.select("block", "group", "rows", "ends", "codes", "hashes", "words").groupBy("group")
+    return asked.cogroup(counts.filter("group >= 0").select("group", "part", "counts").groupBy("group")).applyInArrow(score, schema)
