@@ -148,3 +148,18 @@ def requeued(runs: DataFrame, batches: DataFrame, now: Column) -> DataFrame:
     again = (F.col("status") == "running") & (F.col("batch") == F.col("_newest"))
     out = runs.crossJoin(F.broadcast(newest))  # one row
     return out.withColumns({"queued_at": F.when(again, now).otherwise(F.col("queued_at")), "status": F.when(again, "queued").otherwise(F.col("status"))}).drop("_newest")
+
+
+def merged(patients: DataFrame, children: DataFrame, moves: DataFrame, key: str, column: str, old: str, new: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Patients merged by ``moves``: the ones that remain, children that point at them, and an audit row for each that went, with the children it gave."""
+    gone = moves.filter(F.col(old) != F.col(new))
+    left = patients.join(gone.select(F.col(old).alias(key)), key, "left_anti")
+    counts = children.groupBy(F.col(column).alias(old)).agg(F.count("*").alias("_n"))
+    audit = gone.join(counts, old, "left").select(old, new, F.coalesce("_n", F.lit(0)).alias("moved"))
+    return left, repointed(children, moves, column, old, new), audit
+
+
+def retried(runs: DataFrame, attempts: str, finished: str, wait: str = "60 seconds", most: int = 3) -> DataFrame:
+    """Failed ``runs`` with status and next_retry_at: queued again after ``wait`` until they had ``most`` attempts, then failed for good."""
+    again = F.col(attempts) < most
+    return runs.withColumns({"status": F.when(again, "queued").otherwise("failed"), "next_retry_at": F.when(again, F.col(finished) + F.expr(f"INTERVAL {wait}"))})

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 
 def with_name(facts: DataFrame, names: DataFrame, code: str, name: str) -> DataFrame:
-    """``facts`` with the dimension's name, or the code where it has none."""
-    return facts.join(names.select(code, F.col(name).alias("_name")), code, "left").withColumn(name, F.coalesce("_name", F.col(code).cast("string"))).drop("_name")
+    """``facts`` with the dimension's name, or the code where it has none; of several names of a code the first in order."""
+    return facts.join(names.groupBy(code).agg(F.min(name).alias("_name")), code, "left").withColumn(name, F.coalesce("_name", F.col(code).cast("string"))).drop("_name")
 
 
 def by_code_or_name(facts: DataFrame, dimension: DataFrame, raw: str, code: str, name: str) -> DataFrame:
     """resolved: the name by code, else the name by name, else what stood there. A code wins over a name."""
-    codes = dimension.select(F.col(code).alias("_code"), F.col(name).alias("_by_code"))
+    codes = dimension.groupBy(F.col(code).alias("_code")).agg(F.min(name).alias("_by_code"))
     names = dimension.select(F.col(name).alias("_by_name")).distinct()
     out = facts.join(codes, F.col(raw) == F.col("_code"), "left").join(names, F.col(raw) == F.col("_by_name"), "left")
     return out.withColumn("resolved", F.coalesce("_by_code", "_by_name", raw)).drop("_code", "_by_code", "_by_name")
@@ -44,9 +44,22 @@ def as_of(facts: DataFrame, versions: DataFrame, keys: list[str], at: str, since
 
 
 def containing(facts: DataFrame, spans: DataFrame, entity: str, at: str, start: str, end: str, key: str) -> DataFrame:
-    """``facts`` with the key of the span of their entity that holds the moment; of several the one that began last, then the largest key."""
-    one = facts.join(spans, entity).filter((F.col(start) <= F.col(at)) & (F.col(end).isNull() | (F.col(end) >= F.col(at))))
-    return one.groupBy(*facts.columns).agg(F.max_by(key, F.struct(start, key)).alias(key))
+    """``facts`` with the key of the span of their entity that holds the moment; of several the one that began last, then the largest key.
+
+    Facts that are alike are looked up once and stay as many as they are.
+    """
+    alike = _counted(facts)
+    one = alike.join(spans, entity).filter((F.col(start) <= F.col(at)) & (F.col(end).isNull() | (F.col(end) >= F.col(at))))
+    return _repeated(one.groupBy(*alike.columns).agg(F.max(F.struct(start, key)).alias("_last")), facts.columns, F.col("_last")[key].alias(key))
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("_alike"))
+
+
+def _repeated(rows: DataFrame, columns: list[str], *more: Column) -> DataFrame:
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_alike")))
+    return rows.select(*columns, *more, each.alias("_each")).drop("_each")
 
 
 def overlapping(spans: DataFrame, start: str, end: str, first: Column, last: Column, today: Column) -> DataFrame:
@@ -71,16 +84,18 @@ def resolved(facts: DataFrame, spans: DataFrame, entity: str, at: str, start: st
 
     Steps: 1 the wanted key; 2 the span that holds the moment and began last; 3 the nearest that began before; 4 the nearest that begins
     later; 5 the first key of those without a start. All steps are one aggregate over one join by entity, combined before a shuffle.
+    Facts that are alike are looked up once and stay as many as they are.
     """
     s = spans.select(F.col(entity), F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(key).alias("_k"))
     t, began, ended = F.col(at), F.col("_s"), F.col("_e")
+    alike = _counted(facts)
     seconds = lambda c: F.unix_micros(c.cast("timestamp"))
     step = F.when(F.col(wanted) == F.col("_k"), 1) if wanted else F.when(F.lit(False), 1)
     step = step.when((began <= t) & (ended.isNull() | (ended >= t)), 2).when(began <= t, 3).when(began > t, 4).otherwise(5)
     near = F.when(step.isin(2, 3), -seconds(began)).when(step == 4, seconds(began)).otherwise(0)
     best = F.min(F.when(F.col("_k").isNotNull(), F.struct(step.alias("step"), near.alias("near"), F.col("_k").alias("key"))))
-    found = facts.join(s, entity, "left").groupBy(*facts.columns).agg(best.alias("_best"))
-    return found.select(*facts.columns, F.col("_best.key").alias(key), F.col("_best.step").alias("step"))
+    found = alike.join(s, entity, "left").groupBy(*alike.columns).agg(best.alias("_best"))
+    return _repeated(found, facts.columns, F.col("_best.key").alias(key), F.col("_best.step").alias("step"))
 
 
 def with_child_counts(parents: DataFrame, children: DataFrame, parent: str, child: str, grand: DataFrame, names: tuple[str, str, str]) -> DataFrame:

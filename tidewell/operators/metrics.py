@@ -87,3 +87,14 @@ def worst_status(rows: DataFrame, key: str, status: str, order: tuple[str, ...])
         some = F.bool_or(F.col(status) == name)
         rules = F.when(some, name) if rules is None else rules.when(some, name)
     return rows.groupBy(key).agg(rules.alias(status))
+
+
+def sector_history(stays: DataFrame, sector: str, start: str, end: str, today: Column, long_days: int = 15) -> DataFrame:
+    """For each sector: patients seen, those present and gone, the mean stay of the gone, long stays among the present, and entries without exit."""
+    gone, days = F.col(end) <= today, F.datediff(F.least(F.coalesce(F.col(end), today), today), F.col(start))
+    counted = lambda c: F.count(F.when(c, 1))
+    present = F.coalesce(~gone, F.lit(True))
+    return stays.filter(F.col(start) <= today).groupBy(sector).agg(
+        F.count("*").alias("entries"), counted(gone).alias("exits"), counted(present).alias("present"), (F.count("*") - counted(gone)).alias("net"),
+        F.avg(F.when(gone, days)).alias("mean_stay"), counted(present & (days > long_days)).alias("long_stays"),
+    )

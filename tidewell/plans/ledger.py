@@ -155,3 +155,33 @@ def u19_requeued(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     batches = orders.groupBy(F.col("o_custkey").alias("batch")).agg(F.when(F.bool_and(F.col("o_orderstatus") != "O"), F.lit(1)).alias("finished")).withColumn("opened", F.lit(0))
     return ops.requeued(_QUEUE.frame(spark, sf_dir), batches, F.lit("2001-09-01").cast("date")).select("run", "status", "queued_at")
+
+
+_MERGES = f"""m AS (SELECT admission, first_value(admission) OVER (PARTITION BY patient, period ORDER BY events DESC, admission) AS survivor FROM ({_DOUBLE.sql})),
+n AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)"""
+
+
+@q(f"WITH {_MERGES} SELECT admission, survivor, coalesce(n, 0) AS moved FROM m LEFT JOIN n ON l_orderkey = admission WHERE admission <> survivor")
+def u13_merge_audit(spark, sf_dir):
+    moves = ops.survivors(_DOUBLE.frame(spark, sf_dir), ["patient", "period"], "admission", "events").select("admission", "survivor")
+    stays = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("admission"))
+    return ops.merged(stays, table(spark, sf_dir, "lineitem").select("l_orderkey"), moves, "admission", "l_orderkey", "admission", "survivor")[2]
+
+
+@q(f"WITH {_MERGES} SELECT survivor AS admission, sum(coalesce(n, 0))::BIGINT AS children FROM m LEFT JOIN n ON l_orderkey = admission GROUP BY 1")
+def u13_merged(spark, sf_dir):
+    """What remains after the merge, with the children that point at it."""
+    moves = ops.survivors(_DOUBLE.frame(spark, sf_dir), ["patient", "period"], "admission", "events").select("admission", "survivor")
+    stays = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("admission"))
+    left, children, _ = ops.merged(stays, table(spark, sf_dir, "lineitem").select("l_orderkey"), moves, "admission", "l_orderkey", "admission", "survivor")
+    counts = children.groupBy(F.col("l_orderkey").alias("admission")).agg(F.count("*").alias("n"))
+    return left.join(counts, "admission", "left").select("admission", F.coalesce("n", F.lit(0)).alias("children"))
+
+
+@q("""SELECT user_id, day, attempts, CASE WHEN attempts < 3 THEN 'queued' ELSE 'failed' END AS status, CASE WHEN attempts < 3 THEN last + INTERVAL 60 SECOND END AS next_retry_at
+FROM (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS attempts, max(ts) AS last FROM events WHERE event_type = 'error' GROUP BY 1, 2)""")
+def z03_retried(spark, sf_dir):
+    """Errors of a user and day as the attempts of a run."""
+    errors = table(spark, sf_dir, "events").filter("event_type = 'error'")
+    runs = errors.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("attempts"), F.max("ts").alias("last"))
+    return ops.retried(runs, "attempts", "last").drop("last")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidewell.functions import dates, strings
 from tidewell.operators import lookups as ops
 from tidewell.plans.registry import Binding, Registry
-from tidewell.session import table
+from tidewell.session import shared_folder, table
+from tidewell.sources import files
 
 q = Registry()
 QUERIES, SQL = q.queries, q.sql
@@ -79,11 +82,11 @@ def _moments(spark, sf_dir):
     return lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("moment"), F.col("o_custkey").alias("patient"))
 
 
-_M = f"m AS (SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS moment, patient FROM ({_MOMENTS})), s AS ({STAYS.sql})"
+_M = f"m AS (SELECT row_number() OVER () AS fact, l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS moment, patient FROM ({_MOMENTS})), s AS ({STAYS.sql})"
 
 
 @q(f"""WITH {_M} SELECT l_orderkey, l_linenumber, moment, m.patient, arg_max(admission, (started, admission)) AS admission FROM m JOIN s
-ON s.patient = m.patient AND started <= moment AND (ended IS NULL OR ended >= moment) GROUP BY ALL""")
+ON s.patient = m.patient AND started <= moment AND (ended IS NULL OR ended >= moment) GROUP BY fact, l_orderkey, l_linenumber, moment, m.patient""")
 def j08_containing_stay(spark, sf_dir):
     return ops.containing(_moments(spark, sf_dir), STAYS.frame(spark, sf_dir), "patient", "moment", "started", "ended", "admission")
 
@@ -132,9 +135,9 @@ def j14_code_and_band(spark, sf_dir):
 
 
 @q(f"""WITH {_M}, s2 AS (SELECT patient, admission, CASE WHEN admission % 10 = 0 THEN NULL ELSE started END AS started, ended FROM s),
-c AS (SELECT m.l_orderkey, m.l_linenumber, m.moment, m.patient, admission, CASE WHEN admission = l_orderkey AND l_linenumber = 1 THEN 1 WHEN started <= moment AND (ended IS NULL OR ended >= moment) THEN 2
+c AS (SELECT m.fact, m.l_orderkey, m.l_linenumber, m.moment, m.patient, admission, CASE WHEN admission = l_orderkey AND l_linenumber = 1 THEN 1 WHEN started <= moment AND (ended IS NULL OR ended >= moment) THEN 2
 WHEN started <= moment THEN 3 WHEN started > moment THEN 4 ELSE 5 END AS step, abs(date_diff('day', started, moment)) AS near FROM m LEFT JOIN s2 ON s2.patient = m.patient)
-SELECT l_orderkey, l_linenumber, arg_min(admission, (step, CASE WHEN step IN (1, 5) THEN 0 ELSE near END, admission)) AS admission, min(step)::INTEGER AS step FROM c GROUP BY l_orderkey, l_linenumber, moment, patient""")
+SELECT l_orderkey, l_linenumber, arg_min(admission, (step, CASE WHEN step IN (1, 5) THEN 0 ELSE near END, admission)) AS admission, min(step)::INTEGER AS step FROM c GROUP BY fact, l_orderkey, l_linenumber""")
 def j15_resolved(spark, sf_dir):
     facts = _moments(spark, sf_dir).withColumn("wanted", F.when(F.col("l_linenumber") == 1, F.col("l_orderkey")))
     spans = STAYS.frame(spark, sf_dir).withColumn("started", F.when(F.col("admission") % 10 != 0, F.col("started")))
@@ -241,3 +244,14 @@ def n08_key_union(spark, sf_dir):
     a = events.filter("value < 50").groupBy("event_type", "day").agg(F.count("*").alias("entries"))
     b = events.filter("value > 450").groupBy("event_type", "day").agg(F.count("*").alias("exits"))
     return a.join(b, ["event_type", "day"], "full").fillna(0, ["entries", "exits"])
+
+
+@q("""WITH e AS (SELECT *, date_trunc('hour', ts) AS captured FROM events) SELECT event_type AS sector, user_id::VARCHAR AS bed, event_id::VARCHAR AS event_id FROM e WHERE captured = (SELECT max(captured) FROM e)""")
+def s24_latest_snapshot_csv(spark, sf_dir):
+    """The latest snapshot as a report in order of sector and bed, read back."""
+    events = table(spark, sf_dir, "events").withColumn("captured_at", F.date_trunc("hour", "ts"))
+    newest = F.broadcast(events.agg(F.max("captured_at").alias("newest")))  # one row
+    rows = events.join(newest, F.col("captured_at") == F.col("newest")).select(F.col("event_type").alias("sector"), F.col("user_id").alias("bed"), "event_id")
+    path = f"{shared_folder(spark)}/tidewell/report-{uuid.uuid4().hex}"
+    files.write_report(rows, path, "sector", "bed", "event_id")
+    return spark.read.csv(path, header=True, schema="sector string, bed string, event_id string")

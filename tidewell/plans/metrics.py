@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewell.functions.amounts import reported_or_estimated
+from tidewell.functions.classes import residual_quality
 from tidewell.operators import metrics as ops
 from tidewell.operators.lookups import latest
 from tidewell.operators.series import stays
@@ -177,3 +178,22 @@ def a31_longest_per_key(spark, sf_dir):
 @q("SELECT user_id, CASE WHEN bool_or(event_type = 'error') THEN 'error' WHEN bool_or(event_type = 'purchase') THEN 'purchase' WHEN bool_or(event_type = 'view') THEN 'view' END AS event_type FROM events GROUP BY 1")
 def a32_worst_status(spark, sf_dir):
     return ops.worst_status(table(spark, sf_dir, "events"), "user_id", "event_type", ("error", "purchase", "view"))
+
+
+_HISTORY = Binding("orders", "o_orderpriority AS sector", "CAST(o_orderdate AS DATE) AS started", "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 AS INT) AS DATE) END AS ended")
+
+
+@q(f"""WITH s AS (SELECT *, coalesce(ended <= DATE '1998-06-01', false) AS gone, date_diff('day', started, least(coalesce(ended, DATE '1998-06-01'), DATE '1998-06-01')) AS days FROM ({_HISTORY.sql}) WHERE started <= DATE '1998-06-01')
+SELECT sector, count(*) AS entries, count(*) FILTER (gone) AS exits, count(*) FILTER (NOT gone) AS present, count(*) - count(*) FILTER (gone) AS net, avg(days) FILTER (gone) AS mean_stay,
+count(*) FILTER (NOT gone AND days > 15) AS long_stays FROM s GROUP BY 1""")
+def v08_sector_history(spark, sf_dir):
+    return ops.sector_history(_HISTORY.frame(spark, sf_dir), "sector", "started", "ended", F.lit("1998-06-01").cast("date"))
+
+
+@q("""SELECT day, CASE WHEN p > 5 THEN 'alert' WHEN p > 3 THEN 'warn' ELSE 'ok' END AS quality FROM
+(SELECT CAST(ts AS DATE) AS day, max(abs(event_id % 97 - 48)) * 10.0 / count(*) AS p FROM events GROUP BY 1)""")
+def t23_residual_quality(spark, sf_dir):
+    """The largest residual of a day in percent of what it is measured against."""
+    highest = F.max(F.abs(F.col("event_id") % 97 - 48)) * 10.0 / F.count("*")
+    days = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(highest.alias("percent"))
+    return days.select("day", residual_quality(F.col("percent")).alias("quality"))

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tidewell.operators import ledger
 from tidewell.plans.registry import Binding, Registry
 from tidewell.session import shared_folder, table
 from tidewell.sources import files
@@ -74,7 +75,7 @@ def _events_as_files(spark, sf_dir):
 def z01_latest_snapshot_stream(spark, sf_dir):
     folder, stream = _events_as_files(spark, sf_dir)
     snapshots.latest_snapshot(stream.withColumn("hour", F.date_trunc("hour", "ts")), f"{folder}/out", f"{folder}/state", "hour").awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("event_id")
+    return snapshots.newest_rows(spark, f"{folder}/out").select("event_id")
 
 
 @q("SELECT user_id || '|' || CAST(ts AS DATE) AS identity, event_type AS content, min(event_id) AS event_id FROM events GROUP BY 1, 2")
@@ -89,6 +90,42 @@ def z05_ledger_stream(spark, sf_dir):
 def z04_z06_z07_window_counts(spark, sf_dir):
     folder, stream = _events_as_files(spark, sf_dir)
     counted = snapshots.counts_by_window(stream, "ts", "event_type", "1 day", "60 days").select("event_type", F.col("window.start").alias("day"), "n")
-    name = f"counts_{uuid.uuid4().hex}"
-    counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).withColumn("day", F.col("day").cast("timestamp_ntz"))
+
+    def keep(batch, epoch):  # each batch has the newest counts of the windows that it changed
+        batch.write.mode("overwrite").parquet(f"{folder}/out/epoch={epoch}")
+
+    counted.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    newest = spark.read.parquet(f"{folder}/out").groupBy("event_type", "day").agg(F.max_by("n", "epoch").alias("n"))
+    return newest.withColumn("day", F.col("day").cast("timestamp_ntz"))
+
+
+@q("SELECT event_id FROM events")
+def z04_first_events(spark, sf_dir):
+    """Every event arrives twice, in other files; each counts once."""
+    folder = f"{shared_folder(spark)}/tidewell/stream-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    rows.repartition(2, "event_id").write.parquet(f"{folder}/in")
+    rows.repartition(3, "ts").write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    once = snapshots.first_events(stream, "ts", ["event_id"], "400 days").select("event_id")
+    once.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(once.schema).parquet(f"{folder}/out")
+
+
+@q("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL '7200.5' SECOND THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, max(ts) AS last_beat, count(*) AS beats FROM s GROUP BY user_id, k""")
+def z06_silent_jobs(spark, sf_dir):
+    """Users as jobs, events as their heartbeats: a row for each time that a job fell silent for more than two hours."""
+    beats = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    found = snapshots.silent_jobs(beats, "user_id", "ts", "7200500 milliseconds")
+    return found.select("user_id", F.col("last_beat").cast("timestamp_ntz").alias("last_beat"), "beats")
+
+
+@q("SELECT CAST(ts AS DATE) AS day, count(*) AS n, min(value) AS least, max(value) AS most FROM events GROUP BY 1")
+def u11_z07_rebuilt_days(spark, sf_dir):
+    """Rows that come late belong to the day they were captured on: the summaries of those days, and of no others, are made again."""
+    rows = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    summary = lambda r: r.groupBy("day").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+    late = rows.filter("event_id % 50 = 0 AND day(day) % 4 = 0")
+    stored = summary(rows.filter("NOT (event_id % 50 = 0 AND day(day) % 4 = 0)"))
+    return ledger.replaced(stored, summary(rows.join(snapshots.touched_days(late, "ts"), "day", "left_semi")), "day")

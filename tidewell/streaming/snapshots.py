@@ -5,7 +5,7 @@ Each batch is merged by the batch operators, so that a stream that has caught up
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -13,24 +13,23 @@ from tidewell.operators.ledger import ledger_actions
 
 
 def latest_snapshot(stream: DataFrame, path: str, checkpoint: str, captured: str) -> StreamingQuery:
-    """Keeps at ``path`` the rows of the newest capture so far; a batch with older captures only changes nothing."""
+    """Writes the newest capture of each batch to a folder of its own below ``path``, which a batch that is run again overwrites; see ``newest_rows``."""
 
     def keep(batch: DataFrame, epoch: int) -> None:
-        newest = batch.agg(F.max(captured).alias("n")).first()["n"]
-        if newest is None:
-            return
-        spark = batch.sparkSession
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        there = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-        before = spark.read.parquet(path).agg(F.max(captured).alias("n")).first()["n"] if there else None
-        if before is None or newest > before:
-            batch.filter(F.col(captured) == newest).write.mode("overwrite").parquet(path)
-        elif newest == before:
-            batch.filter(F.col(captured) == newest).write.mode("append").parquet(path)
+        newest = batch.agg(F.max(captured).alias("n"), F.max(F.unix_micros(F.col(captured).cast("timestamp"))).alias("micros")).first()
+        if newest["n"] is not None:
+            batch.filter(F.col(captured) == newest["n"]).write.mode("overwrite").parquet(f"{path}/capture={newest['micros']}/epoch={epoch}")
 
     return stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def newest_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the newest capture that ``latest_snapshot`` has written; folders of older ones are not read."""
+    rows = spark.read.parquet(path)
+    newest = rows.select("capture").distinct().agg(F.max("capture")).first()[0]
+    return rows.filter(F.col("capture") == newest).drop("capture", "epoch")
+
+
 def ledger_stream(stream: DataFrame, path: str, checkpoint: str, order: str) -> StreamingQuery:
     """Appends what the ledger has not seen; a batch that is run again is skipped whole, since its contents are there."""
     schema = stream.schema
