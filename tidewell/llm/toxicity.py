@@ -34,7 +34,7 @@ EPOCHS, STEPS, BATCH, RATE = 8, 600, 256, 0.3
 CALIBRATED_ON = 5
 #: What holds the shares of the whole bag and of the number of windows near 0.
 RIDGE = 1.0
-WORDS_AT_ONCE = 50_000
+WORDS_AT_ONCE, WINDOWS_AT_ONCE = 50_000, 1 << 18
 #: Bytes of the sample's texts that are cut into words at once, and texts whose words are counted at once.
 PART_BYTES, TEXTS_AT_ONCE = 2 << 20, 500
 
@@ -87,8 +87,8 @@ class Windows:
         n_windows = np.where(n_words > 0, np.maximum(n_words - WINDOW + 1, 1), 0)
         self.text_at = np.append(0, np.cumsum(n_windows))  # edges of texts, in windows
         within = np.arange(self.text_at[-1]) - np.repeat(self.text_at[:-1], n_windows)
-        self.first = np.repeat(word_at[:-1], n_windows) + within  # first word of each window
-        self.last = np.minimum(self.first + WINDOW, np.repeat(word_at[1:], n_windows))
+        self.first = (np.repeat(word_at[:-1], n_windows) + within).astype(np.int32)  # first word of each window
+        self.last = np.minimum(self.first + WINDOW, np.repeat(word_at[1:], n_windows)).astype(np.int32)
 
     @classmethod
     def of(cls, texts: list[str]) -> Windows:
@@ -106,30 +106,40 @@ class Windows:
         out.words, out.code = coded.dictionary, np.concatenate([at[p.code] for at, p in zip(place, parts, strict=True)])
         out.edges, out.buckets = subwords(out.words)
         out.text_at = np.concatenate([[0], *(p.text_at[1:] + n for p, n in zip(parts, n_windows, strict=False))])
-        out.first, out.last = (np.concatenate([getattr(p, side) + n for p, n in zip(parts, n_words, strict=False)]) for side in ("first", "last"))
+        out.first, out.last = (np.concatenate([getattr(p, side) + np.int32(n) for p, n in zip(parts, n_words, strict=False)]) for side in ("first", "last"))
+        return out
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        """The sum of ``weights`` over the buckets of each word."""
+        out = np.empty(len(self.edges) - 1, np.float32)
+        for k in range(0, len(out), WORDS_AT_ONCE):
+            edges = self.edges[k : k + WORDS_AT_ONCE + 1]
+            out[k : k + WORDS_AT_ONCE] = np.add.reduceat(weights[self.buckets[edges[0] : edges[-1]]], edges[:-1] - edges[0])
         return out
 
     def logits(self, weights: np.ndarray) -> np.ndarray:
         """The mean of ``weights`` over the buckets of each window."""
         if not len(self.first):
             return np.zeros(0)
-        counts = np.diff(self.edges)
-        sums = np.add.reduceat(weights[self.buckets], self.edges[:-1])
-        total, size = sums[self.code[self.first]], counts[self.code[self.first]]
-        for k in range(1, WINDOW):
-            has = np.flatnonzero(self.first + k < self.last)
-            word = self.code[self.first[has] + k]
-            total[has] += sums[word]
-            size[has] += counts[word]
-        return total / size
+        counts, sums = np.diff(self.edges).astype(np.float32), self.sums(weights)
+        out = np.empty(len(self.first), np.float32)
+        for k in range(0, len(out), WINDOWS_AT_ONCE):
+            first, last = self.first[k : k + WINDOWS_AT_ONCE], self.last[k : k + WINDOWS_AT_ONCE]
+            total, size = sums[self.code[first]], counts[self.code[first]]
+            for j in range(1, WINDOW):
+                has = np.flatnonzero(first + j < last)
+                word = self.code[first[has] + j]
+                total[has] += sums[word]
+                size[has] += counts[word]
+            out[k : k + WINDOWS_AT_ONCE] = total / size
+        return out
 
     def whole(self, weights: np.ndarray) -> np.ndarray:
         """The mean of ``weights`` over the buckets of each text, 0 where it has no words."""
         edges = np.append(self.first, len(self.code))[self.text_at]
         out, some = np.zeros(len(edges) - 1), np.diff(edges) > 0
         if some.any():
-            counts = np.diff(self.edges)
-            sums = np.add.reduceat(weights[self.buckets], self.edges[:-1])
+            counts, sums = np.diff(self.edges), self.sums(weights)
             out[some] = np.add.reduceat(sums[self.code].astype(np.float64), edges[:-1][some]) / np.add.reduceat(counts[self.code], edges[:-1][some])
         return out
 
@@ -248,8 +258,12 @@ def _first_guess(windows: Windows, y: np.ndarray) -> np.ndarray:
         pairs = np.unique(of * len(windows.words) + windows.code[edges[0] : edges[-1]])
         for label in (0, 1):
             by_word[label] += np.bincount(pairs[y[pairs // len(windows.words)] == label] % len(windows.words), minlength=len(windows.words))
-    owner = np.repeat(np.arange(len(windows.words)), np.diff(windows.edges))
-    seen = [np.bincount(windows.buckets, by_word[label][owner], BUCKETS) / max(1, (y == label).sum()) for label in (1, 0)]
+    seen = np.zeros((2, BUCKETS))
+    for k in range(0, len(windows.words), WORDS_AT_ONCE):
+        edges = windows.edges[k : k + WORDS_AT_ONCE + 1]
+        owner = np.repeat(np.arange(k, k + len(edges) - 1), np.diff(edges))
+        for label in (1, 0):
+            seen[1 - label] += np.bincount(windows.buckets[edges[0] : edges[-1]], by_word[label][owner], BUCKETS) / max(1, (y == label).sum())
     least = 2 / len(y)
     return np.log((seen[0] + least) / (seen[1] + least))
 
