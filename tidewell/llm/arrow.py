@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 
 #: Bytes of text that a task works on at once; longer texts are worked on alone.
 SLICE_BYTES = 8 << 20
-#: Bytes that are hashed at once, for which an array of powers is kept.
-HASH_BYTES = 1 << 20
+#: Bytes that are hashed at once, for which arrays of powers are kept.
+HASH_BYTES = (1 << 18) - 1
 
 
 def released() -> None:
@@ -85,10 +85,11 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    row = _POWERS.get(base, np.ones(1, np.uint64))
+    row = _POWERS.get(base, np.ones(1, np.uint32))
     while len(row) < n:
-        row = np.concatenate([row, row * np.uint64(pow(base, len(row), int(_PRIME))) % _PRIME])
-    _POWERS[base] = row
+        row = np.concatenate([row, (row * np.uint64(pow(base, len(row), int(_PRIME))) % _PRIME).astype(np.uint32)])
+    if len(row) <= HASH_BYTES + 1:  # workers live on: longer ones are not kept
+        _POWERS[base] = row
     return row
 
 
