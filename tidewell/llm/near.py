@@ -118,10 +118,9 @@ def profiles(docs: DataFrame, size: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The ``pairs`` a, b of sets of which 100 * intersection >= percent * union. texts: set and text of each."""
+    """The ``pairs`` a, b of classes of whose sets 100 * intersection >= percent * union. texts: set, a name of the class of any type, and text of each."""
     one, two = (texts.select(F.col("set").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    rows = pairs.select("a", "b").join(one, "a").join(two, "b")
-    rows = rows.select("a.k1", "a.k2", F.col("b.k1").alias("l1"), F.col("b.k2").alias("l2"), "text_a", "text_b")
+    rows = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub: tuple[object, np.ndarray] = (None, np.zeros(0, np.uint64))
@@ -129,7 +128,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
             for rows, data, offsets in text_slices(iter([batch]), "text_a"):
                 values, at = shingle_sets(data, offsets, size)
                 linked = []
-                for k, b in enumerate(zip(*(rows.column(c).to_pylist() for c in ("l1", "l2")), strict=True)):  # hubs come in order
+                for k, b in enumerate(rows.column("b").to_pylist()):  # hubs come in order
                     if hub[0] != b:
                         raw = (rows.column("text_b")[k].as_py() or "").encode()
                         hub = b, shingle_sets(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), size)[0]
@@ -140,10 +139,10 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
                         place = np.minimum(np.searchsorted(hub[1], mine), len(hub[1]) - 1)
                         shared = int((hub[1][place] == mine).sum())
                     linked.append(shared > 0 and 100 * shared >= percent * (len(mine) + len(hub[1]) - shared))
-                yield rows.select(["k1", "k2", "l1", "l2"]).filter(pa.array(linked, pa.bool_()))
+                yield rows.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    found = rows.mapInArrow(compare, "k1 long, k2 long, l1 long, l2 long")
-    return found.select(F.struct("k1", "k2").alias("a"), F.struct(F.col("l1").alias("k1"), F.col("l2").alias("k2")).alias("b"))
+    kind = texts.schema["set"].dataType.simpleString()
+    return rows.mapInArrow(compare, f"a {kind}, b {kind}")
 
 
 def pairs_left(groups: DataFrame, labels: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -161,11 +160,12 @@ def pairs_left(groups: DataFrame, labels: DataFrame, texts: DataFrame, size: int
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_slices(batches):
             values, at = shingle_sets(data, offsets, size)
-            ids = rows.select(["k1", "k2"]).take(pa.array(np.repeat(np.arange(len(at) - 1), np.diff(at))))
-            yield pa.RecordBatch.from_arrays([*ids.columns, pa.array(np.repeat(np.diff(at), np.diff(at))), pa.array(values.view(np.int64))], ["k1", "k2", "n", "shingle"])
+            ids = rows.column("id").take(pa.array(np.repeat(np.arange(len(at) - 1), np.diff(at))))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.repeat(np.diff(at), np.diff(at))), pa.array(values.view(np.int64))], ["id", "n", "shingle"])
 
-    own = texts.join(of.select(F.col("id").alias("set")), "set").select("set.k1", "set.k2", "text")
-    every = own.mapInArrow(shingles, "k1 long, k2 long, n long, shingle long").select(F.struct("k1", "k2").alias("id"), "n", "shingle")
+    kind = of.schema["id"].dataType.simpleString()
+    own = texts.withColumnRenamed("set", "id").join(of.select("id"), "id").select("id", "text")
+    every = own.mapInArrow(shingles, f"id {kind}, n long, shingle long")
     every = written(every.join(of, "id"), "shingles-left")
     common = every.groupBy("group", "shingle").agg(F.count("*").alias("often")).filter("often > 1")
     # Shingles of one set alone come first in its order and make no pair: they are counted, not ranked.
@@ -192,27 +192,29 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     nameless = every.filter("doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     every = every.filter("doc_id IS NOT NULL")
     some = every.filter("n_shingles > 0")
-    classes = written(some.groupBy("set").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("n_shingles").alias("n")), "classes")
+    classes = some.groupBy("set").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("n_shingles").alias("n"))
+    # From here on a class goes by a number, given once and written: Spark aggregates numbers by hashing, and sets by sorting.
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     # A class is sketched alike in all its rows; its first row stands for it.
-    keyed = some.join(classes, "set").filter(F.struct("doc_id", "text_hash") == F.col("first")).dropDuplicates(["set"])
-    keyed = keyed.select(F.col("set").alias("id"), "n", F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
-    members = written(keyed.join(hubs.select("key", "hub"), "key"), "members")
+    keyed = some.join(classes, "set").filter(F.struct("doc_id", "text_hash") == F.col("first")).dropDuplicates(["id"])
+    keyed = keyed.select("id", F.explode("keys").alias("key"))
+    hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).filter("size > 1").drop("size")
 
-    met = members.filter(F.col("id") != F.col("hub.id")).select(F.col("id").alias("a"), F.col("hub.id").alias("b"), "n", F.col("hub.n").alias("m")).distinct()
+    met = keyed.join(hubs, "key").filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     met = written(met, "pairs")
-    ids = members.select(F.col("id").alias("set")).distinct().join(classes, "set").select("set", "first.*")
+    ids = met.select(F.col("a").alias("id")).union(met.select("b")).distinct().join(classes, "id").select("id", "first.*")
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").join(ids, ["doc_id", "text_hash"])
-    texts = written(texts.dropDuplicates(["set"]).select("set", "text"), "texts")
-    could = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    texts = written(texts.dropDuplicates(["id"]).select(F.col("id").alias("set"), "text"), "texts")
+    n, m = (classes.select(F.col("id").alias(c), F.col("n").alias(name)) for c, name in (("a", "n"), ("b", "m")))
+    could = met.join(n, "a").join(m, "b").filter(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
     # Texts under one doc_id are linked, whatever they are.
-    several = some.groupBy("doc_id").agg(F.min("set").alias("b"), F.max("set").alias("other")).filter("b <> other").drop("other")
-    named = some.join(several, "doc_id").select(F.col("set").alias("a"), "b").filter("a <> b")
-    links = written(confirmed(met.filter(could), texts, size, percent).unionByName(named), "links")
-    left = pairs_left(components(met.select("a", "b")), components(links), texts, size, percent)
+    several = some.groupBy("doc_id").agg(F.min("set").alias("one"), F.max("set").alias("other")).filter("one <> other").drop("other")
+    named = some.join(several, "doc_id").select("set", "one").filter("set <> one")
+    named = named.join(classes.select("set", F.col("id").alias("a")), "set").join(classes.select(F.col("set").alias("one"), F.col("id").alias("b")), "one")
+    links = written(confirmed(could, texts, size, percent).unionByName(named.select("a", "b")), "links")
+    left = pairs_left(components(met), components(links), texts, size, percent)
     labels = components(links.unionByName(written(confirmed(left, texts, size, percent), "links")))
-    label = F.coalesce("label", "set")
-    placed = classes.join(labels.withColumnRenamed("id", "set"), "set", "left").select("set", "least", label.alias("label"))
+    placed = classes.join(labels, "id", "left").select("set", "least", F.coalesce("label", "id").alias("label"))
     ends = placed.groupBy("label").agg(F.min("least").alias("component_id"))
     placed = written(placed.join(ends, "label").select("set", "component_id"), "placed")
     out = every.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set")).alias("set")).join(placed, "set", "left")
