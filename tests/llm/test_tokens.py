@@ -124,3 +124,28 @@ def test_packed_keeps_columns_of_any_name(spark):
     out = packed(pieces, 10)
     assert out.columns == [*pieces.columns, "sequence_id", "offset"] and {(r["_rank"], r["x`y"]) for r in out.collect()} == {("a", "b")}
     assert out.select("sequence_id").distinct().count() == 4
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """Rows of any size reach Python in small batches, a longer row alone; a limit that the session was given stays."""
+    import pyarrow as pa
+
+    from tidewell.llm.arrow import BATCH_LIMIT, bounded_batches
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], ["size", "rows"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    try:
+        spark.conf.unset(name)
+        bounded_batches(spark)
+        texts = spark.range(0, 300, 1, 1).selectExpr("repeat('x', CASE WHEN id = 299 THEN 20000000 ELSE 100000 END) AS text")
+        found = texts.mapInArrow(sizes, "size long, rows long").collect()
+        assert sum(r["rows"] for r in found) == 300 and all(r["size"] < BATCH_LIMIT + 200_000 for r in found[:-1])
+        spark.conf.set(name, "4m")
+        bounded_batches(spark)
+        assert spark.conf.get(name) == "4m"
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)

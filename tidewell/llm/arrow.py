@@ -9,10 +9,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a task works on at once; longer texts are worked on alone.
 SLICE_BYTES = 8 << 20
+#: Bytes of a batch on its way to Python, which the task's JVM and its worker both hold; a longer row goes alone.
+BATCH_LIMIT = 8 << 20
 #: Bytes that are hashed at once, for which arrays of powers are kept.
 HASH_BYTES = (1 << 18) - 1
 
@@ -24,6 +26,13 @@ def released() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the session's batches by bytes too, as ten thousand rows may have any number of them. A limit that the session was given stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_LIMIT))
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Each batch cut by bytes: the rows, the UTF-8 bytes of their texts one after the other, and len(rows) + 1 offsets. Null is empty."""
     for batch in batches:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.arrow import free_name, lowered, mixed, plain_names, quoted, span_hashes, text_slices, word_spans
+from tidewell.llm.arrow import bounded_batches, free_name, lowered, mixed, plain_names, quoted, span_hashes, text_slices, word_spans
 from tidewell.session import written
 
 #: Text of items that one automaton holds; more items take more automata, and a pass over the documents for each.
@@ -197,6 +197,7 @@ def matched(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> tuple[Da
     words and no hits; null, empty and repeated items are fine. Repeated rows are judged alike.
     The benchmark is collected by parts of ROUND_BYTES, each with an automaton and a pass of its own.
     """
+    bounded_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rounds = max(1, math.ceil(size / ROUND_BYTES))

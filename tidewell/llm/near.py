@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.arrow import free_name, lowered, mixed, quoted, span_hashes, text_slices, word_spans
+from tidewell.llm.arrow import bounded_batches, free_name, lowered, mixed, quoted, span_hashes, text_slices, word_spans
 from tidewell.llm.graph import components
 from tidewell.session import written
 
@@ -112,6 +112,7 @@ def profiles(docs: DataFrame, size: int) -> DataFrame:
             lists = pc.if_else(some, lists, pa.scalar(None, lists.type))
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_hash"), pa.array(n), *map(pa.array, names), lists], ["doc_id", "text_hash", "n_shingles", "k1", "k2", "keys"])
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(sketch, f"doc_id {kind}, text_hash long, n_shingles long, k1 long, k2 long, keys array<long>")
     return found.select("doc_id", "text_hash", "n_shingles", F.struct("k1", "k2").alias("set"), "keys")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.arrow import plain_names
+from tidewell.llm.arrow import bounded_batches, plain_names
 from tidewell.llm.tokens import encoded_slices
 from tidewell.session import written
 
@@ -52,6 +52,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, separator:
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.arrow import text_slices
+from tidewell.llm.arrow import bounded_batches, text_slices
 
 #: Bytes of texts whose strings are told apart at once.
 BATCH_BYTES = 8 << 20
@@ -170,6 +170,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 n = np.diff(np.append(0, np.cumsum(parts[0][2]))[at])
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("n_bytes"), pa.array(n)], ["doc_id", "n_bytes", "n_tokens"])
 
+    bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))

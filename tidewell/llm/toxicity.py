@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.arrow import free_name, lowered, mixed, plain_names, released, span_hashes, span_values, text_slices, word_spans
+from tidewell.llm.arrow import bounded_batches, free_name, lowered, mixed, plain_names, released, span_hashes, span_values, text_slices, word_spans
 from tidewell.llm.decontaminate import IS_WORD
 from tidewell.llm.packing import gathered
 from tidewell.llm.tokens import edges_and_data
@@ -273,6 +273,7 @@ def model_of(docs: DataFrame, labels: DataFrame) -> Model:
 
     Of labels that differ for one doc_id the toxic one counts; rows that repeat a doc_id are learned from each. Null texts are empty.
     """
+    bounded_batches(docs.sparkSession)
     marked = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     parts = [marked.filter(f"toxic {sign} 0").orderBy(*order).limit(n) for sign, n in (("<>", TRAIN_TOXIC), ("=", TRAIN_CLEAN))]
@@ -301,6 +302,7 @@ def scored(docs: DataFrame, model: Model) -> tuple[DataFrame, str]:
     Null and empty texts score as texts without a sign of either label; repeated rows and equal texts score alike, whatever their length or the
     rows around them. An empty table gives an empty one; columns of any name are kept.
     """
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     columns, name = plain_names(docs), free_name(docs.columns, "_toxicity")
 
