@@ -16,6 +16,7 @@ from tidewell.llm.sentences import MIN_SENTENCES, without_repeats
 from tidewell.llm.sharding import shard_ids
 from tidewell.llm.tokens import token_counts
 from tidewell.llm.toxicity import held_out, model_of, scored
+from tidewell.llm.trie import FAMILY, HEADS, prefix_trie
 from tidewell.session import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -81,8 +82,14 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeated_bytes(table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_sentences, op2_every_run, op3_pack, op4_token_counts, op5_near, op6_shards, op7_exact, op8_toxicity, op9_lm, op10_repeats)}
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
 
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_sentences, op2_every_run, op3_pack, op4_token_counts, op5_near, op6_shards, op7_exact, op8_toxicity, op9_lm, op10_repeats, op11_trie)}
+
+_CRC32 = """xor(list_reduce([ascii(c) FOR c IN string_split({}, '')],
+    lambda a, x: list_reduce([0 FOR i IN range(8)], lambda b, y: xor(b >> 1, (b & 1) * 3988292384::BIGINT), xor(a, x::BIGINT)), 4294967295::BIGINT), 4294967295::BIGINT)"""
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -175,4 +182,15 @@ t AS (SELECT k.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS l
 SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
        sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
 FROM d LEFT JOIN t USING (doc_id)""",
+    "op11_trie": rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {_CRC32.format("conv_id::VARCHAR")} % {HEADS} AS h, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS own FROM t GROUP BY 1),
+r AS (SELECT c.conv_id, coalesce(f.own[1:c.h], []) || c.own[c.h + 1:] AS p FROM c LEFT JOIN c f ON f.conv_id = c.conv_id - c.conv_id % {FAMILY}),
+x AS (SELECT conv_id, d, p[1:d] AS pre, len(p) = d AS ends FROM r, unnest(range(len(p) + 1)) u(d)),
+n AS (SELECT d, pre, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM x GROUP BY 1, 2),
+k AS (SELECT d - 1 AS d, pre[1:d - 1] AS pre, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+s AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(pre[d].text, '[^\x20\x09-\x0D]+')) END AS saved FROM n LEFT JOIN k USING (d, pre)),
+u AS (SELECT a AS d, pre[1:a] AS pre, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM s, unnest(range(d + 1)) v(a) GROUP BY 1, 2)
+SELECT s.conv_id, s.d AS depth, q.conv_id AS parent_conv_id, s.n_convs, s.n_children, u.n_leaves, u.saved_tokens::BIGINT AS saved_tokens, s.ends_sha256
+FROM s JOIN u ON u.d = s.d AND u.pre = s.pre LEFT JOIN s q ON q.d = s.d - 1 AND q.pre = s.pre[1:s.d - 1]""",
 }
