@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.decontaminate import contamination
 from tidewell.llm.exact import exact_groups
+from tidewell.llm.lexical import ranked
 from tidewell.llm.lm import lm_scores
 from tidewell.llm.near import near_groups
 from tidewell.llm.packing import pack_documents
@@ -27,6 +28,7 @@ WINDOW = 10
 #: Words of a run in op2_every_run.
 MIN_WORDS = 20
 TOXIC_SCORE = 0.3
+HITS = 10
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +88,11 @@ def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_sentences, op2_every_run, op3_pack, op4_token_counts, op5_near, op6_shards, op7_exact, op8_toxicity, op9_lm, op10_repeats, op11_trie)}
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), HITS)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_sentences, op2_every_run, op3_pack, op4_token_counts, op5_near, op6_shards, op7_exact, op8_toxicity, op9_lm, op10_repeats, op11_trie, op12_lexical)}
 
 _CRC32 = """xor(list_reduce([ascii(c) FOR c IN string_split({}, '')],
     lambda a, x: list_reduce([0 FOR i IN range(8)], lambda b, y: xor(b >> 1, (b & 1) * 3988292384::BIGINT), xor(a, x::BIGINT)), 4294967295::BIGINT), 4294967295::BIGINT)"""
@@ -193,4 +199,15 @@ s AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN d = 0 THEN 0
 u AS (SELECT a AS d, pre[1:a] AS pre, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM s, unnest(range(d + 1)) v(a) GROUP BY 1, 2)
 SELECT s.conv_id, s.d AS depth, q.conv_id AS parent_conv_id, s.n_convs, s.n_children, u.n_leaves, u.saved_tokens::BIGINT AS saved_tokens, s.ends_sha256
 FROM s JOIN u ON u.d = s.d AND u.pre = s.pre LEFT JOIN s q ON q.d = s.d - 1 AND q.pre = s.pre[1:s.d - 1]""",
+    "op12_lexical": f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS.format("text")} AS w FROM documents),
+s AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d),
+i AS (SELECT row_number() OVER () AS i, * FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+q AS (SELECT DISTINCT i, t FROM (SELECT i, {_WORDS.format("text")} AS w FROM i), unnest(w) u(t)),
+p AS (SELECT r, t, count(*) AS tf FROM d, unnest(w) u(t) SEMI JOIN q USING (t) GROUP BY 1, 2),
+f AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS wt FROM p, s GROUP BY t, n_docs),
+v AS (SELECT d.r, doc_id, 100 - 90 + (90 * len(w) * n_docs) // n_terms AS m FROM d, s WHERE len(w) > 0),
+x AS (SELECT i, v.doc_id, v.r, sum(wt * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM q JOIN p USING (t) JOIN f USING (t) JOIN v ON v.r = p.r GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM i JOIN
+(SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM x WHERE score > 0) y USING (i) WHERE rank <= {HITS}""",
 }
