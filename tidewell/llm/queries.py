@@ -11,6 +11,7 @@ from tidewell.llm.exact import exact_groups
 from tidewell.llm.lexical import ranked
 from tidewell.llm.lm import lm_scores
 from tidewell.llm.near import near_groups
+from tidewell.llm.neighbours import nearest
 from tidewell.llm.packing import pack_documents
 from tidewell.llm.repeats import LENGTH, without_repeated_bytes
 from tidewell.llm.sentences import MIN_SENTENCES, without_repeats
@@ -29,6 +30,7 @@ WINDOW = 10
 MIN_WORDS = 20
 TOXIC_SCORE = 0.3
 HITS = 10
+QUERY_EVERY, NEIGHBOURS = 50, 5
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +94,11 @@ def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), HITS)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_sentences, op2_every_run, op3_pack, op4_token_counts, op5_near, op6_shards, op7_exact, op8_toxicity, op9_lm, op10_repeats, op11_trie, op12_lexical)}
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), QUERY_EVERY, NEIGHBOURS)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_sentences, op2_every_run, op3_pack, op4_token_counts, op5_near, op6_shards, op7_exact, op8_toxicity, op9_lm, op10_repeats, op11_trie, op12_lexical, op13_neighbours)}
 
 _CRC32 = """xor(list_reduce([ascii(c) FOR c IN string_split({}, '')],
     lambda a, x: list_reduce([0 FOR i IN range(8)], lambda b, y: xor(b >> 1, (b & 1) * 3988292384::BIGINT), xor(a, x::BIGINT)), 4294967295::BIGINT), 4294967295::BIGINT)"""
@@ -210,4 +216,10 @@ v AS (SELECT d.r, doc_id, 100 - 90 + (90 * len(w) * n_docs) // n_terms AS m FROM
 x AS (SELECT i, v.doc_id, v.r, sum(wt * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM q JOIN p USING (t) JOIN f USING (t) JOIN v ON v.r = p.r GROUP BY ALL)
 SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM i JOIN
 (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM x WHERE score > 0) y USING (i) WHERE rank <= {HITS}""",
+    "op13_neighbours": f"""
+WITH v AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+           WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+x AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.e, v.e) AS score FROM v q, v WHERE q.vec_id % {QUERY_EVERY} = 0 AND v.vec_id <> q.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM x) WHERE rank <= {NEIGHBOURS}""",
 }
