@@ -257,3 +257,27 @@ def test_interleave_of_sorted_shards():
     for a, b, n in zip(merged[:-1], merged[1:], common[1:].tolist(), strict=True):
         alike = next((k for k in range(24) if a[k] != b[k]), 24)
         assert n == (alike - 8 if a[:8] == b[:8] else -1)
+
+
+def test_sentences_of_rows_under_one_id(spark):
+    """Rows of one id whose words are cut otherwise are documents of their own; nothing of one is taken from another."""
+    rows = [(0, "A b. C d. E f."), (1, "A b. C d. E f."), (1, "A b C d. E f."), (2, "zz."), (3, "A b C d. E f.")]
+    got = sorted((r["doc_id"], r["n_removed"], r["kept_text"]) for r in without_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect())
+    assert got == [(0, 0, "A b. C d. E f."), (1, 0, "A b C d. E f."), (1, 3, ""), (2, 0, "zz."), (3, 2, "")]
+
+
+def test_sentences_of_a_long_text(odd, odd_rows):
+    """Runs of two stand for all, so the long text is held against those."""
+    docs, seen, gone = {d: [w for _, w in sentences_of(t) if w] for d, t in odd_rows}, set(), defaultdict(set)
+    for d in sorted(docs):
+        for i, run in enumerate(zip(docs[d], docs[d][1:], strict=False)):
+            gone[d].update((i, i + 1) if run in seen else ())
+            seen.add(run)
+    assert {r["doc_id"]: (r["n_sentences"], r["n_removed"]) for r in without_repeats(odd).collect()} == {d: (len(s), len(gone[d])) for d, s in docs.items()}
+
+
+def test_copies_with_ids_of_any_type(spark, odd):
+    named = odd.withColumn("doc_id", F.concat(F.lit("d"), F.format_string("%04d", "doc_id")))
+    plain, got = ({(str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["kept"]) for r in exact_groups(d).collect()} for d in (odd, named))
+    assert got == {(f"d{int(d):04}", f"d{int(k):04}", n, kept) for d, k, n, kept in plain}
+    assert without_copies(named).count() == without_copies(odd).count()

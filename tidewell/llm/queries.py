@@ -26,8 +26,8 @@ CONTEXT_TOKENS = 2048
 COUNT_LIMIT = 1024
 SHARD_BYTES = 16 << 20
 WINDOW = 10
-#: Words of a run in op2_every_run.
-MIN_WORDS = 20
+#: Words of a run in op2_every_run, which takes runs for equal wherever they are cut into sentences: any.
+MIN_WORDS = 1
 TOXIC_SCORE = 0.3
 HITS = 10
 QUERY_EVERY, NEIGHBOURS = 50, 5

@@ -50,9 +50,11 @@ class _Texts:
         self.word_at, self.hashes = word_at, span_hashes(low, starts, ends)
 
     def keys(self) -> np.ndarray:
-        """A key of each text by its words."""
+        """A key of each text by its words and by the places where its sentences end."""
         place = np.arange(len(self.hashes)) - np.repeat(self.word_at[:-1], np.diff(self.word_at))
-        h = np.append(np.uint64(0), np.cumsum(mixed(self.hashes + place.astype(np.uint64)), dtype=np.uint64))
+        last = np.zeros(len(self.hashes), np.uint64)
+        last[self.first_word[1:] - 1] = np.uint64(0x9E3779B97F4A7C15)
+        h = np.append(np.uint64(0), np.cumsum(mixed(mixed(self.hashes ^ last) + place.astype(np.uint64)), dtype=np.uint64))
         return (h[self.word_at[1:]] - h[self.word_at[:-1]]).view(np.int64)
 
     def runs(self, min_words: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -112,8 +114,8 @@ def repeated_sentences(docs: DataFrame, min_words: int = 0) -> DataFrame:
 def without_repeats(docs: DataFrame, min_words: int = 0) -> DataFrame:
     """``docs`` with n_sentences, n_removed and kept_text, judged by runs of MIN_SENTENCES, or by runs of ``min_words`` words.
 
-    Null texts are empty and keep an empty text. Rows that repeat a doc_id and text are one document:
-    their runs are the same runs. Of rows without a doc_id those come first. A text without a run of several sentences keeps all of
+    Null texts are empty and keep an empty text. Rows of one doc_id with the same words and the same ends of sentences are one document:
+    their runs are the same runs. Other rows of one doc_id are documents of their own, in an order that their words give. Of rows without a doc_id those come first. A text without a run of several sentences keeps all of
     them, however long it is. Pieces without a word stay. An empty table gives an empty one. Other columns, of whatever name, are left out.
     """
 
@@ -127,9 +129,10 @@ def without_repeats(docs: DataFrame, min_words: int = 0) -> DataFrame:
             texts = _Texts(data, offsets)
             gone = np.zeros(len(texts.sentence) + 1, np.int64)
             for row, spans in enumerate(rows.column("spans").to_pylist()):
+                low, high = texts.sentence_at[row : row + 2]
                 for s in spans or ():
-                    gone[texts.sentence_at[row] + s["first"]] += 1
-                    gone[texts.sentence_at[row] + s["last"] + 1] -= 1
+                    gone[min(low + s["first"], high)] += 1
+                    gone[min(low + s["last"] + 1, high)] -= 1
             gone = np.cumsum(gone)[:-1] > 0
             piece_gone = np.zeros(len(texts.edges) - 1, bool)
             piece_gone[texts.sentence[gone]] = True
