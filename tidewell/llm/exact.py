@@ -58,7 +58,7 @@ def directory(hashes: DataFrame, bucket_hashes: int = BUCKET_HASHES) -> tuple[Da
 def indexed(docs: DataFrame, bucket_hashes: int = BUCKET_HASHES) -> tuple[DataFrame, DataFrame]:
     """Entries (doc_id, points, hash, text_sha256) of all rows, and the index: a row (bucket, depth, hash, text_sha256, group_size, keep_id, keep_points) for each text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(text).alias("points"), normalised(F.col("text")).alias("norm"))
+    rows = docs.select("doc_id", F.length(text).alias("points"), normalised(F.col("text")).alias("norm"))
     rows = rows.withColumn("hash", F.xxhash64("norm"))
     entries = written(rows.select("doc_id", "points", "hash", F.sha2("norm", 256).alias("text_sha256")), "entries")
     slots, bits = directory(written(entries.select("hash").distinct(), "hashes"), bucket_hashes)
@@ -77,7 +77,7 @@ def exact_groups(docs: DataFrame, bucket_hashes: int = BUCKET_HASHES) -> DataFra
     """One row for every row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, and bucket and depth in the index.
 
     Texts are equal when their normalised bytes are. Of equal texts the row with the most code points stays, then the
-    smallest doc_id; a null doc_id comes last. Null and empty texts form one group. Rows that repeat a doc_id and text count
+    smallest doc_id, in the order of its type; a null doc_id comes last. Null and empty texts form one group. Rows that repeat a doc_id and text count
     each and are marked alike. Texts of any length are one value; an empty table gives an empty one. Other columns are not looked at.
     """
     entries, index = indexed(docs, bucket_hashes)

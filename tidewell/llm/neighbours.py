@@ -193,7 +193,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, block: int = BLOCK,
     Nearness is the cosine of the vectors as given, in double precision; ties go to the smaller vec_id. Vectors that are null, empty, zero, or
     that hold a null, NaN or infinite component take no part, nor do rows without a vec_id. Shorter vectors count as ending in zeros.
     Rows that repeat vec_id and vector are one. One vec_id with several vectors is several rows, each with a search of its own; they are no
-    candidates of each other. An empty table gives none. Other columns are not looked at.
+    candidates of each other, but take up places of the k + 1 that a search keeps. An empty table gives none. Other columns are not looked at.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
