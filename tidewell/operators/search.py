@@ -1,6 +1,6 @@
-"""Text search: exact substring relevance, and token scores over an inverted index.
+"""Text search: exact substring relevance, and tokens of a light stemmer, which ``textindex`` stores.
 
-Token search is like a full-text search with a light stemmer; its scores are not those of any database.
+Token search is like a full-text search; its scores are not those of any database.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 STOP_WORDS = "a as com da das de do dos e em na nas no nos o os ou para por que se um uma the of and in to is".split()
 #: Endings that are cut from words of five letters and more, after an s at the end (fixed values).
 ENDINGS = "mente acoe coe acao cao ando endo indo ado ada ido ida ar er ir".split()
-_ACCENTS = ("áàâãäéèêëíìîïóòôõöúùûüçñ", "aaaaaeeeeiiiiooooouuuucn")
+ACCENTS = ("áàâãäéèêëíìîïóòôõöúùûüçñ", "aaaaaeeeeiiiiooooouuuucn")
 
 
 def relevance(text: Column, query: str) -> Column:
@@ -31,24 +31,11 @@ def substring_search(rows: DataFrame, text: str, query: str, when: str, key: str
 
 def tokens(text: Column) -> Column:
     """Words in lower case without accents, stop words and common endings."""
-    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), *_ACCENTS)
+    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), *ACCENTS)
     words = F.filter(F.split(plain, "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(STOP_WORDS))
     return F.transform(words, lambda w: F.when(F.length(w) >= 5, F.regexp_replace(F.regexp_replace(w, "s$", ""), f"({'|'.join(ENDINGS)})$", "")).otherwise(w))
 
 
-def inverted_index(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """token, key, n: how often each token occurs in each row. Write it partitioned by token ranges to search often."""
-    return rows.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy("token", key).agg(F.count("*").alias("n"))
-
-
-def token_search(index: DataFrame, key: str, query: str) -> DataFrame:
-    """key, score of the rows that have all tokens of the query: the sum of 1 + ln(n)."""
-    spark = index.sparkSession
-    wanted = spark.range(1).select(F.explode(F.array_distinct(tokens(F.lit(query)))).alias("token"))
-    hits = index.join(F.broadcast(wanted), "token").groupBy(key).agg(F.count("*").alias("_n"), F.sum(1 + F.log("n")).alias("score"))
-    return hits.join(F.broadcast(wanted.agg(F.count("*").alias("_all"))), F.col("_n") == F.col("_all")).select(key, "score")
-
-
 def any_term(rows: DataFrame, text: str, query: str) -> DataFrame:
     """Rows with any of the terms between commas, and how many of them."""
     terms = [t.strip() for t in query.split(",") if t.strip()]

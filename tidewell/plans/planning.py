@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from tidewell.functions.amounts import brl, token_cost
 from tidewell.operators import planning as ops
 from tidewell.operators import search
 from tidewell.operators.lookups import latest
+from tidewell.operators.textindex import TextIndex
 from tidewell.plans.lookups import STAYS
 from tidewell.plans.registry import Binding, Registry
-from tidewell.session import table
+from tidewell.session import shared_folder, table
 
 q = Registry()
 QUERIES, SQL = q.queries, q.sql
@@ -165,13 +168,33 @@ def f04_blank_query(spark, sf_dir):
     return search.substring_search(table(spark, sf_dir, "documents"), "text", "  ", "n_chars", "doc_id").select("doc_id")
 
 
-@q(r"""WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(translate(lower(text), 'áàâãäéèêëíìîïóòôõöúùûüçñ', 'aaaaaeeeeiiiiooooouuuucn'), '[^a-z0-9]+')) AS w FROM documents),
-s AS (SELECT doc_id, CASE WHEN length(w) >= 5 THEN regexp_replace(regexp_replace(w, 's$', ''), '(mente|acoe|coe|acao|cao|ando|endo|indo|ado|ada|ido|ida|ar|er|ir)$', '') ELSE w END AS token FROM t WHERE w IN ('loser', 'idiot', 'idiots', 'losers')),
-n AS (SELECT doc_id, token, count(*) AS n FROM s WHERE token IN ('los', 'idiot') GROUP BY 1, 2)
-SELECT doc_id, sum(1 + ln(n)) AS score FROM n GROUP BY 1 HAVING count(*) = 2""")
+#: The tokens of every word of every document, by the rules of ``search.tokens``.
+_TOKENS = rf"""t AS (SELECT doc_id, unnest(regexp_split_to_array(translate(lower(coalesce(text, '')), '{search.ACCENTS[0]}', '{search.ACCENTS[1]}'), '[^a-z0-9]+')) AS w FROM documents),
+k AS (SELECT doc_id, CASE WHEN length(w) >= 5 THEN regexp_replace(regexp_replace(w, 's$', ''), '({"|".join(search.ENDINGS)})$', '') ELSE w END AS token
+      FROM t WHERE w <> '' AND w NOT IN ({", ".join(f"'{w}'" for w in search.STOP_WORDS)})),
+l AS (SELECT doc_id, count(*) AS length FROM k GROUP BY 1),
+n AS (SELECT doc_id, token, count(*) AS n FROM k GROUP BY 1, 2)"""
+
+
+def document_index(spark, sf_dir):
+    """The stored index of ``documents``, with all files that the table has now."""
+    folder = f"{shared_folder(spark)}/tidewell/index-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    index = TextIndex(spark, folder, "doc_id", "long", "text")
+    index.refresh(table(spark, sf_dir, "documents"))
+    return index
+
+
+@q(f"""WITH {_TOKENS} SELECT doc_id, sum(1 + ln(n)) / (1 + ln(max(length))) AS score FROM n JOIN l USING (doc_id) WHERE token IN ('los', 'idiot') GROUP BY 1 HAVING count(*) = 2""")
 def f01_f02_token_search(spark, sf_dir):
-    index = search.inverted_index(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
-    return search.token_search(index, "doc_id", "the idiots, losers")
+    return document_index(spark, sf_dir).search("the idiots, losers")
+
+
+@q(f"""WITH {_TOKENS}, f AS (SELECT token, count(*) AS documents FROM n GROUP BY 1), top AS (SELECT token FROM f ORDER BY documents DESC, token LIMIT 3)
+SELECT doc_id, sum(1 + ln(n)) / (1 + ln(max(length))) AS score FROM n JOIN l USING (doc_id) JOIN top USING (token) GROUP BY 1 HAVING count(*) = 3""")
+def f02_frequent_tokens(spark, sf_dir):
+    """The documents with all of the three tokens that most documents have: long lists of postings, read by ranges."""
+    index = document_index(spark, sf_dir)
+    return index.search_tokens([r["token"] for r in index.frequent(3)])
 
 
 @q("""SELECT source, count(*) AS documents, sum((contains(upper(text), 'IDIOT'))::INT + (contains(upper(text), 'CLOWN'))::INT)::BIGINT AS hits FROM documents
