@@ -56,17 +56,33 @@ def islands(days: DataFrame, keys: list[str], day: str) -> DataFrame:
     return run.groupBy(*keys, "_run").agg(F.min(day).alias("first"), F.max(day).alias("last"), F.count("*").alias("days")).drop("_run")
 
 
+class _Band:
+    """Numbers the bands of a key's positions, which come in order, and holds nothing but where the last one began."""
+
+    def __init__(self) -> None:
+        self.key, self.begin, self.band = None, 0.0, -1
+
+    def eval(self, row, tolerance):
+        *key, position = row
+        if key != self.key:
+            self.key, self.band = key, -1
+        if self.band < 0 or position - self.begin > tolerance:
+            self.begin, self.band = position, self.band + 1
+        yield (*key, position, self.band)
+
+
 def bands(rows: DataFrame, keys: list[str], position: str, tolerance: float) -> DataFrame:
     """band from 0: a new one begins where a position lies more than ``tolerance`` past the begin of the last, not past its neighbour.
 
-    The begin moves with what came before, so each group's positions are folded in order; a group is a page.
+    The begin moves with what came before, so a table function goes through each key's different positions in order; a key is a page.
     """
-    grouped = rows.groupBy(*keys).agg(F.array_sort(F.collect_set(F.col(position).cast("double"))).alias("_p"))
-    kind = "array<double>"
-    begins = F.aggregate("_p", F.array().cast(kind), lambda a, x: F.when((F.size(a) == 0) | (x - F.get(a, F.size(a) - 1) > tolerance), F.concat(a, F.array(x))).otherwise(a))
-    starts = grouped.select(*keys, begins.alias("_b"))
-    out = rows.join(starts, keys)
-    return out.withColumn("band", F.size(F.filter("_b", lambda b: b <= F.col(position))) - 1).drop("_b")
+    places = rows.select(*keys, F.col(position).cast("double").alias("_p")).distinct()
+    kinds = ", ".join(f"_k{n} {rows.schema[k].dataType.simpleString()}" for n, k in enumerate(keys))
+    numbered = F.udtf(_Band, returnType=f"{kinds}, _p double, band int")(places.asTable().partitionBy(*keys).orderBy("_p"), F.lit(float(tolerance)))
+    same = F.col(position).cast("double") == F.col("_p")
+    for n, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{n}"))
+    return rows.join(numbered, same).select(*rows.columns, "band")
 
 
 def peak_concurrency(spans: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions.classes import age_band, bed_status
 from tidewell.functions.strings import record_number
+from tidewell.sources.sheets import workbooks
 
 #: Columns of a census file: those that must be there, and those that are blank where they are not.
 CENSUS_REQUIRED, CENSUS_OPTIONAL = ("setor", "qrt_leito", "prontuario", "nome", "esp"), ("codigo_setor", "dt_int", "tempo", "idade", "convenio")
@@ -32,15 +35,35 @@ def census_csv(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def sheet_text(spark: SparkSession, path: str) -> DataFrame:
-    """A sheet landed as CSV, its headers by alias; rows with neither record nor name go."""
-    rows = spark.read.csv(path, header=True)
+def census_sheet(rows: DataFrame) -> DataFrame:
+    """A census sheet's rows, its headers by alias; rows with neither record nor name go."""
     named = {c: SHEET_ALIASES.get(c.strip().lower(), c.strip().lower()) for c in rows.columns}
-    rows = rows.withColumnsRenamed(named)
-    out = _texts(rows, ("qrt_leito", "prontuario", "nome"), ("esp", "idade"))
+    out = _texts(rows.withColumnsRenamed(named), ("qrt_leito", "prontuario", "nome"), ("esp", "idade"))
     return out.withColumn("prontuario", record_number(F.col("prontuario"))).filter("prontuario <> '' OR nome <> ''")
 
 
+def sheet_text(spark: SparkSession, path: str) -> DataFrame:
+    """As ``census_sheet``, of a sheet landed as CSV."""
+    return census_sheet(spark.read.csv(path, header=True))
+
+
+def census_workbook(spark: SparkSession, path: str) -> DataFrame:
+    """As ``census_sheet``, of XLSX files."""
+    return census_sheet(workbooks(spark).read.format("workbook").load(path))
+
+
+def any_workbook(spark: SparkSession, path: str) -> DataFrame:
+    """XLSX files without types: the first row is the header, blank ones are ``col_i``, all values are trimmed texts, none null."""
+    rows = workbooks(spark).read.format("workbook").load(path)
+    return rows.select(*[F.coalesce(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c) for c in rows.columns])
+
+
+def discharge_workbook(spark: SparkSession, path: str) -> DataFrame:
+    """``discharge_rows`` of XLSX files: nine columns by place, without a header."""
+    schema = ", ".join(f"_{i} string" for i in range(9))
+    return discharge_rows(workbooks(spark).read.format("workbook").schema(schema).option("header", "false").load(path))
+
+
 def any_columns(spark: SparkSession, path: str) -> DataFrame:
     """A sheet landed as CSV without types: the first row is the header, blank ones are ``col_i``, all values are texts."""
     rows = spark.read.csv(path, header=False)
@@ -50,18 +73,31 @@ def any_columns(spark: SparkSession, path: str) -> DataFrame:
     return body.select(*[F.coalesce(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c) for c in body.columns])
 
 
-def semicolon_text(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+def semicolon_text(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8") -> DataFrame:
     """``;`` between values, keys and values trimmed, nothing null."""
     rows = spark.read.csv(path, header=True, sep=";", encoding=encoding, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     rows = rows.toDF(*[c.strip().lstrip("﻿") for c in rows.columns])
-    return rows.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in rows.columns])
+    return rows.select(*[F.coalesce(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c) for c in rows.columns])
 
 
 def detected_text(spark: SparkSession, path: str) -> DataFrame:
-    """As ``semicolon_text``, in UTF-8 if every file decodes as it, else in ISO-8859-1, which never fails."""
-    raw = spark.read.format("binaryFile").load(path).select("content")
-    broken = raw.filter(F.expr("NOT is_valid_utf8(CAST(content AS STRING))"))
-    return semicolon_text(spark, path, "UTF-8" if broken.isEmpty() else "ISO-8859-1")
+    """As ``semicolon_text``, each file in its own encoding: UTF-8, with a mark or without, if it decodes as such, else ISO-8859-1, which never fails.
+
+    Files may have other columns; a column that a file lacks is blank. What would come after ISO-8859-1 is never reached, so bytes that only
+    another code page has a character for stay control characters.
+    """
+    raw = spark.read.format("binaryFile").load(path)
+    kinds = raw.select("path", F.expr("is_valid_utf8(CAST(content AS STRING))").alias("utf8")).collect()  # a row for each file
+    found = [semicolon_text(spark, [_literal(r["path"]) for r in kinds if r["utf8"] == ok], name) for ok, name in ((True, "UTF-8"), (False, "ISO-8859-1")) if any(r["utf8"] == ok for r in kinds)]
+    rows = found[0]
+    for other in found[1:]:
+        rows = rows.unionByName(other, allowMissingColumns=True)
+    return rows.na.fill("")
+
+
+def _literal(path: str) -> str:
+    """A path whose characters stand for themselves."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
 def zipped_text(spark: SparkSession, path: str, prefix: str) -> DataFrame:
@@ -117,6 +153,13 @@ def ward_blocks(texts: DataFrame, key: str, text: str, marker: str = "Unidade",
     return bed.select(key, "code", "ward", "position", value(0).alias("bed"), value(1).alias("status"), value(2).alias("kind"), value(3).alias("active"))
 
 
+def write_workbook(rows: DataFrame, path: str, *order: str) -> None:
+    """``write_report`` as XLSX files, one for each task."""
+    workbooks(rows.sparkSession)
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows
+    rows.write.format("workbook").mode("overwrite").save(path)
+
+
 def write_report(rows: DataFrame, path: str, *order: str) -> None:
     """One header a file; readers get the order from the columns, files are by ranges of it."""
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows
