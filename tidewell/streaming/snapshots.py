@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewell.operators.ledger import ledger_actions
@@ -30,18 +31,23 @@ def newest_rows(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter(F.col("capture") == newest).drop("capture", "epoch")
 
 
-def ledger_stream(stream: DataFrame, path: str, checkpoint: str, order: str) -> StreamingQuery:
-    """Appends what the ledger has not seen; a batch that is run again is skipped whole, since its contents are there."""
-    schema = stream.schema
+def ledger_stream(stream: DataFrame, path: str, checkpoint: str, order: str, buckets: int = 64) -> StreamingQuery:
+    """Appends what the ledger has not seen; a batch that is run again is skipped whole, since its contents are there.
+
+    The ledger is partitioned by buckets of identities, and a batch reads those of its own identities.
+    """
+    bucket = F.pmod(F.xxhash64("identity"), F.lit(buckets)).cast("int")
+    schema = T.StructType([*stream.schema.fields, T.StructField("bucket", T.IntegerType())])
 
     def append(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        ledger = spark.read.schema(schema.add("epoch", "long") if "epoch" not in schema.names else schema).option("ignoreMissingFiles", True)
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         there = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-        known = ledger.parquet(path) if there else spark.createDataFrame([], schema)
+        ledger = spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+        met = [r[0] for r in batch.select(bucket).distinct().collect()]
+        known = ledger.filter(F.col("bucket").isin(met)).join(batch.select("identity").distinct(), "identity", "left_semi")
         new = ledger_actions(batch, known.select("identity", "content"), order).filter("action <> 'skipped'").drop("action")
-        new.write.mode("append").parquet(path)
+        new.withColumn("bucket", bucket).write.mode("append").partitionBy("bucket").parquet(path)
 
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -59,8 +65,3 @@ def counts_by_window(stream: DataFrame, at: str, by: str, length: str, delay: st
 def touched_days(batch: DataFrame, captured: str) -> DataFrame:
     """The days that a late batch completes, by when it was captured, not when it came: only these partitions are computed again."""
     return batch.select(F.to_date(captured).alias("day")).distinct()
-
-
-def silent_jobs(heartbeats: DataFrame, job: str, at: str, grace: str) -> DataFrame:
-    """Jobs whose heartbeat stopped: a session window that has closed, with its last beat."""
-    return heartbeats.withWatermark(at, grace).groupBy(F.session_window(at, grace), job).agg(F.max(at).alias("last_beat"), F.count("*").alias("beats"))
