@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: Modules whose queries are registered.
-MODULES = ("flows", "scalars", "lookups", "series", "metrics", "occupancy", "ledger", "planning", "scans", "filed")
+MODULES = ("flows", "scalars", "lookups", "series", "metrics", "occupancy", "ledger", "planning", "scans", "filed", "catalogs")
 
 
 def collected() -> tuple[dict, dict]:
