@@ -24,16 +24,18 @@ def latest(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_nth = 1").drop("_nth")
 
 
-def as_of(facts: DataFrame, versions: DataFrame, keys: list[str], at: str, since: str, values: list[str], forward: bool = False) -> DataFrame:
+def as_of(facts: DataFrame, versions: DataFrame, keys: list[str], at: str, since: str, values: list[str], forward: bool = False, smallest: bool | None = None) -> DataFrame:
     """``facts`` with ``values`` of the latest version that began by then, or of the next one to begin if ``forward``.
 
     Both sides meet in one shuffle by key and are read in order of time, so no fact meets all versions of its key. Of versions with one
-    beginning the one with the largest values counts. Backward takes a version that begins at the very moment; forward only later ones.
+    beginning the one with the ``smallest`` values counts, which is the rule forward; backward it is the largest. Backward takes a version
+    that begins at the very moment; forward only later ones.
     """
+    smallest = forward if smallest is None else smallest
     held = F.struct(*values)
     left = facts.select(*keys, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.struct(*facts.columns).alias("_fact"), F.lit(None).cast(versions.select(held).schema[0].dataType).alias("_held"))
     right = versions.select(*keys, F.col(since).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(left.schema["_fact"].dataType).alias("_fact"), held.alias("_held"))
-    right = right.groupBy(*keys, "_at", "_side", "_fact").agg((F.max if not forward else F.min)("_held").alias("_held"))
+    right = right.groupBy(*keys, "_at", "_side", "_fact").agg((F.min if smallest else F.max)("_held").alias("_held"))
     w = Window.partitionBy(*keys)
     if forward:
         w = w.orderBy("_at", "_side").rowsBetween(0, Window.unboundedFollowing)
@@ -43,23 +45,42 @@ def as_of(facts: DataFrame, versions: DataFrame, keys: list[str], at: str, since
     return left.unionByName(right).withColumn("_found", found).filter("_fact IS NOT NULL").select("_fact.*", *[F.col(f"_found.{v}").alias(v) for v in values])
 
 
-def containing(facts: DataFrame, spans: DataFrame, entity: str, at: str, start: str, end: str, key: str) -> DataFrame:
-    """``facts`` with the key of the span of their entity that holds the moment; of several the one that began last, then the largest key.
+class _OpenSpans:
+    """An entity's spans that may be open still, the last begun on top. Time goes forward, so one that has ended is never looked at again."""
 
-    Facts that are alike are looked up once and stay as many as they are.
-    """
-    alike = _counted(facts)
-    one = alike.join(spans, entity).filter((F.col(start) <= F.col(at)) & (F.col(end).isNull() | (F.col(end) >= F.col(at))))
-    return _repeated(one.groupBy(*alike.columns).agg(F.max(F.struct(start, key)).alias("_last")), facts.columns, F.col("_last")[key].alias(key))
+    def __init__(self) -> None:
+        self.entity, self.open = None, []
 
+    def eval(self, row):
+        if row["_entity"] != self.entity:
+            self.entity, self.open = row["_entity"], []
+        if row["_side"] == 0:
+            self.open.append((row["_until"], row["_key"]))
+            return
+        while self.open and self.open[-1][0] is not None and self.open[-1][0] < row["_at"]:
+            self.open.pop()
+        if self.open:
+            yield row["_fact"], self.open[-1][1]
 
-def _counted(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(*rows.columns).agg(F.count("*").alias("_alike"))
 
+def containing(facts: DataFrame, spans: DataFrame, entity: str, at: str, start: str, end: str, key: str, smallest: bool = False) -> DataFrame:
+    """``facts`` with the key of the span of their entity that holds the moment; of several the one that began last, then the largest key, or the smallest.
 
-def _repeated(rows: DataFrame, columns: list[str], *more: Column) -> DataFrame:
-    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_alike")))
-    return rows.select(*columns, *more, each.alias("_each")).drop("_each")
+    First the span that began last is looked up, which mostly holds the moment. Where it has ended, an older one may still be open: those facts go
+    through their entity's spans in order of time, with a stack of open ones. So no fact meets all spans of its entity.
+    """
+    own = spans.select(F.col(entity).alias("_entity"), F.col(start).alias("_start"), F.struct(F.col(key).alias("_key"), F.col(end).alias("_until")).alias("_span")).filter("_start IS NOT NULL AND _entity IS NOT NULL")
+    rows = facts.select(F.col(entity).alias("_entity"), F.col(at).alias("_moment"), F.struct(*facts.columns).alias("_fact")).filter("_entity IS NOT NULL AND _moment IS NOT NULL")
+    last = as_of(rows, own, ["_entity"], "_moment", "_start", ["_span"], smallest=smallest).filter("_span IS NOT NULL")
+    holds = F.col("_span._until").isNull() | (F.col("_span._until") >= F.col("_moment"))
+    found = last.filter(holds).select("_fact.*", F.col("_span._key").alias(key))
+    left = last.filter(~holds).select("_entity", F.col("_moment").cast("timestamp_ntz").alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("timestamp_ntz").alias("_until"), F.lit(None).cast(spans.schema[key].dataType).alias("_key"), "_fact")
+    older = own.join(left.select("_entity").distinct(), "_entity", "left_semi")
+    older = older.select("_entity", F.col("_start").cast("timestamp_ntz").alias("_at"), F.lit(0).alias("_side"), F.col("_span._until").cast("timestamp_ntz").alias("_until"), F.col("_span._key").alias("_key"), F.lit(None).cast(left.schema["_fact"].dataType).alias("_fact"))
+    kinds = f"_fact {left.schema['_fact'].dataType.simpleString()}, _key {spans.schema[key].dataType.simpleString()}"
+    order = ["_at", "_side", F.desc("_key") if smallest else F.asc("_key")]
+    stacked = F.udtf(_OpenSpans, returnType=kinds)(left.unionByName(older).asTable().partitionBy("_entity").orderBy(*order))
+    return found.unionByName(stacked.select("_fact.*", F.col("_key").alias(key)))
 
 
 def overlapping(spans: DataFrame, start: str, end: str, first: Column, last: Column, today: Column) -> DataFrame:
@@ -83,19 +104,26 @@ def resolved(facts: DataFrame, spans: DataFrame, entity: str, at: str, start: st
     """``facts`` with the span each belongs to and the step that found it.
 
     Steps: 1 the wanted key; 2 the span that holds the moment and began last; 3 the nearest that began before; 4 the nearest that begins
-    later; 5 the first key of those without a start. All steps are one aggregate over one join by entity, combined before a shuffle.
-    Facts that are alike are looked up once and stay as many as they are.
+    later; 5 the first key of those without a start; of several the smallest key. A fact without a span has neither key nor step. Each step is a lookup of its own, none of which meets all spans of an entity.
     """
-    s = spans.select(F.col(entity), F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(key).alias("_k"))
-    t, began, ended = F.col(at), F.col("_s"), F.col("_e")
-    alike = _counted(facts)
-    seconds = lambda c: F.unix_micros(c.cast("timestamp"))
-    step = F.when(F.col(wanted) == F.col("_k"), 1) if wanted else F.when(F.lit(False), 1)
-    step = step.when((began <= t) & (ended.isNull() | (ended >= t)), 2).when(began <= t, 3).when(began > t, 4).otherwise(5)
-    near = F.when(step.isin(2, 3), -seconds(began)).when(step == 4, seconds(began)).otherwise(0)
-    best = F.min(F.when(F.col("_k").isNotNull(), F.struct(step.alias("step"), near.alias("near"), F.col("_k").alias("key"))))
-    found = alike.join(s, entity, "left").groupBy(*alike.columns).agg(best.alias("_best"))
-    return _repeated(found, facts.columns, F.col("_best.key").alias(key), F.col("_best.step").alias("step"))
+    rows = facts.withColumn("_fact", F.struct(*facts.columns)).select(F.col(entity).alias("_entity"), F.col(at).alias("_moment"), *([F.col(wanted).alias("_wanted")] if wanted else []), "_fact")
+    s = spans.filter(F.col(key).isNotNull()).select(F.col(entity).alias("_entity"), F.col(start).alias("_start"), F.col(end).alias("_end"), F.col(key).alias("_key"))
+    begun = s.filter("_start IS NOT NULL")
+    out = as_of(rows, begun, ["_entity"], "_moment", "_start", ["_key"], smallest=True).withColumnRenamed("_key", "_before")
+    out = as_of(out, begun, ["_entity"], "_moment", "_start", ["_key"], forward=True).withColumnRenamed("_key", "_after")
+    undated = s.filter("_start IS NULL").groupBy("_entity").agg(F.min("_key").alias("_undated"))
+    out = out.join(undated, "_entity", "left")
+    if wanted:
+        named = s.select("_entity", F.col("_key").alias("_wanted"), F.lit(True).alias("_named")).distinct()
+        out = out.join(named, ["_entity", "_wanted"], "left").withColumn("_first", F.when(F.col("_named"), F.col("_wanted")))
+    else:
+        out = out.withColumn("_first", F.lit(None).cast(spans.schema[key].dataType))
+    moments = out.filter("_first IS NULL AND _before IS NOT NULL").select("_entity", "_moment").distinct()
+    held = containing(moments, begun, "_entity", "_moment", "_start", "_end", "_key", smallest=True).withColumnRenamed("_key", "_holds")
+    out = out.join(held, ["_entity", "_moment"], "left")
+    steps = ("_first", "_holds", "_before", "_after", "_undated")
+    step = F.coalesce(*[F.when(F.col(c).isNotNull(), k) for k, c in enumerate(steps, 1)])
+    return out.select("_fact.*", F.coalesce(*steps).alias(key), step.alias("step"))
 
 
 def with_child_counts(parents: DataFrame, children: DataFrame, parent: str, child: str, grand: DataFrame, names: tuple[str, str, str]) -> DataFrame:

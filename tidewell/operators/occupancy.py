@@ -66,7 +66,7 @@ def group_measurements(grouped: DataFrame, catalog: DataFrame, runs: DataFrame)
     """
     definitions = catalog.groupBy("group").agg(F.first("policy").alias("policy"), F.first("capacity").alias("capacity"))
     counts = grouped.groupBy("run", "group").agg(F.count_if((F.col("status") == "occupied") & ~F.col("unknown_age")).alias("_n"), F.count("*").alias("positions"))
-    wanted = runs.select("run").distinct().crossJoin(F.broadcast(definitions))
+    wanted = runs.select("run").distinct().crossJoin(definitions)  # a catalog's groups, a few for each run
     out = wanted.join(counts, ["run", "group"], "full")
     occupied = F.coalesce("_n", F.lit(0))
     rated = (F.col("policy") == "standard") & F.col("capacity").isNotNull()

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.functions.strings import number_in
+from tidewell.operators.lookups import with_name
+from tidewell.operators.places import placed
+
 
 def windows(requests: DataFrame, chunk_days: int, overlap_days: int) -> DataFrame:
     """Requests (request, admission_date, target_end_date, mode, prior_coverage_end) with position, window_start, window_end.
@@ -29,13 +33,15 @@ def coverage_gaps(entities: DataFrame, covered: DataFrame, key: str, first: str,
 
     The first gap of a key begins ``overlap_days`` earlier, for what was registered late, but not before ``first``.
     """
-    days = F.explode(F.expr(f"sequence(date'{first}', date'{last}', interval 1 day)"))
-    open_days = entities.select(key).distinct().select(key, days.alias("day")).join(covered.select(key, "day").distinct(), [key, "day"], "left_anti")
-    nth = F.row_number().over(Window.partitionBy(key).orderBy("day"))
-    gaps = open_days.withColumn("_run", F.date_sub("day", nth)).groupBy(key, "_run").agg(F.min("day").alias("gap_start"), F.max("day").alias("gap_end"))
+    inside = covered.select(key, F.col("day").cast("date").alias("day")).filter(F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    edges = entities.select(key).distinct().select(key, F.explode(F.array(F.date_sub(F.lit(first).cast("date"), 1), F.date_add(F.lit(last).cast("date"), 1))).alias("day"))
+    inside = inside.distinct().join(entities.select(key).distinct(), key, "left_semi")
+    w = Window.partitionBy(key).orderBy("day")
+    gaps = inside.unionByName(edges).withColumn("_before", F.lag("day").over(w)).filter(F.datediff("day", "_before") > 1)
+    gaps = gaps.select(key, F.date_add("_before", 1).alias("gap_start"), F.date_sub("day", 1).alias("gap_end"))
     earlier = F.greatest(F.date_sub("gap_start", overlap_days), F.lit(first).cast("date"))
     is_first = F.row_number().over(Window.partitionBy(key).orderBy("gap_start")) == 1
-    return gaps.withColumn("gap_start", F.when(is_first, earlier).otherwise(F.col("gap_start"))).drop("_run")
+    return gaps.withColumn("gap_start", F.when(is_first, earlier).otherwise(F.col("gap_start")))
 
 
 def stale_stays(stays: DataFrame, events: DataFrame, present: DataFrame, now: Column, hours: int, in_census: bool | None = None) -> DataFrame:
@@ -60,16 +66,26 @@ def missing_discharges(stays: DataFrame, present: DataFrame) -> DataFrame:
     return latest.join(present.select("patient").distinct(), "patient", "left_anti").select("patient", "admission")
 
 
-def eligibility(runs: DataFrame, now: Column, cooldown_minutes: int, stale_minutes: int) -> DataFrame:
-    """One row: queued, running, stale, last_finished, and whether a new cycle may begin: nothing open, and the cooldown over."""
-    seconds = lambda a, b: (F.unix_micros(b.cast("timestamp")) - F.unix_micros(a.cast("timestamp"))) / 1e6
+def eligibility(runs: DataFrame, batches: DataFrame, now: Column, cooldown_minutes: int, stale_minutes: int, backoff_minutes: int) -> DataFrame:
+    """One row: queued, running, stale, open_batches, cooldown_left and backoff_left in minutes (null where there is none), and whether a new cycle may begin.
+
+    A cycle begins when nothing is queued, running or stale, no batch (finished) is open, the last census that succeeded began
+    ``cooldown_minutes`` ago and the last run that failed after it finished ``backoff_minutes`` ago.
+    """
+    minutes = lambda a: (F.unix_micros(now.cast("timestamp")) - F.unix_micros(a.cast("timestamp"))) / 6e7
     begun = F.coalesce("started", "queued_at")
+    census = (F.col("status") == "succeeded") & (F.col("intent") == "census_extraction")
     out = runs.agg(
         F.count_if(F.col("status") == "queued").alias("queued"), F.count_if(F.col("status") == "running").alias("running"),
-        F.count_if((F.col("status") == "running") & (seconds(begun, now) > stale_minutes * 60)).alias("stale"), F.max("finished").alias("last_finished"),
+        F.count_if((F.col("status") == "running") & (minutes(begun) > stale_minutes)).alias("stale"),
+        F.max(F.when(census, F.col("started"))).alias("_census"), F.max(F.when(F.col("status") == "failed", F.col("finished"))).alias("_failed"),
     )
-    rested = F.col("last_finished").isNull() | (seconds(F.col("last_finished"), now) >= cooldown_minutes * 60)
-    return out.withColumn("eligible", (F.col("queued") == 0) & (F.col("running") == F.col("stale")) & rested)
+    out = out.crossJoin(batches.agg(F.count_if(F.col("finished").isNull()).alias("open_batches")))  # one row each
+    cooldown = cooldown_minutes - minutes(F.col("_census"))
+    backoff = F.when(F.col("_census").isNull() | (F.col("_failed") > F.col("_census")), backoff_minutes - minutes(F.col("_failed")))
+    out = out.withColumns({"cooldown_left": F.when(cooldown > 0, cooldown), "backoff_left": F.when(backoff > 0, backoff)}).drop("_census", "_failed")
+    idle = (F.col("queued") == 0) & (F.col("running") == 0) & (F.col("stale") == 0) & (F.col("open_batches") == 0)
+    return out.withColumn("eligible", idle & F.col("cooldown_left").isNull() & F.col("backoff_left").isNull())
 
 
 #: Minutes after which a running job counts as stale, by intent, and for any other.
@@ -120,3 +136,22 @@ def same_identity(rows: DataFrame, wanted: str, found: str) -> DataFrame:
     """Rows with whether both record numbers are the same digits, and not blank."""
     plain = lambda c: F.ltrim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), "[^0-9]", ""), F.lit("0"))
     return rows.withColumn("same", (plain(wanted) == plain(found)) & (plain(wanted) != ""))
+
+
+#: Orders of the official list that a user may ask for; any other is by id.
+CENSUS_ORDERS = ("tempo_asc", "tempo_desc", "unidade", "especialidade")
+
+
+def official_census(records: DataFrame, wards: DataFrame, day: str | None = None, unit: str = "", specialty: str = "", order: str = "") -> DataFrame:
+    """The records (id, day, unidade, quarto_leito, especialidade, tempo_internacao) of a day, else of the newest one, with ward names and places in the order asked for.
+
+    A day that is no date counts as none. Lengths of stay are texts such as "5 dias", ordered by their digits, none as 0. Ties are by id.
+    """
+    wanted = records.sparkSession.range(1).select(F.lit(day).try_cast("date").alias("d")).first()["d"] if day else None
+    chosen = F.broadcast(records.agg(F.max("day").alias("day")) if wanted is None else records.sparkSession.createDataFrame([(wanted,)], "day date"))  # one row
+    rows = records.join(chosen, "day", "left_semi")
+    for column, value in (("unidade", unit.strip()), ("especialidade", specialty.strip())):
+        rows = rows.filter(F.col(column) == value) if value else rows
+    stay = number_in(F.col("tempo_internacao"))
+    by = {"tempo_asc": [stay.asc()], "tempo_desc": [stay.desc()], "unidade": [F.col("unidade"), F.col("quarto_leito")], "especialidade": [F.col("especialidade"), F.col("unidade")]}
+    return with_name(placed(rows, [*by.get(order, []), F.col("id")]), wards, "unidade", "ward")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import dates, strings
 from tidewell.operators import lookups as ops
+from tidewell.operators.places import placed
 from tidewell.plans.registry import Binding, Registry
 from tidewell.session import shared_folder, table
 from tidewell.sources import files
@@ -210,11 +211,9 @@ def p14_next_eligible(spark, sf_dir):
 
 @q("""SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_mktsegment, coalesce(try_cast(nullif(regexp_replace(c_name, '\\D', '', 'g'), '') AS INT), 0) DESC, c_custkey) AS place FROM customer""")
 def o01_o02_o06_orders(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").withColumn("number", strings.number_in(F.col("c_name"))).orderBy("c_mktsegment", F.desc("number"), "c_custkey")
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.orderBy("c_mktsegment", F.desc("number"), "c_custkey"))
-    return rows.select("c_custkey", "c_name", place.alias("place"))
+    rows = table(spark, sf_dir, "customer").withColumn("number", strings.number_in(F.col("c_name")))
+    places = placed(rows, [F.col("c_mktsegment"), F.desc("number"), F.col("c_custkey")])
+    return places.select("c_custkey", "c_name", (F.col("place") + 1).alias("place"))
 
 
 @q("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")

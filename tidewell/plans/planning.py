@@ -97,10 +97,36 @@ _RUNS = Binding(
 )
 
 
-@q(f"""SELECT *, queued = 0 AND running = stale AND (last_finished IS NULL OR last_finished <= DATE '2001-08-01') AS eligible FROM (SELECT count(*) FILTER (status = 'queued') AS queued,
-count(*) FILTER (status = 'running') AS running, count(*) FILTER (status = 'running' AND started < DATE '2001-05-02') AS stale, max(finished) AS last_finished FROM ({_RUNS.sql}))""")
+_BATCHES = Binding("customer", "c_custkey AS batch", "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE CAST('2001-07-01' AS DATE) END AS finished")
+
+
+@q(f"""WITH r AS (SELECT count(*) FILTER (status = 'queued') AS queued, count(*) FILTER (status = 'running') AS running, count(*) FILTER (status = 'running' AND started < DATE '2001-05-02') AS stale,
+max(started) FILTER (status = 'succeeded' AND intent = 'census_extraction') AS census, max(finished) FILTER (status = 'failed') AS failed FROM (SELECT * REPLACE (CASE WHEN status IN ('failed', 'succeeded') THEN started END AS finished) FROM ({_RUNS.sql}))),
+b AS (SELECT count(*) FILTER (finished IS NULL) AS open_batches FROM ({_BATCHES.sql})), l AS (SELECT *, 400 * 1440.0 - date_diff('day', census, DATE '2001-08-02') * 1440.0 AS cooldown,
+CASE WHEN census IS NULL OR failed > census THEN 500 * 1440.0 - date_diff('day', failed, DATE '2001-08-02') * 1440.0 END AS backoff FROM r, b),
+o AS (SELECT queued, running, stale, open_batches, CASE WHEN cooldown > 0 THEN cooldown END AS cooldown_left, CASE WHEN backoff > 0 THEN backoff END AS backoff_left FROM l)
+SELECT *, queued = 0 AND running = 0 AND stale = 0 AND open_batches = 0 AND cooldown_left IS NULL AND backoff_left IS NULL AS eligible FROM o""")
 def v12_eligibility(spark, sf_dir):
-    return ops.eligibility(_RUNS.frame(spark, sf_dir), F.lit("2001-08-02").cast("timestamp_ntz"), 24 * 60, 92 * 24 * 60)
+    runs = _RUNS.frame(spark, sf_dir).withColumn("finished", F.when(F.col("status").isin("failed", "succeeded"), F.col("started")))
+    return ops.eligibility(runs, _BATCHES.frame(spark, sf_dir), F.lit("2001-08-02").cast("timestamp_ntz"), 400 * 24 * 60, 92 * 24 * 60, 500 * 24 * 60)
+
+
+_OFFICIAL = Binding("events", "event_id AS id", "CAST(ts AS DATE) AS day", "CAST(user_id % 9 AS STRING) AS unidade", "props AS quarto_leito", "event_type AS especialidade", "CASE WHEN event_id % 6 = 0 THEN '' ELSE concat(CAST(event_id % 50 AS STRING), ' dias') END AS tempo_internacao")
+
+
+@q(f"""WITH r AS (SELECT *, coalesce(try_cast(nullif(regexp_replace(tempo_internacao, '\\D', '', 'g'), '') AS INT), 0) AS n FROM ({_OFFICIAL.sql}) WHERE especialidade = 'view'),
+m AS (SELECT * FROM r WHERE day = (SELECT max(CAST(ts AS DATE)) FROM events)), w AS (SELECT n_nationkey::VARCHAR AS unidade, n_name FROM nation WHERE n_nationkey < 6)
+SELECT id, coalesce(n_name, unidade) AS ward, tempo_internacao, row_number() OVER (ORDER BY n DESC, id) - 1 AS place FROM m LEFT JOIN w USING (unidade)""")
+def v10_official_census(spark, sf_dir):
+    wards = table(spark, sf_dir, "nation").filter("n_nationkey < 6").select(F.col("n_nationkey").cast("string").alias("unidade"), F.col("n_name").alias("ward"))
+    return ops.official_census(_OFFICIAL.frame(spark, sf_dir), wards, day="not a day", specialty="view", order="tempo_desc").select("id", "ward", "tempo_internacao", "place")
+
+
+@q(f"""WITH w AS (SELECT n_nationkey::VARCHAR AS unidade, n_name FROM nation) SELECT id, coalesce(n_name, unidade) AS ward, tempo_internacao, row_number() OVER (ORDER BY unidade, quarto_leito, id) - 1 AS place
+FROM ({_OFFICIAL.sql}) LEFT JOIN w USING (unidade) WHERE day = DATE '2024-01-10'""")
+def v10_official_census_by_unit(spark, sf_dir):
+    wards = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("unidade"), F.col("n_name").alias("ward"))
+    return ops.official_census(_OFFICIAL.frame(spark, sf_dir), wards, day="2024-01-10", order="unidade").select("id", "ward", "tempo_internacao", "place")
 
 
 @q(f"""SELECT run FROM ({_RUNS.sql}) WHERE status = 'running' AND started < DATE '2000-01-01' AND (heartbeat IS NULL OR heartbeat < DATE '2000-01-01')""")
@@ -113,12 +139,12 @@ def v14_closed_batches(spark, sf_dir):
     return ops.closed_batches(_RUNS.frame(spark, sf_dir))
 
 
-@q("""WITH a AS (SELECT CAST(ts AS DATE) AS day, CASE event_type WHEN 'click' THEN 'deaths' WHEN 'view' THEN 'admissions' END AS extractor, arg_max(props, event_id) AS outcome FROM events WHERE hour(ts) = 3 GROUP BY 1, 2)
+@q("""WITH a AS (SELECT CAST(ts AS DATE) AS day, CASE event_type WHEN 'click' THEN 'deaths' WHEN 'view' THEN 'admissions' END AS extractor, arg_max(props, event_id) AS outcome FROM events GROUP BY 1, 2)
 SELECT CAST(d AS DATE) AS day, e AS extractor, coalesce(outcome, 'planned') AS outcome FROM generate_series(DATE '2024-01-01', DATE '2024-01-20', INTERVAL 1 DAY) t(d), (VALUES ('deaths'), ('admissions'), ('discharges')) v(e)
 LEFT JOIN a ON a.day = CAST(d AS DATE) AND a.extractor = e""")
 def v15_recovery_plan(spark, sf_dir):
     kind = F.when(F.col("event_type") == "click", "deaths").when(F.col("event_type") == "view", "admissions")
-    attempts = table(spark, sf_dir, "events").filter("hour(ts) = 3").select(F.to_date("ts").alias("day"), kind.alias("extractor"), F.col("props").alias("outcome"), F.col("event_id").alias("round"))
+    attempts = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), kind.alias("extractor"), F.col("props").alias("outcome"), F.col("event_id").alias("round"))
     return ops.recovery_plan(spark, "2024-01-01", "2024-01-20", ["deaths", "admissions", "discharges"], attempts)
 
 

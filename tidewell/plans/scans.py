@@ -51,10 +51,11 @@ def s11_s25_event_items(spark, sf_dir):
     return _EMBEDDED.frame(spark, sf_dir).select("event_id", item.alias("i")).select("event_id", "i.happened_at", "i.author", "i.content")
 
 
-@q("""SELECT json_object('doc_id', doc_id, 'text', substr(text, 1, 20)) AS json FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE source END AS text FROM documents)""")
+@q("""SELECT doc_id, source, substr(text, 1, 300) AS text FROM documents""")
 def s16_json_results(spark, sf_dir):
-    rows = Binding("documents", "doc_id", "CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE source END AS text").frame(spark, sf_dir)
-    return files.search_results(rows, "text", 20)
+    """Whole documents as JSON with their texts cut, read back from the JSON."""
+    found = files.search_results(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text", 300)
+    return found.select(F.from_json("json", "doc_id long, source string, text string").alias("j")).select("j.*")
 
 
 @q("SELECT user_id, event_id, event_type FROM events")
