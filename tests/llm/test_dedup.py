@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.conftest import prose
 from tidewell.llm import repeats
-from tidewell.llm.arrow import unzipped
+from tidewell.llm.arrow import hash_ranges, unzipped
 from tidewell.llm.exact import directory, exact_groups, without_copies
 from tidewell.llm.near import near_groups, without_near_copies
 from tidewell.llm.repeats import LENGTH, without_repeated_bytes
@@ -230,7 +230,7 @@ def test_hot_anchors(spark, odd, odd_rows, nothing, monkeypatch):
     rows += [(100 + k, f"{t[80:]} {t[:80]}") for k, (_, t) in enumerate(rows[:5])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     blocks = written(repeats.text_blocks(docs), "blocks")
-    first, n_hot = repeats.repeated_anchors(blocks)
+    first, _, n_hot = repeats.repeated_anchors(blocks)
     groups = Counter()
     for r in repeats.shard_entries(blocks, first, 2).collect():
         groups.update(repeats._hashes(unzipped(r["entries"], np.uint8).reshape(-1, repeats.ENTRY)).tolist())
@@ -281,3 +281,12 @@ def test_copies_with_ids_of_any_type(spark, odd):
     plain, got = ({(str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["kept"]) for r in exact_groups(d).collect()} for d in (odd, named))
     assert got == {(f"d{int(d):04}", f"d{int(k):04}", n, kept) for d, k, n, kept in plain}
     assert without_copies(named).count() == without_copies(odd).count()
+
+
+def test_ranges_of_hashes():
+    hashes = np.sort(np.random.default_rng(3).integers(0, 2**64, 1000, dtype=np.uint64))
+    for ranges in (1, 7, 1000, 4_000_000):
+        found = hash_ranges(hashes, ranges)
+        assert [(a, b) for _, a, b in found][0][0] == 0 and found[-1][2] == 1000 and all(x[2] == y[1] and x[0] < y[0] for x, y in zip(found[:-1], found[1:], strict=True))
+        assert all((int(h) >> 32) * ranges >> 32 == part for part, a, b in found for h in hashes[a:b])
+    assert hash_ranges(hashes[:0], 5) == []

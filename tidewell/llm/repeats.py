@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.arrow import ids_of, ids_stream, mixed, released, span_hashes, text_slices, unzipped, zipped
+from tidewell.llm.arrow import hash_ranges, ids_of, ids_stream, mixed, released, span_hashes, text_slices, unzipped, zipped
 from tidewell.llm.packing import gathered
 from tidewell.session import written
 
@@ -177,22 +177,13 @@ def _window_hashes(data: np.ndarray, starts: np.ndarray, values: np.ndarray) ->
     return out
 
 
-def _edges(ranges: int) -> np.ndarray:
-    return np.array([(k << 64) // ranges for k in range(ranges)], np.uint64)
-
-
-def _split(hashes: np.ndarray, ranges: int) -> list[tuple[int, int]]:
-    at = [*np.searchsorted(hashes, _edges(ranges)).tolist(), len(hashes)]
-    return list(zip(at[:-1], at[1:], strict=True))
-
-
 #: kind 0 and 1: a block's repeated anchors and its hot ones; 2: bits of entries; 3: of windows of hot anchors.
 _REPLY = "block long, kind int, part long, reply binary"
 _REPEATED, _HOT, _ENTRIES, _WINDOWS = range(4)
 
 
-def repeated_anchors(blocks: DataFrame) -> tuple[DataFrame, int]:
-    """For each block the hashes of those of its anchors that occur twice in all blocks, and of those that are hot; and how many places hot ones have."""
+def repeated_anchors(blocks: DataFrame) -> tuple[DataFrame, int, int]:
+    """For each block the hashes of those of its anchors that occur twice in all blocks, and of those that are hot; and how many places either have."""
 
     def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,8 +199,8 @@ def repeated_anchors(blocks: DataFrame) -> tuple[DataFrame, int]:
     listed = written(blocks.select("block", "text", "offsets", "anchors", "firsts", "lasts").mapInArrow(listing, "block long, hash long, n long"), "repeat-listed")
     totals = written(listed.groupBy("hash").agg(F.sum("n").alias("total")).filter("total > 1"), "repeat-totals")
     found = listed.join(totals, "hash").select("block", "hash", (F.col("total") > HOT).alias("hot"))
-    n_hot = totals.filter(F.col("total") > HOT).agg(F.sum("total")).first()[0] or 0
-    return found.groupBy("block", "hot").applyInArrow(packed, _REPLY), n_hot
+    places = totals.agg(*[F.coalesce(F.sum(F.when(hot, F.col("total"))), F.lit(0)) for hot in (F.col("total") <= HOT, F.col("total") > HOT)]).first()
+    return found.groupBy("block", "hot").applyInArrow(packed, _REPLY), *places
 
 
 def _replies(blocks, kind: int, parts, replies: list[bytes]) -> pa.Table:
@@ -236,7 +227,7 @@ def repeated_hot_windows(blocks: DataFrame, replies: DataFrame, ranges: int) ->
             shard = _Shard(row)
             _, distinct, _, several = shard.windows(_states(answers, shard) == _HOT)
             released()
-            out += [(row["block"], part, zipped(distinct[a:b]), zipped(several[a:b])) for part, (a, b) in enumerate(_split(distinct[:, 0], ranges)) if a < b]
+            out += [(row["block"], part, zipped(distinct[a:b]), zipped(several[a:b])) for part, a, b in hash_ranges(distinct[:, 0], ranges)]
         columns = list(zip(*out, strict=True)) or [()] * 4
         return pa.table([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int64(), pa.binary(), pa.binary()], strict=True)], names=_names(schema))
 
@@ -270,12 +261,11 @@ def shard_entries(blocks: DataFrame, replies: DataFrame, ranges: int) -> DataFra
             shard = _Shard(row)
             _, values, _, counts = shard.entries(_states(answers, shard) == _REPEATED)
             released()
-            for part, (a, b) in enumerate(_split(_hashes(values), ranges)):
-                if a < b:
-                    own = values[a:b]
-                    column = np.concatenate([own[:, :8], own[:, 8 + LENGTH : -2]], 1)
-                    backward = np.argsort(column.view(f"S{column.shape[1]}").reshape(-1), kind="stable")
-                    out.append((row["block"], part, zipped(own), zipped(counts[a:b]), zipped(backward)))
+            for part, a, b in hash_ranges(_hashes(values), ranges):
+                own = values[a:b]
+                column = np.concatenate([own[:, :8], own[:, 8 + LENGTH : -2]], 1)
+                backward = np.argsort(column.view(f"S{column.shape[1]}").reshape(-1), kind="stable")
+                out.append((row["block"], part, zipped(own), zipped(counts[a:b]), zipped(backward)))
         columns = list(zip(*out, strict=True)) or [()] * 5
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=_names(schema))
@@ -394,10 +384,9 @@ def without_repeated_bytes(docs: DataFrame) -> DataFrame:
     it is binary. Other columns are left out.
     """
     blocks = written(text_blocks(docs), "repeat-blocks")
-    total = blocks.agg(F.sum("n_anchors")).first()[0] or 0
-    first, n_hot = repeated_anchors(blocks)
+    first, n_repeated, n_hot = repeated_anchors(blocks)
     first = written(first, "repeat-anchors")
-    entries = written(shard_entries(blocks, first, max(1, -(-total // (4 * RANGE_ENTRIES)))), "repeat-entries")
+    entries = written(shard_entries(blocks, first, max(1, -(-n_repeated // RANGE_ENTRIES))), "repeat-entries")
     replies = first.unionByName(written(merged_intervals(entries), "repeat-intervals"))
     if n_hot:
         ranges = -(-n_hot * OFFSETS // RANGE_WINDOWS)
