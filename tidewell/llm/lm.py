@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.arrow import ids_of, ids_stream, lowered, mixed, released, span_hashes, text_slices, unzipped, word_spans, zipped
+from tidewell.llm.arrow import hash_ranges, ids_of, ids_stream, lowered, mixed, released, span_hashes, text_slices, unzipped, word_spans, zipped
 from tidewell.session import written
 
 #: Classes (a power of two: the low bits of a word's hash name it), places in a class, and features of either softmax.
@@ -123,8 +123,7 @@ def word_counts(blocks: DataFrame, top: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 words, counts = unzipped(row["words"], np.uint64), unzipped(row["counts"], np.int64)
-                at = [*np.searchsorted(words, np.array([(k << 64) // ranges for k in range(ranges)], np.uint64)).tolist(), len(words)]
-                parts = [(k, zipped(words[a:b]), zipped(counts[a:b])) for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if a < b]
+                parts = [(k, zipped(words[a:b]), zipped(counts[a:b])) for k, a, b in hash_ranges(words, ranges)]
                 columns = [pa.array(c, t) for c, t in zip(zip(*parts, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([row["group"]] * len(parts)), *columns], ["group", "part", "words", "counts"])
 
