@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators.pages import allowed, day_count, period_days
 from tidewell.sources import files
+from tidewell.sources.discharges import discharged_patients
 
 
 def test_census_csv(spark, tmp_path):
@@ -68,3 +69,52 @@ def test_parameters():
     assert (period_days("7d"), period_days("x")) == (7, 1)
     assert (allowed("30", (7, 30), 7), allowed("8", (7, 30), 7), allowed(None, (7,), 7)) == (30, 7, 7)
     assert (day_count("0"), day_count("5000"), day_count("a")) == (90, 5000, 90)
+
+
+def test_workbooks(spark, tmp_path):
+    """Values of all kinds, odd characters, blank cells and headers, sheets that are full, and overwriting."""
+    path = str(tmp_path / "books")
+    rows = [(1, 1.5, True, " a <b> & \x07 _x0041_ é\n", None), (2, None, False, "", "01/02/2024"), (2**60, -0.25, None, "x", "y")]
+    df = spark.createDataFrame(rows, "n long, f double, b boolean, t string, ` ` string").coalesce(1)
+    files.workbooks(spark)
+    df.write.format("workbook").mode("overwrite").option("sheetRows", 3).save(path)
+    assert len(list((tmp_path / "books").glob("*.xlsx"))) == 2
+    back = spark.read.format("workbook").load(path)
+    assert back.columns == ["n", "f", "b", "t", "col_4"]
+    assert sorted(map(tuple, back.collect())) == sorted([("1", "1.5", "true", rows[0][3], None), ("2", None, "false", "", "01/02/2024"), (str(2**60), "-0.25", None, "x", "y")])
+    files.write_workbook(df.limit(1), path)
+    assert spark.read.format("workbook").load(path).count() == 1
+    assert [r["t"] for r in spark.read.format("workbook").schema("t string, missing string").load(path).collect()] == [rows[0][3]]
+
+
+def test_workbook_of_another_writer(spark, tmp_path):
+    """Shared strings, cells without values, gaps by reference, and formulas' texts."""
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    strings = f"<sst {ns}><si><t>Leito</t></si><si><r><t>Pront</t></r><r><t>uário</t></r></si><si><t>Ana</t></si><si><t>Paciente</t></si></sst>"
+    sheet = f'<worksheet {ns}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c><c r="D1" t="s"><v>3</v></c></row>'
+    sheet += '<row r="2"><c r="A2" t="str"><v>L1</v></c><c r="C2"><v>123.0</v></c><c r="D2" t="s"><v>2</v></c></row><row r="3"><c r="A3" s="1"/></row><row r="4"><c r="B4"><v>7</v></c></row></sheetData></worksheet>'
+    with zipfile.ZipFile(tmp_path / "s.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", strings)
+        z.writestr("xl/worksheets/sheet1.xml", sheet)
+    rows = files.any_workbook(spark, str(tmp_path / "s.xlsx"))
+    assert rows.columns == ["Leito", "col_1", "Prontuário", "Paciente"]
+    assert rows.collect() == [("L1", "", "123", "Ana"), ("", "7", "", "")]
+    census = files.census_workbook(spark, str(tmp_path / "s.xlsx")).collect()
+    assert [(r["qrt_leito"], r["prontuario"], r["nome"]) for r in census] == [("L1", "123", "Ana")]
+
+
+def test_each_file_in_its_encoding(spark, tmp_path):
+    (tmp_path / "a[1].csv").write_bytes("nome;obs\nJosé;ação\n".encode())
+    (tmp_path / "b.csv").write_bytes("﻿nome;obs\nÂngela;\n".encode())
+    (tmp_path / "c.csv").write_bytes("nome;obs\nInês;não\n".encode("iso-8859-1"))
+    assert sorted(map(tuple, files.detected_text(spark, str(tmp_path)).collect())) == [("Inês", "não"), ("José", "ação"), ("Ângela", "")]
+
+
+def test_discharge_pages(spark):
+    """Bands from the bottom up, names until a doctor's number, short years, a second column with one word, pages without a record."""
+    at = lambda page, x, words, y=500: [(page, float(x), float(y - 10 * k), w) for k, w in enumerate(words)]
+    words = at("p1", 100, ["123/4", "A", "MARIA", "DA", "SILVA", "12345", "DR", "X", "01/02/24", "tail"]) + at("p1", 101, ["UN08H", "UN08H", "01/02/24", "CLM"])
+    words += at("p1", 110, ["99/1", "JOAO", "CRMba", "03/04/2025"]) + at("p1", 111, ["CIR"]) + at("p1", 120, ["77/2", "ANA"]) + at("p1", 121.2, ["L:9"])
+    words += at("p2", 50, ["no", "record"]) + [("p1", 100.0, 1.0, None)]
+    out = discharged_patients(spark.createDataFrame(words, "page string, x double, y double, text string")).orderBy("band").collect()
+    assert [tuple(r)[2:] for r in out] == [("1234", "MARIA DA SILVA", "UN08H", "CLM", "01/02/2024"), ("991", "JOAO", "", "CIR", "03/04/2025"), ("772", "ANA", "L:9", "", "")]

@@ -163,3 +163,16 @@ def retried(runs: DataFrame, attempts: str, finished: str, wait: str = "60 secon
     """Failed ``runs`` with status and next_retry_at: queued again after ``wait`` until they had ``most`` attempts, then failed for good."""
     again = F.col(attempts) < most
     return runs.withColumns({"status": F.when(again, "queued").otherwise("failed"), "next_retry_at": F.when(again, F.col(finished) + F.expr(f"INTERVAL {wait}"))})
+
+
+def registry_upsert(wards: DataFrame, beds: DataFrame, incoming: DataFrame, name: str = "") -> tuple[DataFrame, DataFrame]:
+    """Wards (code, ward, action) and beds (code, bed, status, kind, active, action) after a catalog text of beds (code, ward, bed, status, kind, active) came in.
+
+    Only units whose ward's name contains ``name``, in any case, are taken. What is there already under its code, or its code and bed, is updated,
+    the rest created; what did not come in is kept. Of rows that repeat a key the largest values count.
+    """
+    taken = incoming.filter(F.contains(F.lower("ward"), F.lit(name.lower()))) if name else incoming
+    merge = lambda old, new, keys, values: old.select(*keys, F.struct(*values).alias("_old")).join(new.groupBy(*keys).agg(F.max(F.struct(*values)).alias("_new")), keys, "full")
+    action = F.when(F.col("_new").isNull(), "kept").when(F.col("_old").isNull(), "created").otherwise("updated").alias("action")
+    shown = lambda df, keys: df.select(*keys, F.coalesce("_new", "_old").alias("_v"), action).select(*keys, "_v.*", "action")
+    return shown(merge(wards, taken, ["code"], ["ward"]), ["code"]), shown(merge(beds, taken, ["code", "bed"], ["status", "kind", "active"]), ["code", "bed"])

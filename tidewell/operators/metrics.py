@@ -98,3 +98,19 @@ def sector_history(stays: DataFrame, sector: str, start: str, end: str, today: C
         F.count("*").alias("entries"), counted(gone).alias("exits"), counted(present).alias("present"), (F.count("*") - counted(gone)).alias("net"),
         F.avg(F.when(gone, days)).alias("mean_stay"), counted(present & (days > long_days)).alias("long_stays"),
     )
+
+
+def dashboard(snapshots: DataFrame, patients: DataFrame, admissions: DataFrame, discharges: DataFrame, deaths: DataFrame, official: DataFrame, today: Column) -> DataFrame:
+    """One row of tiles: the newest capture's occupied beds and sectors and its moment, patients, what left today, and of each daily table its newest row.
+
+    ``snapshots``: captured_at, sector, status; the daily tables: day, n; ``official``: a row for each record of a day. Each table is aggregated to
+    a row before they are put side by side. Where a table is empty its number is 0 and its day today.
+    """
+    newest = snapshots.groupBy("captured_at").agg(F.count_if(F.col("status") == "occupied").alias("present"), F.count_distinct("sector").alias("sectors"))
+    row = newest.agg(F.max("captured_at").alias("captured_at"), *[F.coalesce(F.max_by(c, "captured_at"), F.lit(0)).alias(c) for c in ("present", "sectors")])
+    row = row.crossJoin(patients.agg(F.count("*").alias("patients")))
+    row = row.crossJoin(discharges.agg(F.coalesce(F.max(F.when(F.col("day") == today, F.col("n"))), F.lit(0)).alias("discharged_today")))
+    counted = official.groupBy("day").agg(F.count("*").alias("n"))
+    for name, days in (("admissions", admissions), ("deaths", deaths), ("discharges", discharges), ("official", counted)):
+        row = row.crossJoin(days.agg(F.coalesce(F.max_by("n", "day"), F.lit(0)).alias(name), F.coalesce(F.max("day"), today).alias(f"{name}_day")))
+    return row

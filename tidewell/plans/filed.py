@@ -6,9 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tidewell.operators.ledger import registry_upsert
 from tidewell.plans.registry import Binding, Registry
 from tidewell.session import shared_folder, table
 from tidewell.sources import files
+from tidewell.sources.archives import write_archive
 from tidewell.sources.discharges import DATE, DOCTOR, PREFIX, discharged_patients
 
 q = Registry()
@@ -126,3 +128,53 @@ def s08_discharged_patients(spark, sf_dir):
     specialty = F.when((F.col("r") == 3) & (b % 3 != 0), word(F.lit(1.1), F.lit("CLM")))
     placed = words.select("page", F.explode(F.array_compact(F.array(word(F.col("r") * 0.1, main), bed, specialty))).alias("w")).select("page", "w.*")
     return discharged_patients(placed)
+
+
+@q("SELECT 'u' || user_id || '.zip' AS archive, event_id || ';' || event_type AS line FROM events")
+def s03_zipped_text(spark, sf_dir):
+    """An archive for each user, whose first text by name has a line for each event; the others are not opened."""
+    folder = _folder(spark)
+
+    def pack(key, rows):
+        name, lines = f"u{key[0]}.zip", "\n".join(f"{i};{t}" for i, t in zip(rows["event_id"], rows["event_type"], strict=True))
+        write_archive(f"{folder}/{name}", {"leia.txt": "not this", "x/censo_2.txt": "nor this", "x/censo_1.txt": lines})
+        return rows[["user_id"]].head(1)
+
+    table(spark, sf_dir, "events").select("user_id", "event_id", "event_type").groupBy("user_id").applyInPandas(pack, "user_id long").count()
+    texts = files.zipped_text(spark, folder, "censo")
+    return texts.select(F.element_at(F.split("path", "/"), -1).alias("archive"), F.explode(F.split("text", "\n")).alias("line"))
+
+
+@q("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url END AS url, CASE WHEN page_id % 3 = 1 THEN trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) END AS pre FROM pages""")
+def s22_embedded_in_pages(spark, sf_dir):
+    """Whole pages, of which a third hold a JSON script behind their own scripts, and a third their title as preformatted text."""
+    script = F.concat(F.lit('<script id="d" type="application/json">'), F.to_json(F.struct("url")), F.lit("</script>"))
+    title = F.concat(F.lit('<pre class="t"> '), F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1), F.lit("</pre>"))
+    html = F.concat("html", F.when(F.col("page_id") % 3 == 0, script).when(F.col("page_id") % 3 == 1, title).otherwise(""))
+    rows = table(spark, sf_dir, "pages").select("page_id", html.alias("html"))
+    return rows.select("page_id", files.embedded_json(F.col("html"), "url string")["url"].alias("url"), F.trim(files.preformatted(F.col("html"))).alias("pre"))
+
+
+_BEDS = "SELECT user_id::VARCHAR AS code, 'Ward ' || user_id % 20 AS ward, event_id::VARCHAR AS bed, event_type AS status, 'Enf' AS kind, CASE WHEN event_id % 2 = 0 THEN 'Sim' ELSE '' END AS active FROM events"
+
+
+def _beds(spark, sf_dir):
+    user, event = F.col("user_id").cast("string"), F.col("event_id").cast("string")
+    return table(spark, sf_dir, "events").select(user.alias("code"), F.concat(F.lit("Ward "), (F.col("user_id") % 20).cast("string")).alias("ward"), event.alias("bed"), F.col("event_type").alias("status"), F.lit("Enf").alias("kind"), F.when(F.col("event_id") % 2 == 0, "Sim").otherwise("").alias("active"))
+
+
+@q(f"""WITH i AS ({_BEDS}), o AS (SELECT code, bed, 'old' AS status, 'x' AS kind, '' AS active FROM i WHERE bed::BIGINT % 3 = 0), n AS (SELECT * FROM i WHERE contains(lower(ward), 'ward 1'))
+SELECT coalesce(n.code, o.code) AS code, coalesce(n.bed, o.bed) AS bed, coalesce(n.status, o.status) AS status, coalesce(n.kind, o.kind) AS kind, coalesce(n.active, o.active) AS active,
+CASE WHEN n.bed IS NULL THEN 'kept' WHEN o.bed IS NULL THEN 'created' ELSE 'updated' END AS action FROM n FULL JOIN o ON o.code = n.code AND o.bed = n.bed""")
+def u17_registry_beds(spark, sf_dir):
+    incoming = _beds(spark, sf_dir)
+    stored = incoming.filter("CAST(bed AS BIGINT) % 3 = 0").select("code", "bed", F.lit("old").alias("status"), F.lit("x").alias("kind"), F.lit("").alias("active"))
+    return registry_upsert(incoming.select("code", "ward").limit(0), stored, incoming, "WARD 1")[1]
+
+
+@q(f"""WITH i AS (SELECT DISTINCT code, ward FROM ({_BEDS})), o AS (SELECT code, 'old' AS ward FROM i WHERE code::BIGINT % 2 = 0), n AS (SELECT * FROM i WHERE contains(lower(ward), 'ward 1'))
+SELECT coalesce(n.code, o.code) AS code, coalesce(n.ward, o.ward) AS ward, CASE WHEN n.code IS NULL THEN 'kept' WHEN o.code IS NULL THEN 'created' ELSE 'updated' END AS action FROM n FULL JOIN o ON o.code = n.code""")
+def u17_registry_wards(spark, sf_dir):
+    incoming = _beds(spark, sf_dir)
+    stored = incoming.filter("CAST(code AS BIGINT) % 2 = 0").select("code", F.lit("old").alias("ward")).distinct()
+    return registry_upsert(stored, incoming.limit(0).select("code", "bed", "status", "kind", "active"), incoming, "ward 1")[0]

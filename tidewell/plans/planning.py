@@ -7,9 +7,11 @@ import hashlib
 from pyspark.sql import functions as F
 
 from tidewell.functions.amounts import brl, token_cost
+from tidewell.operators import metrics
 from tidewell.operators import planning as ops
 from tidewell.operators import search
 from tidewell.operators.lookups import latest
+from tidewell.operators.pages import allowed, day_count, period_days
 from tidewell.operators.textindex import TextIndex
 from tidewell.plans.lookups import STAYS
 from tidewell.plans.registry import Binding, Registry
@@ -89,6 +91,40 @@ def v08_v11_tiles(spark, sf_dir):
     return events.crossJoin(last).agg(F.count_if(F.col("event_type").isin("click", "view")).alias("occupied"), F.count_distinct("user_id").alias("patients"), F.count_if(F.col("day") == F.col("last")).alias("on_last_day"))
 
 
+_DAYS = "(SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE event_type = '{}' GROUP BY 1)"
+
+
+@q(f"""WITH c AS (SELECT date_trunc('hour', ts) AS captured_at, count(*) FILTER (event_type IN ('click', 'view')) AS present, count(DISTINCT user_id) AS sectors FROM events GROUP BY 1),
+a AS {_DAYS.format("signup")}, d AS {_DAYS.format("purchase")}, e AS {_DAYS.format("nobody")}, o AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1)
+SELECT (SELECT max(captured_at) FROM c) AS captured_at, (SELECT arg_max(present, captured_at) FROM c) AS present, (SELECT arg_max(sectors, captured_at) FROM c) AS sectors, (SELECT count(*) FROM customer) AS patients,
+coalesce((SELECT n FROM d WHERE day = DATE '2024-01-15'), 0) AS discharged_today, (SELECT arg_max(n, day) FROM a) AS admissions, (SELECT max(day) FROM a) AS admissions_day, coalesce((SELECT arg_max(n, day) FROM e), 0) AS deaths,
+coalesce((SELECT max(day) FROM e), DATE '2024-01-15') AS deaths_day, (SELECT arg_max(n, day) FROM d) AS discharges, (SELECT max(day) FROM d) AS discharges_day, (SELECT arg_max(n, day) FROM o) AS official, (SELECT max(day) FROM o) AS official_day""")
+def v11_dashboard(spark, sf_dir):
+    """Signups as admissions, purchases as discharges, nothing as deaths, orders as the official list."""
+    events = table(spark, sf_dir, "events")
+    snapshots = events.select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("captured_at"), F.col("user_id").alias("sector"), F.when(F.col("event_type").isin("click", "view"), "occupied").otherwise("empty").alias("status"))
+    days = lambda kind: events.filter(F.col("event_type") == kind).groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    official = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day"))
+    return metrics.dashboard(snapshots, table(spark, sf_dir, "customer"), days("signup"), days("purchase"), days("nobody"), official, F.lit("2024-01-15").cast("date"))
+
+
+_PERIODS = (("24h", 1), ("7d", 7), ("30d", 30), ("a year", 1))
+_CHOICES = (("30", 30), ("90", 90), ("8", 7), ("", 7))
+_COUNTS = (("5", 5), ("0", 90), ("4000", 4000), ("x", 90))
+
+
+@q(" UNION ALL ".join(f"SELECT '{kind}' AS parameter, '{given}' AS given, {days}::BIGINT AS days, count(*) AS n FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL {days} DAY"
+   for kind, values in (("period", _PERIODS), ("allowed", _CHOICES), ("days", _COUNTS)) for given, days in values))
+def p04_p05_p06_parameters(spark, sf_dir):
+    """Events of the last days, as many as a user's parameter means."""
+    meant = [("period", g, period_days(g)) for g, _ in _PERIODS] + [("allowed", g, allowed(g, (7, 30, 90), 7)) for g, _ in _CHOICES] + [("days", g, day_count(g)) for g, _ in _COUNTS]
+    wanted = F.broadcast(spark.createDataFrame(meant, "parameter string, given string, days long"))  # a dozen rows
+    events = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"))
+    last = F.broadcast(events.agg(F.max("ts").alias("last")))
+    age = (F.unix_micros("last") - F.unix_micros("ts")) / 86_400_000_000
+    return events.crossJoin(last).select(age.alias("age")).join(wanted, F.col("age") < F.col("days")).groupBy("parameter", "given", "days").agg(F.count("*").alias("n"))
+
+
 _RUNS = Binding(
     "orders", "o_orderkey AS run", "o_custkey AS batch", "CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'O' THEN 'running' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'failed' ELSE 'queued' END END AS status",
     "CASE o_orderkey % 4 WHEN 0 THEN 'full_sync' WHEN 1 THEN 'census_extraction' WHEN 2 THEN 'admissions_only' ELSE 'other' END AS intent", "CAST(o_orderdate AS DATE) AS started",

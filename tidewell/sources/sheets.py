@@ -20,6 +20,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from tidewell.sources.archives import store_of
+
 #: Rows that a sheet may have, the header included (a fixed value of the format).
 SHEET_ROWS = 1 << 20
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -33,12 +35,8 @@ _PARTS = {
 }
 
 
-def _store(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (pafs.LocalFileSystem(), path)
-
-
 def _files(path: str) -> list[str]:
-    store, at = _store(path)
+    store, at = store_of(path)
     info = store.get_file_info(at)
     if info.type == pafs.FileType.File:
         return [path]
@@ -73,7 +71,7 @@ def _number(text: str) -> str:
 
 def sheet_rows(path: str) -> Iterator[list[str | None]]:
     """The rows of a file's first sheet, as texts; a row ends with its last cell."""
-    store, at = _store(path)
+    store, at = store_of(path)
     with store.open_input_file(at) as raw, zipfile.ZipFile(raw) as book:
         names = book.namelist()
         shared: list[str] = []
@@ -145,7 +143,7 @@ class _Writer(DataSourceWriter):
         self.header = options.get("header", "true") == "true"
 
     def write(self, iterator):
-        store, at = _store(self.path)
+        store, at = store_of(self.path)
         store.create_dir(at)
         parts: list[str] = []
         row = next(iterator, None)
@@ -181,16 +179,16 @@ class _Writer(DataSourceWriter):
         return f"<row>{''.join(cells)}</row>".encode()
 
     def commit(self, messages):
-        store, at = _store(self.path)
+        store, at = store_of(self.path)
         store.create_dir(at)
         old = _files(self.path) if self.overwrite else []
         for name in [n for m in messages if m for n in m.parts]:
             store.move(f"{at}/.{name}", f"{at}/{name}")
         for path in old:
-            store.delete_file(_store(path)[1])
+            store.delete_file(store_of(path)[1])
 
     def abort(self, messages):
-        store, at = _store(self.path)
+        store, at = store_of(self.path)
         for name in [n for m in messages if m for n in m.parts]:
             if store.get_file_info(f"{at}/.{name}").type == pafs.FileType.File:
                 store.delete_file(f"{at}/.{name}")
