@@ -45,6 +45,8 @@ def test_contamination(spark, odd, odd_rows, nothing, monkeypatch, round_bytes):
         n, hit, found = hits(by_id[r["doc_id"]], items, 10)
         assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (n, hit, len(found), hit > 0)
         assert r["items_sha256"] == hashlib.sha256(",".join(found).encode()).hexdigest()
+    null = spark.createDataFrame([(None, by_id[3]), (5, by_id[3])], "item_id long, text string")
+    assert {(r["n_items"], r["items_sha256"]) for r in contamination(odd, null, 10).filter("doc_id = 3").collect()} == {(2, hashlib.sha256(b",5").hexdigest())}
     assert contamination(nothing, bench, 10).count() == 0
     assert not any(r["contaminated"] for r in contamination(odd, bench.limit(0), 10).collect())
 
@@ -226,3 +228,61 @@ def test_every_pair_of_words_is_a_window():
     assert found == [[], [b"one"], pairs, [b"so a", *pairs], [b"bad word"]]
     z = w.logits(np.random.default_rng(1).normal(size=BUCKETS).astype(np.float32))
     assert z[1:5].tolist() == z[6:10].tolist() and z[3] == z[10]
+
+
+def test_many_parts_of_items_read_the_documents_once(spark, monkeypatch):
+    """Items of several automata: one written copy of the documents, and the results of one automaton."""
+    from tidewell.llm import decontaminate
+
+    rng = np.random.default_rng(2)
+    text = lambda n: " ".join("".join(rng.choice(list("abcdef"), 2)) for _ in range(n))
+    items = [(k, text(int(rng.integers(1, 25)))) for k in range(60)]
+    rows = [(k, f"{text(30)} {items[k % 60][1]} {text(20)}" if k % 3 else text(200)) for k in range(150)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(tuple, contamination(docs, bench).collect()))
+    labels = []
+    monkeypatch.setattr(decontaminate, "ROUND_BYTES", 200)
+    monkeypatch.setattr(decontaminate, "written", lambda df, label, w=decontaminate.written: labels.append(label) or w(df, label))
+    assert sorted(map(tuple, contamination(docs, bench).collect())) == want
+    assert labels.count("stretches") == 1 and labels.count("stretch-hits") > 5
+    out, whole = (sorted(map(tuple, d.collect())) for d in (decontaminated(docs, bench), docs.filter("doc_id < 0")))
+    monkeypatch.setattr(decontaminate, "ROUND_BYTES", 1 << 20)
+    assert out == sorted(map(tuple, decontaminated(docs, bench).collect())) and not whole
+
+
+def test_toxicity_scores_by_brute_force(spark, odd, odd_rows):
+    """Scores from the model's weights, word by word; of a text above a slice too."""
+    from tidewell.llm.toxicity import WINDOW, Windows
+
+    labels = spark.createDataFrame([(i, 1 if i % 2 else 0) for i in range(20)], "doc_id long, toxic int")
+    model = model_of(odd, labels)
+    rows = [*odd_rows[:20], (900, None), (901, "one"), (902, "x y z " * 60_000 + "tail")]
+
+    def logit(text):
+        words = words_of(text)
+        of = {}
+        for w in set(words):
+            coded = Windows(np.frombuffer(w, np.uint8), np.array([0, len(w)]))
+            of[w] = model.weights[coded.buckets].astype(np.float64)
+        bags = [np.concatenate([of[w] for w in words[k : k + WINDOW]]).mean() for k in range(max(1, len(words) - WINDOW + 1))] if words else []
+        total, size = sum(of[w].sum() for w in words), sum(len(of[w]) for w in words)
+        return np.dot(model.shares, [max(bags, default=0), total / size if size else 0, min(math.log1p(len(bags)), model.longest), 1])
+
+    found, name = scored(spark.createDataFrame(rows, "doc_id long, text string"), model)
+    got = {r["doc_id"]: r[name] for r in found.collect()}
+    for d, t in rows:
+        assert abs(got[d] - 1 / (1 + math.exp(-logit(t)))) < 1e-4
+
+
+def test_stages_on_empty_tables_and_odd_rows(spark, odd, nothing):
+    """Each stage on no rows and on odd ones: columns stay, rows are of the ones given."""
+    import corpus_pipeline
+
+    for docs in (nothing, odd):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, "/root/testdata/sf0.001")
+            if name != "packing":
+                assert out.columns == docs.columns
+                assert out.select("doc_id", "lang").exceptAll(docs.select("doc_id", "lang")).isEmpty()
+            else:
+                assert out.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()

@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from tidewell.llm.arrow import bounded_batches, free_name, lowered, mixed, plain_names, quoted, span_hashes, text_slices, word_spans
 from tidewell.session import written
 
-#: Text of items that one automaton holds; more items take more automata, and a pass over the documents for each.
+#: Text of items that one automaton holds; more items take more automata, and a pass over the stretches for each.
 ROUND_BYTES = 1 << 20
+#: Slots, at most two to this power, of a table of neighbouring words, which is broadcast: 64 MB.
+PAIR_BITS = 26
 
 #: What takes the place of a span: a word of a character that texts don't have (U+FFFC, the object replacement character).
 SEAM = " \ufffc ".encode()
@@ -35,7 +37,41 @@ def words_of(text: str | None) -> list[bytes]:
     return WORD.findall((text or "").encode().translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))))
 
 
-class Automaton:
+class Neighbours:
+    """A table of the pairs of words that stand side by side in some item: where a document's don't, no match can lie."""
+
+    def __init__(self, bits: int, least: int):
+        self.pairs, self.single, self.least = np.zeros(1 << bits, bool), np.zeros(0, np.uint64), least
+
+    def pair_slots(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (mixed(a * np.uint64(3) + b) >> np.uint64(65 - len(self.pairs).bit_length())).astype(np.int64)
+
+    def add(self, hashes: np.ndarray, word_at: np.ndarray, window: int) -> None:
+        """Takes in items by the hashes of their words. word_at: the edges of items."""
+        inner = np.ones(max(0, len(hashes) - 1), bool)
+        inner[word_at[(word_at > 0) & (word_at < len(hashes))] - 1] = False
+        self.pairs[self.pair_slots(hashes[:-1][inner], hashes[1:][inner])] = True
+        counts = np.diff(word_at)
+        self.single = np.union1d(self.single, hashes[word_at[:-1][counts == 1]])
+        self.least = min([self.least, window, *counts[counts > 0].tolist()])
+
+    def stretches(self, hashes: np.ndarray, word_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends, in words, of all stretches in which a match can lie. word_at: the edges of texts."""
+        near = np.zeros(len(hashes) + 1, bool)
+        if len(hashes) > 1:
+            near[1:-1] = self.pairs[self.pair_slots(hashes[:-1], hashes[1:])]
+        near[word_at] = False
+        edges = np.diff(near.astype(np.int8), prepend=0)
+        starts, ends = np.flatnonzero(edges == 1) - 1, np.flatnonzero(edges == -1)
+        long = ends - starts >= self.least
+        starts, ends = starts[long], ends[long]
+        if len(self.single):  # one-word items: every word alone
+            lone = np.flatnonzero(np.isin(hashes, self.single))
+            starts, ends = np.concatenate([starts, lone]), np.concatenate([ends, lone + 1])
+        return starts, ends
+
+
+class Automaton(Neighbours):
     """Of all items' words; states of windows know the items in which they occur."""
 
     def __init__(self, items: Iterable[tuple[str, list[bytes]]], window: int):
@@ -103,24 +139,6 @@ class Automaton:
             state = self.link[state]
         return state
 
-    def pair_slots(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (mixed(a * np.uint64(3) + b) >> np.uint64(65 - len(self.pairs).bit_length())).astype(np.int64)
-
-    def stretches(self, hashes: np.ndarray, word_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends, in words, of all stretches in which a match can lie. word_at: the edges of texts."""
-        near = np.zeros(len(hashes) + 1, bool)
-        if len(hashes) > 1:
-            near[1:-1] = self.pairs[self.pair_slots(hashes[:-1], hashes[1:])]
-        near[word_at] = False
-        edges = np.diff(near.astype(np.int8), prepend=0)
-        starts, ends = np.flatnonzero(edges == 1) - 1, np.flatnonzero(edges == -1)
-        long = ends - starts >= self.least
-        starts, ends = starts[long], ends[long]
-        if len(self.single):  # one-word items: every word alone
-            lone = np.flatnonzero(np.isin(hashes, self.single))
-            starts, ends = np.concatenate([starts, lone]), np.concatenate([ends, lone + 1])
-        return starts, ends
-
     def matches(self, words: list[bytes]) -> Iterator[tuple[int, int, set[str]]]:
         """Spans [start, end) of words that are a window of the items, and those items."""
         state = matched = 0
@@ -153,14 +171,14 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-#: The columns that a pass adds, with their types.
+#: The columns that ``matched`` adds, with their types.
 _FOUND = {"_tw_words": "long", "_tw_spans": "array<struct<a:long,b:long>>", "_tw_items": "array<string>"}
 
 
 def _pass(docs: DataFrame, automaton: Automaton) -> DataFrame:
+    """One pass where all items are in one automaton."""
     held = docs.sparkSession.sparkContext.broadcast(automaton)
-    known = "_tw_spans" in docs.columns
-    columns = [c for c in docs.columns if c not in _FOUND]
+    columns = docs.columns
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = held.value
@@ -176,38 +194,99 @@ def _pass(docs: DataFrame, automaton: Automaton) -> DataFrame:
                     first = int(a - word_at[row])
                     spans.setdefault(row, []).append((first + i, first + j))
                     items.setdefault(row, set()).update(which)
-            n = rows.num_rows
-            old_spans, old_items = ([{}] * n, [()] * n) if not known else (rows.column(c).to_pylist() for c in ("_tw_spans", "_tw_items"))
-            all_spans = [merged([*((s["a"], s["b"]) for s in old_spans[k]), *spans.get(k, ())]) for k in range(n)]
-            all_items = [sorted({*old_items[k], *items.get(k, ())}) for k in range(n)]
-            pair = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-            yield pa.RecordBatch.from_arrays(
-                [*rows.select(columns).columns, pa.array(np.diff(word_at)), pa.array([[{"a": a, "b": b} for a, b in s] for s in all_spans], pair), pa.array(all_items, pa.list_(pa.string()))],
-                [*columns, *_FOUND],
-            )
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.diff(word_at)), *_lists(spans, items, rows.num_rows)], [*columns, *_FOUND])
 
     schema = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in columns]
     return docs.mapInArrow(stream, ", ".join([*schema, *(f"{k} {v}" for k, v in _FOUND.items())]))
 
 
+def _lists(spans: dict[int, list[tuple[int, int]]], items: dict[int, set[str]], n: int) -> tuple[pa.Array, pa.Array]:
+    """Merged spans and sorted items of rows 0 to n; those without one have empty lists, at no cost."""
+    pair = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+    if not spans:
+        empty = pa.array(np.zeros(n + 1, np.int32))
+        return pa.ListArray.from_arrays(empty, pa.array([], pair.value_type)), pa.ListArray.from_arrays(empty, pa.array([], pa.string()))
+    every = [[{"a": a, "b": b} for a, b in merged(spans[k])] if k in spans else [] for k in range(n)]
+    return pa.array(every, pair), pa.array([sorted(items.get(k, ())) for k in range(n)], pa.list_(pa.string()))
+
+
+def _in_stretches(docs: DataFrame, rounds: Iterable[list[tuple[str, str]]], near: Neighbours, window: int) -> DataFrame:
+    """Where items take several automata: documents are read once, for the stretches in which a match can lie; each automaton reads those alone."""
+    held = docs.sparkSession.sparkContext.broadcast(near)
+    columns = docs.columns
+    schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in columns)
+
+    def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in text_slices(batches):
+            data = lowered(data)
+            starts, ends, word_at = word_spans(IS_WORD[data], offsets)
+            found: list[list[dict]] = [[] for _ in range(rows.num_rows)]
+            for a, b in zip(*(x.tolist() for x in held.value.stretches(span_hashes(data, starts, ends), word_at)), strict=True):
+                row = int(np.searchsorted(word_at, a, "right")) - 1
+                found[row].append({"first": a - int(word_at[row]), "words": b" ".join(data[i:j].tobytes() for i, j in zip(starts[a:b], ends[a:b], strict=True))})
+            kind = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.binary())]))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.diff(word_at)), pa.array(found, kind)], [*columns, "_tw_row", "_tw_words", "_tw_at"])
+
+    numbered = docs.withColumn("_tw_row", F.monotonically_increasing_id())
+    read = written(numbered.mapInArrow(stretch, f"{schema}, _tw_row long, _tw_words long, _tw_at array<struct<first:long,words:binary>>"), "stretches")
+    parts = read.select("_tw_row", F.explode("_tw_at").alias("s")).select("_tw_row", "s.first", "s.words")
+    parts = written(parts.repartition("_tw_row", "first"), "stretch-parts")
+    hits = "_tw_row long, spans array<struct<a:long,b:long>>, items array<string>"
+    found = docs.sparkSession.createDataFrame([], hits)
+    for part in rounds:
+        automaton = docs.sparkSession.sparkContext.broadcast(Automaton(sorted({(i, tuple(words_of(t))) for i, t in part}), window))
+
+        def stream(batches: Iterator[pa.RecordBatch], automaton=automaton) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                spans, items = {}, {}
+                for k, (first, words) in enumerate(zip(batch.column("first").to_pylist(), batch.column("words").to_pylist(), strict=True)):
+                    for i, j, which in automaton.value.matches(words.split(b" ")):
+                        spans.setdefault(k, []).append((first + i, first + j))
+                        items.setdefault(k, set()).update(which)
+                hit = sorted(spans)
+                lists = _lists(dict(enumerate(spans[k] for k in hit)), dict(enumerate(items[k] for k in hit)), len(hit))
+                yield pa.RecordBatch.from_arrays([batch.column("_tw_row").take(pa.array(hit, pa.int64())), *lists], ["_tw_row", "spans", "items"])
+
+        found = found.union(written(parts.mapInArrow(stream, hits), "stretch-hits"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans, items = (dict(enumerate(batch.column(c).to_pylist())) for c in ("spans", "items"))
+            lists = _lists({k: [(s["a"], s["b"]) for s in v] for k, v in spans.items()}, {k: set(v) for k, v in items.items()}, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("_tw_row"), *lists], ["_tw_of", "_tw_spans", "_tw_items"])
+
+    hit = found.groupBy("_tw_row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    hit = hit.mapInArrow(join, "_tw_of long, _tw_spans array<struct<a:long,b:long>>, _tw_items array<string>")
+    empty = {"_tw_spans": F.array().cast(_FOUND["_tw_spans"]), "_tw_items": F.array().cast(_FOUND["_tw_items"])}
+    clean = read.filter(F.size("_tw_at") == 0).withColumns(empty)
+    dirty = read.filter(F.size("_tw_at") > 0).join(hit, F.col("_tw_row") == F.col("_tw_of"), "left").withColumns({k: F.coalesce(k, v) for k, v in empty.items()})
+    return clean.select(*columns, *_FOUND).unionByName(dirty.select(*columns, *_FOUND))
+
+
 def matched(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> tuple[DataFrame, list[str]]:
     """``docs`` with the number of words, the merged spans of hit words and the items of which a window occurs, and the names of these columns.
 
     A window is ``window`` words of an item in a row, or a shorter item as a whole. Null and empty texts have no
     words and no hits; null, empty and repeated items are fine. Repeated rows are judged alike.
-    The benchmark is collected by parts of ROUND_BYTES, each with an automaton and a pass of its own.
+    A null item_id counts as an item named by the empty string. The benchmark is collected by parts of ROUND_BYTES, each for an automaton of its own;
+    documents are read once, whatever the number of parts.
     """
     bounded_batches(docs.sparkSession)
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rounds = max(1, math.ceil(size / ROUND_BYTES))
-    found, names = docs.toDF(*plain_names(docs)), [free_name(docs.columns, n) for n in _FOUND]
-    for k in range(rounds):
-        part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == k).collect()
-        automaton = Automaton(sorted({(r["item_id"] or "", tuple(words_of(r["text"]))) for r in part}), window)
-        found = _pass(found, automaton)
-        if k + 1 < rounds:
-            found = written(found, "decontaminate")
+    plain, names = docs.toDF(*plain_names(docs)), [free_name(docs.columns, n) for n in _FOUND]
+    part = lambda k: [(r["item_id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == k).collect()]
+    if rounds == 1:
+        found = _pass(plain, Automaton(sorted({(i, tuple(words_of(t))) for i, t in part(0)}), window))
+    else:
+        near = Neighbours(min(PAIR_BITS, max(16, (16 * size).bit_length())), window)
+        for k in range(rounds):
+            raw = [t.encode() for _, t in part(k)]
+            data = lowered(np.frombuffer(b"".join(raw), np.uint8))
+            starts, ends, word_at = word_spans(IS_WORD[data], np.append(0, np.cumsum([len(t) for t in raw])).astype(np.int64))
+            near.add(span_hashes(data, starts, ends), word_at, window)
+        found = _in_stretches(plain, map(part, range(rounds)), near, window)
     return found.toDF(*docs.columns, *names), names
 
 
