@@ -33,13 +33,13 @@ def test_additions_changes_and_compaction(spark, notes):
     add("a", [(1, "dor dor"), (2, "febre")])
     add("b", [(3, "dor febre")])
     assert index.refresh(source()) == 2
-    first = index._segments()
+    first = index._live()
     add("c", [(4, "febre e dor")])
-    assert index.refresh(source()) == 1 and set(first) < set(index._segments())  # what was there stays as it is
+    assert index.refresh(source()) == 1 and set(first) < set(index._live())  # what was there stays as it is
     assert ids(index.search("dor")) == [1, 3, 4]
     before = sorted(map(tuple, index.search("dor febre").collect()))
     index.compact()
-    assert len(index._segments()) == 1 and sorted(map(tuple, index.search("dor febre").collect())) == before
+    assert len(index._live()) == 1 and sorted(map(tuple, index.search("dor febre").collect())) == before
     add("b", [(3, "tosse")])
     index.refresh(source())
     assert ids(index.search("dor")) == [1, 4] and ids(index.search("tosse")) == [3]

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Spans of one entity that a fact may meet in a join.
+SPANS_AT_ONCE = 64
+
 
 def with_name(facts: DataFrame, names: DataFrame, code: str, name: str) -> DataFrame:
     """``facts`` with the dimension's name, or the code where it has none; of several names of a code the first in order."""
@@ -66,15 +71,53 @@ class _OpenSpans:
 def containing(facts: DataFrame, spans: DataFrame, entity: str, at: str, start: str, end: str, key: str, smallest: bool = False) -> DataFrame:
     """``facts`` with the key of the span of their entity that holds the moment; of several the one that began last, then the largest key, or the smallest.
 
-    First the span that began last is looked up, which mostly holds the moment. Where it has ended, an older one may still be open: those facts go
-    through their entity's spans in order of time, with a stack of open ones. So no fact meets all spans of its entity.
+    Entities of up to SPANS_AT_ONCE spans are joined with all of them, each of the facts that are alike once. For others the span that began last is looked up, which mostly holds the moment. Where it has ended and one begun before lasts
+    longer, those facts go through their entity's spans in order of time, with a stack of open ones. So no fact meets more spans than that.
     """
-    own = spans.select(F.col(entity).alias("_entity"), F.col(start).alias("_start"), F.struct(F.col(key).alias("_key"), F.col(end).alias("_until")).alias("_span")).filter("_start IS NOT NULL AND _entity IS NOT NULL")
+    return _by_spans(facts, spans, entity, lambda f, s: _containing_few(f, s, entity, at, start, end, key, smallest), lambda f, s: _containing_many(f, s, entity, at, start, end, key, smallest))
+
+
+def _by_spans(facts: DataFrame, spans: DataFrame, entity: str, few: Callable[[DataFrame, DataFrame], DataFrame], many: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Facts of entities with many spans go one way, all others another; the results are the same either way."""
+    hot = spans.groupBy(F.col(entity).alias("_hot")).agg(F.count("*").alias("_n")).filter(F.col("_n") > SPANS_AT_ONCE).select("_hot")
+    if hot.isEmpty():
+        return few(facts, spans)
+    side = lambda rows, how: rows.join(hot, F.col(entity) == F.col("_hot"), how)
+    return few(side(facts, "left_anti"), side(spans, "left_anti")).unionByName(many(side(facts, "left_semi"), side(spans, "left_semi")))
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("_alike"))
+
+
+def _repeated(rows: DataFrame, columns: list[str], *more: Column) -> DataFrame:
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_alike")))
+    return rows.select(*columns, *more, each.alias("_each")).drop("_each")
+
+
+def _containing_few(facts: DataFrame, spans: DataFrame, entity: str, at: str, start: str, end: str, key: str, smallest: bool) -> DataFrame:
+    alike = _counted(facts)
+    s = spans.select(F.col(entity), F.col(start).alias("_start"), F.col(end).alias("_end"), F.col(key).alias("_key"))
+    met = alike.join(s, entity).filter((F.col("_start") <= F.col(at)) & (F.col("_end").isNull() | (F.col("_end") >= F.col(at))))
+    span = F.struct("_start", "_key")
+    if smallest:
+        last = met.groupBy(*alike.columns, "_start").agg(F.min("_key").alias("_key")).groupBy(*alike.columns).agg(F.max(span).alias("_last"))
+    else:
+        last = met.groupBy(*alike.columns).agg(F.max(span).alias("_last"))
+    return _repeated(last, facts.columns, F.col("_last._key").alias(key))
+
+
+def _containing_many(facts: DataFrame, spans: DataFrame, entity: str, at: str, start: str, end: str, key: str, smallest: bool) -> DataFrame:
+    own = spans.select(F.col(entity).alias("_entity"), F.col(start).alias("_start"), F.col(key).alias("_key"), F.col(end).alias("_until")).filter("_start IS NOT NULL AND _entity IS NOT NULL")
+    begun = Window.partitionBy("_entity").orderBy("_start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    until = F.when(~F.bool_or(F.col("_until").isNull()).over(begun), F.max("_until").over(begun))  # null: one of those begun by then is open
+    own = own.select("_entity", "_start", F.struct("_key", "_until", until.alias("_longest")).alias("_span"))
     rows = facts.select(F.col(entity).alias("_entity"), F.col(at).alias("_moment"), F.struct(*facts.columns).alias("_fact")).filter("_entity IS NOT NULL AND _moment IS NOT NULL")
     last = as_of(rows, own, ["_entity"], "_moment", "_start", ["_span"], smallest=smallest).filter("_span IS NOT NULL")
     holds = F.col("_span._until").isNull() | (F.col("_span._until") >= F.col("_moment"))
     found = last.filter(holds).select("_fact.*", F.col("_span._key").alias(key))
-    left = last.filter(~holds).select("_entity", F.col("_moment").cast("timestamp_ntz").alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("timestamp_ntz").alias("_until"), F.lit(None).cast(spans.schema[key].dataType).alias("_key"), "_fact")
+    older_may = F.col("_span._longest").isNull() | (F.col("_span._longest") >= F.col("_moment"))
+    left = last.filter(~holds & older_may).select("_entity", F.col("_moment").cast("timestamp_ntz").alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("timestamp_ntz").alias("_until"), F.lit(None).cast(spans.schema[key].dataType).alias("_key"), "_fact")
     older = own.join(left.select("_entity").distinct(), "_entity", "left_semi")
     older = older.select("_entity", F.col("_start").cast("timestamp_ntz").alias("_at"), F.lit(0).alias("_side"), F.col("_span._until").cast("timestamp_ntz").alias("_until"), F.col("_span._key").alias("_key"), F.lit(None).cast(left.schema["_fact"].dataType).alias("_fact"))
     kinds = f"_fact {left.schema['_fact'].dataType.simpleString()}, _key {spans.schema[key].dataType.simpleString()}"
@@ -104,8 +147,28 @@ def resolved(facts: DataFrame, spans: DataFrame, entity: str, at: str, start: st
     """``facts`` with the span each belongs to and the step that found it.
 
     Steps: 1 the wanted key; 2 the span that holds the moment and began last; 3 the nearest that began before; 4 the nearest that begins
-    later; 5 the first key of those without a start; of several the smallest key. A fact without a span has neither key nor step. Each step is a lookup of its own, none of which meets all spans of an entity.
+    later; 5 the first key of those without a start; of several the smallest key. A fact without a span has neither key nor step. Entities of many spans are looked up step by step in order of time.
     """
+    ways = [lambda f, s, way=way: way(f, s, entity, at, start, end, key, wanted) for way in (_resolved_few, _resolved_many)]
+    return _by_spans(facts, spans, entity, *ways)
+
+
+def _resolved_few(facts: DataFrame, spans: DataFrame, entity: str, at: str, start: str, end: str, key: str, wanted: str | None) -> DataFrame:
+    """All steps are one aggregate over one join by entity, combined before a shuffle."""
+    s = spans.select(F.col(entity), F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(key).alias("_k"))
+    t, began, ended = F.col(at), F.col("_s"), F.col("_e")
+    alike = _counted(facts)
+    seconds = lambda c: F.unix_micros(c.cast("timestamp"))
+    step = F.when(F.col(wanted) == F.col("_k"), 1) if wanted else F.when(F.lit(False), 1)
+    step = step.when((began <= t) & (ended.isNull() | (ended >= t)), 2).when(began <= t, 3).when(began > t, 4).otherwise(5)
+    near = F.when(step.isin(2, 3), -seconds(began)).when(step == 4, seconds(began)).otherwise(0)
+    best = F.min(F.when(F.col("_k").isNotNull(), F.struct(step.alias("step"), near.alias("near"), F.col("_k").alias("key"))))
+    found = alike.join(s, entity, "left").groupBy(*alike.columns).agg(best.alias("_best"))
+    return _repeated(found, facts.columns, F.col("_best.key").alias(key), F.col("_best.step").alias("step"))
+
+
+def _resolved_many(facts: DataFrame, spans: DataFrame, entity: str, at: str, start: str, end: str, key: str, wanted: str | None) -> DataFrame:
+    """Each step is a lookup of its own, in order of time, none of which meets all spans of an entity."""
     rows = facts.withColumn("_fact", F.struct(*facts.columns)).select(F.col(entity).alias("_entity"), F.col(at).alias("_moment"), *([F.col(wanted).alias("_wanted")] if wanted else []), "_fact")
     s = spans.filter(F.col(key).isNotNull()).select(F.col(entity).alias("_entity"), F.col(start).alias("_start"), F.col(end).alias("_end"), F.col(key).alias("_key"))
     begun = s.filter("_start IS NOT NULL")
@@ -119,7 +182,7 @@ def resolved(facts: DataFrame, spans: DataFrame, entity: str, at: str, start: st
     else:
         out = out.withColumn("_first", F.lit(None).cast(spans.schema[key].dataType))
     moments = out.filter("_first IS NULL AND _before IS NOT NULL").select("_entity", "_moment").distinct()
-    held = containing(moments, begun, "_entity", "_moment", "_start", "_end", "_key", smallest=True).withColumnRenamed("_key", "_holds")
+    held = _containing_many(moments, begun, "_entity", "_moment", "_start", "_end", "_key", True).withColumnRenamed("_key", "_holds")
     out = out.join(held, ["_entity", "_moment"], "left")
     steps = ("_first", "_holds", "_before", "_after", "_undated")
     step = F.coalesce(*[F.when(F.col(c).isNotNull(), k) for k, c in enumerate(steps, 1)])

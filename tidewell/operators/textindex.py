@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.operators.search import tokens
@@ -18,6 +18,9 @@ from tidewell.operators.search import tokens
 RANGES, WRITERS = 64, 8
 
 
+_ENTRY = "segment string, file string, size long, modified timestamp, gone boolean"
+
+
 def _range(token: Column) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(RANGES)).cast("int")
 
@@ -27,20 +30,23 @@ class TextIndex:
 
     def __init__(self, spark: SparkSession, folder: str, key: str, key_type: str, text: str):
         self.spark, self.folder, self.key, self.text = spark, folder.rstrip("/"), key, text
+        self.segments: list[str] | None = None
         self.schema = f"token string, {key} {key_type}, n long, length long, segment string, range int"
 
-    def manifest(self) -> DataFrame:
-        """segment, file, size, modified of the files that the index holds."""
+    def manifest(self) -> list[Row]:
+        """segment, file, size, modified of the files that the index holds: a row for each file."""
         folder = f"{self.folder}/manifest"
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        there = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-        schema = "segment string, file string, size long, modified timestamp, gone boolean"
-        rows = self.spark.read.schema(schema).parquet(folder) if there else self.spark.createDataFrame([], schema)
-        gone = rows.filter("gone").select("segment").distinct()
-        return rows.filter("NOT gone").join(gone, "segment", "left_anti").drop("gone")
+        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return []
+        rows = self.spark.read.schema(_ENTRY).parquet(folder).collect()
+        gone = {r["segment"] for r in rows if r["gone"]}
+        return [r for r in rows if r["segment"] not in gone]
 
-    def _segments(self) -> list[str]:
-        return sorted(r["segment"] for r in self.manifest().select("segment").distinct().collect())
+    def _live(self) -> list[str]:
+        if self.segments is None:
+            self.segments = sorted({r["segment"] for r in self.manifest()})
+        return self.segments
 
     def _written(self, postings: DataFrame) -> str:
         segment = uuid.uuid4().hex
@@ -52,28 +58,29 @@ class TextIndex:
         """Takes in the files of ``source`` that the index doesn't have, and says how many. A file that changed or went takes its segment along; the segment's other files are read again."""
         file = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("modified"))
         rows = source.select(self.key, self.text, file.alias("_file"))
-        now = rows.select("_file.*").distinct()
-        held = self.manifest()
-        stale = held.join(now, ["file", "size", "modified"], "left_anti").select("segment").distinct()
-        missing = now.join(held.join(stale, "segment", "left_anti"), ["file", "size", "modified"], "left_anti").collect()  # a row for each file
-        gone = [r["segment"] for r in stale.collect()]
-        entries = [(s, None, None, None, True) for s in gone]
+        of = lambda r: (r["file"], r["size"], r["modified"])
+        now, held = {of(r) for r in rows.select("_file.*").distinct().collect()}, self.manifest()  # a row for each file
+        gone = {r["segment"] for r in held if of(r) not in now}
+        missing = sorted(now - {of(r) for r in held if r["segment"] not in gone})
+        entries = [(s, None, None, None, True) for s in sorted(gone)]
         if missing:
-            new = rows.filter(F.col("_file.file").isin([r["file"] for r in missing])).select(self.key, tokens(F.col(self.text)).alias("_t"))
+            new = rows.filter(F.col("_file.file").isin([m[0] for m in missing])).select(self.key, tokens(F.col(self.text)).alias("_t"))
             counted = new.select(self.key, F.size("_t").cast("long").alias("length"), F.explode("_t").alias("token")).groupBy("token", self.key, "length").agg(F.count("*").alias("n"))
             segment = self._written(counted.select("token", self.key, "n", "length"))
-            entries += [(segment, r["file"], r["size"], r["modified"], False) for r in missing]
+            entries += [(segment, *m, False) for m in missing]
+        self.segments = sorted({r["segment"] for r in held} - gone)
         if entries:
             self._enter(entries)
         return len(missing)
 
     def _enter(self, entries: list[tuple]) -> None:
-        rows = self.spark.createDataFrame(entries, "segment string, file string, size long, modified timestamp, gone boolean")
-        rows.coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
+        self.spark.createDataFrame(entries, _ENTRY).coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
+        self.segments = None
 
     def compact(self) -> None:
         """One segment of all: a search then opens one set of files for each range."""
-        held, old = self.manifest().collect(), self._segments()
+        held = self.manifest()
+        old = sorted({r["segment"] for r in held})
         if len(old) > 1:
             segment = self._written(self._postings(old).select("token", self.key, "n", "length"))
             self._enter([(segment, r["file"], r["size"], r["modified"], False) for r in held] + [(s, None, None, None, True) for s in old])
@@ -83,19 +90,19 @@ class TextIndex:
 
     def frequent(self, limit: int) -> list:
         """token, documents: the tokens that most rows have, ties by the token."""
-        return self._postings(self._segments()).groupBy("token").agg(F.count("*").alias("documents")).orderBy(F.desc("documents"), "token").limit(limit).collect()
+        return self._postings(self._live()).groupBy("token").agg(F.count("*").alias("documents")).orderBy(F.desc("documents"), "token").limit(limit).collect()
 
     def search(self, query: str) -> DataFrame:
         """As ``search_tokens``, with the tokens of a text."""
-        return self.search_tokens(self.spark.range(1).select(tokens(F.lit(query)).alias("t")).first()["t"])
+        return self.search_tokens(self.spark.createDataFrame([(query,)], "q string").select(tokens(F.col("q")).alias("t")).first()["t"])
 
     def search_tokens(self, wanted: list[str]) -> DataFrame:
         """key, score of the rows with all tokens: the sum of 1 + ln(n), over 1 + ln(length). No token: no row."""
         wanted = sorted(set(wanted))
-        segments = self._segments() if wanted else []
+        segments = self._live() if wanted else []
         if not segments:
             return self.spark.createDataFrame([], self.schema).select(self.key, F.lit(0.0).alias("score"))
-        ranges = self.spark.createDataFrame([(t,) for t in wanted], "token string").select(_range(F.col("token")).alias("r")).distinct().collect()
-        found = self._postings(segments).filter(F.col("range").isin([r["r"] for r in ranges]) & F.col("token").isin(wanted))
+        ranges = self.spark.createDataFrame([(t,) for t in wanted], "token string").select(_range(F.col("token")).alias("r")).collect()
+        found = self._postings(segments).filter(F.col("range").isin(sorted({r["r"] for r in ranges})) & F.col("token").isin(wanted))
         found = found.groupBy(self.key).agg(F.count("*").alias("_n"), (F.sum(1 + F.log("n")) / F.max(1 + F.log("length"))).alias("score"))
         return found.filter(F.col("_n") == len(wanted)).select(self.key, "score")
