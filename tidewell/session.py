@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -38,7 +40,9 @@ def shared_folder(spark: SparkSession) -> str:
         if not re.match(r"local(\[|$)", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if context.applicationId not in _OWN_FOLDERS:
-            _OWN_FOLDERS[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='tidewell-')}"
+            own = tempfile.mkdtemp(prefix="tidewell-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            _OWN_FOLDERS[context.applicationId] = f"file://{own}"
         folder = _OWN_FOLDERS[context.applicationId]
     return folder.rstrip("/")
 
@@ -46,7 +50,7 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: later steps survive lost executors.
 
-    The files stay until the folder is cleaned, because lazily evaluated results may still read them.
+    The files stay until the folder is cleaned, because lazily evaluated results may still read them; a folder of one's own goes at exit.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidewell/{label}-{uuid.uuid4().hex}"
