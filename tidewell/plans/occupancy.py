@@ -8,6 +8,7 @@ from tidewell.operators import occupancy as ops
 from tidewell.operators import presentation as shown
 from tidewell.operators.lookups import as_of
 from tidewell.plans.registry import Binding, Registry
+from tidewell.session import written
 
 q = Registry()
 QUERIES, SQL = q.queries, q.sql
@@ -68,8 +69,8 @@ def _catalog(spark, values=_CATALOG):
     return spark.sql(f"SELECT * FROM {values} AS c(`group`, policy, capacity, code, selector)")
 
 
-def _steps(spark, sf_dir, binding=_ROWS, values=_CATALOG):
-    rows = binding.frame(spark, sf_dir)
+def _steps(spark, sf_dir, binding=_ROWS, values=_CATALOG, of=lambda rows: rows):
+    rows = of(binding.frame(spark, sf_dir))
     places, catalog = ops.positions(rows), _catalog(spark, values)
     return rows, places, ops.grouped_positions(places, catalog), ops.group_measurements(ops.grouped_positions(places, catalog), catalog, rows)
 
@@ -172,11 +173,11 @@ SELECT run, coalesce(g.grp, x.grp) AS "group", coalesce(policy, 'auxiliary') AS
 FROM (SELECT gm2.* FROM gm2 JOIN n USING (run)) g FULL JOIN x USING (run, grp)""")
 def q09_group_presentation(spark, sf_dir):
     """The last capture of each day with its exact measurement: groups with their beds, and one row for beds of split codes that no group takes."""
-    rows, _, grouped, groups = _steps(spark, sf_dir, _HOURLY, _SMALL)
-    last = rows.groupBy(F.to_date("run").alias("census")).agg(F.max("run").alias("run"))
-    exact = shown.exact_measurement(rows.join(last, "run"), groups, "census")
-    measured = shown.with_status_counts(groups, grouped, ["run"]).join(exact, "run", "left_semi")
-    out = shown.group_presentation(rows.join(exact, "run", "left_semi"), _catalog(spark, _SMALL), measured)
+    newest = lambda rows: rows.join(rows.groupBy(F.to_date("run").alias("census")).agg(F.max("run").alias("run")), "run")
+    rows, _, grouped, groups = _steps(spark, sf_dir, _HOURLY, _SMALL, newest)
+    measured = written(shown.with_status_counts(groups, grouped, ["run"]), "measured")  # as a run's measurement is: stored once, read by each view
+    exact = shown.exact_measurement(rows, measured, "census")
+    out = shown.group_presentation(rows.join(exact, "run", "left_semi"), _catalog(spark, _SMALL), measured.join(exact, "run", "left_semi"))
     said = F.array_join(F.transform("beds", lambda b: F.concat_ws(":", b["id"].cast("string"), b["status"], b["record"])), ",")
     return out.select("run", "group", "policy", "occupied", "pct", F.size("beds").alias("beds"), said.alias("shown"), F.array_join("source_sectors", ",").alias("sectors"))
 
