@@ -71,8 +71,9 @@ class _OpenSpans:
 def containing(facts: DataFrame, spans: DataFrame, entity: str, at: str, start: str, end: str, key: str, smallest: bool = False) -> DataFrame:
     """``facts`` with the key of the span of their entity that holds the moment; of several the one that began last, then the largest key, or the smallest.
 
-    Entities of up to SPANS_AT_ONCE spans are joined with all of them, each of the facts that are alike once. For others the span that began last is looked up, which mostly holds the moment. Where it has ended and one begun before lasts
-    longer, those facts go through their entity's spans in order of time, with a stack of open ones. So no fact meets more spans than that.
+    Entities of up to SPANS_AT_ONCE spans are joined with all of them, each of the facts that are alike once. For others the span that
+    began last is looked up, which mostly holds the moment. Where it has ended and one begun before lasts longer, those facts go through
+    their entity's spans in order of time, with a stack of open ones. So no fact meets more spans than that.
     """
     return _by_spans(facts, spans, entity, lambda f, s: _containing_few(f, s, entity, at, start, end, key, smallest), lambda f, s: _containing_many(f, s, entity, at, start, end, key, smallest))
 
