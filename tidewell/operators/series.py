@@ -5,6 +5,8 @@ Windows without a key run over calendars or over sums for each moment, never ove
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,16 +19,25 @@ def moving_average(rows: DataFrame, keys: list[str], order: str, value: str, n:
 
 
 def exponential_average(rows: DataFrame, keys: list[str], order: str, value: str, span: int, name: str) -> DataFrame:
-    """alpha = 2 / (span + 1), begun with the mean of the first ``span`` rows, null before. A series is a calendar's length."""
+    """alpha = 2 / (span + 1), begun with the mean of the first ``span`` rows, null before and from a null value on. Equal ``order`` goes by value.
+
+    A row's average is a sum of all terms up to it, each of which fades by ``1 - alpha`` a row. Within a block the terms are scaled by what
+    they would fade, so a running sum does; a block fades what came before by 1e-100, so four blocks hold all that a double can.
+    """
     alpha = 2.0 / (span + 1)
-    series = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("_s"))
-    values = F.transform("_s", lambda s: s[value].cast("double"))
-    seed = F.aggregate(F.slice(values, 1, span), F.lit(0.0), lambda a, x: a + x) / span
-    rest = F.slice(values, span + 1, F.greatest(F.size(values) - span, F.lit(0)))
-    folded = F.aggregate(rest, F.array(seed), lambda a, x: F.concat(a, F.array(alpha * x + (1 - alpha) * F.element_at(a, -1))))
-    padded = F.concat(F.array_repeat(F.lit(None).cast("double"), span - 1), folded)
-    out = series.withColumn("_e", F.when(F.size("_s") >= span, padded).otherwise(F.array_repeat(F.lit(None).cast("double"), F.size("_s"))))
-    return out.select(*keys, F.explode(F.arrays_zip("_s", "_e")).alias("_z")).select(*keys, f"_z._s.{order}", f"_z._s.{value}", F.col("_z._e").alias(name))
+    fade = 1.0 - alpha
+    block = max(1, int(100 / -math.log10(fade))) if fade else 1
+    w = Window.partitionBy(*keys).orderBy(order, value)
+    x, n = F.col(value).cast("double"), F.col("_n")
+    out = rows.withColumns({"_n": F.row_number().over(w) - span, "_null": F.count_if(x.isNull()).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_seed": F.avg(x).over(w.rowsBetween(1 - span, 0))})
+    out = out.withColumns({"_term": F.when(n == 0, F.col("_seed")).when(n > 0, alpha * x), "_block": F.floor(n / block), "_at": F.pmod(n, F.lit(block))})
+    within = Window.partitionBy(*keys, "_block").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumn("_sum", F.sum(F.col("_term") * F.pow(F.lit(fade), -F.col("_at"))).over(within) * F.pow(F.lit(fade), F.col("_at")))
+    ends = sum((fade ** (k * block) * F.coalesce(F.lag("_sum", k * block).over(w), F.lit(0.0)) for k in range(1, 4)), F.col("_sum"))
+    out = out.withColumn("_end", F.when(F.col("_at") == block - 1, ends))
+    before = F.coalesce(F.last("_end", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    average = F.when((n >= 0) & (F.col("_null") == 0), F.col("_sum") + F.pow(F.lit(fade), F.col("_at") + 1) * before)
+    return out.select(*keys, order, value, average.alias(name))
 
 
 def change_by_day(days: DataFrame, keys: list[str], day: str, value: str, name: str) -> DataFrame:
