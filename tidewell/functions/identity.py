@@ -18,5 +18,7 @@ def recovery_key(text: Column) -> Column:
     return F.substring(F.sha1(text), 1, 12)
 
 
-def synthetic_key(text: Column) -> Column:
-    return F.concat(F.lit("UNMAPPED-"), F.substring(F.sha2(text, 256), 1, 20))
+def synthetic_key(kind: Column, text: Column) -> Column:
+    """The key of what no group has: ``kind`` is code or blank, so that a code and a name that read alike differ."""
+    digest = F.sha2(F.concat(kind, F.lit("\0"), text), 256)
+    return F.concat(F.lit("UNMAPPED-"), F.upper(kind), F.lit("-"), F.substring(digest, 1, 20))

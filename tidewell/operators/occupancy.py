@@ -48,15 +48,17 @@ def positions(rows: DataFrame) -> DataFrame:
 
 def grouped_positions(places: DataFrame, catalog: DataFrame) -> DataFrame:
     """Positions with group, policy and capacity: by code and band where the code is split by age, with ``unknown_age`` for those of a
-    split code whose band is unknown. Codes without a group are under a key of their own."""
+    split code whose band is unknown. Codes without a group are under a key of their own, as are names of rows without a code; what no band of
+    a split code takes has no group."""
     split = catalog.filter("selector <> 'all'").select("code").distinct().withColumn("_split", F.lit(True))
     members = catalog.select(F.col("code").alias("_code"), "selector", "group", "policy", "capacity")
     p = places.filter("kind = 'position'").join(split, "code", "left")
     unknown = F.coalesce("_split", F.lit(False)) & (F.col("band") == "unknown") & (F.col("status") == "occupied")
     p = p.withColumn("unknown_age", unknown)
     out = p.join(members, (F.col("code") == F.col("_code")) & ((F.col("selector") == "all") | (F.col("selector") == F.col("band"))), "left")
-    key = F.when(F.coalesce("code", F.lit("")) != "", F.col("code")).otherwise(F.col("name"))
-    return out.withColumn("group", F.coalesce("group", synthetic_key(key))).drop("_code", "_split", "selector")
+    coded = F.coalesce("code", F.lit("")) != ""
+    key = synthetic_key(F.when(coded, "code").otherwise("blank"), F.when(coded, F.col("code")).otherwise(F.coalesce("name", F.lit(""))))
+    return out.withColumn("group", F.coalesce("group", F.when(F.col("_split").isNull(), key))).drop("_code", "_split", "selector")
 
 
 def group_measurements(grouped: DataFrame, catalog: DataFrame, runs: DataFrame) -> DataFrame:
@@ -65,7 +67,7 @@ def group_measurements(grouped: DataFrame, catalog: DataFrame, runs: DataFrame)
     Only standard groups with a capacity are calculated; a capacity of 0 has no percentage.
     """
     definitions = catalog.groupBy("group").agg(F.first("policy").alias("policy"), F.first("capacity").alias("capacity"))
-    counts = grouped.groupBy("run", "group").agg(F.count_if((F.col("status") == "occupied") & ~F.col("unknown_age")).alias("_n"), F.count("*").alias("positions"))
+    counts = grouped.filter("group IS NOT NULL").groupBy("run", "group").agg(F.count_if((F.col("status") == "occupied") & ~F.col("unknown_age")).alias("_n"), F.count("*").alias("positions"))
     wanted = runs.select("run").distinct().crossJoin(definitions)  # a catalog's groups, a few for each run
     out = wanted.join(counts, ["run", "group"], "full")
     occupied = F.coalesce("_n", F.lit(0))

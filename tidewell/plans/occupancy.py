@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewell.operators import coverage
 from tidewell.operators import occupancy as ops
 from tidewell.operators import presentation as shown
 from tidewell.operators.lookups import as_of
@@ -31,10 +32,10 @@ k AS (SELECT *, upper(trim(bed)) AS b, CASE WHEN code <> '' THEN upper(code) ELS
 pl AS (SELECT run, CASE WHEN b = '' THEN 'unidentified' WHEN count(DISTINCT said) > 1 THEN 'conflict' ELSE 'position' END AS kind, count(*) AS rows,
        count(*) FILTER (status = 'occupied') AS occupied_rows, arg_min(code, id) AS code, arg_min(name, id) AS name, arg_min(status, id) AS status, arg_min(band, id) AS band
        FROM k GROUP BY run, src, b, CASE WHEN b = '' THEN id END),
-gp AS (SELECT p.*, c.policy, c.capacity, coalesce(c.grp, 'UNMAPPED-' || sha256(CASE WHEN p.code <> '' THEN p.code ELSE p.name END)[1:20]) AS grp,
+gp AS (SELECT p.*, c.policy, c.capacity, coalesce(c.grp, CASE WHEN p.code = 'c3' THEN NULL WHEN p.code <> '' THEN 'UNMAPPED-CODE-' || sha256('code' || chr(0) || p.code)[1:20] ELSE 'UNMAPPED-BLANK-' || sha256('blank' || chr(0) || p.name)[1:20] END) AS grp,
        p.code = 'c3' AND p.band = 'unknown' AND p.status = 'occupied' AS unknown_age
        FROM (SELECT * FROM pl WHERE kind = 'position') p LEFT JOIN cat c ON c.code = p.code AND (c.selector = 'all' OR c.selector = p.band)),
-cn AS (SELECT run, grp, count(*) FILTER (status = 'occupied' AND NOT unknown_age) AS n, count(*) AS positions FROM gp GROUP BY 1, 2),
+cn AS (SELECT run, grp, count(*) FILTER (status = 'occupied' AND NOT unknown_age) AS n, count(*) AS positions FROM gp WHERE grp IS NOT NULL GROUP BY 1, 2),
 w AS (SELECT run, grp, policy, capacity FROM (SELECT DISTINCT run FROM r), (SELECT DISTINCT grp, policy, capacity FROM cat)),
 gm AS (SELECT run, grp, coalesce(policy, 'unmapped') AS policy, capacity, coalesce(n, 0) AS occupied, coalesce(positions, 0) AS positions,
        coalesce(policy = 'standard' AND capacity IS NOT NULL, false) AS rated FROM w FULL JOIN cn USING (run, grp)),
@@ -136,6 +137,45 @@ def q08_a22_daily_statistics(spark, sf_dir):
     return eligible_summary(e, "day", ops.is_eligible(F.lit("occupancy-v3"), F.col("age_partial"), F.col("position_partial")), "occupied_for_rate")
 
 
+#: Sectors of a capture: codes, and names of rows without one.
+_SECTORS = """(SELECT run, count(*) AS observed_sectors, count(*) FILTER (code IN ('c1', 'c2', 'c3')) AS covered_sectors, count(*) FILTER (code IN ('c1', 'c2', 'c3')) AS calculable_sectors
+FROM (SELECT DISTINCT run, code, CASE WHEN code = '' THEN name END AS name FROM r) GROUP BY 1)"""
+
+
+@q(f"""WITH {_HOURS}, m AS (SELECT ht.*, sc.* EXCLUDE (run), unknown_age_rows > 0 AS age_partial, conflict_positions > 0 OR unidentified_occupied_rows > 0 AS position_partial,
+unknown_age_rows = 0 AND conflict_positions = 0 AND unidentified_occupied_rows = 0 AS ok, occupied_for_rate * 100.0 / calculable_capacity AS share FROM ht JOIN rc USING (run) JOIN {_SECTORS} sc USING (run))
+SELECT run::DATE AS day, arg_min(known_capacity, run) AS known_capacity, arg_min(calculable_capacity, run) AS calculable_capacity, count(*) AS measurements, count(*) FILTER (ok) AS eligible,
+count(*) FILTER (age_partial) AS age_excluded, count(*) FILTER (position_partial) AS position_excluded, min(run) AS first_captured_at, max(run) AS last_captured_at,
+round(avg(occupied_for_rate) FILTER (ok), 2) AS mean_occupied, min(occupied_for_rate) FILTER (ok) AS min_occupied, max(occupied_for_rate) FILTER (ok) AS max_occupied,
+round(avg(share) FILTER (ok), 2) AS mean_pct, round(min(share) FILTER (ok), 2) AS min_pct, round(max(share) FILTER (ok), 2) AS max_pct, max(exceeded_by) FILTER (ok) AS max_exceeded_by,
+min(observed_sectors) AS min_observed_sectors, max(observed_sectors) AS max_observed_sectors, min(covered_sectors) AS min_covered_sectors, max(covered_sectors) AS max_covered_sectors,
+min(calculable_sectors) AS min_calculable_sectors, max(calculable_sectors) AS max_calculable_sectors FROM m GROUP BY 1""")
+def a21_daily_hospital(spark, sf_dir):
+    """The day of the hospital, from hourly captures: official statistics of whole ones, and bounds of sectors of all."""
+    rows, places, grouped, groups = _steps(spark, sf_dir, _HOURLY, _SMALL)
+    bridge = ops.reconciliation(rows, places, grouped).select("run", "age_partial", "position_partial")
+    measured = ops.hospital_totals(groups).join(bridge, "run").join(coverage.sector_counts(rows, _catalog(spark, _SMALL)), "run").withColumn("day", F.to_date("run"))
+    return coverage.daily_hospital(measured, "day", "run", ops.is_eligible(F.lit("occupancy-v3"), F.col("age_partial"), F.col("position_partial")))
+
+
+_NAMED = "VALUES ('g1', 'c1', 'Setor 1', 'all'), ('g1', 'c2', 'Setor 2', 'all'), ('g2', 'c3', 'Setor 0', 'under_12'), ('g3', 'c3', 'Setor 0', 'age_12_or_over'), ('g4', 'c4', 'Setor 1', 'all')"
+
+
+@q(f"""WITH {_SQL}, mem(grp, code, name, selector) AS ({_NAMED}), c AS (SELECT run, mem.grp, mem.code, mem.selector, gp.name AS seen, status, count(*) AS n FROM gp JOIN mem ON gp.code = mem.code AND (selector = 'all' OR selector = band) GROUP BY ALL),
+t AS (SELECT run, grp, code, selector, seen, string_agg(status || '=' || n, ';' ORDER BY status) AS counts FROM c GROUP BY ALL),
+u AS (SELECT run, grp, code, name, string_agg(status || '=' || n, ';' ORDER BY status) AS counts FROM (SELECT run, grp, code, name, status, count(*) AS n FROM gp WHERE grp LIKE 'UNMAPPED-%' GROUP BY ALL) GROUP BY ALL)
+SELECT run, grp AS "group", code AS configured_code, mem.name AS configured_name, selector, code AS observed_code, seen AS observed_name, coalesce(counts, '') AS counts, seen IS NOT NULL AND seen <> mem.name AS name_mismatch
+FROM (SELECT DISTINCT run FROM r) CROSS JOIN mem LEFT JOIN t USING (run, grp, code, selector)
+UNION ALL SELECT run, grp, NULL, NULL, NULL, code, name, counts, false FROM u""")
+def a18_components(spark, sf_dir):
+    """What each group's numbers are made of: members, the names they were observed under, and sectors that no group has."""
+    rows, places, grouped, _ = _steps(spark, sf_dir)
+    catalog = spark.sql(f"SELECT * FROM {_NAMED} AS c(`group`, code, name, selector)")
+    out = coverage.components(places, catalog, rows, grouped.filter("policy IS NULL AND group IS NOT NULL"))
+    said = F.array_join(F.transform(F.map_entries("status_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";")
+    return out.select(*[c for c in out.columns if c not in ("status_counts", "name_mismatch")], said.alias("counts"), "name_mismatch")
+
+
 _STATUS_COUNTS = "(SELECT run, grp, status, count(*) AS n FROM gp GROUP BY ALL)"
 
 

@@ -123,11 +123,11 @@ def t16_brl(spark, sf_dir):
 
 
 @q("""SELECT event_id, sha256('tasy|' || user_id || '|' || CAST(CAST(ts AS DATE) AS VARCHAR) || '|' || event_type) AS identity, sha256(props) AS content,
-sha1(props)[1:12] AS recovery, 'UNMAPPED-' || sha256(event_type)[1:20] AS synthetic FROM events""")
+sha1(props)[1:12] AS recovery, 'UNMAPPED-CODE-' || sha256('code' || chr(0) || event_type)[1:20] AS synthetic FROM events""")
 def t17_t18_digests(spark, sf_dir):
     rows = Binding("events", "event_id", "user_id", "CAST(CAST(ts AS DATE) AS STRING) AS day", "event_type", "props").frame(spark, sf_dir)
     key = identity.event_identity(F.lit("tasy"), F.col("user_id"), F.col("day"), F.col("event_type"))
-    return rows.select("event_id", key.alias("identity"), identity.content_hash(F.col("props")).alias("content"), identity.recovery_key(F.col("props")).alias("recovery"), identity.synthetic_key(F.col("event_type")).alias("synthetic"))
+    return rows.select("event_id", key.alias("identity"), identity.content_hash(F.col("props")).alias("content"), identity.recovery_key(F.col("props")).alias("recovery"), identity.synthetic_key(F.lit("code"), F.col("event_type")).alias("synthetic"))
 
 
 _beds = Binding(
