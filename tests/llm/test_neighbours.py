@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.llm.neighbours import Tree, beyond, nearest, to_boxes
+from tidewell.session import written
 
 SCHEMA = "vec_id long, embedding array<float>"
 
@@ -77,3 +78,13 @@ def test_tree_and_test():
     assert sorted(np.concatenate(tree.leaves).tolist()) == list(range(500))
     assert all((tree.leaf_of(points[own]) == n).all() for n, own in enumerate(tree.leaves))
     assert (to_boxes(points, tree.low, tree.high)[np.arange(500), tree.leaf_of(points)] == 0).all()
+
+
+def test_vectors_do_not_go_through_the_driver(spark):
+    """Small tables of queries are not broadcast, and the sample comes to the driver as Arrow."""
+    rng = np.random.default_rng(3)
+    rows = [(k, [float(x) for x in rng.standard_normal(8)]) for k in range(400)]
+    out = nearest(written(spark.createDataFrame(rows, SCHEMA), "vectors"), 10, 5, block=32)
+    joins = [line for line in out._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join [" in line]
+    assert len(joins) > 1 and all("SortMergeJoin" in j or "cell" in j and "BuildRight" in j and "part" not in j for j in joins)
+    assert out.count() == 200

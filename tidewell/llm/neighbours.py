@@ -8,6 +8,8 @@ The tree's upper splits are fitted to a bounded sample and deal out all vectors
 searched through a kd-tree of its own. Every query is first searched in its own block. That gives it a distance to beat, with which the
 test leaves cells and blocks out as wholes; the others are searched in a second wave.
 
+Joins by vectors are told to sort and merge, so that vectors never go through the driver, however few Spark takes them to be.
+
 Equal vectors are one class, so a group of copies is one point of the tree and one search. Of a class only its k + 1 smallest ids can be
 among the k nearest of any query, so a search needs no others.
 """
@@ -184,7 +186,7 @@ def classes(vectors: DataFrame, every: int, k: int) -> DataFrame:
     held = rows.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= k + 1)
     held = held.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     asked = rows.filter(F.col("vec_id") % every == 0).select("embedding").distinct().withColumn("asked", F.lit(True))
-    return held.join(asked, "embedding", "left").select("embedding", "ids", F.coalesce("asked", F.lit(False)).alias("asked"))
+    return held.join(asked.hint("merge"), "embedding", "left").select("embedding", "ids", F.coalesce("asked", F.lit(False)).alias("asked"))
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, block: int = BLOCK, missed: float = MISSED) -> DataFrame:
@@ -208,17 +210,18 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, block: int = BLOCK,
 
     # the upper splits
     wanted = found_classes.count()
-    sample = found_classes.select("embedding")
-    if wanted > SAMPLE:
-        sample = sample.orderBy(F.xxhash64("embedding")).limit(SAMPLE)
 
     def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 at = Vectors(b.column("embedding"), dims).at
-                yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(at.ravel()), PROJECTIONS).cast(pa.list_(pa.float64()))], ["at"])
+                yield pa.RecordBatch.from_arrays([b.column("hash"), pa.FixedSizeListArray.from_arrays(pa.array(at.ravel()), PROJECTIONS).cast(pa.list_(pa.float64()))], ["hash", "at"])
 
-    points = np.array([r["at"] for r in sample.mapInArrow(projected, "at array<double>").collect()])
+    sample = found_classes.select("embedding", F.xxhash64("embedding").alias("hash")).mapInArrow(projected, "hash long, at array<double>")
+    if wanted > SAMPLE:
+        sample = sample.orderBy("hash").limit(SAMPLE)
+    # As Arrow, in which SAMPLE projections are 8 MiB, in Spark's driver as in Python; as rows they would be many times that.
+    points = sample.select("at").toArrow().column("at").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, PROJECTIONS)
     per_cell = max(CELL_SAMPLE, math.ceil(len(points) * block / wanted))
     upper = spark.sparkContext.broadcast(Tree(points, per_cell))
 
@@ -305,7 +308,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, block: int = BLOCK,
     queries = first.filter("query IS NOT NULL").select("cell", "part", "query", "reach")
     queries = queries.repartitionByRange("cell").sortWithinPartitions("cell", "part")  # queries of a cell visit the same cells
     sent = queries.mapInArrow(visits, "cell int, part long, queries array<struct<query: array<double>, reach: double>>")
-    second = packed.join(sent, ["cell", "part"]).select("rows", "queries").mapInArrow(other_blocks, "query array<double>, ids array<long>, scores array<double>")
+    second = packed.join(sent.hint("merge"), ["cell", "part"]).select("rows", "queries").mapInArrow(other_blocks, "query array<double>, ids array<long>, scores array<double>")
     every_hit = first.filter("query IS NOT NULL").select("query", "ids", "scores").union(second)
     hits = every_hit.select("query", F.explode(F.arrays_zip("ids", "scores")).alias("h")).select("query", F.col("h.ids").alias("vec_id"), F.col("h.scores").alias("score"))
     nth = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
@@ -313,5 +316,5 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, block: int = BLOCK,
     hits = hits.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("nth", "vec_id", "score"))).alias("hits"))
     asked = rows.filter(F.col("vec_id") % every == 0).distinct().select(F.col("vec_id").alias("query_id"), "embedding")
     others = F.slice(F.filter("hits", lambda h: h["vec_id"] != F.col("query_id")), 1, k)
-    out = asked.join(hits, asked["embedding"] == hits["query"]).select("query_id", F.posexplode(others).alias("rank", "h"))
+    out = asked.join(hits.hint("merge"), asked["embedding"] == hits["query"]).select("query_id", F.posexplode(others).alias("rank", "h"))
     return out.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "h.vec_id", "h.score")
