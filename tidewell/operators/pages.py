@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from tidewell.operators.places import placed
+
+#: Rows before a page up to which it is found by the first rows in order, which one task gathers.
+NEAR = 100_000
 #: The lengths that a period's name stands for, in days.
 PERIODS = {"24h": 1, "7d": 7, "30d": 30}
 
@@ -32,11 +37,18 @@ def day_count(value, default: int = 90) -> int:
 
 
 def page(rows: DataFrame, number, size: int, *order: str) -> DataFrame:
-    """Page ``number`` from 1 in a total order; past the end the last one, the first for what is no number."""
+    """Page ``number`` from 1 in a total order; past the end the last one, the first for what is no number.
+
+    A page far behind is found by its rows' places, so that no task gathers all rows before it.
+    """
     pages = max(1, -(-rows.count() // size))
     try:
         k = int(number)
     except (TypeError, ValueError):
         k = 1
     k = pages if k < 1 or k > pages else k
-    return rows.orderBy(*order).offset((k - 1) * size).limit(size)
+    before = (k - 1) * size
+    if before <= NEAR:
+        return rows.orderBy(*order).offset(before).limit(size)
+    places = placed(rows, [F.col(c).asc_nulls_first() for c in order], name="_place")
+    return places.filter(F.col("_place").between(before, before + size - 1)).orderBy("_place").drop("_place")

@@ -223,9 +223,10 @@ def o03_top_rows(spark, sf_dir):
 
 @q("SELECT c_custkey FROM customer ORDER BY c_custkey OFFSET (((SELECT count(*) FROM customer) - 1) // 40) * 40 LIMIT 40")
 def o04_page(spark, sf_dir):
+    """A page past the end of a table of any size."""
     from tidewell.operators.pages import page
 
-    return page(table(spark, sf_dir, "customer").select("c_custkey"), "9999", 40, "c_custkey")
+    return page(table(spark, sf_dir, "customer").select("c_custkey"), str(2**63 - 1), 40, "c_custkey")
 
 
 @q("""SELECT DISTINCT c.c_nationkey FROM customer c WHERE c_acctbal > 5000 AND c.c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)""")
