@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import prose
-from tidewell.llm import repeats
+from tidewell.llm import graph, repeats
 from tidewell.llm.arrow import hash_ranges, unzipped
 from tidewell.llm.exact import directory, exact_groups, without_copies
 from tidewell.llm.near import near_groups, without_near_copies
@@ -290,3 +290,34 @@ def test_ranges_of_hashes():
         assert [(a, b) for _, a, b in found][0][0] == 0 and found[-1][2] == 1000 and all(x[2] == y[1] and x[0] < y[0] for x, y in zip(found[:-1], found[1:], strict=True))
         assert all((int(h) >> 32) * ranges >> 32 == part for part, a, b in found for h in hashes[a:b])
     assert hash_ranges(hashes[:0], 5) == []
+
+
+def test_components(spark, monkeypatch):
+    """Chains in any order, stars, a clique, loops and no edge at all; edges inside what has grown together are looked at once."""
+    rng = random.Random(8)
+    ids = list(range(400))
+    rng.shuffle(ids)
+    edges = list(zip(ids[:99], ids[1:100], strict=True)) + [(a, a + 1) for a in range(1000, 1100)] + [(2050, a) for a in range(2000, 2100)]
+    edges += [(a, b) for a in range(3000, 3060) for b in range(3000, 3060) if a != b] + [(4000, 4000)] + [(rng.choice(ids[100:]), rng.choice(ids[100:])) for _ in range(250)]
+    parent = {i: i for e in edges for i in e}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    sizes = []
+
+    def counted(df, label):
+        out = written(df, label)
+        sizes.extend([out.count()] if label == "edges" else [])
+        return out
+
+    monkeypatch.setattr(graph, "written", counted)
+    got = {r["id"]: r["label"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: root(i) for i in parent}
+    assert sizes[0] == len({tuple(sorted(e)) for e in edges}) and sum(sizes[1:]) < sizes[0] / 4
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
