@@ -101,7 +101,7 @@ def _events_in_order(spark, sf_dir, arrives):
     rows = rows.withColumn("file", F.explode(arrives))
     parts = sorted(r[0] for r in rows.select("file").distinct().collect())  # a few numbers
     for k in parts:
-        rows.filter(F.col("file") == k).drop("slice", "file").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        rows.filter(F.col("file") == k).drop("slice", "file").repartition(1).write.mode("append").parquet(f"{folder}/in")
     return folder, spark.readStream.schema(rows.drop("slice", "file").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
 
 
