@@ -1,15 +1,13 @@
 """Discharge pages: words with their places become one row for each patient.
 
 Pages are turned, so a patient is a band of words of about one x, read from the bottom up: record, prefixes, name, a doctor's number, the
-doctor's name, the date. Bed and specialty stand in a second column, one unit to the right. A table function carries the state of a band
-from word to word; it sees a page's words band by band and holds one band's fields, whatever the page's length.
+doctor's name, the date. Bed and specialty stand in a second column, one unit to the right. A row holds the words of one band, which is one
+patient's, whatever the page's length.
 """
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.operators.series import bands
@@ -19,67 +17,15 @@ RECORD, PREFIX, DOCTOR, DATE = r"^\d{2,7}/\d$", r"^[A-Z]{1,2}$", r"^(\d{4,6}|[Cc
 #: Bands begin where x is so far from the band's first; a word belongs to a column less than REACH away.
 TOLERANCE, REACH, SECOND = 1.5, 1.0, 1.0
 
-_ROW = "page {page}, band int, prontuario string, nome string, leito string, especialidade string, data_internacao string"
-
-
-class PatientOfBand:
-    """State of the band that words come from: which field comes next, and what was read."""
-
-    def __init__(self) -> None:
-        self.place = None
-        self.begin()
-
-    def begin(self) -> None:
-        self.wants, self.record, self.name, self.date = "record", "", [], ""
-        self.beside: list[str] = []
-
-    def fields(self) -> tuple[str, str, str, str, str]:
-        bed = specialty = ""
-        if len(self.beside) > 1:
-            bed, specialty = self.beside[0], self.beside[-1]
-        elif self.beside:
-            (word,) = self.beside
-            if 2 <= len(word) <= 4 and word.isalpha() and word.isupper():
-                specialty = word
-            else:
-                bed = word
-        day, _, year = self.date.rpartition("/")
-        return re.sub(r"\D", "", self.record), " ".join(self.name).strip(), bed, specialty, self.date and f"{day}/{'20' if len(year) == 2 else ''}{year}"
-
-    def take(self, word: str) -> None:
-        if self.wants == "record":
-            self.wants = "prefix"
-            if re.match(RECORD, word):
-                self.record = word
-                return
-        if self.wants == "prefix" and not re.match(PREFIX, word):
-            self.wants = "name"
-        if self.wants == "name":
-            if re.match(DOCTOR, word):
-                self.wants = "date"
-            else:
-                self.name.append(word)
-        elif self.wants == "date" and re.match(DATE, word):
-            self.wants, self.date = "", word
 
-    def finished(self):
-        if self.place is not None and (self.record or self.name):
-            yield (*self.place, *self.fields())
+def _from(words: Column, place: Column) -> Column:
+    """The words from a place on, which counts from 1; none if it is 0."""
+    return F.slice(words, F.when(place > 0, place).otherwise(F.size(words) + 1).cast("int"), F.size(words))
 
-    def eval(self, row):
-        place = (row["page"], row["band"])
-        if place != self.place:
-            yield from self.finished()
-            self.begin()
-            self.place = place
-        word = row["text"]
-        if row["column"] == 0:
-            self.take(word)
-        elif word not in self.beside and not re.match(DATE, word):
-            self.beside.append(word)
 
-    def terminate(self):
-        yield from self.finished()
+def _first(words: Column, pattern: str, is_it: bool = True) -> Column:
+    """The place of the first word that looks like the pattern, or that doesn't; 0 if there is none."""
+    return F.array_position(F.transform(words, lambda w: w.rlike(pattern)), is_it)
 
 
 def discharged_patients(words: DataFrame) -> DataFrame:
@@ -91,13 +37,27 @@ def discharged_patients(words: DataFrame) -> DataFrame:
     placed = words.filter("text IS NOT NULL").withColumn("x", F.round("x", 1))
     starts = bands(placed.filter(F.col("text").rlike(RECORD)).select("page", "x"), ["page"], "x", TOLERANCE)
     starts = starts.groupBy(F.col("page").alias("_page"), "band").agg(F.min("x").alias("start"))
-    nearest = F.explode(F.array(*[F.floor(F.col("x") / 2).cast("long") + k for k in (-1, 0, 1)]))  # cells of two units, so that a word meets the bands about it
-    cells = placed.withColumn("_cell", nearest)
-    starts = starts.withColumn("_at", F.floor(F.col("start") / 2).cast("long"))
+    cells = F.explode(F.array(*[F.floor(F.col("start") / 2).cast("long") + k for k in (-1, 0, 1)]))  # of two units, so that a word meets the bands about it
+    starts = starts.withColumn("_at", cells)
     away = F.col("x") - F.col("start")
     column = F.when(F.abs(away) < REACH, 0).when(F.abs(away - SECOND) < REACH, 1)
-    met = cells.join(starts, (F.col("page") == F.col("_page")) & (F.col("_cell") == F.col("_at")))
-    met = met.withColumn("column", column).filter("column IS NOT NULL").select("page", "band", "column", "y", "text")
-    kind = words.schema["page"].dataType.simpleString()
-    patients = F.udtf(PatientOfBand, returnType=_ROW.format(page=kind))
-    return patients(met.asTable().partitionBy("page").orderBy("band", "column", F.desc("y"), "text"))
+    met = placed.join(starts, (F.col("page") == F.col("_page")) & (F.floor(F.col("x") / 2).cast("long") == F.col("_at")))
+    word = F.struct(column.alias("column"), F.coalesce(-F.col("y").cast("double"), F.lit(float("inf"))).alias("down"), "text")
+    held = met.filter(column.isNotNull()).groupBy("page", "band").agg(F.array_sort(F.collect_list(word)).alias("w"))
+    texts = lambda number: F.transform(F.filter("w", lambda w: w["column"] == number), lambda w: w["text"])
+    held = held.select("page", "band", texts(0).alias("w"), F.array_distinct(F.filter(texts(1), lambda w: ~w.rlike(DATE))).alias("beside"))
+    held = held.withColumn("record", F.when(F.get("w", F.lit(0)).rlike(RECORD), F.col("w")[0]).otherwise(""))
+    held = held.withColumn("r", F.when(F.col("record") != "", _from(F.col("w"), F.lit(2))).otherwise(F.col("w")))
+    held = held.withColumn("s", _from(F.col("r"), _first(F.col("r"), PREFIX, False))).withColumn("d", _first(F.col("s"), DOCTOR))
+    held = held.withColumn("name", F.when(F.col("d") > 0, F.slice("s", F.lit(1), F.col("d").cast("int") - 1)).otherwise(F.col("s")))
+    after = F.when(F.col("d") > 0, F.get(F.filter(_from(F.col("s"), F.col("d") + 1), lambda w: w.rlike(DATE)), F.lit(0)))
+    held = held.withColumn("day", F.coalesce(after, F.lit(""))).filter((F.col("record") != "") | (F.size("name") > 0))
+    one, several = F.get("beside", F.lit(0)), F.size("beside") > 1
+    special = F.length(one).between(2, 4) & one.rlike(r"^\p{L}+$") & (F.upper(one) == one) & (F.lower(one) != one)
+    bed = F.when(several | ~special, one)
+    specialty = F.when(several, F.try_element_at("beside", F.lit(-1))).when(special, one)
+    day = F.when(F.length("day") == 8, F.concat(F.substring("day", 1, 6), F.lit("20"), F.substring("day", 7, 2))).otherwise(F.col("day"))
+    return held.select(
+        "page", "band", F.regexp_replace("record", r"\D", "").alias("prontuario"), F.trim(F.array_join("name", " ")).alias("nome"),
+        F.coalesce(bed, F.lit("")).alias("leito"), F.coalesce(specialty, F.lit("")).alias("especialidade"), day.alias("data_internacao"),
+    )
