@@ -54,3 +54,20 @@ def test_reads_only_the_ranges_of_its_tokens(spark, notes, capsys):
     plan = capsys.readouterr().out
     assert re.search(r"PartitionFilters: .*range#\d+", plan) and re.search(r"PushedFilters: .*EqualTo\(token,w50\)", plan), plan
     assert ids(found) == list(range(11, 51))
+
+
+def test_one_shuffle_and_rows_that_repeat_a_key(spark, notes, monkeypatch):
+    """A row's tokens are counted in the row, before the one shuffle; postings of rows with one key and length are one."""
+    add, source, index = notes
+    add("a", [(1, "dor febre dor"), (1, "dor febre dor"), (2, "febre"), (3, None)])
+    plans, write = [], index._written
+
+    def seen(postings, *more, **named):
+        plans.append(postings._jdf.queryExecution().executedPlan().toString())
+        return write(postings, *more, **named)
+
+    monkeypatch.setattr(index, "_written", seen)
+    index.refresh(source())
+    assert len(plans) == 1 and "Exchange" not in plans[0]
+    held = sorted((r["token"], r["id"], r["n"], r["length"]) for r in index._postings(index._live()).collect())
+    assert held == [("dor", 1, 4, 3), ("febre", 1, 2, 3), ("febre", 2, 1, 1)]

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators.search import tokens
@@ -25,6 +25,15 @@ def _range(token: Column) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(RANGES)).cast("int")
 
 
+def _counts(rows: DataFrame, words: str) -> DataFrame:
+    """``rows`` with ``_c``, the token and n of each row's tokens: they are sorted, and where runs of equal ones begin is known in the row, without a shuffle."""
+    rows = rows.withColumn("_w", F.array_sort(words))
+    runs = F.filter(F.transform("_w", lambda w, i: F.struct(w.alias("token"), i.alias("at"))), lambda s: (s["at"] == 0) | (F.get("_w", s["at"] - 1) != s["token"]))
+    rows = rows.withColumn("_s", runs)
+    until = lambda i: F.coalesce(F.get(F.col("_s"), i + 1)["at"], F.size("_w"))
+    return rows.withColumn("_c", F.explode(F.transform("_s", lambda s, i: F.struct(s["token"].alias("token"), (until(i) - s["at"]).cast("long").alias("n")))))
+
+
 class TextIndex:
     """The index of column ``text`` of a table of files, whose rows ``key`` names; in ``folder``, which driver and executors share."""
 
@@ -48,10 +57,17 @@ class TextIndex:
             self.segments = sorted({r["segment"] for r in self.manifest()})
         return self.segments
 
-    def _written(self, postings: DataFrame) -> str:
+    def _written(self, postings: DataFrame, repeated: bool = False) -> str:
+        """One shuffle and one sort; postings of one token, key and length, which rows that repeat a key have, are added up in that order too."""
         segment = uuid.uuid4().hex
-        dealt = postings.withColumn("range", _range(F.col("token"))).repartition("range", F.pmod(F.xxhash64(self.key), F.lit(WRITERS)))
-        dealt.sortWithinPartitions("range", "token", self.key).write.partitionBy("range").parquet(f"{self.folder}/postings/segment={segment}")
+        dealt = postings.withColumns({"range": _range(F.col("token")), "_part": F.pmod(F.xxhash64(self.key), F.lit(WRITERS))}).repartition("range", "_part")
+        if repeated:
+            alike = Window.partitionBy("range", "token", self.key, "length", "_part").orderBy("n")
+            every = alike.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            dealt = dealt.select("range", "token", self.key, "length", F.sum("n").over(every).alias("n"), F.row_number().over(alike).alias("_nth")).filter("_nth = 1")
+        else:
+            dealt = dealt.sortWithinPartitions("range", "token", self.key)
+        dealt.select("token", self.key, "n", "length", "range").write.partitionBy("range").parquet(f"{self.folder}/postings/segment={segment}")
         return segment
 
     def refresh(self, source: DataFrame) -> int:
@@ -65,8 +81,8 @@ class TextIndex:
         entries = [(s, None, None, None, True) for s in sorted(gone)]
         if missing:
             new = rows.filter(F.col("_file.file").isin([m[0] for m in missing])).select(self.key, tokens(F.col(self.text)).alias("_t"))
-            counted = new.select(self.key, F.size("_t").cast("long").alias("length"), F.explode("_t").alias("token")).groupBy("token", self.key, "length").agg(F.count("*").alias("n"))
-            segment = self._written(counted.select("token", self.key, "n", "length"))
+            counted = _counts(new.withColumn("length", F.size("_t").cast("long")), "_t").select("_c.token", self.key, "_c.n", "length")
+            segment = self._written(counted, repeated=True)
             entries += [(segment, *m, False) for m in missing]
         self.segments = sorted({r["segment"] for r in held} - gone)
         if entries:
