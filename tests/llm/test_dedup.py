@@ -147,6 +147,32 @@ def test_near_template_pages(spark):
     assert left.count() == 1 and near.confirmed(left, texts, 4, 80).count() == 1
 
 
+def test_near_pairs_left_are_compared_in_tiles(spark, monkeypatch):
+    """One group of 60 texts, all pairs of which are left: links are those of brute force, and no join makes a row for each pair."""
+    from tidewell.llm import near
+
+    rng, words = random.Random(3), [f"t{i}" for i in range(100)]
+    texts = [(k, " ".join(f"c{k}.{i}" if rng.random() < 0.025 else w for i, w in enumerate(words))) for k in range(60)]
+    sets = {k: {tuple(t.split(" ")[i : i + 4]) for i in range(97)} for k, t in texts}
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert 100 < len(want) < 1700
+    rows = spark.createDataFrame(texts, "set long, text string")
+    ids = spark.range(60)
+    sizes = []
+    monkeypatch.setattr(near, "written", lambda df, label: sizes.append((label, df.count())) or written(df, label))
+    for n, tiles in ((256, 1), (20, 9)):
+        monkeypatch.setattr(near, "BLOCK_TEXTS", n)
+        left = near.pairs_left(ids.withColumn("label", F.lit(0).cast("long")), ids.select("id", F.col("id").alias("label")).limit(0), rows, 4, 80)
+        pairs = {(r["a"], r["b"]) for r in left.collect()}
+        assert {tuple(sorted(p)) for p in pairs} >= want
+        got = near.confirmed_in_tiles(left, rows, 4, 80).collect()
+        assert len(got) == len(want) and {tuple(sorted((r["a"], r["b"]))) for r in got} == want
+        assert left.select("group", "block", "block_b").distinct().count() == tiles
+        assert dict(sizes)["tiles"] <= 60 * tiles ** 0.5 < len(pairs) / 3
+    nothing = near.confirmed_in_tiles(left.limit(0), rows, 4, 80)
+    assert nothing.columns == ["a", "b"] and nothing.count() == 0
+
+
 def sentences_of(text):
     """Pieces, each with its words."""
     return [(p, tuple(re.findall(rb"[0-9a-z\x80-\xff]+", p.encode().translate(LOW)))) for p in re.findall(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+", text or "")]

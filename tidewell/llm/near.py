@@ -9,7 +9,7 @@ costs a pair for each member. Classes that met, linked or not, are a group; a gr
 hide links between two that only met a third. Classes outside its largest component look for those links among all of the
 group by rare shingles: two sets that are similar enough share one of the rarest shingles of either, as many as the
 smallest overlap leaves over. Common shingles are last in that order, so what a whole group has in common makes no pairs.
-Every link is confirmed on the full sets of both texts.
+Every link is confirmed on the full sets of both texts; pairs of one group by tiles of two blocks of it, so that a text goes to a tile once and not to each of its pairs.
 """
 
 from __future__ import annotations
@@ -30,6 +30,9 @@ from tidewell.session import written
 BANDS, ROWS = 80, 8
 COORDINATES = BANDS * ROWS
 
+#: A group's classes are compared in tiles of two blocks, each of about so many texts or bytes.
+BLOCK_TEXTS, BLOCK_BYTES = 256, 4 << 20
+
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 _FULL = np.uint64(2**64 - 1)
@@ -118,6 +121,16 @@ def profiles(docs: DataFrame, size: int) -> DataFrame:
     return found.select("doc_id", "text_hash", "n_shingles", F.struct("k1", "k2").alias("set"), "keys")
 
 
+def similar(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union."""
+    low = min(len(one), len(other))
+    if not low or 100 * low < percent * max(len(one), len(other)):
+        return False
+    place = np.minimum(np.searchsorted(other, one), len(other) - 1)
+    shared = int((other[place] == one).sum())
+    return shared > 0 and 100 * shared >= percent * (len(one) + len(other) - shared)
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The ``pairs`` a, b of classes of whose sets 100 * intersection >= percent * union. texts: set, a name of the class of any type, and text of each."""
     one, two = (texts.select(F.col("set").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
@@ -133,30 +146,53 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
                     if hub[0] != b:
                         raw = (rows.column("text_b")[k].as_py() or "").encode()
                         hub = b, shingle_sets(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), size)[0]
-                    mine = values[at[k] : at[k + 1]]
-                    low = min(len(mine), len(hub[1]))
-                    shared = 0
-                    if 100 * low >= percent * max(len(mine), len(hub[1])) and low:
-                        place = np.minimum(np.searchsorted(hub[1], mine), len(hub[1]) - 1)
-                        shared = int((hub[1][place] == mine).sum())
-                    linked.append(shared > 0 and 100 * shared >= percent * (len(mine) + len(hub[1]) - shared))
+                    linked.append(similar(values[at[k] : at[k + 1]], hub[1], percent))
                 yield rows.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     kind = texts.schema["set"].dataType.simpleString()
     return rows.mapInArrow(compare, f"a {kind}, b {kind}")
 
 
+def confirmed_in_tiles(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """As ``confirmed``, of pairs a, b with their group and blocks (``pairs_left``). A tile gets each text of its blocks that has a pair there once."""
+    tile = ["group", "block", "block_b"]
+    lists = written(pairs.groupBy(*tile, "a").agg(F.collect_list("b").alias("others")), "tiles")
+    one, two = (texts.select(F.col("set").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    asking = lists.join(one, "a").select(*tile, "a", "text_a", "others")
+    # The other side has names of its own, as both come from one table.
+    its = [F.col(c).alias(f"its_{c}") for c in tile]
+    asked = lists.select(*its, F.explode("others").alias("b")).distinct().join(two, "b").select(*[f"its_{c}" for c in tile], "b", "text_b")
+
+    def sets(rows: pa.Table, text: str) -> Iterator[tuple[dict, np.ndarray]]:
+        for part, data, offsets in text_slices(iter(rows.to_batches()), text):
+            values, at = shingle_sets(data, offsets, size)
+            for k, row in enumerate(part.drop_columns([text]).to_pylist()):
+                yield row, values[at[k] : at[k + 1]]
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        held = {row["b"]: values for row, values in sets(right, "text_b")}
+        found = [(row["a"], b) for row, values in sets(left, "text_a") for b in row["others"] if similar(values, held[b], percent)]
+        kinds = left.schema.field("a").type, right.schema.field("b").type
+        return pa.table({c: pa.array([x[k] for x in found], kinds[k]) for k, c in enumerate("ab")})
+
+    kind = texts.schema["set"].dataType.simpleString()
+    return asking.groupBy(*tile).cogroup(asked.groupBy(*[f"its_{c}" for c in tile])).applyInArrow(compare, f"a {kind}, b {kind}")
+
+
 def pairs_left(groups: DataFrame, labels: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """a, b: pairs of one group of classes that met (``groups``) and of different components (``labels``) that may be similar.
+    """a, b: pairs of one group of classes that met (``groups``) and of different components (``labels``) that may be similar, with the group and their blocks in it.
 
     a is outside its group's largest component. No pair that is similar enough is left out: with n shingles, n - ceil(percent * n / 100) + 1
     of them, the rarest in the group first, hold one of every such pair's shingles; and of the first that two sets share, what
     follows in both bounds how many they share.
     """
     of = groups.withColumnRenamed("label", "group").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    sizes = of.groupBy("group", "label").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1").drop("labels")
-    of = written(of.join(main, "group").select("id", "group", "label", (F.col("label") != F.col("main")).alias("asks")), "groups-left")
+    of = of.join(texts.select(F.col("set").alias("id"), F.octet_length("text").cast("long").alias("bytes")), "id", "left")
+    sizes = of.groupBy("group", "label").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    blocks = F.ceil(F.greatest(F.sum("n") / BLOCK_TEXTS, F.sum("bytes") / BLOCK_BYTES, F.lit(1.0)))
+    main = sizes.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"), blocks.alias("blocks")).filter("labels > 1").drop("labels")
+    of = of.join(main, "group").select("id", "group", "label", (F.col("label") != F.col("main")).alias("asks"), F.pmod(F.xxhash64("id"), "blocks").alias("block"))
+    of = written(of, "groups-left")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_slices(batches):
@@ -173,11 +209,11 @@ def pairs_left(groups: DataFrame, labels: DataFrame, texts: DataFrame, size: int
     shared = every.join(common, ["group", "shingle"])
     at = F.row_number().over(Window.partitionBy("id").orderBy("often", "shingle")) + F.col("n") - F.count("*").over(Window.partitionBy("id"))
     ranked = shared.withColumn("at", at).filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    ranked = written(ranked.select("group", "shingle", "id", "label", "n", "at", "asks"), "rare-shingles")
-    asking, asked = ranked.filter("asks"), ranked.select("group", "shingle", *[F.col(c).alias(f"{c}_b") for c in ("id", "label", "n", "at", "asks")])
+    ranked = written(ranked.select("group", "shingle", "id", "label", "n", "at", "asks", "block"), "rare-shingles")
+    asking, asked = ranked.filter("asks"), ranked.select("group", "shingle", *[F.col(c).alias(f"{c}_b") for c in ("id", "label", "n", "at", "asks", "block")])
     may = (F.col("label") != F.col("label_b")) & (~F.col("asks_b") | (F.col("id") < F.col("id_b")))
     may &= (F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b")) + 1) * (100 + percent) >= (F.col("n") + F.col("n_b")) * percent
-    return asking.join(asked, ["group", "shingle"]).filter(may).select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
+    return asking.join(asked, ["group", "shingle"]).filter(may).select(F.col("id").alias("a"), F.col("id_b").alias("b"), "group", "block", "block_b").distinct()
 
 
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -214,7 +250,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     named = named.join(classes.select("set", F.col("id").alias("a")), "set").join(classes.select(F.col("set").alias("one"), F.col("id").alias("b")), "one")
     links = written(confirmed(could, texts, size, percent).unionByName(named.select("a", "b")), "links")
     left = pairs_left(components(met), components(links), texts, size, percent)
-    labels = components(links.unionByName(written(confirmed(left, texts, size, percent), "links")))
+    labels = components(links.unionByName(written(confirmed_in_tiles(left, texts, size, percent), "links")))
     placed = classes.join(labels, "id", "left").select("set", "least", F.coalesce("label", "id").alias("label"))
     ends = placed.groupBy("label").agg(F.min("least").alias("component_id"))
     placed = written(placed.join(ends, "label").select("set", "component_id"), "placed")
