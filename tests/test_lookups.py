@@ -40,6 +40,19 @@ def test_many_spans(facts_and_spans, monkeypatch, limit):
     assert [rows(lookups.resolved(facts, spans, "who", "at", "began", "ended", "stay", wanted)) for wanted in ("wanted", None)] == steps
 
 
+def test_few_spans_take_no_row_for_each_pair(facts_and_spans, capsys):
+    """Facts stay one row each: nothing is aggregated or sorted by the facts' columns, of which there would be a row for each span."""
+    facts, spans = facts_and_spans
+    facts, spans = facts.filter("who > 1"), spans.filter("who > 1 AND stay IS NOT NULL")
+    for found in (lookups.containing(facts, spans, "who", "at", "began", "ended", "stay"), lookups.resolved(facts, spans, "who", "at", "began", "ended", "stay", "wanted")):
+        found.explain()
+        plan = capsys.readouterr().out
+        assert "SortAggregate" not in plan and ", at#" not in "".join(x for x in plan.splitlines() if "Aggregate" in x)
+    repeated = lookups.resolved(facts.unionAll(facts), spans, "who", "at", "began", "ended", "stay", "wanted")
+    once = rows(lookups.resolved(facts, spans, "who", "at", "began", "ended", "stay", "wanted"))
+    assert rows(repeated) == sorted(once * 2, key=str)
+
+
 def test_places_without_a_single_partition(spark, capsys):
     from tidewell.operators.places import placed
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Spans of one entity that a fact may meet in a join.
+#: Spans of one entity that a fact may look through as a list.
 SPANS_AT_ONCE = 64
 
 
@@ -71,7 +71,7 @@ class _OpenSpans:
 def containing(facts: DataFrame, spans: DataFrame, entity: str, at: str, start: str, end: str, key: str, smallest: bool = False) -> DataFrame:
     """``facts`` with the key of the span of their entity that holds the moment; of several the one that began last, then the largest key, or the smallest.
 
-    Entities of up to SPANS_AT_ONCE spans are joined with all of them, each of the facts that are alike once. For others the span that
+    Facts of entities of up to SPANS_AT_ONCE spans look through the list of them. For others the span that
     began last is looked up, which mostly holds the moment. Where it has ended and one begun before lasts longer, those facts go through
     their entity's spans in order of time, with a stack of open ones. So no fact meets more spans than that.
     """
@@ -87,25 +87,22 @@ def _by_spans(facts: DataFrame, spans: DataFrame, entity: str, few: Callable[[Da
     return few(side(facts, "left_anti"), side(spans, "left_anti")).unionByName(many(side(facts, "left_semi"), side(spans, "left_semi")))
 
 
-def _counted(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(*rows.columns).agg(F.count("*").alias("_alike"))
-
-
-def _repeated(rows: DataFrame, columns: list[str], *more: Column) -> DataFrame:
-    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_alike")))
-    return rows.select(*columns, *more, each.alias("_each")).drop("_each")
+def _with_spans(facts: DataFrame, spans: DataFrame, entity: str, start: str, end: str, key: str, how: str) -> DataFrame:
+    """``facts``, each a row still, with the list of their entity's spans (start, end, key): what is looked for in it takes no row for each pair, and no sort of such rows."""
+    span = F.struct(F.col(start).alias("start"), F.col(end).alias("end"), F.col(key).alias("key"))
+    return facts.join(spans.groupBy(entity).agg(F.collect_list(span).alias("_spans")), entity, how)
 
 
 def _containing_few(facts: DataFrame, spans: DataFrame, entity: str, at: str, start: str, end: str, key: str, smallest: bool) -> DataFrame:
-    alike = _counted(facts)
-    s = spans.select(F.col(entity), F.col(start).alias("_start"), F.col(end).alias("_end"), F.col(key).alias("_key"))
-    met = alike.join(s, entity).filter((F.col("_start") <= F.col(at)) & (F.col("_end").isNull() | (F.col("_end") >= F.col(at))))
-    span = F.struct("_start", "_key")
+    t = F.col(at)
+    holds = F.filter("_spans", lambda s: (s["start"] <= t) & (s["end"].isNull() | (s["end"] >= t)))
+    last = F.array_max(F.transform(holds, lambda s: F.struct(s["start"].alias("start"), s["key"].alias("key"))))
+    met = _with_spans(facts, spans, entity, start, end, key, "inner").select(*facts.columns, *(["_spans"] if smallest else []), last.alias("_last")).filter("_last IS NOT NULL")
+    found = F.col("_last.key")
     if smallest:
-        last = met.groupBy(*alike.columns, "_start").agg(F.min("_key").alias("_key")).groupBy(*alike.columns).agg(F.max(span).alias("_last"))
-    else:
-        last = met.groupBy(*alike.columns).agg(F.max(span).alias("_last"))
-    return _repeated(last, facts.columns, F.col("_last._key").alias(key))
+        begun = F.filter("_spans", lambda s: (s["start"] == F.col("_last.start")) & (s["end"].isNull() | (s["end"] >= t)))
+        found = F.array_min(F.transform(begun, lambda s: s["key"]))
+    return met.select(*facts.columns, found.alias(key))
 
 
 def _containing_many(facts: DataFrame, spans: DataFrame, entity: str, at: str, start: str, end: str, key: str, smallest: bool) -> DataFrame:
@@ -155,17 +152,20 @@ def resolved(facts: DataFrame, spans: DataFrame, entity: str, at: str, start: st
 
 
 def _resolved_few(facts: DataFrame, spans: DataFrame, entity: str, at: str, start: str, end: str, key: str, wanted: str | None) -> DataFrame:
-    """All steps are one aggregate over one join by entity, combined before a shuffle."""
-    s = spans.select(F.col(entity), F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(key).alias("_k"))
-    t, began, ended = F.col(at), F.col("_s"), F.col("_e")
-    alike = _counted(facts)
+    """All steps are one look at the list of the entity's spans."""
+    t = F.col(at)
     seconds = lambda c: F.unix_micros(c.cast("timestamp"))
-    step = F.when(F.col(wanted) == F.col("_k"), 1) if wanted else F.when(F.lit(False), 1)
-    step = step.when((began <= t) & (ended.isNull() | (ended >= t)), 2).when(began <= t, 3).when(began > t, 4).otherwise(5)
-    near = F.when(step.isin(2, 3), -seconds(began)).when(step == 4, seconds(began)).otherwise(0)
-    best = F.min(F.when(F.col("_k").isNotNull(), F.struct(step.alias("step"), near.alias("near"), F.col("_k").alias("key"))))
-    found = alike.join(s, entity, "left").groupBy(*alike.columns).agg(best.alias("_best"))
-    return _repeated(found, facts.columns, F.col("_best.key").alias(key), F.col("_best.step").alias("step"))
+
+    def found(s: Column) -> Column:
+        began, ended = s["start"], s["end"]
+        step = F.when(F.col(wanted) == s["key"], 1) if wanted else F.when(F.lit(False), 1)
+        step = step.when((began <= t) & (ended.isNull() | (ended >= t)), 2).when(began <= t, 3).when(began > t, 4).otherwise(5)
+        near = F.when(step.isin(2, 3), -seconds(began)).when(step == 4, seconds(began)).otherwise(0)
+        return F.struct(step.alias("step"), near.alias("near"), s["key"].alias("key"))
+
+    best = F.array_min(F.transform("_spans", found)).alias("_best")
+    met = _with_spans(facts, spans.filter(F.col(key).isNotNull()), entity, start, end, key, "left")
+    return met.select(*facts.columns, best).select(*facts.columns, F.col("_best.key").alias(key), F.col("_best.step").alias("step"))
 
 
 def _resolved_many(facts: DataFrame, spans: DataFrame, entity: str, at: str, start: str, end: str, key: str, wanted: str | None) -> DataFrame:
