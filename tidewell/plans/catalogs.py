@@ -42,7 +42,7 @@ def _documents(spark, sf_dir):
 
 @q(f"{_FAULTS} SELECT * FROM f")
 def s12_catalog_faults(spark, sf_dir):
-    return ops.catalog_faults(_DOCUMENTS.frame(spark, sf_dir), F.lit("2024-01-20").cast("date"))
+    return ops.catalog_faults(_documents(spark, sf_dir), F.lit("2024-01-20").cast("date"))
 
 
 @q(f"{_FAULTS} SELECT id, sha256(document) AS sha256 FROM d WHERE id NOT IN (SELECT id FROM f)")
