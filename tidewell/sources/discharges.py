@@ -1,21 +1,33 @@
 """Discharge pages: words with their places become one row for each patient.
 
 Pages are turned, so a patient is a band of words of about one x, read from the bottom up: record, prefixes, name, a doctor's number, the
-doctor's name, the date. Bed and specialty stand in a second column, one unit to the right. A row holds the words of one band, which is one
-patient's, whatever the page's length.
+doctor's name, the date. Bed and specialty stand in a second column, one unit to the right. A page is one row, and its bands are cut from
+its words in order of x, so no word is joined or dealt out by itself.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.operators.series import bands
-
 #: What words look like.
 RECORD, PREFIX, DOCTOR, DATE = r"^\d{2,7}/\d$", r"^[A-Z]{1,2}$", r"^(\d{4,6}|[Cc][Rr][Mm]([A-Za-z]{2})?)$", r"^\d{2}/\d{2}/(\d{2}|\d{4})$"
 #: Bands begin where x is so far from the band's first; a word belongs to a column less than REACH away.
 TOLERANCE, REACH, SECOND = 1.5, 1.0, 1.0
+#: Begins of bands are collected by so many places, so that no long array is copied for each of them.
+RUN = 128
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it is used."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda held, _: held, body)
+
+
+def _like(word: Column, pattern: str) -> Column:
+    """Whether the whole word looks like the pattern; a line break at its end is part of it."""
+    return word.rlike(pattern.removesuffix("$") + r"\z")
 
 
 def _from(words: Column, place: Column) -> Column:
@@ -25,35 +37,77 @@ def _from(words: Column, place: Column) -> Column:
 
 def _first(words: Column, pattern: str, is_it: bool = True) -> Column:
     """The place of the first word that looks like the pattern, or that doesn't; 0 if there is none."""
-    return F.array_position(F.transform(words, lambda w: w.rlike(pattern)), is_it)
+    return F.array_position(F.transform(words, lambda w: _like(w, pattern)), is_it)
 
 
-def discharged_patients(words: DataFrame) -> DataFrame:
-    """page, band, prontuario, nome, leito, especialidade, data_internacao: a row for each band of ``words`` (page, x, y, text) that has a record.
+def _begins(places: Column) -> Column:
+    """Where bands begin: at the first of the places, which are in order, and at each more than TOLERANCE past the last begin."""
+
+    def step(held: Column, place: Column) -> Column:
+        begun = F.struct(place.alias("last"), F.concat(held["begun"], F.array(place)).alias("begun"))
+        return F.when(held["last"].isNull() | (place - held["last"] > TOLERANCE), begun).otherwise(held)
+
+    def run(held: Column, part: Column) -> Column:
+        none = F.struct(held["last"].alias("last"), F.array().cast("array<double>").alias("begun"))
+        return F.aggregate(part, none, step, lambda r: F.struct(r["last"].alias("last"), F.concat(held["runs"], F.array(r["begun"])).alias("runs")))
+
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(places) - 1) / RUN).cast("int")), lambda k: F.slice(places, k * RUN + 1, RUN))
+    none = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<array<double>>").alias("runs"))
+    return F.when(F.size(places) > 0, F.aggregate(parts, none, run, lambda held: F.flatten(held["runs"]))).otherwise(F.array().cast("array<double>"))
+
+
+def _bands(words: Column) -> Column:
+    """The bands of a page's words (x, y, text) in order of x: arrays of the words in their columns (column, down, text), from the bottom up.
 
-    Bands are found by words that look like records. Records keep their digits, dates are DD/MM/YYYY, fields that aren't there are empty.
-    Pages without a record have no row; null words are left out.
+    Two marks for each band, where its words can begin and end at most, are sorted in among the words by x; a mark has no text, and its y is
+    its number. A band's words are among those between its marks.
     """
-    placed = words.filter("text IS NOT NULL").withColumn("x", F.round("x", 1))
-    starts = bands(placed.filter(F.col("text").rlike(RECORD)).select("page", "x"), ["page"], "x", TOLERANCE)
-    starts = starts.groupBy(F.col("page").alias("_page"), "band").agg(F.min("x").alias("start"))
-    cells = F.explode(F.array(*[F.floor(F.col("start") / 2).cast("long") + k for k in (-1, 0, 1)]))  # of two units, so that a word meets the bands about it
-    starts = starts.withColumn("_at", cells)
-    away = F.col("x") - F.col("start")
-    column = F.when(F.abs(away) < REACH, 0).when(F.abs(away - SECOND) < REACH, 1)
-    met = placed.join(starts, (F.col("page") == F.col("_page")) & (F.floor(F.col("x") / 2).cast("long") == F.col("_at")))
-    word = F.struct(column.alias("column"), F.coalesce(-F.col("y").cast("double"), F.lit(float("inf"))).alias("down"), "text")
-    held = met.filter(column.isNotNull()).groupBy("page", "band").agg(F.array_sort(F.collect_list(word)).alias("w"))
+    mark = lambda x, number: F.struct(x.alias("x"), number.cast("double").alias("y"), F.lit(None).cast("string").alias("text"))
+    places = lambda w: F.sort_array(F.array_distinct(F.transform(F.filter(w, lambda v: _like(v["text"], RECORD) & v["x"].isNotNull()), lambda v: F.round(v["x"], 1))))
+
+    def marked(words: Column, begins: Column) -> Column:
+        first, last = (F.transform(begins, lambda b, n: mark(b + away, 2 * n + end)) for end, away in enumerate((-REACH - 0.1, SECOND + REACH + 0.1)))
+        return F.sort_array(F.concat(words, first, last))
+
+    def ends(u: Column) -> Column:
+        """Where the marks are: two for each band, in the bands' order."""
+        at = F.transform(u, lambda v, n: F.when(v["text"].isNull(), F.struct(v["y"].alias("number"), n.alias("at"))))
+        return F.transform(F.sort_array(F.filter(at, lambda v: v.isNotNull())), lambda v: v["at"])
+
+    def held(near: Column, begin: Column) -> Column:
+        away = lambda v: F.round(v["x"], 1) - begin
+        column = lambda v: F.when(F.abs(away(v)) < REACH, 0).when(F.abs(away(v) - SECOND) < REACH, 1)
+        word = lambda v: F.struct(column(v).alias("column"), F.coalesce(-v["y"], F.lit(float("inf"))).alias("down"), v["text"].alias("text"))
+        return F.sort_array(F.transform(F.filter(near, lambda v: v["text"].isNotNull()), word))
+
+    def cut(u: Column, begins: Column, ends: Column) -> Column:
+        near = lambda n: F.slice(u, F.get(ends, 2 * n) + 1, F.get(ends, 2 * n + 1) - F.get(ends, 2 * n))
+        return F.transform(begins, lambda begin, n: held(near(n), begin))
+
+    bands = lambda w, begins: _let(marked(w, begins), lambda u: _let(ends(u), lambda ends: cut(u, begins, ends)))
+    return _let(F.filter(words, lambda w: w["text"].isNotNull()), lambda w: _let(places(w), lambda places: _let(_begins(places), lambda begins: bands(w, begins))))
+
+
+def patients_of_pages(pages: DataFrame) -> DataFrame:
+    """page, band, prontuario, nome, leito, especialidade, data_internacao: a row for each band of a page that has a record.
+
+    ``pages`` has a row for each page, with its words as an array of x double, y double, text string. Bands are found by words that look like
+    records. Records keep their digits, dates are DD/MM/YYYY, fields that aren't there are empty. Pages without a record have no row; null
+    words are left out.
+    """
+    held = pages.filter("page IS NOT NULL").select("page", F.posexplode_outer(_bands(F.col("words"))).alias("band", "w"))  # outer, or else the optimizer makes the array once more to see whether it is empty
     texts = lambda number: F.transform(F.filter("w", lambda w: w["column"] == number), lambda w: w["text"])
-    held = held.select("page", "band", texts(0).alias("w"), F.array_distinct(F.filter(texts(1), lambda w: ~w.rlike(DATE))).alias("beside"))
-    held = held.withColumn("record", F.when(F.get("w", F.lit(0)).rlike(RECORD), F.col("w")[0]).otherwise(""))
+    held = held.select("page", "band", texts(0).alias("w"), F.array_distinct(F.filter(texts(1), lambda w: ~_like(w, DATE))).alias("beside"))
+    first, named = F.get("w", F.lit(0)), F.get(F.filter("w", lambda w: ~_like(w, PREFIX)), F.lit(0))
+    held = held.filter(_like(first, RECORD) | ~_like(named, DOCTOR))  # else there is neither record nor name
+    held = held.withColumn("record", F.when(_like(first, RECORD), first).otherwise(""))
     held = held.withColumn("r", F.when(F.col("record") != "", _from(F.col("w"), F.lit(2))).otherwise(F.col("w")))
     held = held.withColumn("s", _from(F.col("r"), _first(F.col("r"), PREFIX, False))).withColumn("d", _first(F.col("s"), DOCTOR))
     held = held.withColumn("name", F.when(F.col("d") > 0, F.slice("s", F.lit(1), F.col("d").cast("int") - 1)).otherwise(F.col("s")))
-    after = F.when(F.col("d") > 0, F.get(F.filter(_from(F.col("s"), F.col("d") + 1), lambda w: w.rlike(DATE)), F.lit(0)))
-    held = held.withColumn("day", F.coalesce(after, F.lit(""))).filter((F.col("record") != "") | (F.size("name") > 0))
+    after = F.when(F.col("d") > 0, F.get(F.filter(_from(F.col("s"), F.col("d") + 1), lambda w: _like(w, DATE)), F.lit(0)))
+    held = held.withColumn("day", F.coalesce(after, F.lit("")))
     one, several = F.get("beside", F.lit(0)), F.size("beside") > 1
-    special = F.length(one).between(2, 4) & one.rlike(r"^\p{L}+$") & (F.upper(one) == one) & (F.lower(one) != one)
+    special = F.length(one).between(2, 4) & _like(one, r"^\p{L}+$") & (F.upper(one) == one) & (F.lower(one) != one)
     bed = F.when(several | ~special, one)
     specialty = F.when(several, F.try_element_at("beside", F.lit(-1))).when(special, one)
     day = F.when(F.length("day") == 8, F.concat(F.substring("day", 1, 6), F.lit("20"), F.substring("day", 7, 2))).otherwise(F.col("day"))
@@ -61,3 +115,9 @@ def discharged_patients(words: DataFrame) -> DataFrame:
         "page", "band", F.regexp_replace("record", r"\D", "").alias("prontuario"), F.trim(F.array_join("name", " ")).alias("nome"),
         F.coalesce(bed, F.lit("")).alias("leito"), F.coalesce(specialty, F.lit("")).alias("especialidade"), day.alias("data_internacao"),
     )
+
+
+def discharged_patients(words: DataFrame) -> DataFrame:
+    """``patients_of_pages`` for words (page, x, y, text) that are rows of their own: they are brought together by page."""
+    word = F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("text").cast("string").alias("text"))
+    return patients_of_pages(words.filter("text IS NOT NULL").groupBy("page").agg(F.collect_list(word).alias("words")))
